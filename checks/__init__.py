@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, each with the SQL it must equal."""
+from checks import scores, timeline
+
+MODULES = (timeline, scores)

@@ -5,6 +5,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ledgerlens import policies as P
 
@@ -145,7 +146,7 @@ def is_garbage(headline, summary):
             | F.coalesce((F.lower(h) == F.lower(F.trim(summary))) & (F.length(h) < 20), F.lit(False)))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape_entities(s: pd.Series) -> pd.Series:
     """All named and numeric character references (the table has 2,231 entries)."""
     return s.map(html.unescape, na_action="ignore")

@@ -1,27 +1,45 @@
 """Ordered per-key operators (lag, trailing frames, running totals, as-of joins) that
 survive a key holding a large share of all rows.
 
-A plain `Window.partitionBy(key)` puts a whole key into one task. Here the timeline of a
-hot key is first cut into segments, the window runs per (key, segment), and what crosses
-a segment edge travels separately: the last k rows of the earlier segments for trailing
-frames (`with_halo`), or one carried row / running total per segment (`asof`, `running`).
-Keys under `hot_rows` rows keep one segment and pay one map-side-combined count only.
+A plain `Window.partitionBy(key)` puts a whole key into one task, and AQE cannot split a
+window. So the row counts per key are checked first (one count over the key columns, with a
+map-side combine; plans that chain several operators check their base tables once and pass
+the result on as `hot_rows`):
+
+* no key over the limit: the plain window;
+* some key over it: the input is cut with `checkpoint()`, the timeline of each hot key is
+  split into segments, the window runs per (key, segment), and what crosses a segment edge
+  travels separately: the last k rows of the earlier segments for trailing frames
+  (`with_halo`), one carried row or running total per segment (`asof`, `running`).
 
 Order is always given by two integers: `unit` (usually the day number) and `tie` (usually
 the row id). Time splits on `unit`; a single hot unit splits further on `tie`.
 
 What is broadcast here is bounded by construction: at most total_rows / hot_rows keys, and
-as many units, can be over the limit, and a table has that many segments at most.
+as many units, can be over the limit, and a table has a like number of segments.
 """
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerlens.session import cut
+
 HOT_ROWS = 2_000_000
+AUTO = "auto"
 UNIT, TIE, SEG, HALO = "__unit", "__tie", "__seg", "__halo"
 _PLAIN = "struct(cast(0 as bigint) as s, cast(0 as bigint) as u, cast(0 as bigint) as t)"
 
 
+def hot_limit(df: DataFrame, keys, hot_rows=HOT_ROWS):
+    """`hot_rows` when some key has more rows than that, else None."""
+    over = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    return None if over.isEmpty() else hot_rows
+
+
+def _limit(hot_rows, df, keys):
+    return hot_limit(df, keys) if hot_rows == AUTO else hot_rows
+
+
 @dataclass(frozen=True)
 class Order:
     """Monotone integer position of a row: (unit, tie)."""
@@ -35,11 +53,12 @@ class Order:
         return Order(F.unix_date(c.cast("date")).cast("bigint"), t.cast("bigint"))
 
 
-def segmented(df: DataFrame, keys, order: Order, hot_rows=HOT_ROWS) -> DataFrame:
-    """Adds the position columns and the segment; one segment unless the key is hot."""
-    df = df.withColumn(UNIT, order.unit).withColumn(TIE, order.tie)
-    if hot_rows is None:  # the caller proves the bound, e.g. one row per key and day
-        return df.withColumn(SEG, F.expr(_PLAIN)).withColumn("__hot", F.lit(False))
+def segmented(df: DataFrame, keys, order: Order, hot_rows) -> DataFrame:
+    """Adds the position columns and the segment; only hot keys have more than one."""
+    df = df.withColumns({UNIT: order.unit, TIE: order.tie})
+    if hot_rows is None:
+        return df
+    df = cut(df)  # read several times below
     per_unit = df.groupBy(*keys, UNIT).agg(F.count(F.lit(1)).alias("n"), F.min(TIE).alias("lo"),
                                            F.max(TIE).alias("hi"))
     hot_keys = (per_unit.groupBy(*keys)
@@ -68,9 +87,9 @@ def segmented(df: DataFrame, keys, order: Order, hot_rows=HOT_ROWS) -> DataFrame
             .drop("__u0", "__width", "__lo", "__tw", "__slot", "__cut"))
 
 
-def window(keys) -> Window:
+def window(keys, hot_rows):
     """Window inside a segment, in row order."""
-    return Window.partitionBy(*keys, SEG).orderBy(UNIT, TIE)
+    return Window.partitionBy(*keys, *([SEG] if hot_rows is not None else [])).orderBy(UNIT, TIE)
 
 
 def done(df: DataFrame) -> DataFrame:
@@ -85,15 +104,16 @@ def _by_position(a, b):
     return F.when(less, -1).when((a[UNIT] == b[UNIT]) & (a[TIE] == b[TIE]), 0).otherwise(1)
 
 
-def with_halo(df: DataFrame, keys, order: Order, rows_before: int, hot_rows=HOT_ROWS) -> DataFrame:
+def with_halo(df: DataFrame, keys, order: Order, rows_before: int, hot_rows) -> DataFrame:
     """Rows plus, for each segment, the `rows_before` rows that precede it, flagged HALO.
 
-    Any frame reaching at most `rows_before` rows back is exact on `window(keys)`; finish
+    Any frame reaching at most `rows_before` rows back is exact on `window(keys, hot_rows)`; finish
     with `done`.
     """
-    s = segmented(df, keys, order, hot_rows).withColumn(HALO, F.lit(False))
+    s = segmented(df, keys, order, hot_rows)
     if hot_rows is None:
         return s
+    s = s.withColumn(HALO, F.lit(False))
     payload = [c for c in s.columns if c not in keys and c != SEG]
     rank = F.row_number().over(Window.partitionBy(*keys, SEG).orderBy(F.desc(UNIT), F.desc(TIE)))
     tails = (s.where("__hot").withColumn("__r", rank).where(F.col("__r") <= rows_before).drop("__r")
@@ -109,28 +129,32 @@ def with_halo(df: DataFrame, keys, order: Order, rows_before: int, hot_rows=HOT_
     return s.unionByName(halo.select(*s.columns))
 
 
-def lagged(df, keys, order, columns, hot_rows=HOT_ROWS) -> DataFrame:
+def lagged(df, keys, order, columns, hot_rows=AUTO) -> DataFrame:
     """columns: {new name: (expression, rows back)}."""
+    hot = _limit(hot_rows, df, keys)
     k = max(n for _, n in columns.values())
-    s, w = with_halo(df, keys, order, k, hot_rows), window(keys)
+    s, w = with_halo(df, keys, order, k, hot), window(keys, hot)
     return done(s.withColumns({name: F.lag(e, n).over(w) for name, (e, n) in columns.items()}))
 
 
-def trailing(df, keys, order, rows_before, make, hot_rows=HOT_ROWS) -> DataFrame:
-    """make(window with the frame [-rows_before, 0]) -> {name: Column}."""
-    s = with_halo(df, keys, order, rows_before, hot_rows)
-    return done(s.withColumns(make(window(keys).rowsBetween(-rows_before, 0))))
+def trailing(df, keys, order, rows_before, make, hot_rows=AUTO) -> DataFrame:
+    """make(window in row order without a frame) -> {name: Column}; frames may reach back
+    `rows_before` rows."""
+    hot = _limit(hot_rows, df, keys)
+    s = with_halo(df, keys, order, rows_before, hot)
+    return done(s.withColumns(make(window(keys, hot))))
 
 
-def running(df, keys, order, sums, inclusive=False, hot_rows=HOT_ROWS) -> DataFrame:
+def running(df, keys, order, sums, inclusive=False, hot_rows=AUTO) -> DataFrame:
     """Running totals of non-NULL values over the rows before (or up to) each row.
 
     sums: {name: Column}; a total over no rows is 0.
     """
+    hot_rows = _limit(hot_rows, df, keys)
     s = segmented(df, keys, order, hot_rows)
     names = {n: F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in sums.items()}
     s = s.withColumns({f"__v_{n}": c for n, c in names.items()})
-    frame = window(keys).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    frame = window(keys, hot_rows).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = s.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(frame), F.lit(0.0)) for n in names})
     if hot_rows is not None:
         totals = s.where("__hot").groupBy(*keys, SEG).agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names])
@@ -143,7 +167,7 @@ def running(df, keys, order, sums, inclusive=False, hot_rows=HOT_ROWS) -> DataFr
 
 
 def asof(left, right, keys, left_day, right_day, right_tie, payload, strict=False,
-         hot_rows=HOT_ROWS) -> DataFrame:
+         hot_rows=AUTO) -> DataFrame:
     """Each left row with the latest right row on or before (`strict`: before) its day.
 
     One shuffle of the union, no range join. Among right rows of one day the highest
@@ -162,8 +186,10 @@ def asof(left, right, keys, left_day, right_day, right_tie, payload, strict=Fals
                                  (F.col(right_tie) if isinstance(right_tie, str) else right_tie).cast("bigint").alias("__t"),
                                  F.lit(None).cast(left.select(F.struct(*keep).alias("l")).schema["l"].dataType)
                                  .alias("__l"), F.struct(*payload).alias("__r"))))
+    if hot_rows == AUTO:
+        hot_rows = hot_limit(left.select(*keys).unionByName(right.select(*keys)), keys)
     s = segmented(rows, keys, Order(F.col("__u"), F.col("__t")), hot_rows)
-    upto = window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    upto = window(keys, hot_rows).rowsBetween(Window.unboundedPreceding, 0)
     out = s.withColumn("asof", F.last("__r", ignorenulls=True).over(upto))
     if hot_rows is not None:
         lasts = (s.where("__hot").groupBy(*keys, SEG)

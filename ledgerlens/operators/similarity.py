@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ledgerlens.functions import scoring as S
 from ledgerlens.operators import ordered as O
@@ -31,7 +32,7 @@ def _unit_rows(vectors):
     return m / n, zero
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _best_cosine(cur: pd.Series, prev: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(cur, prev):
@@ -42,7 +43,7 @@ def _best_cosine(cur: pd.Series, prev: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _best_tfidf(cur: pd.Series, prev: pd.Series) -> pd.Series:
     """Cosine of two-document tf-idf vectors: shared terms weigh 1, others ln(1.5) + 1, so the
     squared norm of a unit is c2*|tf|^2 - (c2 - 1)*|tf over shared terms|^2."""
@@ -95,7 +96,7 @@ def best_tfidf(pairs, units, cur, prev, unit_keys, idx="unit_idx", value="tokens
     return _best_match(pairs, units, cur, prev, unit_keys, idx, value, block, _best_tfidf)
 
 
-def top_k_mean(scored: DataFrame, keys, score, idx, evidence=5, hot_rows=O.HOT_ROWS) -> DataFrame:
+def top_k_mean(scored: DataFrame, keys, score, idx, evidence=5, hot_rows=O.AUTO) -> DataFrame:
     """Mean of the K largest per group, K = min(n, max(3, ceil(n/4))), plus n, the mean of all
     and the first `evidence` indexes (ties by index). Scores lie in [0, 1].
 

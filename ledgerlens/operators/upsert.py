@@ -152,8 +152,8 @@ def mark_stage(filings: DataFrame, done: DataFrame, stage: str, status: str) ->
 def event_rows(df: DataFrame, event_type, layer, detail, filing=None, company=None, duration_ms=None, at=None):
     """Audit rows in the event-log shape; `detail` is a JSON Column."""
     n = F.lit(None)
-    return df.select((F.col(filing) if filing else n).cast("int").alias("filing_id"),
-                     (F.col(company) if company else n).cast("int").alias("company_id"),
+    return df.select((F.col(filing) if filing else n).cast("bigint").alias("filing_id"),
+                     (F.col(company) if company else n).cast("bigint").alias("company_id"),
                      F.lit(event_type).alias("event_type"), F.lit(layer).alias("layer"),
                      (F.lit(duration_ms) if duration_ms is not None else n).cast("int").alias("duration_ms"),
                      detail.alias("detail"), (at if at is not None else F.current_timestamp()).alias("occurred_at"))

@@ -107,8 +107,10 @@ def _count_before(anchors, rows, day, limit_day, name, hot_rows):
     return out.select("company_id", "filed_at", F.coalesce("asof.total", F.lit(0)).alias(name))
 
 
-def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
+def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.AUTO) -> DataFrame:
     """trades carry their own filing day in `filed_at`."""
+    if hot_rows == O.AUTO:  # the ordered inputs below hold one row per company and day: at most as many as filings
+        hot_rows = O.hot_limit(filings, ["company_id"])
     e = prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at")
     anchors = filings.select("company_id", "filed_at").distinct()
     act = anchor_activity(insider_activity(classified_trades(anchors, e)))
@@ -146,7 +148,8 @@ def behavior_signals(features: DataFrame, text_signals: DataFrame, computed_at)
             .groupBy("filing_id").agg(F.max_by("signal_value", "computed_at").alias("text_sentiment")))
     d = features.join(tone, "filing_id", "left")
     v, penalty = behavior_values()
-    d = d.withColumn("governance_penalty", penalty)
+    d = d.withColumns({"governance_penalty": penalty, **{f"s_{k}": c for k, c in v.items()}})
+    v = {k: F.col(f"s_{k}") for k in v}
     parts = {"ita": ("weighted_ita", "opportunistic_sell_value", "opportunistic_buy_value"),
              "insider_concentration": ("unique_sellers_in_window",), "insider_signal": ("governance_penalty",)}
     specs = {}

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens import policies as P
 from ledgerlens.functions import jsonpath as J, scoring as S
-from ledgerlens.operators import aggregates as A, ordered as O
+from ledgerlens.operators import ordered as O
 from ledgerlens.plans.rows import pivot_signals, signal_rows
 
 VERSION = "composite_v4"
@@ -12,7 +12,7 @@ SCORING = tuple(n for n, w in P.COMPOSITE_WEIGHTS.items() if w > 0)
 TOTAL_WEIGHT = float(sum(P.COMPOSITE_WEIGHTS.values()))
 
 
-def resolved_inputs(filings: DataFrame, signals: DataFrame, confidence=None, hot_rows=O.HOT_ROWS) -> DataFrame:
+def resolved_inputs(filings: DataFrame, signals: DataFrame, confidence=None, hot_rows=O.AUTO) -> DataFrame:
     """Per filing and input: own value, else the value of one of the two previous anchor filings,
     penalised; with source filing, source day and penalised confidence.
 
@@ -26,79 +26,94 @@ def resolved_inputs(filings: DataFrame, signals: DataFrame, confidence=None, hot
     entry = F.struct("filing_id", "filed_at", *INPUTS, *[f"{n}__c" for n in INPUTS])
     d = O.lagged(base, ["company_id"], O.Order.by_day("filed_at", "filing_id"),
                  {f"__p{k}": (entry, k) for k in range(1, P.CARRY_FORWARD_FILINGS + 1)}, hot_rows)
-    cols = {}
-    for n in INPUTS:
-        own = F.col(n)
-        back = F.when(own.isNotNull(), F.lit(0))
-        src, day = F.when(own.isNotNull(), F.col("filing_id")), F.when(own.isNotNull(), F.col("filed_at"))
-        val, con = own, F.when(own.isNotNull(), F.col(f"{n}__c"))
-        for k in range(1, P.CARRY_FORWARD_FILINGS + 1):
-            p = F.col(f"__p{k}")
-            hit = back.isNull() & p[n].isNotNull()
-            val = F.when(hit, S.clip01(p[n] * P.CARRY_FORWARD_PENALTY)).otherwise(val)
-            con = F.when(hit, S.clip01(p[f"{n}__c"] * P.CARRY_FORWARD_PENALTY)).otherwise(con)
-            src = F.when(hit, p["filing_id"]).otherwise(src)
-            day = F.when(hit, p["filed_at"]).otherwise(day)
-            back = F.when(hit, F.lit(k)).otherwise(back)
-        cols[f"in_{n}"] = F.struct(val.alias("value"), con.alias("confidence"), src.alias("source_filing_id"),
-                                   day.alias("source_filed_at"), back.alias("filings_back"))
+    steps = range(1, P.CARRY_FORWARD_FILINGS + 1)
+
+    def first_of(n, own, earlier):
+        """The own entry if the input is there, else that of the nearest filing which has it."""
+        return (f"CASE WHEN {n} IS NOT NULL THEN {own} "
+                + " ".join(f"WHEN __p{k}.{n} IS NOT NULL THEN {earlier(k)}" for k in steps) + " END")
+    faded = lambda c: lambda k: f"least(1D, greatest(0D, __p{k}.{c} * {P.CARRY_FORWARD_PENALTY}D))"
+    faded_conf = lambda c: lambda k: f"CASE WHEN __p{k}.{c} IS NOT NULL THEN {faded(c)(k)} END"
+    cols = {f"in_{n}": F.expr(
+        f"struct({first_of(n, n, faded(n))} AS value, {first_of(n, n + '__c', faded_conf(n + '__c'))} AS confidence, "
+        f"{first_of(n, 'filing_id', lambda k: f'__p{k}.filing_id')} AS source_filing_id, "
+        f"{first_of(n, 'filed_at', lambda k: f'__p{k}.filed_at')} AS source_filed_at, "
+        f"{first_of(n, '0', str)} AS filings_back)") for n in INPUTS}
     keep = [c for c in filings.columns]
     return d.select(*keep, *[c.alias(k) for k, c in cols.items()])
 
 
-def convergence(values):
-    """{layer: score}, elevated names, count, tier, boost, share of defined layers."""
-    layers = {layer: S.greatest_defined([values[n] for n in names]) for layer, names in P.CONVERGENCE_LAYERS.items()}
-    up = {k: F.coalesce(v >= P.CONVERGENCE_THRESHOLDS[k], F.lit(False)) for k, v in layers.items()}
-    count = S.sum_cols([c.cast("int") for c in up.values()])
-    tier, boost = F.lit("none"), F.lit(0.0)
-    for n, (name, b) in P.CONVERGENCE_TIERS.items():
-        tier, boost = F.when(count == n, name).otherwise(tier), F.when(count == n, F.lit(b)).otherwise(boost)
-    elevated = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in up.items()]), lambda x: x.isNotNull())
-    return layers, elevated, count, tier, boost, S.coverage_ratio(layers.values(), len(layers))
+def _clip01(x):
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(1D, greatest(0D, {x})) END"
+
+
+def _names(conditions):
+    """{name: condition} -> array of the names that hold."""
+    return "filter(array(" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in conditions.items()) + "), x -> x IS NOT NULL)"
+
+
+def _count(conditions):
+    return "(" + " + ".join(f"cast(coalesce({c}, false) AS int)" for c in conditions) + ")"
+
+
+def _coalesce(names):
+    return f"coalesce({', '.join(names)})"
 
 
 def composite_features(resolved: DataFrame) -> DataFrame:
-    v = {n: F.col(f"in_{n}.value") for n in INPUTS}
-    layers, elevated, count, tier, boost, ratio = convergence(v)
-    d = resolved.withColumns({n: c for n, c in v.items()})
-    v = {n: F.col(n) for n in INPUTS}
-    scoring = {n: v[n] for n in SCORING}
-    fp, fd = S.clip01(v["forward_pessimism"]), S.clip01(v["fundamental_deterioration"])
-    weight = S.sum_cols([F.when(v[n].isNotNull(), F.lit(P.COMPOSITE_WEIGHTS[n])).otherwise(F.lit(0.0)) for n in SCORING])
-    total = S.sum_cols([F.coalesce(v[n] * P.COMPOSITE_WEIGHTS[n], F.lit(0.0)) for n in SCORING])
-    d = d.withColumns({
-        "narrative_numeric_divergence": S.clip01(F.abs(fp - fd)),
-        "layer_scores": F.struct(*[c.alias(k) for k, c in layers.items()]), "elevated_layers": elevated,
-        "layers_elevated": count, "convergence_tier": tier, "convergence_boost": boost,
-        "layer_ratio": ratio, "available_signal_count": S.sum_cols([S.defined(c) for c in scoring.values()]),
-        "available_signal_names": A.defined_names(scoring), "missing_signal_names": A.missing_names(scoring),
-        "missing_critical_layers": A.missing_layers(v), "__weight": weight, "__total": total})
-    d = d.withColumn("coverage_ratio", S.clip01(F.col("available_signal_count") / float(len(SCORING))))
-    gate = (F.col("__weight") > 0) & (F.col("coverage_ratio") >= P.MIN_COVERAGE)
+    """Layer scores, convergence, coverage gate, fused score and confidence, in steps: every step's
+    columns are read by the next, so no expression is repeated in a later one."""
+    d = resolved.withColumns({n: F.col(f"in_{n}.value") for n in INPUTS})
+    layer = {k: names[0] if len(names) == 1 else f"greatest({', '.join(names)})" for k, names in P.CONVERGENCE_LAYERS.items()}
+    weight = {n: f"{P.COMPOSITE_WEIGHTS[n]}D" for n in SCORING}
+    there = {n: f"{n} IS NOT NULL" for n in SCORING}
+    text, numeric = P.CRITICAL_LAYERS["text"], P.CRITICAL_LAYERS["numeric"]
+    gap = lambda n: f"coalesce(datediff(filed_at, in_{n}.source_filed_at), 0)"
+    source = lambda names: f"coalesce(greatest({', '.join(f'in_{n}.source_filing_id' for n in names)}), filing_id)"
+    conf = [f"CASE WHEN {n} IS NOT NULL THEN in_{n}.confidence END" for n in SCORING]
+    step1 = {
+        "narrative_numeric_divergence": _clip01(
+            f"abs(({_clip01('forward_pessimism')}) - ({_clip01('fundamental_deterioration')}))"),
+        "layer_scores": "struct(" + ", ".join(f"{v} AS {k}" for k, v in layer.items()) + ")",
+        "available_signal_count": _count(there.values()),
+        "available_signal_names": _names(there),
+        "missing_signal_names": _names({n: f"{n} IS NULL" for n in SCORING}),
+        "missing_critical_layers": _names({k: f"{_coalesce(v)} IS NULL" for k, v in P.CRITICAL_LAYERS.items()}),
+        "__weight": " + ".join(f"CASE WHEN {n} IS NOT NULL THEN {w} ELSE 0D END" for n, w in weight.items()),
+        "__total": " + ".join(f"coalesce({n} * {w}, 0D)" for n, w in weight.items()),
+        "__confs": f"filter(array({', '.join(conf)}), x -> x IS NOT NULL)",
+        "text_source_filing": source(text), "xbrl_source_filing": source(numeric),
+        "text_staleness_days": f"greatest({', '.join(gap(n) for n in text)})",
+        "carried_forward": _names({n: f"in_{n}.filings_back > 0" for n in INPUTS}),
+    }
+    up = {k: f"layer_scores.{k} >= {t}D" for k, t in P.CONVERGENCE_THRESHOLDS.items()}
+    step2 = {
+        "elevated_layers": _names(up), "layers_elevated": _count(up.values()),
+        "layer_ratio": _count(f"layer_scores.{k} IS NOT NULL" for k in layer) + f" / {len(layer)}D",
+        "coverage_ratio": f"available_signal_count / {len(SCORING)}D",
+    }
+    tier = lambda i: " ".join(f"WHEN {n} THEN {t[i]!r}" for n, t in P.CONVERGENCE_TIERS.items())
+    step3 = {
+        "convergence_tier": f"CASE layers_elevated {tier(0)} ELSE 'none' END",
+        "convergence_boost": f"cast(CASE layers_elevated {tier(1)} ELSE 0 END AS double)",
+        "__gate": f"__weight > 0 AND coverage_ratio >= {P.MIN_COVERAGE}D",
+    }
     # every scoring input present: the plain weighted sum, no division by a rounded total
-    full = F.col("available_signal_count") == len(SCORING)
-    raw = F.when(full, F.col("__total")).otherwise(F.try_divide(F.col("__total"), F.col("__weight")) * TOTAL_WEIGHT)
-    d = d.withColumn("raw_score", F.when(gate, raw))
+    step4 = {"raw_score": f"CASE WHEN NOT __gate THEN NULL WHEN available_signal_count = {len(SCORING)} THEN __total "
+                          f"ELSE __total / __weight * {TOTAL_WEIGHT}D END",
+             "confidence": "CASE WHEN __gate AND size(__confs) > 0 THEN aggregate(__confs, 0D, (a, x) -> a + x) / size(__confs) END",
+             "availability_reason": "CASE WHEN __weight = 0 THEN 'missing_all_component_inputs' "
+                                    "WHEN NOT __gate THEN 'insufficient_signal_coverage' END"}
+    for step in (step1, step2, step3, step4):
+        d = d.withColumns({k: F.expr(v) for k, v in step.items()})
     d = d.withColumn("raw_total", F.col("raw_score") + F.col("convergence_boost"))
-    d = d.withColumn("nci_global", S.fixed_range(F.col("raw_total")))
     label = S.downgrade_label(S.coverage_label(F.col("coverage_ratio")), F.size("missing_critical_layers") > 0)
-    confs = [F.when(v[n].isNotNull(), F.col(f"in_{n}.confidence")) for n in SCORING]
-    src = lambda names: F.coalesce(F.greatest(*[F.col(f"in_{n}.source_filing_id") for n in names]), F.col("filing_id"))
-    stale = F.greatest(*[F.coalesce(F.datediff("filed_at", F.col(f"in_{n}.source_filed_at")), F.lit(0))
-                         for n in P.CRITICAL_LAYERS["text"]])
-    carried = F.filter(F.array(*[F.when(F.col(f"in_{n}.filings_back") > 0, F.lit(n)) for n in INPUTS]),
-                       lambda x: x.isNotNull())
-    d = d.withColumns({
-        "confidence_label": F.when(gate, label).otherwise("low"), "confidence": F.when(gate, S.mean_of_defined(confs)),
-        "text_source_filing": src(P.CRITICAL_LAYERS["text"]), "xbrl_source_filing": src(P.CRITICAL_LAYERS["numeric"]),
-        "text_staleness_days": stale, "carried_forward": carried,
-        "availability_reason": F.when(F.col("__weight") == 0, "missing_all_component_inputs")
-        .when(~gate, "insufficient_signal_coverage")})
-    return d.drop("__weight", "__total")
-
-
-def composite_wide(filings, signals, confidence=None, forms=None, hot_rows=O.HOT_ROWS) -> DataFrame:
+    return d.withColumns({"nci_global": S.fixed_range(F.col("raw_total")),
+                          "confidence_label": F.when(F.col("__gate"), label).otherwise("low")}).drop(
+        "__weight", "__total", "__confs", "__gate")
+
+
+def composite_wide(filings, signals, confidence=None, forms=None, hot_rows=O.AUTO) -> DataFrame:
     """All fused columns, one row per filing. `forms` limits which filings are scored; the history
     they draw on always covers all anchor forms."""
     d = resolved_inputs(filings, signals, confidence, hot_rows)

@@ -11,7 +11,7 @@ def form_class(form):
             .otherwise(F.concat(F.lit("form:"), form)))
 
 
-def with_history(filings: DataFrame, payload, limit=P.HISTORY_LIMIT, hot_rows=O.HOT_ROWS) -> DataFrame:
+def with_history(filings: DataFrame, payload, limit=P.HISTORY_LIMIT, hot_rows=O.AUTO) -> DataFrame:
     """Adds `history`: the comparable filings up to and including the row itself, oldest first.
 
     Annual and other forms: the last `limit` of the class. Quarterly: of the last
@@ -23,14 +23,14 @@ def with_history(filings: DataFrame, payload, limit=P.HISTORY_LIMIT, hot_rows=O.
          .withColumn("__quarter", D.fiscal_quarter(F.col("fiscal_quarter"), F.col("period_of_report"))))
     entry = F.struct("filing_id", F.col("__quarter").alias("quarter"), *payload)
     d = O.trailing(d, ["company_id", "__class"], O.Order.by_day("filed_at", "filing_id"), span - 1,
-                   lambda w: {"__all": F.collect_list(entry).over(w)}, hot_rows)
+                   lambda w: {"__all": F.collect_list(entry).over(w.rowsBetween(1 - span, 0))}, hot_rows)
     last = lambda a: F.slice(a, F.greatest(F.size(a) - limit + 1, F.lit(1)), F.lit(limit))
     same = F.filter("__all", lambda h: h["quarter"] == F.col("__quarter"))
     hist = F.when((F.col("__class") == "quarterly") & (F.size(same) >= 2), last(same)).otherwise(last(F.col("__all")))
     return d.withColumn("history", hist).drop("__all")
 
 
-def comparison_filings(filings: DataFrame, section, hot_rows=O.HOT_ROWS) -> DataFrame:
+def comparison_filings(filings: DataFrame, section, hot_rows=O.AUTO) -> DataFrame:
     """Previous filing each section is compared with: strictly earlier day, highest id of that day.
     Quarterly risk text looks at the latest annual filing, quarterly discussion at the previous
     quarterly one; annual and other forms at the previous annual filing."""

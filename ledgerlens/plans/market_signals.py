@@ -35,7 +35,7 @@ def momentum(daily: DataFrame) -> DataFrame:
             .drop(*[f"__p{n}" for n, _, _ in P.MOMENTUM_WINDOWS]))
 
 
-def daily_returns(prices: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
+def daily_returns(prices: DataFrame, hot_rows=O.AUTO) -> DataFrame:
     """Row-to-row returns in (date, id) order; rows after a non-positive price have none."""
     order = O.Order.by_day("trading_date", "price_id")
     d = O.lagged(prices.where(F.col("price").isNotNull()), ["company_id"], order, {"__prev": ("price", 1)}, hot_rows)
@@ -43,31 +43,32 @@ def daily_returns(prices: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
             .withColumn("ret", (F.col("price") - F.col("__prev")) / F.col("__prev")).drop("__prev"))
 
 
-def volatility(returns: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
+def volatility(returns: DataFrame, hot_rows=O.AUTO) -> DataFrame:
     """Per return row the annualised deviation of the last 30 and the last 180 returns."""
     order = O.Order.by_day("trading_date", "price_id")
-    s = O.with_halo(returns, ["company_id"], order, P.VOL_BASE - 1, hot_rows)
-    w = O.window(["company_id"])
-    recent, base = w.rowsBetween(1 - P.VOL_RECENT, 0), w.rowsBetween(1 - P.VOL_BASE, 0)
     year = F.sqrt(F.lit(252.0))
-    s = s.withColumns({"__n": F.count("ret").over(recent), "__v30": F.stddev_pop("ret").over(recent) * year,
-                       "__v180": F.stddev_pop("ret").over(base) * year})
+
+    def frames(w):
+        recent, base = w.rowsBetween(1 - P.VOL_RECENT, 0), w.rowsBetween(1 - P.VOL_BASE, 0)
+        return {"__n": F.count("ret").over(recent), "__v30": F.stddev_pop("ret").over(recent) * year,
+                "__v180": F.stddev_pop("ret").over(base) * year}
+    s = O.trailing(returns, ["company_id"], order, P.VOL_BASE - 1, frames, hot_rows)
     enough = F.col("__n") >= P.VOL_RECENT
-    out = O.done(s).withColumns({"rolling_vol_30d": F.when(enough, F.col("__v30")),
+    out = s.withColumns({"rolling_vol_30d": F.when(enough, F.col("__v30")),
                                  "rolling_vol_180d": F.when(enough, F.col("__v180"))})
     ratio = F.try_divide(F.col("rolling_vol_30d"), F.col("rolling_vol_180d"))
     return out.withColumn("volatility_spike", S.clip01((ratio - 1.0) / 1.5)).drop("__n", "__v30", "__v180")
 
 
-def price_counts(prices, hot_rows=O.HOT_ROWS):
+def price_counts(prices, hot_rows=O.AUTO):
     """Price rows up to each row, counted to 252 at most (all that confidence needs)."""
     order = O.Order.by_day("trading_date", "price_id")
     return O.trailing(prices.where(F.col("price").isNotNull()), ["company_id"], order, 251,
-                      lambda w: {"price_count": F.count("price").over(w)}, hot_rows)
+                      lambda w: {"price_count": F.count("price").over(w.rowsBetween(-251, 0))}, hot_rows)
 
 
 def valuation(anchors: DataFrame, companies: DataFrame, filings_with_income: DataFrame, prices: DataFrame,
-              hot_rows=O.HOT_ROWS) -> DataFrame:
+              hot_rows=O.AUTO) -> DataFrame:
     """Sector-relative price to earnings for each (company, filed_at) of `anchors`.
 
     Every company of a sector is valued once per anchor day of that sector (day x company
@@ -99,8 +100,10 @@ def valuation(anchors: DataFrame, companies: DataFrame, filings_with_income: Dat
 
 
 def market_features(filings: DataFrame, prices: DataFrame, companies=None, filings_with_income=None,
-                    hot_rows=O.HOT_ROWS) -> DataFrame:
+                    hot_rows=O.AUTO) -> DataFrame:
     """prices: company_id, trading_date, price_id, price."""
+    if hot_rows == O.AUTO:  # one check of the base tables for the whole chain
+        hot_rows = O.hot_limit(prices, ["company_id"]) or O.hot_limit(filings, ["company_id"])
     anchors = filings.select("company_id", "filed_at").distinct()
     names = [n for _, _, n in P.MOMENTUM_WINDOWS]
     mom = momentum(daily_prices(prices))
@@ -131,7 +134,8 @@ def market_signals(features: DataFrame, computed_at) -> DataFrame:
         "market_fundamental_divergence": {n: F.col(n) for n in ("current_pe", "sector_median_pe", "peer_count")
                                           if n in features.columns} or {"current_pe": F.lit(None).cast("double")},
         "market_signal": layers}
-    values = {**layers, "market_signal": S.weighted_average(layers, P.MARKET_WEIGHTS)}
+    features = features.withColumn("market_signal", S.weighted_average(layers, P.MARKET_WEIGHTS))
+    values = {**layers, "market_signal": F.col("market_signal")}
     reason = F.when(F.col("price").isNull(), "missing_market_prices").otherwise("insufficient_market_history")
     specs = {}
     for name, value in values.items():

@@ -18,7 +18,7 @@ def canonical_facts(filings, facts):
     return filings.join(A.best_facts(filings, facts), "filing_id", "left")
 
 
-def numeric_features(raw: DataFrame, growth_basis="reference", hot_rows=O.HOT_ROWS) -> DataFrame:
+def numeric_features(raw: DataFrame, growth_basis="reference", hot_rows=O.AUTO) -> DataFrame:
     """raw: filings with the canonical fact columns -> one row per filing with current, prior and
     two-back metrics and anomaly z-scores, all taken inside the filing's own history.
 
@@ -106,17 +106,25 @@ def signal_values(parts=None):
     }
 
 
-def numeric_signals(features: DataFrame, computed_at) -> DataFrame:
+def scored(features: DataFrame):
+    """Components and values as columns of their own (c_*, s_*), computed once per row."""
     parts = score_components()
+    cols = {f"c_{sig}_{k}": c for sig, comps in parts.items() for k, c in comps.items()}
+    d = features.withColumns(cols)
+    parts = {sig: {k: F.col(f"c_{sig}_{k}") for k in comps} for sig, comps in parts.items()}
+    d = d.withColumns({f"s_{n}": F.when(~F.col("no_facts"), v) for n, v in signal_values(parts).items()})
+    return d, parts
+
+
+def numeric_signals(features: DataFrame, computed_at) -> DataFrame:
+    d, parts = scored(features)
     specs = {}
-    for name, value in signal_values(parts).items():
-        comps = parts[name]
+    for name, comps in parts.items():
         cover = S.defined_ratio(comps.values())
-        value = F.when(~F.col("no_facts"), value)
-        specs[name] = (value, {
+        specs[name] = (F.col(f"s_{name}"), {
             "coverage_ratio": cover, "confidence": S.numeric_confidence(F.col("history_depth"), cover),
             "history_depth": F.col("history_depth"), "comparison_filing_id": F.col("comparison_filing_id"),
             "component_scores": F.struct(*[v.alias(k) for k, v in comps.items()]),
             "signal_category": F.lit("numbers"), "signal_role": F.lit("base")},
             F.when(F.col("no_facts"), "no_xbrl_facts").otherwise("insufficient_numeric_history"))
-    return signal_rows(features, specs, VERSION, computed_at)
+    return signal_rows(d, specs, VERSION, computed_at)

@@ -44,11 +44,10 @@ def with_catalogue(signals: DataFrame) -> DataFrame:
     return signals.join(F.broadcast(catalogue(signals.sparkSession)), "signal_name", "left")
 
 
-def pivot_signals(signals: DataFrame, names, value="signal_value", extra=()) -> DataFrame:
+def pivot_signals(signals: DataFrame, names, value="signal_value", extra={}) -> DataFrame:
     """Long to wide in one map-side-combined aggregation; the name list is fixed, so no extra pass
     discovers it. extra: {suffix: Column} pivoted along with the value."""
-    pick = lambda n, c: F.max(F.when(F.col("signal_name") == n, c))
-    cols = [pick(n, F.col(value)).alias(n) for n in names]
-    for suffix, c in dict(extra).items():
-        cols += [pick(n, c).alias(f"{n}{suffix}") for n in names]
-    return signals.where(F.col("signal_name").isin(*names)).groupBy("company_id", "filing_id").agg(*cols)
+    d = signals.where(F.col("signal_name").isin(*names)).withColumns({f"__x{i}": c for i, c in enumerate(extra.values())})
+    cols = [F.expr(f"max(CASE WHEN signal_name = '{n}' THEN {c} END) AS {n}{suffix}")
+            for suffix, c in [("", value), *[(s, f"__x{i}") for i, s in enumerate(extra)]] for n in names]
+    return d.groupBy("company_id", "filing_id").agg(*cols)

@@ -61,8 +61,8 @@ def sentiment_values():
 
 
 def sentiment_signals(filings: DataFrame, news: DataFrame, computed_at, score=None) -> DataFrame:
-    d = news_features(filings, news, score)
-    v = sentiment_values()
+    d = news_features(filings, news, score).withColumns({f"s_{k}": c for k, c in sentiment_values().items()})
+    v = {k: F.col(f"s_{k}") for k in (*P.SENTIMENT_WEIGHTS, "sentiment_signal")}
     parts = {
         "news_sentiment_signal": {k: F.col(k) for k in ("tone_30d", "tone_90d", "scored_30d", "scored_90d")},
         "news_volume_spike": {k: F.col(k) for k in ("articles_7d", "articles_90d")},

@@ -13,15 +13,16 @@ DRIFT_SECTIONS = {"rlds": "risk_factors", "mda_drift": "mda"}
 
 
 # ---------------------------------------------------------------- drift
-def tfidf_drift(pairs: DataFrame, texts: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
+def tfidf_drift(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs: filing_id, previous_filing_id; texts: filing_id, text (one document per filing).
-    Mean drift of the most changed units; whole-text drift when either side has no units."""
+    Mean drift of the most changed units; whole-text drift when either side has no units. The units
+    of a filing come out of one text value, which bounds the rank window (`hot_rows=None`)."""
     units = (X.with_drift_units(texts).select("filing_id", F.posexplode("units").alias("unit_idx", "unit"))
              .select("filing_id", "unit_idx", T.tokens(F.col("unit")).alias("tokens")))
     keys = ["filing_id", "previous_filing_id"]
     best = M.best_tfidf(pairs, units, ["filing_id"], ["previous_filing_id"], ["filing_id"])
     top = M.top_k_mean(best.withColumn("drift", S.clip01(1.0 - F.col("best"))), keys, "drift", "unit_idx",
-                       hot_rows=hot_rows)
+                       hot_rows=None)
     whole = M.tfidf_similarity(pairs, A.term_counts(texts, ["filing_id"], "text"), "filing_id", "previous_filing_id",
                                "filing_id")
     have = texts.where(F.trim("text") != "").select("filing_id")
@@ -36,9 +37,11 @@ def tfidf_drift(pairs: DataFrame, texts: DataFrame, hot_rows=O.HOT_ROWS) -> Data
                     .alias("tfidf_aggregation"), F.col("top_units").alias("top_changed_units"))
 
 
-def semantic_novelty(pairs: DataFrame, vectors: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
+def semantic_novelty(pairs: DataFrame, vectors: DataFrame, hot_rows=O.AUTO) -> DataFrame:
     """vectors: filing_id, chunk_idx, embedding. Distance (1 - best cosine) / 2 per current chunk."""
     keys = ["filing_id", "previous_filing_id"]
+    if hot_rows == O.AUTO:
+        hot_rows = O.hot_limit(vectors, ["filing_id"])
     best = M.best_cosine(pairs, vectors, ["filing_id"], ["previous_filing_id"], ["filing_id"])
     d = best.withColumn("novelty", S.clip01((1.0 - F.col("best")) / 2.0))
     top = M.top_k_mean(d, keys, "novelty", "chunk_idx", hot_rows=hot_rows)
@@ -55,7 +58,7 @@ def section_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         "drift_score", S.clip01((1.0 - F.col("average_best_similarity")) / 2.0))
 
 
-def history_relative(df: DataFrame, keys, raw="raw_score", hot_rows=O.HOT_ROWS) -> DataFrame:
+def history_relative(df: DataFrame, keys, raw="raw_score", hot_rows=O.AUTO) -> DataFrame:
     """z of the raw score against all earlier raw scores of the key, as a score in [0, 1]; NULL with
     fewer than three earlier scores or nearly no spread."""
     r = F.col(raw)
@@ -75,9 +78,12 @@ def history_relative(df: DataFrame, keys, raw="raw_score", hot_rows=O.HOT_ROWS)
 
 
 def drift_features(filings: DataFrame, sections: DataFrame, embeddings: DataFrame, section: str,
-                   hot_rows=O.HOT_ROWS) -> DataFrame:
+                   hot_rows=O.AUTO) -> DataFrame:
     """sections: filing_id, section, sequence_idx, text. embeddings: filing_id, section,
     sequence_idx, chunk_idx, embedding (already of one provider and model)."""
+    vectors_hot = hot_rows
+    if hot_rows == O.AUTO:
+        hot_rows = O.hot_limit(filings, ["company_id"])
     comp = comparison_filings(filings, section, hot_rows)
     pairs = comp.where(F.col("previous_filing_id").isNotNull()).select("filing_id", "previous_filing_id")
     texts = A.ordered_concat(sections.where(F.col("section") == section), ["filing_id"], "text", ["sequence_idx"])
@@ -86,15 +92,15 @@ def drift_features(filings: DataFrame, sections: DataFrame, embeddings: DataFram
                    "embedding"))
     n = vec.groupBy("filing_id").agg(F.count(F.lit(1)).alias("current_chunk_count"))
     keys = ["filing_id", "previous_filing_id"]
-    d = (comp.join(tfidf_drift(pairs, texts, hot_rows), keys, "left")
-         .join(semantic_novelty(pairs, vec, hot_rows), keys, "left").join(n, "filing_id", "left")
+    d = (comp.join(tfidf_drift(pairs, texts), keys, "left")
+         .join(semantic_novelty(pairs, vec, vectors_hot), keys, "left").join(n, "filing_id", "left")
          .join(n.select(F.col("filing_id").alias("previous_filing_id"),
                         F.col("current_chunk_count").alias("previous_chunk_count")), "previous_filing_id", "left")
          .na.fill(0, ["current_chunk_count", "previous_chunk_count"]))
     return score_drift(d.withColumn("section", F.lit(section)), hot_rows)
 
 
-def score_drift(d: DataFrame, hot_rows=O.HOT_ROWS) -> DataFrame:
+def score_drift(d: DataFrame, hot_rows=O.AUTO) -> DataFrame:
     parts = {"tfidf_drift": F.col("tfidf_drift"), "semantic_novelty": F.col("semantic_novelty")}
     d = d.withColumn("raw_score", S.weighted_average(parts, P.TEXT_WEIGHTS))
     d = history_relative(d, ["company_id"], hot_rows=hot_rows)
@@ -182,7 +188,7 @@ def tone_signals(filings: DataFrame, features: DataFrame, computed_at) -> DataFr
             "signal_role": F.lit("base")}, reason)}, VERSION, computed_at)
 
 
-def text_signals(filings, sections, embeddings, tone_scores, computed_at, hot_rows=O.HOT_ROWS) -> DataFrame:
+def text_signals(filings, sections, embeddings, tone_scores, computed_at, hot_rows=O.AUTO) -> DataFrame:
     drift = [drift_signals(drift_features(filings, sections, embeddings, sec, hot_rows), name, computed_at)
              for name, sec in DRIFT_SECTIONS.items()]
     return union_all([*drift, tone_signals(filings, tone_features(tone_scores), computed_at)])

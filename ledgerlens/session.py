@@ -9,12 +9,15 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # call-site capture costs several driver round trips per Column; plans here have thousands
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
     return spark
 
 
@@ -38,3 +41,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def cut(df):
+    """Same rows, lineage cut by a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint(eager=True)
