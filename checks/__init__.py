@@ -1,4 +1,4 @@
 """Queries over the driver's tables, each with the SQL it must equal."""
-from checks import scores, timeline
+from checks import records, scores, texts, timeline
 
-MODULES = (timeline, scores)
+MODULES = (timeline, scores, records, texts)

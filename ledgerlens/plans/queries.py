@@ -134,7 +134,7 @@ def containing(identifiers: DataFrame, names: DataFrame, size=3) -> DataFrame:
     pick = (identifiers.select("given", "ident", F.explode(F.array_distinct(grams)).alias("gram"))
             .join(freq, "gram", "left").groupBy("given", "ident")
             .agg(F.min_by("gram", F.struct(F.coalesce("freq", F.lit(0)), "gram")).alias("gram")))
-    return pick.join(idx, "gram").where(F.col("name").ilike(F.concat(F.lit("%"), F.col("ident"), F.lit("%")))).drop("gram")
+    return pick.join(idx, "gram").where(F.expr("name ILIKE concat('%', ident, '%')")).drop("gram")
 
 
 def resolve(identifiers: DataFrame, companies_df: DataFrame, max_candidates=2) -> DataFrame:

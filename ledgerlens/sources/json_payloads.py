@@ -1,5 +1,9 @@
 """JSON payloads landed as text -> rows. Every reader takes a DataFrame with the payload in a
-string column, so one file or a million take the same plan."""
+string column, so one file or a million take the same plan.
+
+The *_outer explodes are deliberate: a plain explode infers a not-empty filter, which is pushed
+to the scan and would parse every payload a second time. The rows they add hold NULLs and fall
+to the completeness filters."""
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens import policies as P
@@ -16,7 +20,7 @@ def read_payloads(spark, path) -> DataFrame:
 def ticker_map(df: DataFrame, payload="payload") -> DataFrame:
     """Object of {cik_str, ticker} objects -> ticker, cik; the last entry of a ticker wins."""
     m = F.from_json(payload, "map<string,struct<cik_str:string,ticker:string>>")
-    rows = (df.select(F.posexplode(F.map_values(m)).alias("pos", "e"))
+    rows = (df.select(F.posexplode_outer(F.map_values(m)).alias("pos", "e"))
             .select("pos", F.upper(F.trim("e.ticker")).alias("ticker"), T.pad10(F.trim("e.cik_str")).alias("cik"))
             .where((F.col("ticker") != "") & (F.col("cik") != "0000000000") & F.col("cik").isNotNull()))
     return top_per_key(rows, ["ticker"], [F.col("pos").desc()]).select("ticker", "cik")
@@ -61,8 +65,9 @@ def filing_index(df: DataFrame, payload="payload", cik="cik", forms=None, limit=
     ok = F.filter(rows, lambda r: (F.coalesce(r["accession_number"], F.lit("")) != "") & r["filed_at"].isNotNull()
                   & r["form_type"].isin(*wanted))
     return (d.where(n > 0).select("cik", F.upper(F.trim("tk")).alias("ticker"),
-                                  F.posexplode(F.slice(ok, 1, limit)).alias("position", "r"))
+                                  F.posexplode_outer(F.slice(ok, 1, limit)).alias("position", "r"))
             .select("cik", "ticker", "position", "r.*")
+            .where(F.col("accession_number").isNotNull())
             .withColumn("document_url", T.document_url(F.col("cik"), F.col("accession_number"),
                                                        F.col("primary_document"))))
 
@@ -85,14 +90,14 @@ def company_facts(df: DataFrame, filings: DataFrame, payload="payload", company=
                   taxonomies=P.DEFAULT_TAXONOMIES, forms=P.ANCHOR_FORMS, concepts=None) -> DataFrame:
     """Taxonomy -> concept -> unit -> entries flattened to facts, attached to filings, best per key."""
     f = F.from_json(payload, _FACTS)
-    d = (df.select(F.col(company).alias("company_id"), F.posexplode(f["facts"]).alias("p1", "taxonomy", "cs"))
+    d = (df.select(F.col(company).alias("company_id"), F.posexplode_outer(f["facts"]).alias("p1", "taxonomy", "cs"))
          .where(F.col("taxonomy").isin(*taxonomies))
-         .select("company_id", "taxonomy", "p1", F.posexplode("cs").alias("p2", "concept", "c")))
+         .select("company_id", "taxonomy", "p1", F.posexplode_outer("cs").alias("p2", "concept", "c")))
     if concepts is not None:
         d = d.where(F.col("concept").isin(*concepts))
     d = (d.select("company_id", "taxonomy", "concept", "p1", "p2", T.blank_to_null(F.trim("c.label")).alias("label"),
-                  F.posexplode("c.units").alias("p3", "unit", "es"))
-         .select("*", F.posexplode("es").alias("p4", "e")))
+                  F.posexplode_outer("c.units").alias("p3", "unit", "es"))
+         .select("*", F.posexplode_outer("es").alias("p4", "e")))
     text = lambda c: T.blank_to_null(F.trim(F.col(f"e.{c}")))
     v = F.col("e.val").try_cast("double")
     d = d.select("company_id", "taxonomy", "concept", "label",
@@ -135,7 +140,7 @@ def price_chart(df: DataFrame, payload="payload", symbol="ticker", provider="pro
         d = d.where(F.col("err").isNull())
     d = d.where(F.col("r").isNotNull() & ~empty)
     d = d.select("ticker", "provider", q.alias("q"), adj.alias("adj"),
-                 F.posexplode("r.timestamp").alias("i", "epoch")).where(F.col("epoch").isNotNull())
+                 F.posexplode_outer("r.timestamp").alias("i", "epoch")).where(F.col("epoch").isNotNull())
     at = lambda c: F.get(F.col(c), F.col("i"))
     rows = d.select("ticker", D.epoch_date(F.col("epoch")).alias("trading_date"), at("q.open").alias("open"),
                     at("q.high").alias("high"), at("q.low").alias("low"), at("q.close").alias("close"),
@@ -154,7 +159,7 @@ def macro_series(meta: DataFrame, observations: DataFrame, payload="payload", se
         "__s", F.coalesce("m.id", "__s").alias("series_id"), text(F.col("m.frequency")).alias("frequency"),
         text(F.col("m.units")).alias("units"), text(F.col("m.title")).alias("title"))
     o = F.from_json(payload, "observations array<struct<date:string,value:string>>")["observations"]
-    obs = observations.select(F.col(series).alias("__s"), F.col(provider).alias("provider"), F.explode(o).alias("o")).select(
+    obs = observations.select(F.col(series).alias("__s"), F.col(provider).alias("provider"), F.explode_outer(o).alias("o")).select(
         "__s", "provider", D.iso_date(F.col("o.date")).alias("observation_date"),
         T.plain_number(F.when(F.trim("o.value") != ".", F.col("o.value"))).alias("value"))
     return (obs.where(F.col("observation_date").isNotNull() & F.col("value").isNotNull()).join(head, "__s")
@@ -176,7 +181,7 @@ def ranked_xml_documents(df: DataFrame, payload="payload", primary="primary_docu
     none = F.expr("cast(array() as array<string>)")
     order = F.concat(F.coalesce(first, none), F.array_distinct(F.filter(xml, liked)),
                      F.array_distinct(F.filter(xml, lambda n: ~liked(n))), F.coalesce(last, none))
-    return d.select(key, F.posexplode(order).alias("rank", "document"))
+    return d.select(key, F.posexplode_outer(order).alias("rank", "document")).where(F.col("document").isNotNull())
 
 
 def pick_ownership_document(ranked: DataFrame, texts: DataFrame, key="accession_number") -> DataFrame:

@@ -5,6 +5,9 @@ from ledgerlens import policies as P
 from ledgerlens.functions import dates as D, strings as T
 from ledgerlens.operators.dedupe import keep_best_fact
 
+# The *_outer explodes below are deliberate: a plain explode infers a not-empty filter, which is
+# pushed to the scan and would parse every document a second time.
+
 # ---------------------------------------------------------------- insider reports
 _V = "struct<value:string>"
 _VF = "struct<value:string,footnoteId:array<struct<_id:string>>>"
@@ -53,12 +56,14 @@ def insider_transactions(df: DataFrame, xml="xml") -> DataFrame:
                  F.coalesce(_t(F.col("x.issuer.issuerTradingSymbol")), "ticker").alias("ticker"),
                  F.coalesce(_t(F.col("x.issuer.issuerName")), "issuer_name").alias("issuer_name"),
                  F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(unknown).alias("owners"),
-                 F.col("x.nonDerivativeTable.nonDerivativeTransaction").alias("plain"),
-                 F.col("x.derivativeTable.derivativeTransaction").alias("deriv"))
-    keep = [c for c in d.columns if c not in ("plain", "deriv", "owners")]
-    tables = [d.select(*keep, "owners", F.lit(flag).alias("is_derivative"), F.posexplode(col).alias("tx_idx", "t"))
-              for flag, col in ((False, "plain"), (True, "deriv"))]
-    t = tables[0].unionByName(tables[1])
+                 # both tables in one array, so that a document is parsed once
+                 F.concat(*[F.coalesce(F.transform(F.col(f"x.{tag}Table.{tag}Transaction"), lambda t: F.struct(
+                     F.lit(flag).alias("is_derivative"), t.alias("t"))), F.expr(f"cast(array() as array<struct<"
+                     f"is_derivative:boolean,t:{_TX[6:-1]}>>)")) for flag, tag in ((False, "nonDerivative"), (True, "derivative"))])
+                 .alias("rows"))
+    keep = [c for c in d.columns if c not in ("rows", "owners")]
+    t = d.select(*keep, "owners", F.posexplode_outer("rows").alias("tx_idx", "r")).select(
+        *keep, "owners", "tx_idx", "r.is_derivative", "r.t")
     amounts = "t.transactionAmounts"
     notes = [f"{amounts}.transactionShares.footnoteId", f"{amounts}.transactionPricePerShare.footnoteId",
              "t.postTransactionAmounts.sharesOwnedFollowingTransaction.footnoteId"]
@@ -79,7 +84,7 @@ def insider_transactions(df: DataFrame, xml="xml") -> DataFrame:
         _t(F.col("t.deemedExecutionDate.value")).alias("__deemed"),
         F.concat(*[F.coalesce(F.transform(F.col(n), lambda x: x["_id"]), none) for n in notes]).alias("__notes"))
     t = t.where(F.col("transaction_date").isNotNull() & F.col("shares").isNotNull() & (F.col("transaction_code") != ""))
-    t = t.select("*", F.explode("owners").alias("o")).select(*[c for c in t.columns if c != "owners"], "o.*")
+    t = t.select("*", F.explode_outer("owners").alias("o")).select(*[c for c in t.columns if c != "owners"], "o.*")
     detail = F.to_json(F.struct(
         F.col("__title").alias("security_title"), F.col("__timeliness").alias("transaction_timeliness"),
         F.col("__swap").alias("equity_swap_involved"), F.col("__notes").alias("footnote_ids"),
