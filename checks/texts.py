@@ -163,6 +163,21 @@ def html_sections(spark, d):
     return X.section_rows(X.split_sections(p))
 
 
+# ---------------------------------------------------------------- SET-03 SET-04 SET-05
+@reg("set_ops", """SELECT lang, n_missing, missing, extra FROM (SELECT lang, 20 - count(DISTINCT source) AS n_missing,
+ array_to_string(list_sort(list_filter(list_transform(range(0,20), lambda i: 'src'||i), lambda s: NOT list_contains(list(DISTINCT source), s))),',') AS missing, count(DISTINCT source) FILTER (source NOT IN ('src1','src2')) AS extra
+ FROM documents GROUP BY lang)""")
+def set_ops(spark, d):
+    seen = t(spark, d, "documents").select("lang", "source").distinct()
+    wanted = seen.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select(
+        "lang", F.concat(F.lit("src"), F.col("i")).alias("source"))
+    missing = wanted.exceptAll(seen).groupBy("lang").agg(F.count(F.lit(1)).alias("m"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("missing"))
+    items = seen.where("source IN ('src1', 'src2')").select("source").distinct()  # found by item; the rest comes from the extra extractor
+    extra = seen.join(items, "source", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("extra"))
+    return (seen.select("lang").distinct().join(missing, "lang", "left").join(extra, "lang", "left")
+            .select("lang", F.coalesce("m", F.lit(0)).alias("n_missing"), F.coalesce("missing", F.lit("")).alias("missing"), F.coalesce("extra", F.lit(0)).alias("extra")))
+
+
 # ---------------------------------------------------------------- TXT-07..09 MTH-23 UDF-03
 @reg("chunks")
 def chunks(spark, d):
@@ -279,8 +294,8 @@ def drift_signal(spark, d):
     f = filing(spark, d)
     docs, vec = t(spark, d, "documents"), t(spark, d, "embeddings")
     s = docs.select(F.col("doc_id").alias("filing_id"), F.lit("risk_factors").alias("section"), F.lit(0).alias("sequence_idx"), "text")
-    e = vec.select((F.col("vec_id") % 100).alias("filing_id"), F.lit("risk_factors").alias("section"), F.lit(0).alias("sequence_idx"),
-                   F.floor(F.col("vec_id") / 100).alias("chunk_idx"), "embedding")
+    e = vec.select(F.floor(F.col("vec_id") / 5).alias("filing_id"), F.lit("risk_factors").alias("section"), F.lit(0).alias("sequence_idx"),
+                   (F.col("vec_id") % 5).alias("chunk_idx"), "embedding")
     g = TS.drift_features(f, s, e, "risk_factors")
     return g.select("filing_id", "previous_filing_id", r6(F.col("raw_score")).alias("raw_score"), r6(F.col("signal_value")).alias("signal_value"), "scoring_mode",
                     r6(F.col("confidence")).alias("confidence"))

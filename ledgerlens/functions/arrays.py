@@ -14,8 +14,8 @@ def norm(a):
 def cosine(a, b):
     """0 for a zero vector, clamped to [-1, 1]; different sizes are an error."""
     same = F.assert_true(F.size(a) == F.size(b), "vectors differ in dimension")
-    sim = F.try_divide(dot(a, b), norm(a) * norm(b))
-    value = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim)), F.lit(0.0))
+    sim = F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim))
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(same.cast("double"), value))
 
 

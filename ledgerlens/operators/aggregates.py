@@ -3,42 +3,81 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlens import policies as P
 from ledgerlens.functions import dates as D, scoring as S
+from ledgerlens.operators import ordered as O
+
+
+def _bracket(counts, keys, value, n, hot_rows):
+    """Rows of the middle of hot groups (all rows of the others) plus how many lie below them."""
+    hot = (counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"), F.sum(n).alias("__size"),
+                                     F.percentile_approx(value, [k / 256 for k in range(1, 256)], 100_000).alias("__q"))
+           .where(F.col("__d") > hot_rows))
+    # 256 slices of the distinct values; the slice holding a rank follows from the slice counts
+    j = counts.join(F.broadcast(hot.select(*keys, "__q", "__size")), list(keys), "left")
+    s = j.withColumn("__slice", F.when(F.col("__q").isNull(), 0).otherwise(
+        F.size(F.filter("__q", lambda x: x < F.col(value)))))
+    per = s.where(F.col("__q").isNotNull()).groupBy(*keys, "__slice").agg(F.sum(n).alias("__s"), F.max("__size").alias("__size"))
+    w = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("__end", F.sum("__s").over(w)).withColumn("__from", F.col("__end") - F.col("__s"))
+    base = F.floor(F.col("__size") / 2)
+    need = per.where((F.col("__end") >= base) & (F.col("__from") < base + 2))  # slices meeting the ranks b..b+2
+    first = need.groupBy(*keys).agg(F.min("__from").alias("__below"), F.min("__slice").alias("__lo"), F.max("__slice").alias("__hi"))
+    out = s.join(F.broadcast(first), list(keys), "left")
+    keep = F.col("__q").isNull() | F.col("__slice").between(F.col("__lo"), F.col("__hi"))
+    return out.where(keep).select(*keys, value, n, F.coalesce("__below", F.lit(0)).alias("__below"))
+
+
+def middle_values(counts: DataFrame, keys, value, n="__n", hot_rows=None) -> DataFrame:
+    """Values at the ranks b, b+1 and b+2 of each group, b = floor(size / 2), as m0, m1, m2 with the
+    group size in `size`. counts: one row per (keys, value) with its multiplicity `n`.
+
+    The rank is a running sum over distinct values in a spilling sort. Groups with more than
+    `hot_rows` distinct values are first cut into 256 slices by a sketch; slices away from
+    the middle are only counted (map-side combine), and just the middle ones are sorted. The
+    slice bounds need not be exact, the counts are. Broadcast: a row per hot group.
+    """
+    sizes = counts.groupBy(*keys).agg(F.sum(n).alias("size"))
+    d = counts.withColumn("__below", F.lit(0)) if hot_rows is None else _bracket(counts, keys, value, n, hot_rows)
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    r = d.withColumn("__to", F.sum(n).over(w) + F.col("__below")).join(sizes, list(keys))
+    base = F.floor(F.col("size") / 2)
+
+    def at(i):
+        hit = (F.col("__to") >= base + i) & (F.col("__to") - F.col(n) < base + i)
+        return F.max(F.when(hit, F.col(value))).alias(f"m{i}")
+    return r.groupBy(*keys).agg(F.max("size").alias("size"), at(0), at(1), at(2))
+
+
+def median_of(size, m0, m1):
+    return F.when(size % 2 == 1, m1).otherwise((m0 + m1) / 2.0)
 
 
-def exact_median(df: DataFrame, keys, value, name="median") -> DataFrame:
-    """Exact interpolating median. Equal values are counted before the shuffle and the
-    final state per group is one entry per distinct value, not one per row."""
-    return (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-            .groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5D, __n)").alias(name)))
+def exact_median(df: DataFrame, keys, value, name="median", hot_rows=O.AUTO) -> DataFrame:
+    """Exact interpolating median. Equal values are counted before the shuffle."""
+    hot = O.hot_limit(df, keys) if hot_rows == O.AUTO else hot_rows
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    m = middle_values(counts, keys, value, hot_rows=hot)
+    return m.select(*keys, median_of(F.col("size"), F.col("m0"), F.col("m1")).cast("double").alias(name))
 
 
-def median_excluding_self(df: DataFrame, group, member, value, out="peer_median", count="peer_count") -> DataFrame:
+def median_excluding_self(df: DataFrame, group, member, value, out="peer_median", count="peer_count",
+                          hot_rows=O.AUTO) -> DataFrame:
     """For every member the median of the other members' values in its group.
 
-    No member pairs: the median of n-1 values is read from at most three middle order
-    statistics of the n values, shifted past the member's own rank. Members without a
-    value see the median of all. One row per (group, member) is expected, so a group is
-    as large as its member list, which the company table bounds.
+    No member pairs: the median of the n-1 others is read from three middle order statistics
+    of all n values. Without its own value v the i-th smallest is the old i+1-th if v is at
+    most the old i-th, else the old i-th. Members without a value see the median of all.
     """
-    has = df.where(F.col(value).isNotNull())
-    ranked = has.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(value, member)))
-    sizes = has.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    pick = lambda off: F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + off, F.col(value)))
-    mids = (ranked.join(sizes, list(group)).groupBy(*group)
-            .agg(F.max("__n").alias("__n"), *[pick(i).alias(f"__m{i}") for i in (0, 1, 2)]))
-    own = ranked.select(*group, member, F.col("__r").alias("__own"))
-    j = df.join(mids, list(group), "left").join(own, [*group, member], "left")
-    m = F.coalesce(F.col("__n"), F.lit(0)) - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
-    base = F.floor(F.col("__n") / 2)
-
-    def others(i):  # i-th smallest among the others
-        pos = i + F.when(F.col("__own").isNotNull() & (F.col("__own") <= i), 1).otherwise(0)
-        return (F.when(pos == base, F.col("__m0")).when(pos == base + 1, F.col("__m1"))
-                .when(pos == base + 2, F.col("__m2")))
-    lo, hi = F.floor((m + 1) / 2), F.floor((m + 2) / 2)
-    med = F.when(m > 0, (others(lo) + others(hi)) / 2.0)
-    return (j.withColumn(out, med).withColumn(count, m.cast("int"))
-            .drop("__n", "__m0", "__m1", "__m2", "__own"))
+    hot = O.hot_limit(df, group) if hot_rows == O.AUTO else hot_rows
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+    j = df.join(middle_values(counts, group, value, hot_rows=hot), list(group), "left")
+    v, n = F.col(value), F.coalesce(F.col("size"), F.lit(0))
+    m0, m1, m2 = F.col("m0"), F.col("m1"), F.col("m2")
+    rest = n - F.when(v.isNotNull(), 1).otherwise(0)
+    # ranks of the middle of n-1: b and b (n even: n-1 odd) or b and b+1 (n odd)
+    at_b, at_b1 = F.when(v <= m0, m1).otherwise(m0), F.when(v <= m1, m2).otherwise(m1)
+    without = F.when(n % 2 == 0, at_b).otherwise((at_b + at_b1) / 2.0)
+    med = F.when(rest > 0, F.when(v.isNull(), median_of(n, m0, m1)).otherwise(without))
+    return j.withColumn(out, med.cast("double")).withColumn(count, rest.cast("int")).drop("size", "m0", "m1", "m2")
 
 
 def insider_summary(trades: DataFrame, keys=("company_id",)) -> DataFrame:

@@ -35,13 +35,16 @@ def compensation_links(trades: DataFrame) -> DataFrame:
 
 def historical_medians(needed: DataFrame, trades: DataFrame) -> DataFrame:
     """Median size of the insider's S and P trades before the window of each anchor day in
-    `needed` (company_id, filed_at, insider_key). Sizes are counted per day before the join."""
+    `needed` (company_id, filed_at, insider_key). Sizes are counted per day before the join, and
+    per size before the ranks."""
     sizes = (trades.where(F.col("transaction_code").isin("S", "P"))
              .groupBy("company_id", "insider_key", "transaction_date", "shares").agg(F.count(F.lit(1)).alias("n")))
-    return (needed.join(sizes, ["company_id", "insider_key"])
-            .where(F.col("transaction_date") < F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE))
-            .groupBy("company_id", "filed_at", "insider_key")
-            .agg(F.expr("percentile(shares, 0.5D, n)").alias("median_shares")))
+    keys = ["company_id", "filed_at", "insider_key"]
+    counts = (needed.join(sizes, ["company_id", "insider_key"])
+              .where(F.col("transaction_date") < F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE))
+              .groupBy(*keys, "shares").agg(F.sum("n").alias("__n")))
+    m = A.middle_values(counts, keys, "shares")
+    return m.select(*keys, A.median_of(F.col("size"), F.col("m0"), F.col("m1")).alias("median_shares"))
 
 
 def classified_trades(anchors: DataFrame, trades: DataFrame) -> DataFrame:

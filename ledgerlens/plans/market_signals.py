@@ -91,7 +91,9 @@ def valuation(anchors: DataFrame, companies: DataFrame, filings_with_income: Dat
     grid = O.asof(grid, last_row, ["company_id"], "filed_at", "trading_date", F.lit(0), ["price"], hot_rows=hot_rows)
     pe = S.price_earnings(F.col("asof.price"), F.col("fin.shares_outstanding"), F.col("fin.net_income"))
     grid = grid.select("sector", "filed_at", "company_id", pe.alias("pe"), "fin")
-    peers = A.median_excluding_self(grid, ["sector", "filed_at"], "company_id", "pe")
+    # a sector day holds one row per company of the sector, so the company table tells whether any is hot
+    peers = A.median_excluding_self(grid, ["sector", "filed_at"], "company_id", "pe",
+                                    hot_rows=O.hot_limit(sectors, ["sector"]))
     j = own.join(peers, ["sector", "filed_at", "company_id"])
     cur = S.price_earnings(F.col("price"), F.col("fin.shares_outstanding"), F.col("fin.net_income"))
     ratio = F.when((F.col("peer_count") >= P.MIN_PEERS) & (F.col("peer_median") > 0), cur / F.col("peer_median"))
