@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import Window, functions as F
 
-from checks.views import filing, r6, r8, sql, t, vectors
+from checks.views import documents, filing, pages, r6, r8, sql, t, vectors
 from ledgerlens import policies as P
 from ledgerlens.functions import arrays as AR, strings as T
 from ledgerlens.operators import aggregates as A, similarity as M, text as X
@@ -36,7 +36,7 @@ def text_concat(spark, d):
  len(string_split(text, chr(10))) AS lines FROM documents""")
 def narrative_order(spark, d):
     names = F.create_map(*[F.lit(x) for kv in {"en": "business", "fr": "risk_factors", "de": "forward_looking", "es": "mda"}.items() for x in kv])
-    return t(spark, d, "documents").select("doc_id", X.section_rank(names[F.col("lang")]).alias("section_rank"),
+    return documents(spark, d).select("doc_id", X.section_rank(names[F.col("lang")]).alias("section_rank"),
                                            F.size(F.split("text", "\n")).alias("lines"))
 
 
@@ -49,7 +49,7 @@ _NONPRINT = r"[\x00-\x1f\x7f-\x{a0}\x{ad}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{20
  regexp_matches(lower(text), '{'|'.join(WORDS)}') AS forward, length(trim(substr(text,1,9)))<8 AS garbage
  FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '{_NONPRINT}', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS c FROM documents)""")
 def string_scalars(spark, d):
-    x = t(spark, d, "documents")
+    x = documents(spark, d)
     clean = T.heading_text(F.col("text"))
     return x.select("doc_id", F.md5(clean).alias("clean"), T.preview(clean, 140).alias("preview"), T.is_forward_looking(F.col("text"), WORDS).alias("forward"),
                     T.is_garbage(F.substring("text", 1, 9), F.lit(None).cast("string")).alias("garbage"))
@@ -59,7 +59,7 @@ def string_scalars(spark, d):
 @reg("tokens", """SELECT token, count(*) AS doc_count, sum(n)::BIGINT AS total_count FROM (SELECT doc_id, lower(tok) AS token, count(*) AS n FROM
  (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9'']+')) AS tok FROM documents) GROUP BY 1,2) GROUP BY 1""")
 def tokens(spark, d):
-    return A.document_frequency(A.term_counts(t(spark, d, "documents"), ["doc_id"], "text"))
+    return A.document_frequency(A.term_counts(documents(spark, d), ["doc_id"], "text"))
 
 
 # ---------------------------------------------------------------- STR-06 TXT-10 TXT-11
@@ -69,7 +69,7 @@ _WS = r"trim(regexp_replace({0}, '\s+', ' ', 'g'), ' ')"
 @reg("sentences", f"""SELECT doc_id, len(list_filter(s, lambda x: length(trim(x))>=40)) AS long_sentences, list_sum(list_transform(s, lambda x: length(trim(x))))::BIGINT AS chars FROM
  (SELECT doc_id, string_split(regexp_replace({_WS.format('text')}, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)""")
 def sentences(spark, d):
-    x = t(spark, d, "documents")
+    x = documents(spark, d)
     parts = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), r"(?<=[.!?;:])\s+")
     return x.select("doc_id", F.size(F.filter(parts, lambda s: F.length(F.trim(s)) >= P.DRIFT_SENTENCE_MIN_CHARS)).alias("long_sentences"),
                     F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, s: a + F.length(F.trim(s))).alias("chars"))
@@ -77,13 +77,13 @@ def sentences(spark, d):
 
 @reg("paragraph_blocks", f"""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n+'), lambda b: {_WS.format('b')}), lambda b: length(b)>=50)) AS blocks FROM documents""")
 def paragraph_blocks(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(X.paragraph_blocks(F.col("text"))).alias("blocks"))
+    return documents(spark, d).select("doc_id", F.size(X.paragraph_blocks(F.col("text"))).alias("blocks"))
 
 
 # rows only: greedy packing has carried state; brute-force tests cover it
 @reg("drift_units")
 def drift_units(spark, d):
-    u = X.with_drift_units(t(spark, d, "documents").select("doc_id", "text"))
+    u = X.with_drift_units(documents(spark, d).select("doc_id", "text"))
     return u.select("doc_id", F.posexplode("units").alias("unit_idx", "unit"))
 
 
@@ -94,7 +94,7 @@ def drift_units(spark, d):
    AND split_part(lower(p),'=',1) NOT IN ('guccounter','guce_referrer','guce_referrer_sig','oc'))),'&') AS q FROM pages))""")
 def url_canonical(spark, d):
     from ledgerlens.sources.files import normalise_news
-    p = t(spark, d, "pages")
+    p = pages(spark, d)
     # the date carries the page number, so that rows can be matched after cleaning
     raw = p.select(F.lit("abc").alias("ticker"), F.concat(F.lit("Page number "), "page_id").alias("headline"), F.lit("<b>x</b> &amp; y").alias("summary"), "url",
                    F.lit(None).cast("string").alias("publisher"), F.lit("Mon, 05 Feb 2024 10:00:00 GMT").alias("published_at"))
@@ -112,19 +112,19 @@ _DROP = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<hea
     "html_unescape_min(x)", "replace(replace(replace(replace(replace(replace(replace(replace(x,'&copy;','©'),'&middot;','·'),'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&amp;','&')"))
 def html_blocks(spark, d):
     b = X.html_blocks(F.col("html"))
-    return t(spark, d, "pages").select("page_id", b.alias("b")).select("page_id", F.size("b").alias("blocks"), F.aggregate(
+    return pages(spark, d).select("page_id", b.alias("b")).select("page_id", F.size("b").alias("blocks"), F.aggregate(
         "b", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
 @reg("text_blocks", f"""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_WS.format("regexp_replace(x, '" + _NONPRINT + "', ' ', 'g')")}), lambda x: x<>'')) AS lines FROM documents""")
 def text_blocks(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(X.text_blocks(F.col("text"))).alias("lines"))
+    return documents(spark, d).select("doc_id", F.size(X.text_blocks(F.col("text"))).alias("lines"))
 
 
 # ---------------------------------------------------------------- TXT-03..06 STR-05 WIN-11 SET-03 SET-04
 def _filings_from_documents(spark, d):
     """Every document as a plain-text filing: its lines under the headings of an annual report."""
-    x = t(spark, d, "documents")
+    x = documents(spark, d)
     body = F.regexp_replace("text", r"(?i)item\s+\d|signatures|cautionary", "word")
     text = F.concat(F.lit("ITEM 1. BUSINESS\n"), body, F.lit("\nItem 1A. Risk Factors\n"), body, F.lit("\nItem 2. Properties\nnone\nItem 7. Discussion\n"), body,
                     F.lit("\nCautionary statement\n"), body, F.lit("\nSIGNATURES\n"), body)
@@ -158,7 +158,7 @@ def headings(spark, d):
 
 @reg("html_sections")
 def html_sections(spark, d):
-    p = t(spark, d, "pages").select(F.col("page_id").alias("filing_id"), F.col("page_id").alias("company_id"), F.lit("10-Q").alias("form_type"),
+    p = pages(spark, d).select(F.col("page_id").alias("filing_id"), F.col("page_id").alias("company_id"), F.lit("10-Q").alias("form_type"),
                                     F.concat(F.lit("<div>Item 2. Management Discussion</div>"), "html", F.lit("<p>Item 6. Exhibits</p>")).alias("raw_text"))
     return X.section_rows(X.split_sections(p))
 
@@ -168,7 +168,7 @@ def html_sections(spark, d):
  array_to_string(list_sort(list_filter(list_transform(range(0,20), lambda i: 'src'||i), lambda s: NOT list_contains(list(DISTINCT source), s))),',') AS missing, count(DISTINCT source) FILTER (source NOT IN ('src1','src2')) AS extra
  FROM documents GROUP BY lang)""")
 def set_ops(spark, d):
-    seen = t(spark, d, "documents").select("lang", "source").distinct()
+    seen = documents(spark, d).select("lang", "source").distinct()
     wanted = seen.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select(
         "lang", F.concat(F.lit("src"), F.col("i")).alias("source"))
     missing = wanted.exceptAll(seen).groupBy("lang").agg(F.count(F.lit(1)).alias("m"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("missing"))
@@ -181,7 +181,7 @@ def set_ops(spark, d):
 # ---------------------------------------------------------------- TXT-07..09 MTH-23 UDF-03
 @reg("chunks")
 def chunks(spark, d):
-    x = t(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), F.lit(0).cast("bigint").alias("company_id"), F.col("doc_id").alias("section_id"),
+    x = documents(spark, d).select(F.col("doc_id").alias("filing_id"), F.lit(0).cast("bigint").alias("company_id"), F.col("doc_id").alias("section_id"),
                                         F.lit("mda").alias("section"), F.lit(0).alias("sequence_idx"), "text")
     c = X.chunk_sections(x)
     return c.select("filing_id", "chunk_idx", "char_count", "approx_tokens", F.md5("text").alias("digest"), F.substring(X.chunk_previews(c, 40), 1, 80).alias("preview"))
@@ -252,7 +252,7 @@ _TF = dict(
 @reg("tfidf_pairs", sql("""SELECT pr.cur AS filing_id, round(coalesce(s,0),6)+0e0 AS similarity FROM pr LEFT JOIN (SELECT cur, prev, greatest(0.0,least(1.0,sum(wa*wb)/nullif(sqrt(sum(wa*wa))*sqrt(sum(wb*wb)),0))) AS s FROM wv GROUP BY 1,2) x
  ON x.cur=pr.cur AND x.prev=pr.prev""", **_TF))
 def tfidf_pairs(spark, d):
-    x = t(spark, d, "documents")
+    x = documents(spark, d)
     pairs = _pairs(x.select(F.col("doc_id").alias("filing_id")))
     c = A.term_counts(x, ["doc_id"], "text").withColumnRenamed("doc_id", "filing_id")
     s = M.tfidf_similarity(pairs, c, "filing_id", "previous_filing_id", "filing_id")
@@ -262,7 +262,7 @@ def tfidf_pairs(spark, d):
 # unit-level drift over whole documents: too slow as SQL (all unit pairs); brute force covers it on fixtures
 @reg("tfidf_drift")
 def tfidf_drift(spark, d):
-    x = t(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), "text")
+    x = documents(spark, d).select(F.col("doc_id").alias("filing_id"), "text")
     f = TS.tfidf_drift(_pairs(x.select("filing_id")), x)
     return f.select("filing_id", r6(F.col("tfidf_drift")).alias("tfidf_drift"), "tfidf_unit_count", "tfidf_aggregation")
 
@@ -279,7 +279,7 @@ _PARA = f"""SELECT doc_id, u.p AS para, u.i AS pos FROM (SELECT doc_id, flatten(
  FROM (SELECT *, regexp_matches(lower(para), '{'|'.join(WORDS)}') AS fwd, CASE WHEN length(para)%7<>0 THEN (length(para)%100)/101.0::DOUBLE END AS p, CASE WHEN length(para)%7<>0 THEN 1-(length(para)%100)/101.0::DOUBLE END AS q
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM pa) WHERE rn<=30) GROUP BY 1""", pa=_PARA))
 def tone(spark, d):
-    x = t(spark, d, "documents").select(F.col("doc_id").alias("filing_id"), F.lit("mda").alias("section"), F.lit(0).alias("sequence_idx"), F.col("doc_id").alias("section_id"), "text")
+    x = documents(spark, d).select(F.col("doc_id").alias("filing_id"), F.lit("mda").alias("section"), F.lit(0).alias("sequence_idx"), F.col("doc_id").alias("section_id"), "text")
     x = x.withColumn("text", F.regexp_replace("text", r"([.!?])\s+", "$1\n\n"))
     p = TS.tone_paragraphs(x, keywords=WORDS)
     n = F.length("text")
@@ -292,7 +292,7 @@ def tone(spark, d):
 @reg("drift_signal")
 def drift_signal(spark, d):
     f = filing(spark, d)
-    docs, vec = t(spark, d, "documents"), t(spark, d, "embeddings")
+    docs, vec = documents(spark, d), t(spark, d, "embeddings")
     s = docs.select(F.col("doc_id").alias("filing_id"), F.lit("risk_factors").alias("section"), F.lit(0).alias("sequence_idx"), "text")
     e = vec.select(F.floor(F.col("vec_id") / 5).alias("filing_id"), F.lit("risk_factors").alias("section"), F.lit(0).alias("sequence_idx"),
                    (F.col("vec_id") % 5).alias("chunk_idx"), "embedding")

@@ -2,6 +2,8 @@
 and once as SQL. Everything reads whole tables."""
 from pyspark.sql import functions as F
 
+from ledgerlens.session import spread
+
 SIGNALS = ("rlds", "mda_drift", "forward_pessimism", "fundamental_deterioration", "balance_sheet_stress",
            "revenue_growth_deceleration", "earnings_quality", "numeric_anomaly", "insider_signal", "market_signal",
            "sentiment_signal")
@@ -11,6 +13,14 @@ def t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark, d):
+    return spread(t(spark, d, "documents"), "doc_id")
+
+
+def pages(spark, d):
+    return spread(t(spark, d, "pages"), "page_id")
+
+
 def r6(c):
     return F.round(c, 6) + F.lit(0.0)
 

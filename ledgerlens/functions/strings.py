@@ -33,7 +33,8 @@ def normalise_ticker(x):
 
 
 def printable(x, keep_breaks=False):
-    """Non-printable characters to spaces; optionally keep CR, LF and TAB."""
+    """Non-printable characters (control, format, unassigned, odd separators) to spaces;
+    optionally keep CR, LF and TAB."""
     cls = r"[\p{C}\p{Z}&&[^\r\n\t ]]" if keep_breaks else r"[\p{C}\p{Z}&&[^ ]]"
     return F.regexp_replace(x, cls, " ")
 
@@ -54,9 +55,13 @@ def heading_text(x):
 _ITEM_PATTERN = r"(?i)^\s*item\s*(" + "|".join(sorted(P.ITEM_CODES, key=len, reverse=True)) + r")\b"
 
 
+def raw_item_code(x):
+    return F.regexp_extract(x, _ITEM_PATTERN, 1)
+
+
 def item_code(x):
     """Item code of a heading line in upper case, NULL when the line is no heading."""
-    return blank_to_null(F.upper(F.regexp_extract(x, _ITEM_PATTERN, 1)))
+    return blank_to_null(F.upper(raw_item_code(x)))
 
 
 def is_stop_phrase(x):

@@ -50,3 +50,11 @@ def cut(df):
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(df, key):
+    """Rows over all cores when a scan has fewer splits than cores (a few small files), for plans
+    that spend much CPU per row. A large input has more splits than cores and is left alone,
+    so no shuffle of document texts is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
