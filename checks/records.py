@@ -192,9 +192,6 @@ def existing_in_range(spark, d):
 
 
 # ---------------------------------------------------------------- SNK-04 SNK-05 STR-14 STR-22
-_INS_KEY = ("accession_number, insider_name, transaction_date, transaction_code, shares, price_per_share")
-
-
 @reg("upsert_nullsafe", sql("""SELECT accession_number, insider_cik, transaction_code, max(shares) AS shares, count(*) AS n FROM (
  SELECT accession_number, insider_cik, transaction_code, shares FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.accession_number=a.accession_number AND b.insider_cik IS NOT DISTINCT FROM a.insider_cik AND b.transaction_code=a.transaction_code)
  UNION ALL SELECT accession_number, insider_cik, transaction_code, shares FROM b) GROUP BY 1,2,3""", "v_trade",

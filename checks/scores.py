@@ -71,10 +71,6 @@ def unpivot_signals(spark, d):
 
 
 # ---------------------------------------------------------------- JON-09 AGG-17
-def _carry_sql(n):
-    return f"""coalesce({n}, greatest(0.0,least(1.0,coalesce(l1.{n}, l2.{n})*0.95)))""" if False else n
-
-
 _LAGS = "SELECT w.*, f.filed_at, f.form_type, f.fiscal_year, " + ", ".join(
     f"lag({n}) OVER o AS {n}_1, lag({n},2) OVER o AS {n}_2, lag({n}__c) OVER o AS {n}__c1, lag({n}__c,2) OVER o AS {n}__c2" for n in SIGNALS) + \
     ", lag(filing_id) OVER o AS f1, lag(filing_id,2) OVER o AS f2, lag(filed_at) OVER o AS d1, lag(filed_at,2) OVER o AS d2" \

@@ -41,7 +41,6 @@ def narrative_order(spark, d):
 
 
 # ---------------------------------------------------------------- STR-02 STR-03 STR-04 STR-08 STR-09 FIL-08
-_CTRL = "'[\\p{C}\\p{Z}--[ ]]'"
 _NONPRINT = r"[\x00-\x1f\x7f-\x{a0}\x{ad}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 
 

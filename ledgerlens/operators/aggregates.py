@@ -35,10 +35,14 @@ def middle_values(counts: DataFrame, keys, value, n="__n", hot_rows=None) -> Dat
     the middle are only counted (map-side combine), and just the middle ones are sorted. The
     slice bounds need not be exact, the counts are. Broadcast: a row per hot group.
     """
-    sizes = counts.groupBy(*keys).agg(F.sum(n).alias("size"))
-    d = counts.withColumn("__below", F.lit(0)) if hot_rows is None else _bracket(counts, keys, value, n, hot_rows)
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    r = d.withColumn("__to", F.sum(n).over(w) + F.col("__below")).join(sizes, list(keys))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    if hot_rows is None:  # one shuffle serves the running sum and the total
+        r = counts.withColumns({"__to": F.sum(n).over(upto), "size": F.sum(n).over(group)})
+    else:
+        sizes = counts.groupBy(*keys).agg(F.sum(n).alias("size"))
+        r = (_bracket(counts, keys, value, n, hot_rows).withColumn("__to", F.sum(n).over(upto) + F.col("__below"))
+             .join(sizes, list(keys)))
     base = F.floor(F.col("size") / 2)
 
     def at(i):
@@ -184,7 +188,7 @@ def signal_flags(yearly: DataFrame) -> DataFrame:
 
 def term_counts(df, keys, text):
     from ledgerlens.functions.strings import tokens
-    return (df.select(*keys, F.explode(tokens(F.col(text))).alias("token"))
+    return (df.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).where(F.col("token").isNotNull())
             .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("term_count")))
 
 

@@ -30,9 +30,10 @@ INSIDER_BUSINESS_KEY = ("accession_number", "insider_name", "transaction_date",
                         "is_derivative")
 
 
-def _match(left, right, keys, null_safe):
-    pairs = [left[k].eqNullSafe(right[k]) if null_safe else left[k] == right[k] for k in keys]
-    return reduce(lambda a, b: a & b, pairs)
+def _same_key(keys, null_safe):
+    """Condition on the aliases t and s; NULL equals NULL when `null_safe`."""
+    return reduce(lambda a, b: a & b, [
+        F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
 
 
 def upsert(target: DataFrame, source: DataFrame, keys, position=None, null_safe=False) -> DataFrame:
@@ -42,10 +43,7 @@ def upsert(target: DataFrame, source: DataFrame, keys, position=None, null_safe=
                   else keep_last_in_batch(source, keys, position))
     source = source.select(*target.columns)
     t, s = target.alias("t"), source.select(*keys).alias("s")
-    cond = reduce(lambda a, b: a & b, [
-        F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"s.{k}")
-        for k in keys])
-    return t.join(s, cond, "left_anti").select("t.*").unionByName(source)
+    return t.join(s, _same_key(keys, null_safe), "left_anti").select("t.*").unionByName(source)
 
 
 def upsert_summary(target: DataFrame, source: DataFrame, keys, position, null_safe=False) -> DataFrame:
@@ -54,10 +52,7 @@ def upsert_summary(target: DataFrame, source: DataFrame, keys, position, null_sa
               else keep_last_in_batch(source, keys, position))
     have = target.select(*keys, F.lit(1).alias("__have")).alias("t")
     u = unique.select(*keys).alias("s")
-    cond = reduce(lambda a, b: a & b, [
-        F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"s.{k}")
-        for k in keys])
-    j = u.join(have, cond, "left").agg(F.count(F.lit(1)).alias("stored"), F.count("__have").alias("updated"))
+    j = u.join(have, _same_key(keys, null_safe), "left").agg(F.count(F.lit(1)).alias("stored"), F.count("__have").alias("updated"))
     n = source.agg(F.count(F.lit(1)).alias("selected"))
     # two single-row results side by side
     return (n.withColumn("__k", F.lit(1)).join(j.withColumn("__k", F.lit(1)), "__k")

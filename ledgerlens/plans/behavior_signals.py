@@ -7,6 +7,7 @@ from ledgerlens.operators import aggregates as A, ordered as O
 from ledgerlens.operators.dedupe import economic_transactions
 from ledgerlens.operators.intervals import interval_join
 from ledgerlens.plans.rows import signal_rows
+from ledgerlens.session import cut
 
 VERSION = "behavior_v3"
 
@@ -114,7 +115,8 @@ def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.AUTO) ->
     """trades carry their own filing day in `filed_at`."""
     if hot_rows == O.AUTO:  # the ordered inputs below hold one row per company and day: at most as many as filings
         hot_rows = O.hot_limit(filings, ["company_id"])
-    e = prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at")
+    # read by five branches below: deduplicated once, then read back
+    e = cut(prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at"))
     anchors = filings.select("company_id", "filed_at").distinct()
     act = anchor_activity(insider_activity(classified_trades(anchors, e)))
     late = late_ratio(anchors, e)

@@ -17,8 +17,9 @@ def tfidf_drift(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs: filing_id, previous_filing_id; texts: filing_id, text (one document per filing).
     Mean drift of the most changed units; whole-text drift when either side has no units. The units
     of a filing come out of one text value, which bounds the rank window (`hot_rows=None`)."""
-    units = (X.with_drift_units(texts).select("filing_id", F.posexplode("units").alias("unit_idx", "unit"))
-             .select("filing_id", "unit_idx", T.tokens(F.col("unit")).alias("tokens")))
+    # outer: a plain explode would repeat the splitting in a pushed-down not-empty test
+    units = (X.with_drift_units(texts).select("filing_id", F.posexplode_outer("units").alias("unit_idx", "unit"))
+             .where(F.col("unit").isNotNull()).select("filing_id", "unit_idx", T.tokens(F.col("unit")).alias("tokens")))
     keys = ["filing_id", "previous_filing_id"]
     best = M.best_tfidf(pairs, units, ["filing_id"], ["previous_filing_id"], ["filing_id"])
     top = M.top_k_mean(best.withColumn("drift", S.clip01(1.0 - F.col("best"))), keys, "drift", "unit_idx",
@@ -135,7 +136,8 @@ def tone_paragraphs(sections: DataFrame, limit=P.TONE_MAX_PARAGRAPHS, keywords=P
     """The first `limit` paragraphs per filing of the tone sections, with the forward-looking flag and
     the text a scorer sees. The limit is the operator's definition, not a shortcut."""
     d = X.with_paragraphs(sections.where(F.col("section").isin(*P.TONE_SECTIONS)))
-    p = d.select("filing_id", "section", "sequence_idx", "section_id", F.posexplode("paragraphs").alias("pos", "text"))
+    p = d.select("filing_id", "section", "sequence_idx", "section_id", F.posexplode_outer("paragraphs").alias("pos", "text"))
+    p = p.where(F.col("text").isNotNull())
     p = top_per_key(p, ["filing_id"], [F.col(c).asc() for c in ("sequence_idx", "section_id", "pos")], limit)
     fwd = (F.col("section") == "forward_looking") | T.is_forward_looking(F.col("text"), keywords)
     return (p.withColumn("is_forward_looking", fwd)
