@@ -1,5 +1,6 @@
 """Payload files, sinks, jobs and streams on landed files."""
 import json
+import uuid
 from datetime import date, datetime
 
 import pandas as pd
@@ -249,17 +250,18 @@ def test_source_jobs(spark, tmp_path):
 def test_streams(spark, tmp_path):
     schema = TABLES["macro_observations"]
     src = tmp_path / "in"
+    tag = uuid.uuid4().hex  # the checkpoint folder outlives the test run
     rows = lambda v: conform(spark.createDataFrame([("S", date(2024, 1, d), v + d, "p", datetime(2024, 1, d)) for d in (1, 2, 3)],
                                                    "series_id string, observation_date date, value double, provider string, retrieved_at timestamp"), schema)
     rows(0.0).coalesce(1).write.parquet(str(src))
-    run = lambda name: ST.start_upsert(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "t"), schema, U.KEYS["macro_observations"], name + tmp_path.name, "retrieved_at").awaitTermination(120)
+    run = lambda name: ST.start_upsert(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "t"), schema, U.KEYS["macro_observations"], name + tag, "retrieved_at").awaitTermination(120)
     run("a")
     assert U.read_table(spark, str(tmp_path / "t"), schema).count() == 3
     rows(10.0).coalesce(1).write.mode("append").parquet(str(src))
     run("b")  # a fresh query over both files: repeats inside the delay are dropped, keys stay unique
     assert U.read_table(spark, str(tmp_path / "t"), schema).count() == 3
     log = spark.readStream.schema(schema).parquet(str(src))
-    ST.append_log(log, str(tmp_path / "log"), tmp_path.name).awaitTermination(120)
+    ST.append_log(log, str(tmp_path / "log"), tag).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 6
     ev = spark.createDataFrame([(1, datetime(2024, 1, d, 5)) for d in (1, 2, 9)], "company_id long, published_at timestamp")
     ev.coalesce(1).write.parquet(str(tmp_path / "news"))
