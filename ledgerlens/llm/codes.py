@@ -60,21 +60,24 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def hash_pieces(points: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces that begin at `first` and together fill the points."""
+    value = _PLANE[points & 0xFFFF]
+    high = points > 0xFFFF
+    if high.any():
+        value[high] = mix(points[high].astype(np.uint64) + GOLD)
+    powers = _POWERS if sizes.max() <= len(_POWERS) else _powers(int(sizes.max()))
+    value *= powers[np.arange(len(points)) - np.repeat(first, sizes)]
+    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * GOLD)
+
+
 def hash_runs(points: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the runs of flagged code points."""
     starts, ends = runs(flags)
     if not len(starts):
         return starts, ends, np.zeros(0, dtype=np.uint64)
     sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    inner = points[flags]
-    value = _PLANE[inner & 0xFFFF]
-    high = inner > 0xFFFF
-    if high.any():
-        value[high] = mix(inner[high].astype(np.uint64) + GOLD)
-    powers = _POWERS if sizes.max() <= len(_POWERS) else _powers(int(sizes.max()))
-    value = value * powers[np.arange(len(inner)) - np.repeat(first, sizes)]
-    return starts, ends, mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * GOLD)
+    return starts, ends, hash_pieces(points[flags], np.cumsum(sizes) - sizes, sizes)
 
 
 def is_space(points: np.ndarray) -> np.ndarray:

@@ -1,7 +1,10 @@
 """The registered queries: each applies one operator, with production settings, to its whole table."""
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlens.llm.id_files import round_trip
 from ledgerlens.llm.near_dedup import near_duplicates
+from ledgerlens.llm.packing import pack
 
 Q_, S_ = {}, {}
 
@@ -20,3 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_binary_packing(spark, sf_dir):
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_ranked_id_files(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"))
