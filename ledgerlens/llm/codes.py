@@ -45,6 +45,24 @@ def blocks(text: str, size: int = BLOCK):
         at = max(end, at + 1)
 
 
+def text_blocks(texts: list[str], size: int = BLOCK):
+    """(index, texts) of runs of whole texts of about so many characters; a longer text comes alone, in parts
+    cut at places of its own."""
+    first = total = 0
+    for k, t in enumerate(texts):
+        if len(t) >= size or total >= size:
+            if first < k:
+                yield first, texts[first:k]
+            first, total = k, 0
+        if len(t) >= size:
+            yield from ((k, [part]) for _, part in blocks(t, size))
+            first = k + 1
+        else:
+            total += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def _powers(n: int) -> np.ndarray:
     p = np.full(n, _STEP, dtype=np.uint64)
     p[0] = 1
