@@ -3,7 +3,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.id_files import round_trip
-from ledgerlens.llm import language
+from ledgerlens.llm import language, secrets
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.packing import pack
 
@@ -42,3 +42,11 @@ def op3_language_naive_bayes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id"), 4, 2))
     model = language.fit(docs.where("not held_out"))
     return language.languages(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op2_secret_ownership(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+S_["op2_secret_ownership"] = secrets.SQL
