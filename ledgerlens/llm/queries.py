@@ -2,6 +2,7 @@
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.decontamination import leaks
 from ledgerlens.llm.id_files import round_trip
 from ledgerlens.llm import language, secrets
 from ledgerlens.llm.near_dedup import near_duplicates
@@ -50,3 +51,8 @@ def op2_secret_ownership(spark, sf_dir):
 
 
 S_["op2_secret_ownership"] = secrets.SQL
+
+
+@query
+def op8_template_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
