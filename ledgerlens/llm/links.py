@@ -1,45 +1,37 @@
 """From band hashes to components: shared by the near-duplicate operators.
 
-A bucket (all items with one band hash) is never expanded into all pairs. Each member meets the
-bucket's smallest member first; links confirmed on whole sets join components. Only members of a
-bucket that are still in different components then meet each other, the members of its largest
-component excepted among themselves, so a bucket of thousands of near copies costs one check each
-and no link that could join two components goes unchecked.
+A bucket (all items with one band hash) is never expanded into all pairs. Its members meet its centre
+first, the member that shares most buckets: of a group of copies that is the one nearest to all. Links
+confirmed on whole sets join components. A member that the centre does not hold may still be linked to
+another member y, and if so, both differ from the centre in much the same way: with d the symmetric
+difference to the centre, |x ^ y| = |dx ^ dy|, so a link needs so many shared elements of dx and dy that
+their rarest elements already meet. Only pairs that share one of those are checked, and no link that
+could join two components is missed.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.tables import stage
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """bands (id, n, bands array<long>): the members (b, id, n, least) of every bucket with two ids or more."""
-    rows = bands.select("id", "n", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("b", "least")
-    return rows.join(shared, "b").select("b", "id", "n", "least")
+    """bands (id, bands array<long>): the members (b, id, n) of every bucket with two ids or more, n of them."""
+    rows = bands.select("id", F.explode("bands").alias("b"))
+    shared = rows.groupBy("b").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most").select("b", "n")
+    return rows.join(shared, "b").select("b", "id", "n")
 
 
-def first_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (x, y) of each member with the smallest member of its bucket, x > y."""
-    return members.where("id > least").select(F.col("id").alias("x"), F.col("least").alias("y")).distinct()
-
-
-def open_pairs(members: DataFrame, components: DataFrame, percent: int, done: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose components differ and whose set sizes allow a link; `done` pairs are left out."""
-    named = members.join(components, "id", "left").select("b", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    mixed = named.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("b")
-    rows = named.join(mixed, "b")
-    main = rows.groupBy("b", "comp").count().groupBy("b").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    left = rows.join(main, "b").where("comp != main").select("b", "main", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = rows.select("b", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    meet = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))) & (
-        100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    return (left.join(right, "b").where(meet).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-            .join(done.select("x", "y"), ["x", "y"], "left_anti"))
+def centred(members: DataFrame) -> DataFrame:
+    """Pairs (x, r) of each member with the centre of its bucket, the one with the most company."""
+    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    centre = (members.join(company, "id").groupBy("b").agg(F.max(F.struct("company", (-F.col("id")).alias("low"))).alias("m"))
+              .select("b", (-F.col("m.low")).alias("r")))
+    return members.join(centre, "b").where("id != r").select(F.col("id").alias("x"), "r").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -63,18 +55,44 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         cur = stage(tied.unionByName(floor.select("x", F.col("m").alias("y"))).distinct(), name)
 
 
-def resolve(bands: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+def open_groups(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (x, r, cx, cr) of centres with several members of which some are in another component."""
+    named = (pairs.join(comps.select(F.col("id").alias("x"), F.col("comp").alias("cx")), "x", "left")
+             .join(comps.select(F.col("id").alias("r"), F.col("comp").alias("cr")), "r", "left")
+             .select("x", "r", F.coalesce("cx", "x").alias("cx"), F.coalesce("cr", "r").alias("cr")))
+    mixed = named.groupBy("r").agg(F.count("*").alias("n"), F.max((F.col("cx") != F.col("cr")).cast("int")).alias("open")).where("n > 1 and open = 1").select("r")
+    return named.join(mixed, "r")
+
+
+def alike(different: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components, members of one centre, that may be linked.
+    different: (x, r, cx, cr, nx, nr, delta), the elements in one of x and r only, their set sizes and components."""
+    c = (100 - percent) / (100 + percent)
+    size = F.size("delta")
+    each = different.select("x", "r", "cx", "cr", "nx", "nr", size.alias("d"), F.explode("delta").alias("e"))
+    often = each.groupBy("r", "e").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["r", "e"]).withColumn("rank", F.row_number().over(W.partitionBy("x", "r").orderBy("often", "e"))).where("often > 1")
+    # how many elements a link must share at least, whoever the other is
+    as_left = F.greatest(F.lit(1), F.ceil(F.col("d") - c * F.col("nx") * (1 + 100 / percent) - 1e-9))
+    as_right = F.greatest(F.lit(1), F.floor((F.col("d") - c * (F.col("nx") - F.col("nr")) - 1e-9) / 2) + 1)
+    left = ranked.where((F.col("cx") != F.col("cr")) & (F.col("rank") <= F.col("d") - as_left + 1)).select("r", "e", "x", "cx", "nx")
+    right = ranked.where(F.col("rank") <= F.col("d") - as_right + 1).select("r", "e", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("nx").alias("ny"))
+    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return left.join(right, ["r", "e"]).where(fits).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
+def resolve(bands: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], differ: Callable[[DataFrame], DataFrame],
+            name: str) -> tuple[DataFrame, DataFrame]:
     """Components (id, comp) and confirmed links (x, y) of the items whose sets share `percent` of their union.
-    verify keeps those pairs (x, y) that are linked; it must look at whole sets."""
+    verify keeps those pairs (x, y) that are linked, looking at whole sets; differ adds nx, nr and delta to pairs (x, r, cx, cr)."""
     members = stage(buckets(bands), f"{name}-buckets")
-    first = stage(first_pairs(members), f"{name}-pairs")
-    edges = stage(verify(first), f"{name}-links")
+    first = stage(centred(members), f"{name}-pairs")
+    edges = stage(verify(first.withColumnRenamed("r", "y")), f"{name}-links")
     comps = stage(components(edges, f"{name}-cc"), f"{name}-first")
-    rest = stage(open_pairs(members, comps, percent, first), f"{name}-open")
-    more = stage(verify(rest), f"{name}-more")
+    different = stage(differ(stage(open_groups(first, comps), f"{name}-open")), f"{name}-differ")
+    more = stage(verify(stage(alike(different, percent), f"{name}-alike")), f"{name}-more")
     if more.limit(1).count() == 0:
         return comps, edges
-    links = edges.unionByName(more)
     # what is settled already goes in as one edge an id
     tied = comps.select(F.col("id").alias("x"), F.col("comp").alias("y")).where("x != y").unionByName(more)
-    return stage(components(tied, f"{name}-cc"), f"{name}-all"), links
+    return stage(components(tied, f"{name}-cc"), f"{name}-all"), edges.unionByName(more)
