@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.tables import fresh
-from ledgerlens.llm.token_ids import binary, default_vocabulary, encoded
+from ledgerlens.llm.token_ids import binary, default_vocabulary, encoded, encoder
 
 FILE = "doc_id long, ordinal long, n_tokens long, control binary, data binary"
 #: Lengths of the four ranks of a control byte.
@@ -47,37 +47,39 @@ def byte_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encoded(vocabulary, end_id):
+def _encoded(vocabulary, end_id, kind):
     def run(batches):
         for batch in batches:
             for i, j, tokens, at in encoded(batch.column(1).to_pylist(), vocabulary, end_id):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), binary(tokens.astype("<u4"), at)],
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), binary(tokens.astype(kind), at)],
                                                  names=["doc_id", "n_tokens", "ids"])
     return run
 
 
-def _counted(batches):
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            n = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(n) > len(total):
-                n[:len(total)] += total
-                total = n
-            else:
-                total[:len(n)] += n
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+def _counted(kind):
+    def run(batches):
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
+                if len(n) > len(total):
+                    n[:len(total)] += total
+                    total = n
+                else:
+                    total[:len(n)] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+    return run
 
 
-def _written(ids_by_rank):
+def _written(ids_by_rank, kind):
     rank = np.zeros(int(ids_by_rank.max()) + 1 if len(ids_by_rank) else 0, dtype=np.uint32)
     rank[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
 
     def run(batches):
         ordinal = 0
         for batch in batches:
-            pairs = [rank_bytes(rank[np.frombuffer(x.as_buffer(), "<u4")]) for x in batch.column(2)]
+            pairs = [rank_bytes(rank[np.frombuffer(x.as_buffer(), kind)]) for x in batch.column(2)]
             n = len(pairs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(ordinal, ordinal + n)), batch.column(1),
                                               pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
@@ -105,14 +107,16 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     their ids; a null doc_id comes first. Other columns are ignored."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = source.mapInArrow(_encoded(vocabulary or default_vocabulary(), end_id), "doc_id long, n_tokens long, ids binary")
+    vocabulary = vocabulary or default_vocabulary()
+    kind = "<u2" if max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    raw = source.mapInArrow(_encoded(vocabulary, end_id, kind), "doc_id long, n_tokens long, ids binary")
     raw.write.option("compression", "zstd").parquet(f"{path}/raw")
     raw = spark.read.schema(raw.schema).parquet(f"{path}/raw")
-    ranks = raw.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
+    ranks = raw.select("ids").mapInArrow(_counted(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id")
     by_rank = np.array([r.id for r in ranks.collect()], dtype=np.int64)
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     ordered = raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_written(by_rank), FILE).write.option("compression", "zstd").parquet(f"{path}/ids")
+    ordered.mapInArrow(_written(by_rank, kind), FILE).write.option("compression", "zstd").parquet(f"{path}/ids")
 
 
 def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
