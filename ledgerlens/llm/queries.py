@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.decontamination import leaks
 from ledgerlens.llm.id_files import round_trip
-from ledgerlens.llm import language, secrets
+from ledgerlens.llm import fingerprints, language, secrets
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.packing import pack
 
@@ -56,3 +56,11 @@ S_["op2_secret_ownership"] = secrets.SQL
 @query
 def op8_template_decontamination(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_bottom_k_fingerprints(spark, sf_dir):
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+S_["op6_bottom_k_fingerprints"] = fingerprints.SQL
