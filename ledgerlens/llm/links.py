@@ -12,23 +12,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import stage
+from ledgerlens.llm import codes
+from ledgerlens.llm.tables import small, stage
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """bands (id, bands array<long>): the members (b, id, n) of every bucket with two ids or more, n of them."""
+    """bands (id, bands array<long>; an id may come more than once): the members (b, id) of every bucket with two ids or more."""
     rows = bands.select("id", F.explode("bands").alias("b"))
-    shared = rows.groupBy("b").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most").select("b", "n")
-    return rows.join(shared, "b").select("b", "id", "n")
+    shared = rows.groupBy("b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("b")
+    return rows.join(shared, "b").select("b", "id").distinct()
 
 
 def centred(members: DataFrame) -> DataFrame:
     """Pairs (x, r) of each member with the centre of its bucket, the one with the most company."""
-    company = members.groupBy("id").agg(F.sum("n").alias("company"))
+    sizes = members.groupBy("b").agg(F.count("*").alias("n"))
+    company = members.join(sizes, "b").groupBy("id").agg(F.sum("n").alias("company"))
     centre = (members.join(company, "id").groupBy("b").agg(F.max(F.struct("company", (-F.col("id")).alias("low"))).alias("m"))
               .select("b", (-F.col("m.low")).alias("r")))
     return members.join(centre, "b").where("id != r").select(F.col("id").alias("x"), "r").distinct()
@@ -75,22 +79,75 @@ def alike(different: DataFrame, percent: int) -> DataFrame:
     # how many elements a link must share at least, whoever the other is
     as_left = F.greatest(F.lit(1), F.ceil(F.col("d") - c * F.col("nx") * (1 + 100 / percent) - 1e-9))
     as_right = F.greatest(F.lit(1), F.floor((F.col("d") - c * (F.col("nx") - F.col("nr")) - 1e-9) / 2) + 1)
-    left = ranked.where((F.col("cx") != F.col("cr")) & (F.col("rank") <= F.col("d") - as_left + 1)).select("r", "e", "x", "cx", "nx")
-    right = ranked.where(F.col("rank") <= F.col("d") - as_right + 1).select("r", "e", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("nx").alias("ny"))
-    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    left = ranked.where((F.col("cx") != F.col("cr")) & (F.col("rank") <= F.col("d") - as_left + 1)).select("r", "e", "x", "cx", "nx", F.col("d").alias("dx"), F.col("rank").alias("i"))
+    right = ranked.where(F.col("rank") <= F.col("d") - as_right + 1).select("r", "e", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("nx").alias("ny"), F.col("d").alias("dy"), F.col("rank").alias("j"))
+    # what two may still share from the first common element on must be enough for their own sizes
+    enough = F.least(F.col("dx") - F.col("i"), F.col("dy") - F.col("j")) + 1 >= (F.col("dx") + F.col("dy") - c * (F.col("nx") + F.col("ny"))) / 2 - 1e-9
+    fits = (F.col("cx") != F.col("cy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & enough
     return left.join(right, ["r", "e"]).where(fits).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
-def resolve(bands: DataFrame, percent: int, verify: Callable[[DataFrame], DataFrame], differ: Callable[[DataFrame], DataFrame],
-            name: str) -> tuple[DataFrame, DataFrame]:
-    """Components (id, comp) and confirmed links (x, y) of the items whose sets share `percent` of their union.
-    verify keeps those pairs (x, y) that are linked, looking at whole sets; differ adds nx, nr and delta to pairs (x, r, cx, cr)."""
+def _sets(texts: list[str], width: int) -> dict[str, np.ndarray]:
+    distinct = list(dict.fromkeys(texts))  # a centre meets many
+    _, _, hashes, first, _ = codes.words(distinct)
+    return {t: codes.shingles(hashes[a:b], width) for t, a, b in zip(distinct, first[:-1], first[1:])}
+
+
+def _linked(width, percent):
+    def run(batches):
+        for batch in batches:
+            tx, ty = batch.column("tx").to_pylist(), batch.column("ty").to_pylist()
+            sets = _sets(tx + ty, width)
+            keep = []
+            for a, b in zip(map(sets.get, tx), map(sets.get, ty)):
+                both = codes.shared(a, b)
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _different(width):
+    def run(batches):
+        for batch in batches:
+            tx, ty = batch.column("tx").to_pylist(), batch.column("ty").to_pylist()
+            sets = _sets(tx + ty, width)
+            delta = [np.setxor1d(sets[a], sets[b], assume_unique=True).view(np.int64) for a, b in zip(tx, ty)]
+            ends = np.cumsum([0] + [len(d) for d in delta]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("x"), batch.column("y"), batch.column("cx"), batch.column("cr"),
+                pa.array([len(sets[t]) for t in tx], pa.int64()), pa.array([len(sets[t]) for t in ty], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(delta) if delta else [], pa.int64()))],
+                names=["x", "r", "cx", "cr", "nx", "nr", "delta"])
+    return run
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (x, y, more) with both texts as tx and ty; texts has (id, text)."""
+    return (pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
+            .join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y"))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (x, y) whose texts' shingle sets share `percent` of their union."""
+    return with_texts(pairs, texts).select("x", "y", "tx", "ty").mapInArrow(_linked(width, percent), "x long, y long")
+
+
+def different(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (x, r, cx, cr) with their set sizes nx, nr and delta, the shingles that only one of them has."""
+    return (with_texts(pairs.withColumnRenamed("r", "y"), texts).select("x", "y", "cx", "cr", "tx", "ty")
+            .mapInArrow(_different(width), "x long, r long, cx long, cr long, nx long, nr long, delta array<long>"))
+
+
+def resolve(bands: DataFrame, percent: int, width: int, fetch: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+    """Components (id, comp) and confirmed links (x, y) of the items whose shingle sets share `percent` of their union.
+    fetch gives the texts (id, text) of the ids of a DataFrame; only those of items that share a bucket are asked for."""
     members = stage(buckets(bands), f"{name}-buckets")
+    texts = stage(fetch(small(stage(members.select("id").distinct(), f"{name}-wanted"))), f"{name}-texts")
     first = stage(centred(members), f"{name}-pairs")
-    edges = stage(verify(first.withColumnRenamed("r", "y")), f"{name}-links")
+    edges = stage(linked(first.withColumnRenamed("r", "y"), texts, width, percent), f"{name}-links")
     comps = stage(components(edges, f"{name}-cc"), f"{name}-first")
-    different = stage(differ(stage(open_groups(first, comps), f"{name}-open")), f"{name}-differ")
-    more = stage(verify(stage(alike(different, percent), f"{name}-alike")), f"{name}-more")
+    apart = stage(different(stage(open_groups(first, comps), f"{name}-open"), texts, width), f"{name}-apart")
+    more = stage(linked(stage(alike(apart, percent), f"{name}-alike"), texts, width, percent), f"{name}-more")
     if more.limit(1).count() == 0:
         return comps, edges
     # what is settled already goes in as one edge an id

@@ -32,13 +32,17 @@ def _circle(coordinates: int):
     return scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate([shifted, shifted[:coordinates]]), coordinates)
 
 
+def slices(shingles: np.ndarray, coordinates: int) -> np.ndarray:
+    """For each hash its slice of the shifted permutation: its value at every coordinate."""
+    scatter, table = _circle(coordinates)
+    return table[scatter[(shingles & np.uint64(CIRCLE - 1)).astype(np.int64)]]
+
+
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """The circulant MinHash of a set of 64-bit hashes."""
-    scatter, slices = _circle(coordinates)
-    place = scatter[(shingles & np.uint64(CIRCLE - 1)).astype(np.int64)]
     out = np.full(coordinates, CIRCLE, dtype=np.uint32)
-    for at in range(0, len(place), 4096):
-        np.minimum(out, slices[place[at:at + 4096]].min(axis=0), out=out)
+    for at in range(0, len(shingles), 4096):
+        np.minimum(out, slices(shingles[at:at + 4096], coordinates).min(axis=0), out=out)
     return out
 
 
@@ -74,59 +78,6 @@ def _signed(width, bands, rows):
     return run
 
 
-def _sets(texts: list[str], width: int) -> dict[str, np.ndarray]:
-    distinct = list(dict.fromkeys(texts))  # a centre meets many
-    _, _, hashes, first, _ = codes.words(distinct)
-    return {t: codes.shingles(hashes[a:b], width) for t, a, b in zip(distinct, first[:-1], first[1:])}
-
-
-def _linked(width, percent):
-    def run(batches):
-        for batch in batches:
-            tx, ty = batch.column("tx").to_pylist(), batch.column("ty").to_pylist()
-            sets = _sets(tx + ty, width)
-            keep = []
-            for a, b in zip(map(sets.get, tx), map(sets.get, ty)):
-                both = codes.shared(a, b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
-    return run
-
-
-def _different(width):
-    def run(batches):
-        for batch in batches:
-            tx, ty = batch.column("tx").to_pylist(), batch.column("ty").to_pylist()
-            sets = _sets(tx + ty, width)
-            delta = [np.setxor1d(sets[a], sets[b], assume_unique=True).view(np.int64) for a, b in zip(tx, ty)]
-            ends = np.cumsum([0] + [len(d) for d in delta]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("x"), batch.column("y"), batch.column("cx"), batch.column("cr"),
-                pa.array([len(sets[t]) for t in tx], pa.int64()), pa.array([len(sets[t]) for t in ty], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(delta) if delta else [], pa.int64()))],
-                names=["x", "r", "cx", "cr", "nx", "nr", "delta"])
-    return run
-
-
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (x, y, more) with both texts as tx and ty; texts has (id, text)."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    found = texts.join(small(stage(wanted, "wanted")), "id", "left_semi")
-    return (pairs.join(found.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
-            .join(found.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y"))
-
-
-def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (x, y) whose texts' shingle sets share `percent` of their union."""
-    return with_texts(pairs, texts).select("x", "y", "tx", "ty").mapInArrow(_linked(width, percent), "x long, y long")
-
-
-def different(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (x, r, cx, cr) with their set sizes nx, nr and delta, the shingles that only one of them has."""
-    return (with_texts(pairs.withColumnRenamed("r", "y"), texts).select("x", "y", "cx", "cr", "tx", "ty")
-            .mapInArrow(_different(width), "x long, r long, cx long, cr long, nx long, nr long, delta array<long>"))
-
-
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text, more): one row per row with doc_id, n_shingles, component_id, kept.
 
@@ -143,7 +94,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     lead = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", "bands")
     texts = source.select(F.col("doc_id").alias("id"), "text").where("id is not null")
 
-    comps, _ = resolve(lead, percent, lambda pairs: linked(pairs, texts, width, percent), lambda pairs: different(pairs, texts, width), "near")
+    comps, _ = resolve(lead, percent, width, lambda wanted: texts.join(wanted, "id", "left_semi"), "near")
     named = classes.join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id"))
     out = signed.drop("bands").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
