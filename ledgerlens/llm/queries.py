@@ -7,6 +7,7 @@ from ledgerlens.llm.id_files import round_trip
 from ledgerlens.llm import fingerprints, language, secrets
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.packing import pack
+from ledgerlens.llm.repeats import repeated
 
 Q_, S_ = {}, {}
 
@@ -64,3 +65,8 @@ def op6_bottom_k_fingerprints(spark, sf_dir):
 
 
 S_["op6_bottom_k_fingerprints"] = fingerprints.SQL
+
+
+@query
+def op1_paragraph_minhash(spark, sf_dir):
+    return repeated(table(spark, sf_dir, "documents"))
