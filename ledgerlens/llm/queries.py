@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.decontamination import leaks
 from ledgerlens.llm.id_files import round_trip
-from ledgerlens.llm import fingerprints, language, secrets
+from ledgerlens.llm import fingerprints, language, main_text, secrets
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.repeats import repeated
@@ -70,3 +70,8 @@ S_["op6_bottom_k_fingerprints"] = fingerprints.SQL
 @query
 def op1_paragraph_minhash(spark, sf_dir):
     return repeated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_minimum_cut_main_text(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
