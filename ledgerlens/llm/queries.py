@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.decontamination import leaks
 from ledgerlens.llm.id_files import round_trip
-from ledgerlens.llm import fingerprints, language, main_text, secrets
+from ledgerlens.llm import fingerprints, language, main_text, secrets, toxicity
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.repeats import repeated
@@ -75,3 +75,12 @@ def op1_paragraph_minhash(spark, sf_dir):
 @query
 def op9_minimum_cut_main_text(spark, sf_dir):
     return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_subsequence_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id"), 3, 1))
+    labels = table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs.where("not held_out"), labels.where(~language.held_out(F.col("doc_id"), 3, 1)))
+    scored = toxicity.toxicity(docs.select("doc_id", "text", "held_out"), machine)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
