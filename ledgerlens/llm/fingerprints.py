@@ -97,7 +97,7 @@ def in_blocks(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame,
     def seat(block, late, guest):
         return F.struct(block.cast("int").alias("block"), F.lit(late).alias("late"), F.lit(guest).alias("guest"))
 
-    opens = F.get(listed, F.col("block") - 1) == F.col("doc_id")
+    opens = F.get(listed, F.col("block") - 1) == F.col("doc_id") if bounds else F.lit(False)
     seats = F.array(seat(F.col("block"), False, False), F.when(opens, seat(F.col("block") - 1, False, True)), F.when(low, seat(F.lit(len(bounds)), True, True)))
     dealt = (docs.withColumn("block", block).withColumn("seat", F.explode(F.filter(seats, lambda x: x.isNotNull())))
              .withColumns({"block": F.col("seat.block"), "late": F.col("seat.late"), "guest": F.col("seat.guest")}).drop("seat"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.tables import in_batches
+
 #: Pages the classifier is fitted on, at most; log-odds of a block for its container, most log-odds for the
 #: shape of its text; weights of the edges to the next block and to the next one under the same parent.
 SAMPLE, CONTAINER, SHAPE, NEXT, SIBLING = 2000, 5.0, 3.0, 1.0, 1.0
@@ -39,7 +41,7 @@ BOILER_WORDS = frozenset("ad ads advert advertisement advertising banner breadcr
                          "recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post posting story".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[/a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\bhidden\b""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -193,7 +195,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights of the shape features: logistic regression on the blocks of at most `sample` pages (those with the
     smallest hash of their id) whose containers are known. Spark counts blocks of each feature set, a few
     thousand at most. Without known containers all weights are 0."""
-    taken = pages.where("html is not null").select("html").orderBy(F.xxhash64("page_id", "html")).limit(sample)
+    taken = in_batches(pages).where("html is not null").select("html").orderBy(F.xxhash64("page_id", "html")).limit(sample)
 
     @F.pandas_udf("array<string>")
     def labelled(column: pd.Series) -> pd.Series:
