@@ -9,7 +9,7 @@ import re
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SPACES = " \t\n\v\f\r"
 _SPACE = re.compile("[ \t-\r]")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import codes
-from ledgerlens.llm.tables import small, stage
+from ledgerlens.llm.tables import in_batches, small, stage
 
 #: Template tokens in a window, part of an item that must be found, and characters of items looked up in one pass.
 WINDOW, COVERAGE, PASS = 8, 0.5, 2_000_000
@@ -184,7 +184,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     one more scan of the documents for each such block. Other columns are ignored."""
     spark = docs.sparkSession
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     passes, block, size = [], [], 0
     for row in [*items.toLocalIterator(), None]:  # a block at a time
         if row is not None:

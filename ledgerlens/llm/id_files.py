@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import fresh
+from ledgerlens.llm.tables import fresh, in_batches
 from ledgerlens.llm.token_ids import binary, default_vocabulary, encoded, encoder
 
 FILE = "doc_id long, ordinal long, n_tokens long, control binary, data binary"
@@ -106,7 +106,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     driver). A null or empty text is the end id alone; rows that repeat a doc_id stay, in order of
     their ids; a null doc_id comes first. Other columns are ignored."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = vocabulary or default_vocabulary()
     kind = "<u2" if max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     raw = source.mapInArrow(_encoded(vocabulary, end_id, kind), "doc_id long, n_tokens long, ids binary")

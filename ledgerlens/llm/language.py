@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import codes
+from ledgerlens.llm.tables import in_batches
 
 #: Lengths of the n-grams, places they are hashed to, added count, and the most languages a model may have.
 ORDERS, PLACES, SMOOTH, MOST = (1, 2, 3), 1 << 16, 0.5, 256
@@ -80,7 +81,7 @@ class Model:
 def fit(rows: DataFrame) -> Model:
     """A model of rows (text, lang). Rows without text or lang teach nothing; all others are read whole.
     More than MOST languages are refused, as the matrix must fit a task."""
-    rows = rows.where("text is not null and lang is not null").select("text", "lang")
+    rows = in_batches(rows).where("text is not null and lang is not null").select("text", "lang")
     labels = sorted(r.lang for r in rows.select("lang").distinct().limit(MOST + 1).collect())
     if len(labels) > MOST:
         raise ValueError(f"more than {MOST} languages")
@@ -115,7 +116,7 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"lang_pred": [model.labels[b] if s else UNKNOWN for b, s in zip(best, spoken)],
                              "score": np.where(spoken, chance[np.arange(len(best)), best], 0.0)})
 
-    out = docs.withColumn("lang_pred", named(F.col("text").cast("string")))
+    out = in_batches(docs).withColumn("lang_pred", named(F.col("text").cast("string")))
     return out.withColumns({"score": F.col("lang_pred.score"), "lang_pred": F.col("lang_pred.lang_pred")})
 
 

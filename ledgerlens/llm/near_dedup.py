@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import codes
 from ledgerlens.llm.links import resolve
-from ledgerlens.llm.tables import small, stage
+from ledgerlens.llm.tables import in_batches, small, stage
 
 #: Words in a shingle, percent of the union that a link shares, and the shape of the signature: with
 #: 32 bands of 6, a pair at 85 percent is missed once in four million.
@@ -87,7 +87,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     doc_id reachable; kept marks it. Equal sets are collapsed before anything is compared. doc_id is the
     key: rows that repeat one are one document, whose texts are linked. A null doc_id stays alone,
     with a null component_id, kept. Other columns are ignored."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(source.mapInArrow(_signed(width, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
@@ -97,7 +97,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     comps, _ = resolve(lead, percent, width, lambda wanted: texts.join(wanted, "id", "left_semi"), "near")
     named = classes.join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id"))
     out = signed.drop("bands").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

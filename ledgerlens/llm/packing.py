@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.tables import in_batches
 from ledgerlens.llm.token_ids import binary, default_vocabulary, encoded
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -54,7 +55,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, longest: int = 1024, en
     shuffled. Other columns are ignored."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(_pieces(vocabulary or default_vocabulary(), longest, end_id), SCHEMA)
 
 

@@ -18,8 +18,6 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """A table of the folder. Texts cross to Python in batches of a few megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import codes
 from ledgerlens.llm.links import resolve
 from ledgerlens.llm.near_dedup import band_hashes, slices
-from ledgerlens.llm.tables import stage
+from ledgerlens.llm.tables import in_batches, stage
 
 #: Words in a shingle, percent of the union that a link shares, words of a run that counts as a passage,
 #: rows of a band, and the part of pairs at the threshold that the bands may miss.
@@ -130,7 +130,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least:
 
     Null and empty texts have no paragraphs, a null doc_id no place among the documents. Rows that repeat a
     doc_id are one document. Whole texts are read, of any length; other columns are ignored."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     texts = source.select("text")
     places = stage(source.mapInArrow(_placed, PLACES), "paragraphs")
     bands = stage(texts.mapInArrow(_banded(width, bands_for(percent, rows, miss), rows, ALONE), "id long, bands array<long>"), "paragraph-bands")

@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def in_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """df, with texts crossing to Python some hundred rows at a time from now on, so that a task holds few megabytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; all of an application's lie in one folder named after it."""
     return f"{shared_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

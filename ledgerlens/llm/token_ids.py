@@ -17,8 +17,8 @@ import numpy as np
 
 from ledgerlens.llm import codes
 
-#: Parts remembered by one worker (about 50 MB).
-REMEMBERED = 1_500_000
+#: Parts remembered by one worker (about 30 MB).
+REMEMBERED = 700_000
 #: Scripts whose character classes have been the same in all versions of Unicode of the last decade:
 #: Latin, Greek, Cyrillic, and general punctuation.
 _LETTERS, _SIGNS = 0x0530, range(0x2000, 0x2070)
@@ -158,8 +158,8 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def groups(texts: list[str], block: int = 1 << 20):
-    """(first, last) of runs of texts with about so many characters."""
+def groups(texts: list[str], block: int = 1 << 18):
+    """(first, last) of runs of texts of about so many characters."""
     first = size = 0
     for k, t in enumerate(texts):
         size += len(t)

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import codes
-from ledgerlens.llm.tables import small, stage
+from ledgerlens.llm.tables import in_batches, small, stage
 
 #: Labelled rows of each label that are learned from at most, landmarks, weight of a gap, power of the word
 #: kernel, sentences of a document that may teach, and words whose score a worker remembers.
-SAMPLE, LANDMARKS, GAP, POWER, TEACH, REMEMBERED = 4000, 128, 0.5, 4, 3, 1_000_000
+SAMPLE, LANDMARKS, GAP, POWER, TEACH, REMEMBERED = 4000, 128, 0.7, 4, 3, 500_000
 #: Distances between the characters of a subsequence, over five places at most.
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 #: Lengths of the strings that may be landmarks.
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int
     """A machine fitted on docs (doc_id, text) that labels (doc_id, toxic) mark, at most `sample` of each label
     (those with the smallest hash of their doc_id); a document with several labels is toxic if one says so.
     Without toxic or without clean texts every text scores as the share of toxic ones."""
+    docs = in_batches(docs)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     taken = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
@@ -324,4 +325,4 @@ def toxicity(docs: DataFrame, machine) -> DataFrame:
     def score(column: pd.Series) -> pd.Series:
         return pd.Series(sent.value.score([t or "" for t in column]))
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return in_batches(docs).withColumn("score", score(F.col("text").cast("string")))
