@@ -37,7 +37,6 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts cross to Python a few megabytes at a time
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, fn in STAGES[:-1]:
         docs = stage(fn(spark, docs, sf_dir), name)
