@@ -49,7 +49,7 @@ def src_price_chart(spark, d):
  CASE WHEN pos<30 THEN o_orderdate::DATE-31 END AS period_of_report, 'https://www.sec.gov/Archives/edgar/data/'||(o_orderkey//40)||'/A'||o_orderkey||'/'||
    CASE WHEN o_orderkey%3=0 THEN 'doc'||o_orderkey||'.htm' ELSE 'A'||o_orderkey||'.txt' END AS document_url
 FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey//40 ORDER BY o_orderkey) AS rn FROM
-  (SELECT *, o_orderkey%40 AS pos, CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' ELSE 'S-1' END AS form FROM orders) WHERE form<>'S-1' AND o_orderkey%10<>9) WHERE rn<=20""")
+  (SELECT *, o_orderkey%40 AS pos, CASE o_orderstatus WHEN 'F' THEN '10-K' WHEN 'O' THEN '10-Q' ELSE 'S-1' END AS form FROM orders) WHERE form<>'S-1' AND o_orderkey%10<>9)""")
 def src_filing_index(spark, d):
     o = t(spark, d, "orders")
     k = F.col("o_orderkey")
@@ -62,7 +62,7 @@ def src_filing_index(spark, d):
         sorted_array("o_orderkey", F.when(k % 3 == 0, F.concat(F.lit("doc"), k, F.lit(".htm"))).otherwise("")).alias("primaryDocument"))
     recent = F.struct("accessionNumber", "form", "filingDate", F.slice("rd", 1, 30).alias("reportDate"), "primaryDocument")
     p = g.select(F.col("b").cast("string").alias("cik"), F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("payload"))
-    return JP.filing_index(p, limit=20).select("cik", "accession_number", "form_type", "filed_at", "period_of_report", "document_url")
+    return JP.filing_index(p).select("cik", "accession_number", "form_type", "filed_at", "period_of_report", "document_url")
 
 
 # ---------------------------------------------------------------- SRC-01 SRC-02 STR-01
@@ -254,18 +254,18 @@ def insert_filings(spark, d):
 
 # ---------------------------------------------------------------- FIL-01 FIL-02 FIL-04 FIL-06 FIL-07 FIL-10 FIL-13 SRT-01 SRT-07
 @reg("filters", sql("""SELECT company_id, filing_id FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY filed_at DESC, filing_id DESC) AS rn FROM v_filing
- JOIN v_company USING (company_id) WHERE form_type='10-K' AND filed_at <= DATE '2000-06-30' AND is_active AND NOT is_extracted AND name ILIKE '%customer%') WHERE rn<=3""", "v_filing", "v_company"))
+ JOIN v_company USING (company_id) WHERE form_type='10-K' AND filed_at <= DATE '2000-06-30' AND is_active AND NOT is_extracted AND name ILIKE '%customer%')""", "v_filing", "v_company"))
 def filters(spark, d):
     f = filing(spark, d).where((F.col("filed_at") <= F.lit("2000-06-30").cast("date")) & ~F.col("is_extracted"))
     act = company(spark, d).where(F.col("is_active") & F.col("name").ilike("%customer%"))
     cols = [F.lit(False).alias(c) for c in ("is_xbrl_parsed", "is_embedded", "is_signal_scored")]
     f = f.join(act, "company_id", "left_semi").select("*", *cols)
-    return R.filings(f, form_type="10-k", limit=3).select("company_id", "filing_id")
+    return R.filings(f, form_type="10-k").select("company_id", "filing_id")
 
 
-@reg("pending", sql("SELECT filing_id FROM v_filing WHERE NOT is_extracted ORDER BY filed_at DESC, filing_id DESC LIMIT 100", "v_filing"))
+@reg("pending", sql("SELECT filing_id FROM v_filing WHERE NOT is_extracted", "v_filing"))
 def pending(spark, d):
-    return R.pending(filing(spark, d), "is_extracted", 100).select("filing_id")
+    return R.pending(filing(spark, d), "is_extracted").select("filing_id")
 
 
 # ---------------------------------------------------------------- PRJ-01..04 PRJ-08 PRJ-09 MTH-18 JSN-05 JSN-06
@@ -295,16 +295,16 @@ def update_from(spark, d):
 
 # ---------------------------------------------------------------- JON-01 JON-03 JON-04 QRY-06 QRY-07 SRT-02
 @reg("signals_with_filings", sql("""SELECT company_id, filing_id, signal_name FROM (SELECT s.company_id, filing_id, signal_name, row_number() OVER (PARTITION BY s.company_id
- ORDER BY filed_at DESC, filing_id%1000 DESC, filing_id DESC, signal_name) AS rn FROM v_signal s JOIN v_filing f USING (filing_id) WHERE form_type='10-K') WHERE rn<=50""", "v_signal", "v_filing"))
+ ORDER BY filed_at DESC, filing_id%1000 DESC, filing_id DESC, signal_name) AS rn FROM v_signal s JOIN v_filing f USING (filing_id) WHERE form_type='10-K')""", "v_signal", "v_filing"))
 def signals_with_filings(spark, d):
-    return R.signals(signal_table(spark, d), filing(spark, d), form_type="10-K", limit=50).select("company_id", "filing_id", "signal_name")
+    return R.signals(signal_table(spark, d), filing(spark, d), form_type="10-K").select("company_id", "filing_id", "signal_name")
 
 
 @reg("signal_history", sql("""SELECT company_id, filing_id, accession_number, filed_at, round(signal_value,8)+0e0 AS signal_value FROM (SELECT s.company_id, filing_id, accession_number, filed_at, signal_value,
- row_number() OVER (PARTITION BY s.company_id ORDER BY filed_at, filing_id) AS rn FROM v_signal s JOIN v_filing f USING (filing_id) WHERE signal_name='rlds') WHERE rn<=5""", "v_signal", "v_filing"))
+ row_number() OVER (PARTITION BY s.company_id ORDER BY filed_at, filing_id) AS rn FROM v_signal s JOIN v_filing f USING (filing_id) WHERE signal_name='rlds')""", "v_signal", "v_filing"))
 def signal_history(spark, d):
     s = signal_table(spark, d).where("signal_name = 'rlds'").withColumn("signal_name", F.lit("composite_filing_risk"))
-    return R.signal_history(s, filing(spark, d), 5).select("company_id", "filing_id", "accession_number", "filed_at", r8(F.col("signal_value")).alias("signal_value"))
+    return R.signal_history(s, filing(spark, d)).select("company_id", "filing_id", "accession_number", "filed_at", r8(F.col("signal_value")).alias("signal_value"))
 
 
 # ---------------------------------------------------------------- JON-02 QRY-09 QRY-10 SRT-08
@@ -337,8 +337,8 @@ def resolve_identity(spark, d):
 
 
 # ---------------------------------------------------------------- QRY-01 QRY-02 QRY-08
-@reg("lookups", sql("""SELECT kind, value FROM (SELECT 'name' AS kind, name AS value FROM (SELECT name FROM v_company WHERE is_active ORDER BY name LIMIT 1000)
- UNION ALL SELECT 'ticker', ticker FROM (SELECT ticker FROM v_company ORDER BY ticker LIMIT 1000))""", "v_company"))
+@reg("lookups", sql("""SELECT kind, value FROM (SELECT 'name' AS kind, name AS value FROM (SELECT name FROM v_company WHERE is_active)
+ UNION ALL SELECT 'ticker', ticker FROM (SELECT ticker FROM v_company))""", "v_company"))
 def lookups(spark, d):
     c = company(spark, d)
     a = R.companies(c, active_only=True).select(F.lit("name").alias("kind"), F.col("name").alias("value"))

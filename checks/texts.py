@@ -102,17 +102,20 @@ def url_canonical(spark, d):
 
 
 # ---------------------------------------------------------------- TXT-01 TXT-02
-_DROP = (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<!--.*?-->")
+# a page is a list of links, an advert, an article of a heading and paragraphs (some never closed), and a footer outside the blocks
+_DECODED = "x"
+for _a, _b in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_a}', '{_b}')"
+_PAGE = f"""SELECT page_id, list_filter(list_transform(list_concat(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), [regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)],
+ list_transform(string_split(regexp_replace(replace(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>', chr(1)), '<h1>', chr(1)), '<[^>]*>', ' ', 'g'), chr(1)), lambda x: x)),
+ lambda x: {_WS.format("regexp_replace(" + _DECODED + ", '" + _NONPRINT + "', ' ', 'g')")}), lambda x: length(x) >= 8) AS b FROM pages"""
 
 
-@reg("html_blocks", rf"""SELECT page_id, len(b) AS blocks, list_sum(list_transform(b, lambda x: length(x)))::BIGINT AS chars FROM (SELECT page_id, list_filter(list_transform(string_split(
- regexp_replace(regexp_replace(regexp_replace(html, '{_DROP}', ' ', 'g'), '(?i)</?(?:p|div|h1|h2|h3|h4|li)\b[^>]*>', chr(1), 'g'), '(?s)<[^>]*>', ' ', 'g'), chr(1)),
- lambda x: trim(regexp_replace(regexp_replace(html_unescape_min(x), '{_NONPRINT}', ' ', 'g'), '\s+', ' ', 'g'), ' ')), lambda x: length(x)>=8) AS b FROM pages)""".replace(
-    "html_unescape_min(x)", "replace(replace(replace(replace(replace(replace(replace(replace(x,'&copy;','©'),'&middot;','·'),'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&amp;','&')"))
+@reg("html_blocks", f"SELECT page_id, len(b) AS blocks, coalesce(list_sum(list_transform(b, lambda x: length(x))), 0)::BIGINT AS chars, md5(array_to_string(b, chr(10))) AS digest FROM ({_PAGE})")
 def html_blocks(spark, d):
     b = X.html_blocks(F.col("html"))
     return pages(spark, d).select("page_id", b.alias("b")).select("page_id", F.size("b").alias("blocks"), F.aggregate(
-        "b", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("chars"))
+        "b", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join("b", "\n")).alias("digest"))
 
 
 @reg("text_blocks", f"""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_WS.format("regexp_replace(x, '" + _NONPRINT + "', ' ', 'g')")}), lambda x: x<>'')) AS lines FROM documents""")
@@ -155,7 +158,8 @@ def headings(spark, d):
     return X.find_headings(X.annotate_blocks(_filings_from_documents(spark, d)), ["filing_id"]).select("filing_id", "item_code", "section")
 
 
-@reg("html_sections")
+@reg("html_sections", f"""SELECT page_id AS filing_id, page_id AS company_id, 'mda' AS section, 0::SMALLINT AS sequence_idx, t AS text, length(t) AS char_count
+ FROM (SELECT page_id, array_to_string(b, ' ') AS t FROM ({_PAGE})) WHERE length(t) >= 200""")
 def html_sections(spark, d):
     p = pages(spark, d).select(F.col("page_id").alias("filing_id"), F.col("page_id").alias("company_id"), F.lit("10-Q").alias("form_type"),
                                     F.concat(F.lit("<div>Item 2. Management Discussion</div>"), "html", F.lit("<p>Item 6. Exhibits</p>")).alias("raw_text"))
@@ -276,7 +280,7 @@ _PARA = f"""SELECT doc_id, u.p AS para, u.i AS pos FROM (SELECT doc_id, flatten(
 @reg("tone", sql(f"""SELECT doc_id AS filing_id, count(*) AS paragraph_count, count(p) AS paragraphs_scored, round(avg(p),8)+0e0 AS text_sentiment,
  round((coalesce(avg(q) FILTER (fwd), avg(q)) - coalesce(avg(p) FILTER (fwd), avg(p)) + 1)/2.0,8)+0e0 AS forward_pessimism
  FROM (SELECT *, regexp_matches(lower(para), '{'|'.join(WORDS)}') AS fwd, CASE WHEN length(para)%7<>0 THEN (length(para)%100)/101.0::DOUBLE END AS p, CASE WHEN length(para)%7<>0 THEN 1-(length(para)%100)/101.0::DOUBLE END AS q
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM pa) WHERE rn<=30) GROUP BY 1""", pa=_PARA))
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM pa)) GROUP BY 1""", pa=_PARA))
 def tone(spark, d):
     x = documents(spark, d).select(F.col("doc_id").alias("filing_id"), F.lit("mda").alias("section"), F.lit(0).alias("sequence_idx"), F.col("doc_id").alias("section_id"), "text")
     x = x.withColumn("text", F.regexp_replace("text", r"([.!?])\s+", "$1\n\n"))

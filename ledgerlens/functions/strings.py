@@ -1,11 +1,10 @@
 """Text scalars as Column expressions."""
-import html
+import html.entities
+import json
 import re
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from ledgerlens import policies as P
 
@@ -77,13 +76,12 @@ def is_forward_looking(x, keywords=P.FORWARD_LOOKING_KEYWORDS):
 
 
 def looks_like_html(x):
-    s = F.lower(F.substring(x, 1, 5000))
-    return s.contains("<html") | s.contains("<body") | s.contains("<div") | s.contains("<table")
+    """One of the tags html, body, div or table, wherever it stands."""
+    return x.rlike(r"(?i)<(?:html|body|div|table)\b")
 
 
 def looks_like_ownership_xml(x):
-    s = F.lower(F.substring(F.ltrim(x), 1, 500))
-    return s.startswith("<?xml") | s.contains("<ownershipdocument")
+    return x.rlike(r"(?i)^\s*<\?xml|<ownershipdocument\b")
 
 
 TOKEN_PATTERN = r"[A-Za-z][A-Za-z0-9']+"
@@ -151,10 +149,38 @@ def is_garbage(headline, summary):
             | F.coalesce((F.lower(h) == F.lower(F.trim(summary))) & (F.length(h) < 20), F.lit(False)))
 
 
-@pandas_udf(StringType())
-def unescape_entities(s: pd.Series) -> pd.Series:
-    """All named and numeric character references (the table has 2,231 entries)."""
-    return s.map(html.unescape, na_action="ignore")
+_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|[A-Za-z]{2,6}(?![A-Za-z0-9;=]))"
+_AMPERSANDS = ("&amp;", "&amp", "&AMP;", "&AMP", "&#38;", "&#38", "&#x26;", "&#X26;", "&#x26")
+
+
+@cache
+def _names():
+    """Named references, and the numbers that stand for the upper half of the Windows code page, as one JSON map."""
+    old = bytes(range(128, 160)).decode("cp1252", "replace")
+    return json.dumps({**{f"&{k}": v for k, v in html.entities.html5.items()}, **{f"&#{128 + k}": c for k, c in enumerate(old)}})
+
+
+def unescape_entities(x):
+    """Named and numeric character references decoded in the JVM; what is none stays. An ampersand is a mark of the
+    private use area until all are done, so that what it uncovers is not decoded again."""
+    names = F.from_json(F.lit(_names()), "map<string,string>")
+
+    def decoded(r):
+        bare = F.rtrim(r, F.lit(";"))
+        number = F.when(F.lower(F.substring(r, 1, 3)) == "&#x", F.conv(F.substring(bare, 4, 6), 16, 10)).otherwise(F.substring(bare, 3, 7)).try_cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
+        by_number = F.when(number.between(128, 159), F.try_element_at(names, F.concat(F.lit("&#"), number.cast("string")))).otherwise(char)
+        return F.when(F.substring(r, 1, 2) == "&#", by_number).otherwise(F.coalesce(F.try_element_at(names, r), r))
+
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)))
+    is_and = lambda r: r.isin(*_AMPERSANDS)
+    ordered = F.concat(F.filter(found, lambda r: ~is_and(r)), F.filter(found, is_and))
+    # a reference without its semicolon may be part of a longer one: longest first
+    ordered = F.transform(F.array_sort(F.transform(ordered, lambda r, i: F.struct(is_and(r).alias("last"), (-F.length(r)).alias("size"), i.alias("i"), r.alias("r")))), lambda s: s["r"])
+    mark = "\ue0ff"
+    text = F.aggregate(ordered, x, lambda acc, r: F.replace(acc, r, F.when(is_and(r), F.lit(mark)).otherwise(decoded(r))))
+    return F.when(F.contains(x, F.lit("&")), F.replace(text, F.lit(mark), F.lit("&"))).otherwise(x)
 
 
 def strip_tags(x):

@@ -42,6 +42,7 @@ def score_news(scored: DataFrame, model="tone-model") -> DataFrame:
             .drop("positive", "negative", "neutral"))
 
 
-def model_text(news: DataFrame) -> DataFrame:
-    return news.withColumn("model_text", F.substring(T.article_text(F.col("headline"), F.col("summary")), 1,
-                                                     P.NEWS_TEXT_CHARS))
+def model_text(news: DataFrame, chars=None) -> DataFrame:
+    """The text a scorer sees, whole or its first `chars` characters."""
+    text = T.article_text(F.col("headline"), F.col("summary"))
+    return news.withColumn("model_text", F.substring(text, 1, chars) if chars else text)

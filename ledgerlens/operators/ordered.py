@@ -53,6 +53,20 @@ class Order:
         return Order(F.unix_date(c.cast("date")).cast("bigint"), t.cast("bigint"))
 
 
+def _exact(c):
+    """A 64-bit integer with room for differences: positions may be hashes or scaled scores."""
+    return F.col(c).cast("decimal(20,0)")
+
+
+def _width(low, high, hot_rows):
+    """How many positions of a range hold about `hot_rows` of its n rows."""
+    return F.greatest(F.lit(1), F.floor((_exact(high) - _exact(low) + 1).cast("double") / F.col("n") * hot_rows)).cast("decimal(20,0)")
+
+
+def _slot(position, low, width):
+    return F.floor((_exact(position) - _exact(low)) / F.col(width)).cast("bigint")
+
+
 def segmented(df: DataFrame, keys, order: Order, hot_rows) -> DataFrame:
     """Adds the position columns and the segment; only hot keys have more than one."""
     df = df.withColumns({UNIT: order.unit, TIE: order.tie})
@@ -65,13 +79,11 @@ def segmented(df: DataFrame, keys, order: Order, hot_rows) -> DataFrame:
                 .agg(F.sum("n").alias("n"), F.min(UNIT).alias("u0"), F.max(UNIT).alias("u1"))
                 .where(F.col("n") > hot_rows)
                 .select(*keys, F.col("u0").alias("__u0"),
-                        F.greatest(F.lit(1), F.floor((F.col("u1") - F.col("u0") + 1) * F.lit(hot_rows)
-                                                     / F.col("n"))).cast("bigint").alias("__width")))
-    slot = F.floor((F.col(UNIT) - F.col("__u0")) / F.col("__width"))
+                        _width("u0", "u1", hot_rows).alias("__width")))
+    slot = _slot(UNIT, "__u0", "__width")
     hot_units = (per_unit.where(F.col("n") > hot_rows)
                  .select(*keys, UNIT, F.col("lo").alias("__lo"),
-                         F.greatest(F.lit(1), F.floor((F.col("hi") - F.col("lo") + 1) * F.lit(hot_rows)
-                                                      / F.col("n"))).cast("bigint").alias("__tw")))
+                         _width("lo", "hi", hot_rows).alias("__tw")))
     # a slot holding a hot unit is cut at every unit, and the hot unit itself along the tie
     hot_slots = (hot_units.join(F.broadcast(hot_keys), list(keys))
                  .select(*keys, slot.alias("__slot"), F.lit(True).alias("__cut")).distinct())
@@ -81,7 +93,7 @@ def segmented(df: DataFrame, keys, order: Order, hot_rows) -> DataFrame:
     seg = F.when(F.col("__width").isNull(), F.expr(_PLAIN)).otherwise(F.struct(
         F.col("__slot").alias("s"),
         F.when(F.col("__cut"), F.col(UNIT)).otherwise(F.lit(0)).cast("bigint").alias("u"),
-        F.when(F.col("__tw").isNotNull(), F.floor((F.col(TIE) - F.col("__lo")) / F.col("__tw")))
+        F.when(F.col("__tw").isNotNull(), _slot(TIE, "__lo", "__tw"))
         .otherwise(F.lit(0)).cast("bigint").alias("t")))
     return (out.withColumn(SEG, seg).withColumn("__hot", F.col("__width").isNotNull())
             .drop("__u0", "__width", "__lo", "__tw", "__slot", "__cut"))

@@ -3,9 +3,11 @@
 A job keeps its tables under one `root` folder. Stages hand over through written tables, not
 through long lineage, so a lost executor or a failed stage repeats one stage only.
 """
+import json
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ledgerlens import policies as P
 from ledgerlens.operators import aggregates as A, news as N, text as X, upsert as U
@@ -42,10 +44,25 @@ class Store:
         return self.spark.read.schema(TABLES["pipeline_events"]).parquet(self.path("pipeline_events"))
 
 
-def _positioned(df):
-    # order inside one landed batch; ties are settled by content so that a rerun agrees
-    return df.withColumn("position", F.struct(*[F.col(c) for c in df.columns if c in ("retrieved_at",)],
-                                              F.xxhash64(*[c for c in df.columns if df.schema[c].dataType.typeName() != "variant"])))
+def _landed(df):
+    """Batch rows with the number they landed with: the caller's `landed`, else the order in which they are read."""
+    return df if "landed" in df.columns else df.withColumn("landed", F.monotonically_increasing_id())
+
+
+def _batch(rows, table):
+    """Rows in the table's columns, with their position in the batch; the last of a key wins."""
+    return conform(rows, StructType([*TABLES[table].fields, StructField("position", rows.schema["position"].dataType)]))
+
+
+def _take(store, table, rows, event, layer, step, at, failed=None):
+    """Upserts a batch and writes its summary, with what failed, into the event. Returns the summary."""
+    src = _batch(rows, table)
+    keys = U.KEYS[table]
+    summary = U.upsert_summary(store.read(table), src, keys, "position").first().asDict()
+    store.upsert(table, src, "position")
+    detail = {"step": step, **summary, "failed": failed or []}
+    store.event(event, layer, F.lit(json.dumps(detail)), at)
+    return detail
 
 
 # ---------------------------------------------------------------- signals
@@ -181,11 +198,10 @@ def run_insiders(store: Store, documents: DataFrame, at):
     f = store.read("filings").where(F.col("form_type").isin(*P.INSIDER_FORMS)
                                     & ~F.coalesce("is_form4_parsed", F.lit(False)))
     c = store.read("companies").select("company_id", "cik", "ticker", F.col("name").alias("issuer_name"))
-    docs = (f.join(documents, "filing_id").join(c, "company_id").withColumn("source_url", F.lit(None).cast("string")))
+    docs = (f.join(_landed(documents), "filing_id").join(c, "company_id").withColumn("source_url", F.lit(None).cast("string")))
     rows = xml_payloads.insider_transactions(docs)
-    rows = rows.withColumn("transaction_id", F.xxhash64("transaction_uid")).withColumn(
-        "position", F.xxhash64("transaction_uid"))
-    src = conform(rows, TABLES["insider_transactions"]).withColumn("position", F.xxhash64("transaction_uid"))
+    rows = rows.withColumn("transaction_id", F.xxhash64("transaction_uid")).join(docs.select("filing_id", "landed"), "filing_id")
+    src = _batch(rows.withColumn("position", F.struct("landed", "transaction_uid")), "insider_transactions")
     store.replace("insider_transactions", U.upsert_insider(store.read("insider_transactions"), src, "position"))
     done = store.read("insider_transactions").select("filing_id").distinct().withColumn("__ok", F.lit(True))
     j = store.read("filings").join(done, "filing_id", "left")
@@ -196,14 +212,13 @@ def run_insiders(store: Store, documents: DataFrame, at):
 
 
 def run_news(store: Store, raw: DataFrame, at, scorer=None):
-    news = files.normalise_news(raw, at)
+    """Returns selected, deduped_in_batch, inserted, updated and stored."""
+    news = files.normalise_news(_landed(raw), at)
     c = store.read("companies").select("company_id", "ticker")
     news = N.model_text(news.join(c, "ticker"))
     if scorer is not None:
         news = N.score_news(N.apply_scorer(news, "model_text", scorer))
-    src = _positioned(conform(news, TABLES["news_items"]))
-    store.upsert("news_items", src, "position")
-    store.event("news_ingested", "polling", F.lit('{"step":"news"}'), at)
+    return _take(store, "news_items", news.withColumn("position", F.col("landed")), "news_ingested", "polling", "news", at)
 
 
 def run_news_backfill(store: Store, scorer, at):
@@ -232,16 +247,18 @@ def market_symbol(ticker, symbol=None):
 
 
 def run_prices(store: Store, payloads: DataFrame, at, start=None, end=None):
-    """payloads: ticker, provider, payload. Fails when the range holds no row."""
-    rows = json_payloads.price_chart(payloads)
+    """payloads: ticker, provider, payload. A payload with an error costs its ticker only, which the summary
+    names as failed. Fails when the range holds no row at all."""
+    rows = json_payloads.price_chart(_landed(payloads), strict=False)
+    failed = payloads.select("ticker").distinct().join(rows.select("ticker").distinct(), "ticker", "left_anti")
     if start or end:
         lo, hi = price_range(end, start)
         rows = rows.where(F.col("trading_date").between(F.lit(lo), F.lit(hi)))
     rows = rows.join(store.read("companies").select("company_id", "ticker"), "ticker").withColumn("retrieved_at", at)
     if rows.isEmpty():
         raise ValueError("no market price rows in the payloads")
-    store.upsert("market_prices", _positioned(conform(rows, TABLES["market_prices"])), "position")
-    store.event("market_prices_ingested", "polling", F.lit('{"step":"prices"}'), at)
+    lost = sorted(r.ticker for r in failed.where("ticker is not null").collect())  # one name a payload, of one request batch
+    return _take(store, "market_prices", rows, "market_prices_ingested", "polling", "prices", at, lost)
 
 
 def run_macro(store: Store, meta: DataFrame, observations: DataFrame, at, series=P.DEFAULT_MACRO_SERIES) -> DataFrame:
@@ -249,9 +266,8 @@ def run_macro(store: Store, meta: DataFrame, observations: DataFrame, at, series
     wanted = [s.strip().upper() for s in series if s.strip()]
     if not wanted:
         raise ValueError("give at least one series")
-    rows = json_payloads.macro_series(meta, observations).where(F.col("series_id").isin(*wanted)).withColumn("retrieved_at", at)
-    store.upsert("macro_observations", _positioned(conform(rows, TABLES["macro_observations"])), "position")
-    store.event("macro_observations_ingested", "polling", F.lit('{"step":"macro"}'), at)
+    rows = json_payloads.macro_series(meta, _landed(observations)).where(F.col("series_id").isin(*wanted)).withColumn("retrieved_at", at)
+    _take(store, "macro_observations", rows, "macro_observations_ingested", "polling", "macro", at)
     return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("fetched"))
 
 

@@ -61,10 +61,10 @@ def volatility(returns: DataFrame, hot_rows=O.AUTO) -> DataFrame:
 
 
 def price_counts(prices, hot_rows=O.AUTO):
-    """Price rows up to each row, counted to 252 at most (all that confidence needs)."""
+    """Price rows up to each row."""
     order = O.Order.by_day("trading_date", "price_id")
-    return O.trailing(prices.where(F.col("price").isNotNull()), ["company_id"], order, 251,
-                      lambda w: {"price_count": F.count("price").over(w.rowsBetween(-251, 0))}, hot_rows)
+    d = O.running(prices.where(F.col("price").isNotNull()), ["company_id"], order, {"price_count": F.lit(1)}, inclusive=True, hot_rows=hot_rows)
+    return d.withColumn("price_count", F.col("price_count").cast("bigint"))
 
 
 def valuation(anchors: DataFrame, companies: DataFrame, filings_with_income: DataFrame, prices: DataFrame,

@@ -1,4 +1,4 @@
-"""Read queries over the stored tables. Limits are page sizes, the feature itself."""
+"""Read queries over the stored tables, whole; a limit, where one is given, is a page size."""
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens import policies as P
@@ -11,35 +11,45 @@ FILING_SNAPSHOT = ("filing_id", "accession_number", "form_type", "filed_at", "pe
                    "is_xbrl_parsed", "is_embedded", "is_signal_scored", "processing_status")
 
 
-def page(limit, low=1, high=10_000):
-    if not low <= limit <= high:
-        raise ValueError(f"limit must lie in [{low}, {high}]")
+def page(limit):
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     return limit
 
 
-def companies(df: DataFrame, active_only=False, limit=1000) -> DataFrame:
+def paged(df: DataFrame, order, limit) -> DataFrame:
+    """df in order, the first `limit` rows if one is given."""
+    page(limit)
+    return df.orderBy(*order) if limit is None else df.orderBy(*order).limit(limit)
+
+
+def paged_per_key(df: DataFrame, keys, order, limit) -> DataFrame:
+    """The first `limit` rows of each key if one is given; else all, which need no order."""
+    return df if page(limit) is None else top_per_key(df, keys, order, limit)
+
+
+def companies(df: DataFrame, active_only=False, limit=None) -> DataFrame:
     d = df.where("is_active") if active_only else df
-    return d.orderBy("name", "company_id").limit(page(limit)).select("name", "ticker", "cik", "is_active")
+    return paged(d, ["name", "company_id"], limit).select("name", "ticker", "cik", "is_active")
 
 
-def tickers(df: DataFrame, active_only=False, limit=1000) -> DataFrame:
+def tickers(df: DataFrame, active_only=False, limit=None) -> DataFrame:
     d = df.where("is_active") if active_only else df
-    return d.select("ticker").orderBy("ticker").limit(page(limit)).where(F.coalesce(F.col("ticker"), F.lit("")) != "")
+    return paged(d.select("ticker"), ["ticker"], limit).where(F.coalesce(F.col("ticker"), F.lit("")) != "")
 
 
-def filings(df: DataFrame, company_id=None, form_type=None, limit=50) -> DataFrame:
-    """Snapshots newest first; without a company the newest `limit` of every company."""
+def filings(df: DataFrame, company_id=None, form_type=None, limit=None) -> DataFrame:
+    """Snapshots newest first; without a company, and with a limit, the newest so many of every company."""
     d = df.where(F.col("form_type") == form_type.upper()) if form_type else df
     order = [F.col("filed_at").desc(), F.col("filing_id").desc()]
     if company_id is None:
-        return top_per_key(d, ["company_id"], order, page(limit)).select("company_id", *FILING_SNAPSHOT)
-    return d.where(F.col("company_id") == company_id).orderBy(*order).limit(page(limit)).select(*FILING_SNAPSHOT)
+        return paged_per_key(d, ["company_id"], order, limit).select("company_id", *FILING_SNAPSHOT)
+    return d.where(F.col("company_id") == company_id).transform(paged, order, limit).select(*FILING_SNAPSHOT)
 
 
-def pending(df: DataFrame, flag, limit=100) -> DataFrame:
+def pending(df: DataFrame, flag, limit=None) -> DataFrame:
     """Work not done yet, newest first."""
-    return df.where(~F.coalesce(F.col(flag), F.lit(False))).orderBy(
-        F.col("filed_at").desc(), F.col("filing_id").desc()).limit(page(limit))
+    return paged(df.where(~F.coalesce(F.col(flag), F.lit(False))), [F.col("filed_at").desc(), F.col("filing_id").desc()], limit)
 
 
 def signal_row(signals: DataFrame, filings: DataFrame) -> DataFrame:
@@ -51,7 +61,7 @@ def signal_row(signals: DataFrame, filings: DataFrame) -> DataFrame:
         "detail", J.detail_shape(F.col("detail")))
 
 
-def signals(signals_df, filings_df, company_id=None, signal_name=None, form_type=None, limit=50) -> DataFrame:
+def signals(signals_df, filings_df, company_id=None, signal_name=None, form_type=None, limit=None) -> DataFrame:
     d = signal_row(signals_df, filings_df)
     if company_id is not None:
         d = d.where(F.col("company_id") == company_id)
@@ -61,16 +71,16 @@ def signals(signals_df, filings_df, company_id=None, signal_name=None, form_type
         d = d.where(F.col("form_type") == form_type.upper())
     order = [F.col("filed_at").desc(), F.col("computed_at").desc(), F.col("filing_id").desc(), F.col("signal_name").asc()]
     if company_id is None:
-        return top_per_key(d, ["company_id"], order, page(limit, 1, 500))
-    return d.orderBy(*order).limit(page(limit, 1, 500))
+        return paged_per_key(d, ["company_id"], order, limit)
+    return paged(d, order, limit)
 
 
-def signal_history(signals_df, filings_df, limit=200) -> DataFrame:
-    """The fused score over time, oldest first, per company."""
+def signal_history(signals_df, filings_df, limit=None) -> DataFrame:
+    """The fused score over time per company; with a limit, the newest so many."""
     d = signals_df.where(F.col("signal_name") == "composite_filing_risk").join(
         filings_df.select("filing_id", "accession_number", "form_type", "filed_at", "period_of_report"), "filing_id")
-    return top_per_key(d, ["company_id"], [F.col("filed_at").asc(), F.col("filing_id").asc(), F.col("computed_at").asc()],
-                       page(limit, 1, 1000)).select(
+    return paged_per_key(d, ["company_id"], [F.col("filed_at").desc(), F.col("filing_id").desc(), F.col("computed_at").desc()],
+                         limit).select(
         "company_id", "filing_id", "accession_number", "form_type", "filed_at", "period_of_report", "signal_value",
         "computed_at")
 

@@ -132,16 +132,17 @@ def drift_signals(features: DataFrame, name: str, computed_at) -> DataFrame:
 
 
 # ---------------------------------------------------------------- tone
-def tone_paragraphs(sections: DataFrame, limit=P.TONE_MAX_PARAGRAPHS, keywords=P.FORWARD_LOOKING_KEYWORDS) -> DataFrame:
-    """The first `limit` paragraphs per filing of the tone sections, with the forward-looking flag and
-    the text a scorer sees. The limit is the operator's definition, not a shortcut."""
+def tone_paragraphs(sections: DataFrame, limit=None, keywords=P.FORWARD_LOOKING_KEYWORDS, chars=None) -> DataFrame:
+    """The paragraphs of the tone sections (with a `limit`, the first so many per filing), with the
+    forward-looking flag and the text a scorer sees, whole or its first `chars` characters."""
     d = X.with_paragraphs(sections.where(F.col("section").isin(*P.TONE_SECTIONS)))
     p = d.select("filing_id", "section", "sequence_idx", "section_id", F.posexplode_outer("paragraphs").alias("pos", "text"))
     p = p.where(F.col("text").isNotNull())
-    p = top_per_key(p, ["filing_id"], [F.col(c).asc() for c in ("sequence_idx", "section_id", "pos")], limit)
+    if limit is not None:
+        p = top_per_key(p, ["filing_id"], [F.col(c).asc() for c in ("sequence_idx", "section_id", "pos")], limit)
     fwd = (F.col("section") == "forward_looking") | T.is_forward_looking(F.col("text"), keywords)
     return (p.withColumn("is_forward_looking", fwd)
-            .withColumn("model_text", F.substring("text", 1, P.TONE_TEXT_CHARS)))
+            .withColumn("model_text", F.substring("text", 1, chars) if chars else F.col("text")))
 
 
 def tone_features(scored: DataFrame, key="filing_id", order=("sequence_idx", "section_id", "pos")) -> DataFrame:

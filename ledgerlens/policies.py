@@ -32,9 +32,6 @@ DRIFT_HISTORY_MIN = 3
 DRIFT_HISTORY_MIN_STD = 0.005
 DRIFT_Z_CAP = 2.0
 TONE_SECTIONS = ("mda", "forward_looking")
-TONE_MAX_PARAGRAPHS = 30
-TONE_TEXT_CHARS = 1500
-NEWS_TEXT_CHARS = 1200
 
 # --- chunking ----------------------------------------------------------------
 CHUNK_TARGET = 1500
@@ -57,7 +54,6 @@ FORWARD_SECTION_PHRASES = (
 STOP_PHRASES = (r"\bsignatures\b", r"\bexhibit\s+index\b")
 HEADING_MAX_CHARS = 220
 SECTION_MIN_CHARS = 200
-SECTION_MAX_CHARS = 300_000
 BLOCK_MIN_CHARS = 8
 
 # --- numbers -----------------------------------------------------------------
@@ -111,7 +107,6 @@ BALANCE_WEIGHTS = {"leverage_score": 0.35, "cash_score": 0.30, "cf_quality_score
 EARNINGS_WEIGHTS = {"accruals_score": 0.45, "cash_conversion_score": 0.35, "consistency_score": 0.20}
 CONSISTENCY_WEIGHTS = {"cash_conversion_shift": 0.60, "accruals_shift": 0.40}
 HISTORY_LIMIT = 8
-QUARTER_CANDIDATES = 32
 ANOMALY_METRICS = ("gross_margin", "operating_margin", "revenue_growth", "debt_to_equity")
 ANOMALY_MIN_HISTORY = 4
 ANOMALY_MIN_STD = 0.001

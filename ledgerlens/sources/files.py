@@ -28,7 +28,8 @@ def normalise_news(raw: DataFrame, retrieved_at=None, unescape=T.unescape_entiti
         (retrieved_at if retrieved_at is not None else F.current_timestamp()).alias("retrieved_at"),
         F.coalesce(txt("source_name") if "source_name" in raw.columns else F.lit(None).cast("string"), F.lit("rss")).alias("source_name"),
         (txt("sentiment_label") if "sentiment_label" in raw.columns else F.lit(None).cast("string")).alias("sentiment_label"),
-        (F.col("raw_json") if "raw_json" in raw.columns else F.lit(None).cast("string")).alias("raw_json"))
+        (F.col("raw_json") if "raw_json" in raw.columns else F.lit(None).cast("string")).alias("raw_json"),
+        *(["landed"] if "landed" in raw.columns else []))
     d = d.na.drop(subset=["ticker", "headline", "url", "published_at"])
     d = d.where(~T.is_garbage(F.col("headline"), F.col("summary")))
     d = d.withColumn("summary", F.when(F.col("summary") != F.col("headline"), F.col("summary")))

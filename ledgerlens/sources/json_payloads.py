@@ -45,11 +45,11 @@ def company_meta(df: DataFrame, payload="payload", cik="cik") -> DataFrame:
                     F.get("s.exchanges", F.lit(0)).alias("exchange"))
 
 
-def filing_index(df: DataFrame, payload="payload", cik="cik", forms=None, limit=20) -> DataFrame:
-    """Parallel arrays -> the first `limit` supported filings per company in source order. The
+def filing_index(df: DataFrame, payload="payload", cik="cik", forms=None, limit=None) -> DataFrame:
+    """Parallel arrays -> the supported filings per company (with a `limit`, the first so many) in source order. The
     shortest mandatory array sets the length; optional ones may be shorter. The limit is applied
     inside the payload's own array, so no shuffle."""
-    if limit <= 0:
+    if limit is not None and limit <= 0:
         return filing_index(df, payload, cik, forms, 1).limit(0)
     s = F.from_json(payload, _SUBMISSION)
     d = df.select(T.pad10(F.trim(F.col(cik))).alias("cik"), s.alias("s")).select(
@@ -65,7 +65,7 @@ def filing_index(df: DataFrame, payload="payload", cik="cik", forms=None, limit=
     ok = F.filter(rows, lambda r: (F.coalesce(r["accession_number"], F.lit("")) != "") & r["filed_at"].isNotNull()
                   & r["form_type"].isin(*wanted))
     return (d.where(n > 0).select("cik", F.upper(F.trim("tk")).alias("ticker"),
-                                  F.posexplode_outer(F.slice(ok, 1, limit)).alias("position", "r"))
+                                  F.posexplode_outer(F.slice(ok, 1, limit) if limit else ok).alias("position", "r"))
             .select("cik", "ticker", "position", "r.*")
             .where(F.col("accession_number").isNotNull())
             .withColumn("document_url", T.document_url(F.col("cik"), F.col("accession_number"),
@@ -122,12 +122,18 @@ _CHART = ("chart struct<error:string,result:array<struct<timestamp:array<bigint>
           "volume:array<bigint>>>,adjclose:array<struct<adjclose:array<double>>>>>>>")
 
 
+def _landed(df):
+    """The sequence number a payload landed with; 0 where none is kept."""
+    return (F.col("landed") if "landed" in df.columns else F.lit(0)).cast("bigint").alias("landed")
+
+
 def price_chart(df: DataFrame, payload="payload", symbol="ticker", provider="provider", strict=True) -> DataFrame:
     """Daily rows from a chart payload. Errors in the payload fail the job when `strict`, else the
-    payload gives no rows."""
+    payload gives no rows. `position` is the place of a row: its payload's `landed` number, if there
+    is one, and its index in the payload."""
     c = F.from_json(payload, _CHART)["chart"]
-    d = df.select(F.col(symbol).alias("ticker"), F.col(provider).alias("provider"), c.alias("c")).select(
-        "ticker", "provider", F.col("c.error").alias("err"), F.get("c.result", F.lit(0)).alias("r"))
+    d = df.select(F.col(symbol).alias("ticker"), F.col(provider).alias("provider"), _landed(df), c.alias("c")).select(
+        "ticker", "provider", "landed", F.col("c.error").alias("err"), F.get("c.result", F.lit(0)).alias("r"))
     q = F.get("r.indicators.quote", F.lit(0))
     adj = F.get("r.indicators.adjclose", F.lit(0))["adjclose"]
     empty = F.coalesce(F.size("r.timestamp") < 1, F.lit(True)) | q.isNull()
@@ -139,19 +145,19 @@ def price_chart(df: DataFrame, payload="payload", symbol="ticker", provider="pro
     else:
         d = d.where(F.col("err").isNull())
     d = d.where(F.col("r").isNotNull() & ~empty)
-    d = d.select("ticker", "provider", q.alias("q"), adj.alias("adj"),
+    d = d.select("ticker", "provider", "landed", q.alias("q"), adj.alias("adj"),
                  F.posexplode_outer("r.timestamp").alias("i", "epoch")).where(F.col("epoch").isNotNull())
     at = lambda c: F.get(F.col(c), F.col("i"))
     rows = d.select("ticker", D.epoch_date(F.col("epoch")).alias("trading_date"), at("q.open").alias("open"),
                     at("q.high").alias("high"), at("q.low").alias("low"), at("q.close").alias("close"),
                     F.coalesce(at("adj"), at("q.close")).alias("adjusted_close"), at("q.volume").alias("volume"),
-                    "provider")
+                    "provider", F.struct("landed", F.col("i").alias("index")).alias("position"))
     return rows.where(F.coalesce(*[F.col(c).cast("double") for c in ("open", "high", "low", "close", "volume")]).isNotNull())
 
 
 def macro_series(meta: DataFrame, observations: DataFrame, payload="payload", series="series_id",
                  provider="provider") -> DataFrame:
-    """Series metadata onto its observations; "." and unreadable values dropped."""
+    """Series metadata onto its observations; "." and unreadable values dropped. `position` as in `price_chart`."""
     m = F.get(F.from_json(payload, "seriess array<struct<id:string,title:string,frequency:string,units:string>>")["seriess"],
               F.lit(0))
     text = lambda c: T.blank_to_null(F.trim(c))
@@ -159,11 +165,11 @@ def macro_series(meta: DataFrame, observations: DataFrame, payload="payload", se
         "__s", F.coalesce("m.id", "__s").alias("series_id"), text(F.col("m.frequency")).alias("frequency"),
         text(F.col("m.units")).alias("units"), text(F.col("m.title")).alias("title"))
     o = F.from_json(payload, "observations array<struct<date:string,value:string>>")["observations"]
-    obs = observations.select(F.col(series).alias("__s"), F.col(provider).alias("provider"), F.explode_outer(o).alias("o")).select(
-        "__s", "provider", D.iso_date(F.col("o.date")).alias("observation_date"),
+    obs = observations.select(F.col(series).alias("__s"), F.col(provider).alias("provider"), _landed(observations), F.posexplode_outer(o).alias("i", "o")).select(
+        "__s", "provider", F.struct("landed", F.col("i").alias("index")).alias("position"), D.iso_date(F.col("o.date")).alias("observation_date"),
         T.plain_number(F.when(F.trim("o.value") != ".", F.col("o.value"))).alias("value"))
     return (obs.where(F.col("observation_date").isNotNull() & F.col("value").isNotNull()).join(head, "__s")
-            .select("series_id", "observation_date", "value", "provider", "frequency", "units", "title"))
+            .select("series_id", "observation_date", "value", "provider", "frequency", "units", "title", "position"))
 
 
 def ranked_xml_documents(df: DataFrame, payload="payload", primary="primary_document", key="accession_number") -> DataFrame:

@@ -229,6 +229,12 @@ def test_source_jobs(spark, tmp_path):
     assert store.read("market_prices").count() == 1
     with pytest.raises(ValueError):
         J.run_prices(store, prices, at(), start=date(2025, 1, 1), end=date(2025, 2, 1))
+    same = [{"timestamp": [1713398400] * 6, "indicators": {"quote": [{"open": [1.0] * 6, "close": [float(k) for k in range(6)], "volume": [5] * 6}], "adjclose": []}}]
+    batch = spark.createDataFrame([("ACM", "z", json.dumps({"chart": {"result": same}})), ("BAD", "z", json.dumps({"chart": {"result": None, "error": "gone"}}))],
+                                  "ticker string, provider string, payload string")
+    done = J.run_prices(store, batch, at())  # the last of a key wins, a bad payload costs its ticker only
+    assert (done["selected"], done["stored"], done["failed"]) == (6, 1, ["BAD"])
+    assert store.read("market_prices").where("provider = 'z'").first().close == 5
     meta = spark.createDataFrame([("UNRATE", json.dumps({"seriess": [{"id": "UNRATE", "title": "t"}]}))], "series_id string, payload string")
     obs = spark.createDataFrame([("UNRATE", "f", json.dumps({"observations": [{"date": "2024-01-01", "value": "3.7"}, {"date": "2024-02-01", "value": "."}]}))], "series_id string, provider string, payload string")
     assert J.run_macro(store, meta, obs, at()).first().fetched == 1 and store.read("macro_observations").count() == 1

@@ -53,6 +53,16 @@ def test_asof_equals_brute_force(spark, strict, hot_day):
         assert sorted((r["id"], r["asof"]["id"] if r["asof"] else None) for r in got.collect()) == sorted(want)
 
 
+def test_hashed_ties_and_scaled_scores_do_not_overflow(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("tie"), (F.col("id") % 900 / 900).alias("s"), F.lit("2024-01-05").cast("date").alias("day"))
+    order = O.Order.by_day("day", "tie")
+    run = lambda hot: O.running(df, ["k"], order, {"n": F.lit(1)}, hot_rows=hot).agg(F.sum("n"), F.max("n"), F.count_distinct("n")).first()
+    assert run(2000) == run(None)
+    from ledgerlens.operators.similarity import top_k_mean
+    top = lambda hot: [round(v, 9) for v in top_k_mean(df.withColumn("id", F.monotonically_increasing_id()), ["k"], "s", "id", hot_rows=hot).first()[1:4]]
+    assert top(20_000) == top(None)
+
+
 def test_segments_spread_a_hot_unit(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), "id", F.lit("2024-01-05").cast("date").alias("day"))
     s = O.segmented(df, ["k"], O.Order.by_day("day", "id"), 100)

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import strings as T
 from ledgerlens.operators import aggregates as A, similarity as M, text as X
 from ledgerlens.plans import text_signals as TS
 
@@ -190,3 +191,32 @@ def test_exact_median(spark):
     for hot in (None, 100, 400):
         got = {x.k: x.median for x in A.exact_median(df, ["k"], "v", hot_rows=hot).collect()}
         assert got == {k: statistics.median(v for q, v in rows if q == k) for k in "abc"}
+
+
+def test_hidden_subtrees_loose_text_and_references(spark):
+    import html as H
+    pages = ['<div style="display:none"><div>inner one</div>outer hidden</div><p>shown text</p>loose text here<table><td>cell cell cell</td></table>',
+             "<div>before it <b>bold</b> after<p>para one two</p>tail of div</div>",
+             "<article><p>never closed one<p>never closed two</article><footer>the footer text</footer>",
+             "<!-- a long licence --><p hidden>not shown at all</p><h1>A heading &amp; more</h1><br><li>list item one<li>list item two"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, x string")
+    got = {r.i: r.b for r in df.select("i", X.html_blocks(F.col("x")).alias("b")).collect()}
+    assert got == {0: ["shown text"], 1: ["before it bold after", "para one two", "tail of div"], 2: ["never closed one", "never closed two"],
+                   3: ["A heading & more", "list item one", "list item two"]}
+    texts = ["a &eacute; &#39;b&#39;", "&amp;lt; &lt; &#38;amp; &copy 2020 &copy; AT&T &#8212; &#x1F600; &#150; &bogus; &#0; &notin; &not in &amp", "none", "&&amp;&"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert [r[0] for r in df.select(T.unescape_entities(F.col("x"))).collect()] == [H.unescape(t) for t in texts]
+
+
+def test_markup_after_a_long_prefix_is_found(spark):
+    long = "x" * 9000
+    df = spark.createDataFrame([(f"<!-- {long} --><html>", True), (long + " <DIV class=a>", True), (long + " a < b <tablet", False)], "x string, want boolean")
+    assert all(r[0] == r[1] for r in df.select(T.looks_like_html(F.col("x")), "want").collect())
+
+
+def test_long_sections_are_whole(spark):
+    body = " ".join(f"sentence {i} of a very long section." for i in range(12_000))
+    df = spark.createDataFrame([(1, 1, "10-K", f"Item 1. Business\n{body}\nItem 2. Properties\n")], "filing_id long, company_id long, form_type string, raw_text string")
+    row = X.section_rows(X.split_sections(df)).first()
+    assert row.char_count == len(body) > 300_000
+    assert X.section_rows(X.split_sections(df, cap=500)).first().char_count == len(body)  # the block that crosses the cap is the last one
