@@ -101,52 +101,76 @@ def insider_transactions(df: DataFrame, xml="xml") -> DataFrame:
 
 
 # ---------------------------------------------------------------- tagged facts inside a filing
-def _scan(spark, path, tag, ddl):
-    return (spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").schema(ddl).load(path)
-            .withColumn("path", F.col("_metadata.file_path")))
+#: What the namespaces of tagged facts have in common, and the prefixes they usually have.
+_NAMESPACES = {"ix": r"http://www\.xbrl\.org/20\d\d/inlineXBRL", "xbrli": r"http://www\.xbrl\.org/2003/instance", "xbrldi": r"http://xbrl\.org/2006/xbrldi"}
+_FACT = "_VALUE string, _name string, _contextRef string, _unitRef string, _decimals string, _scale string, _sign string"
+_CONTEXT = ("_id string, xbrli_entity struct<xbrli_segment: string>, xbrli_scenario string, xbrldi_explicitMember string, xbrldi_typedMember string, "
+            "xbrli_period struct<xbrli_instant: string, xbrli_startDate: string, xbrli_endDate: string>")
+_UNIT = ("_id string, xbrli_measure string, xbrli_divide struct<xbrli_unitNumerator: struct<xbrli_measure: string>, "
+         "xbrli_unitDenominator: struct<xbrli_measure: string>>")
+
+
+def _plain_prefixes(x):
+    """Element names of the fact namespaces as ix_, xbrli_ and xbrldi_, whatever prefixes a document declares for them."""
+    for plain, uri in _NAMESPACES.items():
+        declared = F.regexp_extract_all(x, F.lit(rf"""xmlns:([A-Za-z_][\w.-]*)\s*=\s*["']{uri}"""), F.lit(1))
+        names = F.array_join(F.transform(F.array_distinct(F.concat(declared, F.array(F.lit(plain)))), lambda n: F.regexp_replace(n, r"([.])", r"\\$1")), "|")
+        x = F.regexp_replace(x, F.concat(F.lit("<(/?)(?:"), names, F.lit("):")), F.lit(f"<$1{plain}_"))
+    return x
+
+
+def _elements(x, tag, schema):
+    """All elements of a name, parsed."""
+    return F.transform(F.regexp_extract_all(x, F.lit(rf"(?s)<{tag}\b(?:[^>]*/>|.*?</{tag}\s*>)"), F.lit(0)), lambda e: F.from_xml(e, schema))
 
 
 def inline_facts(spark, path, filings: DataFrame, taxonomies=P.DEFAULT_TAXONOMIES, concepts=None) -> DataFrame:
     """filings: path (as stored), filing_id, company_id, form_type, fiscal_year, fiscal_quarter.
-    Facts whose context has a segment, scenario or member are dropped; best fact per key."""
-    facts = _scan(spark, path, "ix:nonFraction",
-                  "_VALUE string, _name string, _contextRef string, _unitRef string, _decimals string, _scale string, "
-                  "_sign string")
-    member = "`xbrldi:explicitMember` string, `xbrldi:typedMember` string"
-    ctx = _scan(spark, path, "xbrli:context",
-                "_id string, `xbrli:entity` struct<`xbrli:segment`: string>, `xbrli:scenario` string, "
-                "`xbrli:period` struct<`xbrli:instant`: string, `xbrli:startDate`: string, `xbrli:endDate`: string>, "
-                + member)
-    unit = _scan(spark, path, "xbrli:unit",
-                 "_id string, `xbrli:measure` string, `xbrli:divide` struct<`xbrli:unitNumerator`: "
-                 "struct<`xbrli:measure`: string>, `xbrli:unitDenominator`: struct<`xbrli:measure`: string>>")
-    per = "`xbrli:period`."
-    inst = F.col(per + "`xbrli:instant`")
-    dims = F.coalesce(F.col("`xbrli:entity`.`xbrli:segment`"), F.col("`xbrli:scenario`"),
-                      F.col("`xbrldi:explicitMember`"), F.col("`xbrldi:typedMember`")).isNotNull()
-    contexts = ctx.where(~dims).select(
-        "path", F.trim("_id").alias("__ctx"), F.when(inst.isNotNull(), "instant").otherwise("duration").alias("period_type"),
-        F.when(inst.isNull(), D.iso_date(F.trim(F.col(per + "`xbrli:startDate`")))).alias("period_start"),
-        D.iso_date(F.trim(F.coalesce(inst, F.col(per + "`xbrli:endDate`")))).alias("period_end")
-    ).where(F.col("period_end").isNotNull())
-    num = F.col("`xbrli:divide`.`xbrli:unitNumerator`.`xbrli:measure`")
-    den = F.col("`xbrli:divide`.`xbrli:unitDenominator`.`xbrli:measure`")
-    units = unit.select("path", F.trim("_id").alias("__unit"), F.coalesce(
-        T.unit_token(F.col("`xbrli:measure`")), F.concat(T.unit_token(num), F.lit("/"), T.unit_token(den))).alias("unit_name"))
+    Facts whose context has a segment, scenario or member are dropped; best fact per key.
+
+    A document is read once and stays one row until its facts have met their contexts and units, by
+    look-up in maps of the same row. Names are matched by namespace, not by prefix."""
+    docs = (spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), _plain_prefixes(F.col("value")).alias("x"))
+            .select("path", _elements(F.col("x"), "ix_nonFraction", _FACT).alias("facts"), _elements(F.col("x"), "xbrli_context", _CONTEXT).alias("contexts"),
+                    _elements(F.col("x"), "xbrli_unit", _UNIT).alias("units")))
+
+    def last_day(p):
+        return D.iso_date(F.trim(F.coalesce(p["xbrli_instant"], p["xbrli_endDate"])))
+
+    def period(p):
+        inst = p["xbrli_instant"]
+        return F.struct(F.when(inst.isNotNull(), "instant").otherwise("duration").alias("period_type"),
+                        F.when(inst.isNull(), D.iso_date(F.trim(p["xbrli_startDate"]))).alias("period_start"), last_day(p).alias("period_end"))
+
+    def whole(c):  # without dimensions
+        return F.coalesce(c["xbrli_entity"]["xbrli_segment"], c["xbrli_scenario"], c["xbrldi_explicitMember"], c["xbrldi_typedMember"]).isNull()
+
+    def unit_name(u):
+        ratio = u["xbrli_divide"]
+        return F.coalesce(T.unit_token(u["xbrli_measure"]), F.concat(
+            T.unit_token(ratio["xbrli_unitNumerator"]["xbrli_measure"]), F.lit("/"), T.unit_token(ratio["xbrli_unitDenominator"]["xbrli_measure"])))
+
+    contexts = F.transform(F.filter("contexts", lambda c: whole(c) & last_day(c["xbrli_period"]).isNotNull()),
+                           lambda c: F.struct(F.trim(c["_id"]).alias("id"), period(c["xbrli_period"]).alias("p")))
+    units = F.transform("units", lambda u: F.struct(F.trim(u["_id"]).alias("id"), unit_name(u).alias("name")))
+    facts = (docs.select("path", "facts", contexts.alias("contexts"), units.alias("units"))
+             .select("path", "contexts", "units", F.posexplode_outer("facts").alias("i", "f")).where(F.col("f").isNotNull()))
+    named = lambda entries, key: F.get(F.filter(entries, lambda e: e["id"] == F.trim(key)), F.lit(0))
+    facts = facts.select("path", "i", "f.*", named("contexts", F.col("f._contextRef"))["p"].alias("p"), named("units", F.col("f._unitRef"))["name"].alias("unit_name"))
+    facts = facts.where(F.col("p").isNotNull())
     raw = F.trim("_VALUE")
     value = F.when(~F.regexp_replace(raw, r"[,$% \s]", "").isin("-", "—", "–"),
                    T.tagged_number(raw, F.col("_sign"), F.col("_scale")))
-    f = facts.select("path", F.monotonically_increasing_id().alias("position"),
+    f = facts.select("path", F.struct("path", "i").alias("position"), "p.*", "unit_name",
                      F.regexp_extract("_name", r"^([^:]+):", 1).alias("taxonomy"),
                      F.regexp_extract("_name", r"^[^:]+:(.+)$", 1).alias("concept"), value.alias("value"),
-                     F.trim("_contextRef").alias("__ctx"), T.blank_to_null(F.trim("_unitRef")).alias("__unit"),
-                     T.blank_to_null(F.trim("_decimals")).alias("decimals"))
+                     T.blank_to_null(F.trim("_unitRef")).alias("__unit"), T.blank_to_null(F.trim("_decimals")).alias("decimals"))
     f = f.where((F.col("concept") != "") & F.col("value").isNotNull())
     if taxonomies:
         f = f.where(F.col("taxonomy").isin(*taxonomies))
     if concepts is not None:
         f = f.where(F.col("concept").isin(*concepts))
-    j = (f.join(contexts, ["path", "__ctx"]).join(units, ["path", "__unit"], "left").join(filings, "path")
+    j = (f.join(filings, "path")
          .withColumn("unit", F.coalesce("unit_name", "__unit"))
          .withColumn("fiscal_year", F.coalesce("fiscal_year", F.year("period_end")))
          .withColumn("label", F.lit(None).cast("string")))

@@ -42,6 +42,11 @@ def test_inline_facts(spark, tmp_path):
     assert len(rows) == 4 and rows["NetIncomeLoss"].value == -50e6 and rows["Revenues"].value == 1250.5e6
     assert rows["Assets"].period_type == "instant" and rows["Assets"].value == 900e6 and rows["EarningsPerShareBasic"].unit == "USD/shares"
     assert rows["Revenues"].fiscal_year == 2023 and rows["Revenues"].period_start == date(2023, 1, 1)
+    other = INLINE.replace("xmlns:xbrli=", "xmlns:i=").replace("xbrli:", "i:").replace("xmlns:ix=", "xmlns:fact-2=").replace("ix:", "fact-2:").replace(
+        "xmlns:xbrldi=", "xmlns:m.d=").replace("xbrldi:", "m.d:")
+    assert "<i:context" in other and "<fact-2:nonFraction" in other
+    (tmp_path / "a.xml").write_text(other)  # the same facts under other prefixes
+    assert {r.concept: r for r in XP.inline_facts(spark, str(tmp_path), f).collect()} == rows
     none = XP.filings_without_inline_facts(f, XP.inline_facts(spark, str(tmp_path), f, taxonomies=("none",)))
     assert none.first().warning == "inline_xbrl_no_numeric_facts_found"
 
