@@ -383,3 +383,49 @@ def news_volume(spark, d):
     from ledgerlens.streaming.incremental import news_volume as volume
     v = volume(news(spark, d))
     return v.select("company_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "articles")
+
+
+# ---------------------------------------------------------------- STR-10 STR-15 STR-16 STR-17 FIL-12 DAT-02
+@reg("filing_scalars", """SELECT o_orderkey AS k,
+ round(CASE WHEN o_orderkey%3=0 THEN -1 ELSE 1 END * CASE WHEN o_orderkey%5=0 THEN -1 ELSE 1 END * o_totalprice * CASE WHEN o_orderkey%2=0 THEN 1000 ELSE 1 END, 2)+0e0 AS figure,
+ ['USD','shares','pure'][o_orderkey%3+1] AS unit, o_custkey||'/10-K_A/'||o_orderkey||'.txt' AS key_text, 'Order - '||o_orderkey AS head,
+ CASE WHEN o_orderkey%2=0 THEN o_orderpriority ELSE 'Desk' END AS publisher, o_orderkey%4<2 AS is_xml,
+ epoch(o_orderdate::DATE::TIMESTAMP)::BIGINT + (o_orderkey%86400) - CASE o_orderkey%3 WHEN 1 THEN 7200 ELSE 0 END AS published FROM orders""")
+def filing_scalars(spark, d):
+    k, price = F.col("o_orderkey"), F.format_number("o_totalprice", 2)
+    text = F.when(k % 3 == 0, F.concat(F.lit("("), price, F.lit(")"))).otherwise(F.concat(F.lit(" $"), price))
+    unit = F.element_at(F.array(F.lit("{http://fasb.org}USD"), F.lit("xbrli:shares"), F.lit(" pure ")), (k % 3 + 1).cast("int"))
+    source = F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit(" "))
+    head, publisher = T.headline_and_publisher(F.concat(F.lit("Order - "), k, F.when(k % 2 == 0, F.lit("")).otherwise(" - Desk")), source)
+    xml = F.element_at(F.array(F.lit("\n <?xml version='1.0'?><a/>"), F.concat(F.lpad(k.cast("string"), 700, " "), F.lit("<ownershipDocument>")),
+                               F.lit("<html>"), F.lit("a <?xml ?>")), (k % 4 + 1).cast("int"))
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 86400)
+    stamp = (F.when(k % 3 == 0, F.concat(F.date_format(at, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+             .when(k % 3 == 1, F.concat(F.date_format(at, "d MMM yyyy HH:mm:ss"), F.lit(" +0200"))).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")))
+    return t(spark, d, "orders").select(
+        k.alias("k"), F.round(T.tagged_number(text, F.when(k % 5 == 0, F.lit("-")), F.when(k % 2 == 0, F.lit("3"))), 2).alias("figure"),
+        T.unit_token(unit).alias("unit"), T.storage_key(F.col("o_custkey").cast("string"), F.lit("10-K/A"), k.cast("string")).alias("key_text"),
+        head.alias("head"), publisher.alias("publisher"), T.looks_like_ownership_xml(xml).alias("is_xml"),
+        F.unix_timestamp(D.parse_timestamp(stamp)).alias("published"))
+
+
+# ---------------------------------------------------------------- SIG-19 SRC-11 SNK-16
+@reg("price_counts", sql("""SELECT company_id, price_id, count(price) OVER (PARTITION BY company_id ORDER BY trading_date, price_id) AS price_count FROM v_price WHERE price IS NOT NULL""", "v_price"))
+def price_counts(spark, d):
+    from ledgerlens.plans import market_signals as MS
+    return MS.price_counts(price(spark, d)).select("company_id", "price_id", "price_count")
+
+
+@reg("ranked_documents", """SELECT b::VARCHAR AS accession_number, i::INTEGER AS rank, doc AS document FROM (SELECT b, unnest(docs) AS doc, unnest(range(0, len(docs))) AS i FROM (
+ SELECT b, list_concat(list_concat(CASE WHEN b%3=0 THEN ['p'||b||'.xml'] ELSE [] END, list_concat(list(n ORDER BY o_orderkey) FILTER (liked), list(n ORDER BY o_orderkey) FILTER (other))), CASE WHEN b%3=1 THEN ['p'||b||'.htm'] ELSE [] END) AS docs
+ FROM (SELECT o_orderkey//20 AS b, o_orderkey, CASE o_orderkey%4 WHEN 0 THEN 'd/ownership'||o_orderkey||'.xml' WHEN 1 THEN 'x'||o_orderkey||'.XML' WHEN 2 THEN 'form4-'||o_orderkey||'.txt' ELSE 'doc4_'||o_orderkey||'.xml' END AS n,
+  o_orderkey%4 IN (0,3) AS liked, o_orderkey%4=1 AS other FROM orders) GROUP BY b))""")
+def ranked_documents(spark, d):
+    k = F.col("o_orderkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("d/ownership"), k, F.lit(".xml"))).when(k % 4 == 1, F.concat(F.lit("x"), k, F.lit(".XML"))).when(
+        k % 4 == 2, F.concat(F.lit("form4-"), k, F.lit(".txt"))).otherwise(F.concat(F.lit("doc4_"), k, F.lit(".xml")))
+    b = F.floor(k / 20)
+    g = t(spark, d, "orders").groupBy(b.alias("b")).agg(sorted_array("o_orderkey", F.struct(name.alias("name"))).alias("item"))
+    primary = F.when(F.col("b") % 3 == 0, F.concat(F.lit("p"), "b", F.lit(".xml"))).when(F.col("b") % 3 == 1, F.concat(F.lit("p"), "b", F.lit(".htm")))
+    p = g.select(F.col("b").cast("string").alias("accession_number"), primary.alias("primary_document"), F.to_json(F.struct(F.struct("item").alias("directory"))).alias("payload"))
+    return JP.ranked_xml_documents(p).select("accession_number", "rank", "document")
