@@ -22,16 +22,16 @@ def at():
 
 INLINE = """<?xml version="1.0"?>
 <html xmlns:ix="http://www.xbrl.org/2013/inlineXBRL" xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:xbrldi="http://xbrl.org/2006/xbrldi"><body><div>
-<xbrli:context id="d1"><xbrli:entity><xbrli:identifier scheme="x">1</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2023-01-01</xbrli:startDate><xbrli:endDate>2023-12-31</xbrli:endDate></xbrli:period></xbrli:context>
-<xbrli:context id="i1"><xbrli:entity><xbrli:identifier scheme="x">1</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:instant>2023-12-31</xbrli:instant></xbrli:period></xbrli:context>
-<xbrli:context id="s1"><xbrli:entity><xbrli:identifier scheme="x">1</xbrli:identifier><xbrli:segment><xbrldi:explicitMember dimension="a">b</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2023-12-31</xbrli:instant></xbrli:period></xbrli:context>
+<xbrli:context id="d1"><xbrli:entity><xbrli:identifier scheme="x">1</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2021-02-01</xbrli:startDate><xbrli:endDate>2022-01-31</xbrli:endDate></xbrli:period></xbrli:context>
+<xbrli:context id="i1"><xbrli:entity><xbrli:identifier scheme="x">1</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:instant>2022-01-31</xbrli:instant></xbrli:period></xbrli:context>
+<xbrli:context id="s1"><xbrli:entity><xbrli:identifier scheme="x">1</xbrli:identifier><xbrli:segment><xbrldi:explicitMember dimension="a">b</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2022-01-31</xbrli:instant></xbrli:period></xbrli:context>
 <xbrli:unit id="u1"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit>
 <xbrli:unit id="u2"><xbrli:divide><xbrli:unitNumerator><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unitNumerator><xbrli:unitDenominator><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unitDenominator></xbrli:divide></xbrli:unit></div>
-<p><ix:nonFraction name="us-gaap:Revenues" contextRef="d1" unitRef="u1" decimals="-6" scale="6">1,250.5</ix:nonFraction></p>
-<p><ix:nonFraction name="us-gaap:NetIncomeLoss" contextRef="d1" unitRef="u1" decimals="-6" scale="6">(50.0)</ix:nonFraction></p>
-<p><ix:nonFraction name="us-gaap:EarningsPerShareBasic" contextRef="d1" unitRef="u2" decimals="2">2.5</ix:nonFraction></p>
-<p><ix:nonFraction name="us-gaap:Assets" contextRef="i1" unitRef="u1" scale="6">900</ix:nonFraction></p>
-<p><ix:nonFraction name="us-gaap:Assets" contextRef="s1" unitRef="u1" scale="6">999</ix:nonFraction></p></body></html>"""
+<p><ix:nonFraction name="us-gaap:Revenues" contextRef="d1" unitRef="u1" decimals="-6" scale="6">7,318.4</ix:nonFraction></p>
+<p><ix:nonFraction name="us-gaap:NetIncomeLoss" contextRef="d1" unitRef="u1" decimals="-6" scale="6">(61.2)</ix:nonFraction></p>
+<p><ix:nonFraction name="us-gaap:EarningsPerShareBasic" contextRef="d1" unitRef="u2" decimals="2">3.1</ix:nonFraction></p>
+<p><ix:nonFraction name="us-gaap:Assets" contextRef="i1" unitRef="u1" scale="6">844</ix:nonFraction></p>
+<p><ix:nonFraction name="us-gaap:Assets" contextRef="s1" unitRef="u1" scale="6">777</ix:nonFraction></p></body></html>"""
 
 
 def test_inline_facts(spark, tmp_path):
@@ -39,9 +39,9 @@ def test_inline_facts(spark, tmp_path):
     path = spark.read.text(str(tmp_path)).select("_metadata.file_path").first()[0]
     f = spark.createDataFrame([(path, 5, 1, "10-K", None, None)], "path string, filing_id long, company_id long, form_type string, fiscal_year int, fiscal_quarter int")
     rows = {r.concept: r for r in XP.inline_facts(spark, str(tmp_path), f).collect()}
-    assert len(rows) == 4 and rows["NetIncomeLoss"].value == -50e6 and rows["Revenues"].value == 1250.5e6
-    assert rows["Assets"].period_type == "instant" and rows["Assets"].value == 900e6 and rows["EarningsPerShareBasic"].unit == "USD/shares"
-    assert rows["Revenues"].fiscal_year == 2023 and rows["Revenues"].period_start == date(2023, 1, 1)
+    assert len(rows) == 4 and rows["NetIncomeLoss"].value == -61.2e6 and rows["Revenues"].value == 7318.4e6
+    assert rows["Assets"].period_type == "instant" and rows["Assets"].value == 844e6 and rows["EarningsPerShareBasic"].unit == "USD/shares"
+    assert rows["Revenues"].fiscal_year == 2022 and rows["Revenues"].period_start == date(2021, 2, 1)
     other = INLINE.replace("xmlns:xbrli=", "xmlns:i=").replace("xbrli:", "i:").replace("xmlns:ix=", "xmlns:fact-2=").replace("ix:", "fact-2:").replace(
         "xmlns:xbrldi=", "xmlns:m.d=").replace("xbrldi:", "m.d:")
     assert "<i:context" in other and "<fact-2:nonFraction" in other
@@ -51,26 +51,26 @@ def test_inline_facts(spark, tmp_path):
     assert none.first().warning == "inline_xbrl_no_numeric_facts_found"
 
 
-FORM4 = """<?xml version="1.0"?><ownershipDocument xmlns="urn:x"><issuer><issuerCik>320193</issuerCik><issuerName>Acme</issuerName><issuerTradingSymbol>ACM</issuerTradingSymbol></issuer>
-<reportingOwner><reportingOwnerId><rptOwnerCik>77</rptOwnerCik><rptOwnerName>Jo Doe</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isOfficer>true</isOfficer><officerTitle>CFO</officerTitle></reportingOwnerRelationship></reportingOwner>
-<nonDerivativeTable><nonDerivativeTransaction><securityTitle><value>Common</value></securityTitle><transactionDate><value>2024-03-01</value></transactionDate><transactionCoding><transactionCode>P</transactionCode></transactionCoding>
-<transactionAmounts><transactionShares><value>1,000</value><footnoteId id="F1"/></transactionShares><transactionPricePerShare><value>185.25</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>A</value></transactionAcquiredDisposedCode></transactionAmounts>
+FORM4 = """<?xml version="1.0"?><ownershipDocument xmlns="urn:x"><issuer><issuerCik>455871</issuerCik><issuerName>Norvik</issuerName><issuerTradingSymbol>NVK</issuerTradingSymbol></issuer>
+<reportingOwner><reportingOwnerId><rptOwnerCik>77</rptOwnerCik><rptOwnerName>Ida Brenner</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isOfficer>true</isOfficer><officerTitle>Treasurer</officerTitle></reportingOwnerRelationship></reportingOwner>
+<nonDerivativeTable><nonDerivativeTransaction><securityTitle><value>Common</value></securityTitle><transactionDate><value>2022-06-07</value></transactionDate><transactionCoding><transactionCode>P</transactionCode></transactionCoding>
+<transactionAmounts><transactionShares><value>1,340</value><footnoteId id="F1"/></transactionShares><transactionPricePerShare><value>41.5</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>A</value></transactionAcquiredDisposedCode></transactionAmounts>
 <ownershipNature><directOrIndirectOwnership><value>D</value></directOrIndirectOwnership></ownershipNature></nonDerivativeTransaction>
-<nonDerivativeTransaction><transactionDate><value>2024-03-02</value></transactionDate><transactionCoding><transactionCode>S</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>500</value></transactionShares></transactionAmounts></nonDerivativeTransaction>
+<nonDerivativeTransaction><transactionDate><value>2022-06-08</value></transactionDate><transactionCoding><transactionCode>S</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>620</value></transactionShares></transactionAmounts></nonDerivativeTransaction>
 <nonDerivativeTransaction><transactionDate><value>bad</value></transactionDate><transactionCoding><transactionCode>S</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>5</value></transactionShares></transactionAmounts></nonDerivativeTransaction></nonDerivativeTable>
-<derivativeTable><derivativeTransaction><transactionDate><value>2024-03-01</value></transactionDate><transactionCoding><transactionCode>P</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>1000</value></transactionShares><transactionPricePerShare><value>185.25</value></transactionPricePerShare></transactionAmounts></derivativeTransaction></derivativeTable></ownershipDocument>"""
+<derivativeTable><derivativeTransaction><transactionDate><value>2022-06-07</value></transactionDate><transactionCoding><transactionCode>P</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>1340</value></transactionShares><transactionPricePerShare><value>41.5</value></transactionPricePerShare></transactionAmounts></derivativeTransaction></derivativeTable></ownershipDocument>"""
 DOC = "filing_id long, company_id long, accession_number string, cik string, ticker string, issuer_name string, filed_at date, form_type string, source_url string, xml string"
 
 
 def insider_rows(spark, xml=FORM4):
-    return XP.insider_transactions(spark.createDataFrame([(1, 1, "acc", "1", "T", "N", date(2024, 3, 3), "4", None, xml)], DOC))
+    return XP.insider_transactions(spark.createDataFrame([(1, 1, "acc", "1", "T", "N", date(2022, 6, 9), "4", None, xml)], DOC))
 
 
 def test_form4(spark):
     rows = insider_rows(spark).orderBy("is_derivative", "transaction_date").collect()
-    assert [(r.transaction_code, r.shares, r.is_derivative) for r in rows] == [("P", 1000, False), ("S", 500, False), ("P", 1000, True)]
+    assert [(r.transaction_code, r.shares, r.is_derivative) for r in rows] == [("P", 1340, False), ("S", 620, False), ("P", 1340, True)]
     a = rows[0]
-    assert a.transaction_value == 185250 and a.cik == "0000320193" and a.is_officer and a.officer_title == "CFO" and json.loads(a.raw_detail)["footnote_ids"] == ["F1"]
+    assert a.transaction_value == 55610 and a.cik == "0000455871" and a.is_officer and a.officer_title == "Treasurer" and json.loads(a.raw_detail)["footnote_ids"] == ["F1"]
     assert len({r.transaction_uid for r in rows}) == 3 and rows[1].price_per_share is None and rows[1].security_title == ""
     import re
     anon = insider_rows(spark, re.sub("<rptOwnerName>.*?</rptOwnerName>", "", FORM4))
@@ -78,16 +78,16 @@ def test_form4(spark):
 
 
 def test_rss_and_news(spark, tmp_path):
-    (tmp_path / "acm.xml").write_text("""<?xml version="1.0"?><rss><channel><title>feed</title>
-<item><title>Acme beats estimates - Wire</title><link>https://News.example.com/a?utm_source=x&amp;b=1</link><description>&lt;b&gt;Good&lt;/b&gt; &amp;amp; solid</description><guid>1</guid><pubDate>Mon, 17 Apr 2026 12:30:00 GMT</pubDate></item>
+    (tmp_path / "nvk.xml").write_text("""<?xml version="1.0"?><rss><channel><title>feed</title>
+<item><title>Norvik beats estimates - Wire</title><link>https://News.example.com/a?utm_source=x&amp;b=1</link><description>&lt;b&gt;Good&lt;/b&gt; &amp;amp; solid</description><guid>1</guid><pubDate>Mon, 17 Apr 2026 12:30:00 GMT</pubDate></item>
 <item><title>Untitled</title><link>https://e.com/b</link><pubDate>Mon, 17 Apr 2026 12:30:00 GMT</pubDate></item>
-<item><title>Acme falls sharply today</title><link>https://e.com/c</link><source url="https://s.com">Src</source><pubDate>bad date</pubDate></item></channel></rss>""")
-    raw = XP.news_rss(spark, str(tmp_path / "acm.xml"))
+<item><title>Norvik falls sharply today</title><link>https://e.com/c</link><source url="https://s.com">Src</source><pubDate>bad date</pubDate></item></channel></rss>""")
+    raw = XP.news_rss(spark, str(tmp_path / "nvk.xml"))
     assert raw.count() == 3
     n = files.normalise_news(raw, at()).collect()
     assert len(n) == 1 and n[0].publisher == "Wire" and n[0].summary == "Good & solid" and n[0].url == "https://news.example.com/a?b=1"
-    assert n[0].ticker == "ACM" and n[0].published_at == datetime(2026, 4, 17, 12, 30) and len(n[0].dedupe_hash) == 64
-    assert json.loads(n[0].raw_json)["title"] == "Acme beats estimates - Wire"
+    assert n[0].ticker == "NVK" and n[0].published_at == datetime(2026, 4, 17, 12, 30) and len(n[0].dedupe_hash) == 64
+    assert json.loads(n[0].raw_json)["title"] == "Norvik beats estimates - Wire"
 
 
 def test_raw_filings_and_document_choice(spark, tmp_path):
@@ -219,23 +219,23 @@ def test_filing_job_end_to_end(spark, tmp_path):
 
 def test_source_jobs(spark, tmp_path):
     store = J.Store(spark, str(tmp_path / "db"))
-    store.replace("companies", spark.createDataFrame([(1, "0000000001", "ACM", "Acme")], "company_id long, cik string, ticker string, name string"))
-    raw = spark.createDataFrame([("acm", "Acme reports a heavy loss", None, "https://e.com/1", None, "2026-01-05T10:00:00"), ("acm", "Acme opens a new plant", None, "https://e.com/2", None, "2026-01-06T10:00:00"),
-                                 ("acm", "Acme opens a new plant", None, "https://e.com/2#x", None, "2026-01-06T10:00:00")],
+    store.replace("companies", spark.createDataFrame([(1, "0000000001", "NVK", "Norvik")], "company_id long, cik string, ticker string, name string"))
+    raw = spark.createDataFrame([("nvk", "Norvik reports a heavy loss", None, "https://e.com/1", None, "2026-01-05T10:00:00"), ("nvk", "Norvik opens a new plant", None, "https://e.com/2", None, "2026-01-06T10:00:00"),
+                                 ("nvk", "Norvik opens a new plant", None, "https://e.com/2#x", None, "2026-01-06T10:00:00")],
                                 "ticker string, headline string, summary string, url string, publisher string, published_at string")
     J.run_news(store, raw, at())
     assert store.read("news_items").count() == 2
     J.run_news_backfill(store, scorer, at())
     assert {r.sentiment_label for r in store.read("news_items").collect()} == {"negative", "positive"}
     chart = {"chart": {"result": [{"timestamp": [1713398400], "indicators": {"quote": [{"open": [1.0], "close": [2.0], "volume": [5]}], "adjclose": []}}]}}
-    prices = spark.createDataFrame([("ACM", "y", json.dumps(chart))], "ticker string, provider string, payload string")
+    prices = spark.createDataFrame([("NVK", "y", json.dumps(chart))], "ticker string, provider string, payload string")
     for _ in range(2):
         J.run_prices(store, prices, at())
     assert store.read("market_prices").count() == 1
     with pytest.raises(ValueError):
         J.run_prices(store, prices, at(), start=date(2025, 1, 1), end=date(2025, 2, 1))
     same = [{"timestamp": [1713398400] * 6, "indicators": {"quote": [{"open": [1.0] * 6, "close": [float(k) for k in range(6)], "volume": [5] * 6}], "adjclose": []}}]
-    batch = spark.createDataFrame([("ACM", "z", json.dumps({"chart": {"result": same}})), ("BAD", "z", json.dumps({"chart": {"result": None, "error": "gone"}}))],
+    batch = spark.createDataFrame([("NVK", "z", json.dumps({"chart": {"result": same}})), ("BAD", "z", json.dumps({"chart": {"result": None, "error": "gone"}}))],
                                   "ticker string, provider string, payload string")
     done = J.run_prices(store, batch, at())  # the last of a key wins, a bad payload costs its ticker only
     assert (done["selected"], done["stored"], done["failed"]) == (6, 1, ["BAD"])
@@ -243,7 +243,7 @@ def test_source_jobs(spark, tmp_path):
     meta = spark.createDataFrame([("UNRATE", json.dumps({"seriess": [{"id": "UNRATE", "title": "t"}]}))], "series_id string, payload string")
     obs = spark.createDataFrame([("UNRATE", "f", json.dumps({"observations": [{"date": "2024-01-01", "value": "3.7"}, {"date": "2024-02-01", "value": "."}]}))], "series_id string, provider string, payload string")
     assert J.run_macro(store, meta, obs, at()).first().fetched == 1 and store.read("macro_observations").count() == 1
-    f = spark.createDataFrame([(9, 1, "acc", "4", date(2024, 3, 3), False)], "filing_id long, company_id long, accession_number string, form_type string, filed_at date, is_form4_parsed boolean")
+    f = spark.createDataFrame([(9, 1, "acc", "4", date(2022, 6, 9), False)], "filing_id long, company_id long, accession_number string, form_type string, filed_at date, is_form4_parsed boolean")
     store.replace("filings", f)
     docs = spark.createDataFrame([(9, FORM4)], "filing_id long, xml string")
     for _ in range(2):
@@ -251,7 +251,7 @@ def test_source_jobs(spark, tmp_path):
     assert store.read("insider_transactions").count() == 3 and store.read("filings").first().is_form4_parsed
     order = []
     assert J.run_backfill([(n, lambda n=n: order.append(n)) for n in ("10-K", "10-Q", "4", "news")], store, at()) == order == ["10-K", "10-Q", "4", "news"]
-    assert J.price_range(date(2024, 12, 31))[0] == date(2024, 1, 1) and J.market_symbol(" acm ") == "ACM"
+    assert J.price_range(date(2024, 12, 31))[0] == date(2024, 1, 1) and J.market_symbol(" nvk ") == "NVK"
     for bad in (lambda: J.price_range(date(2024, 1, 1), date(2024, 2, 1)), lambda: J.market_symbol("123"), lambda: R.page(0), lambda: R.pick_field(f, "x", {"a": "b"})):
         with pytest.raises(ValueError):
             bad()
