@@ -46,7 +46,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     cur = stage(edges.where("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), name)
     before = None
     while True:
-        n, total = cur.agg(F.count("*"), F.sum((F.xxhash64("x", "y") % 1_000_003).cast("long"))).first()
+        n, total = cur.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if n == 0 or (n, total) == before:
             return cur.select(F.col("x").alias("id"), F.col("y").alias("comp")).unionByName(
                 cur.select(F.col("y").alias("id"), F.col("y").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
