@@ -79,8 +79,9 @@ class Landmarks:
         if hits:
             w, row, weight = (np.concatenate(x) for x in zip(*hits))
             order = np.argsort(w, kind="stable")
-            for at in range(0, len(order), 1 << 16):
-                part = order[at:at + (1 << 16)]
+            block = max(256, (1 << 22) // len(self.strings))  # some 16 MB at a time
+            for at in range(0, len(order), block):
+                part = order[at:at + block]
                 first = np.flatnonzero(np.diff(w[part], prepend=-1))
                 out[w[part][first]] += np.add.reduceat(self.matrix[row[part]] * weight[part][:, None], first, axis=0)
         return (out / np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)) ** POWER
@@ -213,7 +214,7 @@ def _fragments(taught: DataFrame, most: int) -> list[str]:
     n = F.col("t") + F.col("c")
     excess = (F.col("t") - n * share) / F.sqrt(n * share * (1 - share) + 1)
     counted = pieces.groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= 3).withColumn("z", excess)
-    ranked = [r.s for r in counted.orderBy(F.desc("z"), F.desc(F.length("s")), "s").limit(20 * most).collect()]
+    ranked = [r.s for r in counted.orderBy(F.desc("z"), F.desc(F.length("s")), "s").limit(8 * most).collect()]
     chosen: list[str] = []
     if ranked:
         near = Landmarks(ranked)
