@@ -7,7 +7,6 @@ from ledgerlens.operators import aggregates as A, ordered as O
 from ledgerlens.operators.dedupe import economic_transactions
 from ledgerlens.operators.intervals import interval_join
 from ledgerlens.plans.rows import signal_rows
-from ledgerlens.session import cut
 
 VERSION = "behavior_v3"
 
@@ -111,12 +110,12 @@ def _count_before(anchors, rows, day, limit_day, name, hot_rows):
     return out.select("company_id", "filed_at", F.coalesce("asof.total", F.lit(0)).alias(name))
 
 
-def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.AUTO) -> DataFrame:
-    """trades carry their own filing day in `filed_at`."""
+def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.AUTO, history_limit=None) -> DataFrame:
+    """trades carry their own filing day in `filed_at`. With a `history_limit`, no more is reported as depth."""
     if hot_rows == O.AUTO:  # the ordered inputs below hold one row per company and day: at most as many as filings
         hot_rows = O.hot_limit(filings, ["company_id"])
-    # read by five branches below: deduplicated once, then read back
-    e = cut(prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at"))
+    # several branches below read it; its shuffle is planned once and reused
+    e = prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at")
     anchors = filings.select("company_id", "filed_at").distinct()
     act = anchor_activity(insider_activity(classified_trades(anchors, e)))
     late = late_ratio(anchors, e)
@@ -130,7 +129,9 @@ def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.AUTO) ->
     zero = ["weighted_ita", "late_filing_ratio", "unique_sellers_in_window", "active_insider_count",
             "window_transaction_count", "opportunistic_sell_count", "opportunistic_buy_count",
             "opportunistic_sell_value", "opportunistic_buy_value", "historical_transaction_count"]
-    j = j.na.fill(0, zero).withColumn("history_depth", F.least("history_depth", F.lit(P.HISTORY_LIMIT)))
+    j = j.na.fill(0, zero)
+    if history_limit is not None:
+        j = j.withColumn("history_depth", F.least("history_depth", F.lit(history_limit)))
     out = filings.join(j, k).join(first, "company_id", "left")
     has = F.coalesce(F.col("__first") <= F.date_add("filed_at", P.BEHAVIOR_DAYS_AFTER), F.lit(False))
     return out.withColumn("has_transactions", has).drop("__first")
