@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import in_batches
+from ledgerlens.llm.tables import in_batches, sampled
 
-#: Pages the classifier is fitted on, at most; log-odds of a block for its container, most log-odds for the
+#: Pages the classifier is fitted on, about; log-odds of a block for its container, most log-odds for the
 #: shape of its text; weights of the edges to the next block and to the next one under the same parent.
 SAMPLE, CONTAINER, SHAPE, NEXT, SIBLING = 2000, 5.0, 3.0, 1.0, 1.0
 
@@ -192,10 +192,10 @@ def shape(block: Block) -> np.ndarray:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the shape features: logistic regression on the blocks of at most `sample` pages (those with the
-    smallest hash of their id) whose containers are known. Spark counts blocks of each feature set, a few
+    """Weights of the shape features: logistic regression on the blocks of about `sample` pages (chosen by the
+    hash of their id) whose containers are known. Spark counts blocks of each feature set, a few
     thousand at most. Without known containers all weights are 0."""
-    taken = in_batches(pages).where("html is not null").select("html").orderBy(F.xxhash64("page_id", "html")).limit(sample)
+    taken = sampled(in_batches(pages), F.col("page_id"), sample).where("html is not null").select("html")
 
     @F.pandas_udf("array<string>")
     def labelled(column: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be sent to every executor (about 100 MB).
@@ -28,6 +28,13 @@ def in_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     return df
 
 
+def sampled(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more): those whose hash of the key lies below a bound, which one
+    count sets. Nothing is sorted or gathered, and the same rows give the same sample."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; all of an application's lie in one folder named after it."""
     return f"{shared_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
