@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import codes
-from ledgerlens.llm.tables import in_batches, small, stage
+from ledgerlens.llm.tables import in_batches, sampled, small, stage
 
-#: Labelled rows of each label that are learned from at most, landmarks, weight of a gap, power of the word
+#: Labelled rows of each label that are learned from, about, landmarks, weight of a gap, power of the word
 #: kernel, sentences of a document that may teach, and words whose score a worker remembers.
 SAMPLE, LANDMARKS, GAP, POWER, TEACH, REMEMBERED = 4000, 128, 0.7, 4, 3, 500_000
 #: Distances between the characters of a subsequence, over five places at most.
@@ -265,14 +265,14 @@ def _curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS):
-    """A machine fitted on docs (doc_id, text) that labels (doc_id, toxic) mark, at most `sample` of each label
-    (those with the smallest hash of their doc_id); a document with several labels is toxic if one says so.
+    """A machine fitted on docs (doc_id, text) that labels (doc_id, toxic) mark, about `sample` of each label
+    (chosen by the hash of their doc_id); a document with several labels is toxic if one says so.
     Without toxic or without clean texts every text scores as the share of toxic ones."""
     docs = in_batches(docs)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    taken = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    few = stage(taken[0].unionByName(taken[1]), "labels")
+    marked = stage(marked, "labels")
+    few = stage(sampled(marked.where("toxic = 0"), F.col("doc_id"), sample).unionByName(sampled(marked.where("toxic = 1"), F.col("doc_id"), sample)), "few-labels")
     taught = stage(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(small(few), "doc_id"), "taught")
     totals = {r.toxic: r["count"] for r in taught.groupBy("toxic").count().collect()}
     if len(totals) < 2:
