@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders; what is left of a benchmark item is cut into
-windows of template tokens, and windows of the documents are looked up by hash. Windows that lie on
+windows of template tokens, and windows of the documents are looked up by hash; a window of which more
+than half are placeholders is looked up by its values as they are. Windows that lie on
 one diagonal of a document and an item must fill the item's slots consistently, each value by one
 value and no two by the same. So a question with other names and figures is found, and a passage
 whose slots are filled at random is not.
@@ -98,9 +99,10 @@ class Benchmark:
             self.items.append((item, value, kind))
             if width:
                 words = np.convolve(kind == WORD, np.ones(width, int), "valid")
-                for at, (h, w) in enumerate(zip(window_hashes(value, kind, width).tolist(), words.tolist())):
-                    if 2 * w >= width:  # a window of placeholders says nothing
-                        found.append((width, h, k, at))
+                exact = window_hashes(value, np.full_like(kind, WORD), width)
+                # the template of a window of placeholders says nothing, its values do
+                for at, h in enumerate(np.where(2 * words >= width, window_hashes(value, kind, width), exact).tolist()):
+                    found.append((width, h, k, at))
         self.widths = sorted({w for w, *_ in found})
         self.tables = {}
         for width in self.widths:
@@ -113,22 +115,26 @@ class Benchmark:
     def hits(self, value, kind):
         """(width, place, item, place in the item) of all windows that the tokens share with an item."""
         for width, (filled, hashes, where) in self.tables.items():
-            own = window_hashes(value, kind, width)
-            near = np.flatnonzero(filled[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            a, b = np.searchsorted(hashes, own[near], "left"), np.searchsorted(hashes, own[near], "right")
-            for place, i, j in zip(near[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist()):
-                for k, at in where[i:j].tolist():
-                    yield width, place, k, at
-
-
-def _consistent(value, kind, shift, own, own_kind, places):
+            seen = None
+            for reading in (kind, np.full_like(kind, WORD)):
+                own = window_hashes(value, reading, width)
+                look = filled[(own & np.uint64((1 << 20) - 1)).astype(np.int64)]
+                near = np.flatnonzero(look if seen is None else look & (own != seen))
+                seen = own if seen is None else seen
+                a, b = np.searchsorted(hashes, own[near], "left"), np.searchsorted(hashes, own[near], "right")
+                for place, i, j in zip(near[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist()):
+                    for k, at in where[i:j].tolist():
+                        yield width, place, k, at
+
+
+def _consistent(value, shift, own, own_kind, places):
     """Places of an item whose slots are filled consistently, and whether any has another value."""
     to, back, good, changed = {}, {}, set(), False
     for p in sorted(places):
         if own_kind[p] == WORD:
             good.add(p)
             continue
-        mine, theirs = (int(own_kind[p]), int(own[p])), (int(kind[p + shift]), int(value[p + shift]))
+        mine, theirs = int(own[p]), int(value[p + shift])
         if to.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine:
             good.add(p)
             changed |= mine != theirs
@@ -147,7 +153,7 @@ def matches(benchmark: Benchmark, texts: list[str], coverage: float):
     found = defaultdict(lambda: [set(), False, [], []])
     for (text, k, shift), places in diagonals.items():
         _, own, own_kind = benchmark.items[k]
-        good, changed = _consistent(value, kind, shift, own, own_kind, places)
+        good, changed = _consistent(value, shift, own, own_kind, places)
         if good:
             slot = found[text, k]
             slot[0] |= good

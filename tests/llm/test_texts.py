@@ -164,6 +164,16 @@ def test_leaks_equal_containment(spark, odd, none):
     assert {r.doc_id for r in decontamination.leaks(odd, some).collect()} == {4, 5, 6, None}
 
 
+@pytest.mark.parametrize("item", [
+    "Solve 3x + 4 = 19, 5x - 2 = 13, 7x + 1 = 22 for x.", "Compute 12 + 34 - 56 + 78 - 90 + 11.",
+    "Find the mean of 4, 8, 15, 16, 23, 42, 40, 41, 43, 44.", "7 8 9"])
+def test_items_of_numbers_are_found_word_for_word(item):
+    b = decontamination.Benchmark([1], [item], 8)
+    other = "".join(str(9 - int(c)) if c.isdigit() else c for c in item)
+    got = [(t, cover, changed) for t, _, _, _, cover, changed in decontamination.matches(b, [f"we read. {item} It ends.", other], 0.9)]
+    assert got == [(0, 1.0, False)]
+
+
 PAGES = [
     ("", ""), (None, ""), ("<!-- x --><script>var t='</p>';</script>", ""),
     ("<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class=\"ad\">Buy this now, it is the best of all.</div>"
