@@ -1,16 +1,17 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders; what is left of a benchmark item is cut into
-windows of template tokens, and windows of the documents are looked up by hash; a window of which more
-than half are placeholders is looked up by its values as they are. Windows that lie on
-one diagonal of a document and an item must fill the item's slots consistently, each value by one
-value and no two by the same. So a question with other names and figures is found, and a passage
-whose slots are filled at random is not.
+windows of template tokens, and windows of the documents are looked up by hash. Every window is looked
+up by its values as well, and a capitalised word that opens a sentence both as a word and as a name.
+Windows that lie on one diagonal of a document and an item must fill the item's slots consistently,
+each value by one value and no two by the same. So a question with other names and figures is found,
+and a passage whose slots are filled at random is not.
 """
 from __future__ import annotations
 
 from collections import defaultdict
 from functools import cache, reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,10 @@ WINDOW, COVERAGE, PASS = 8, 0.5, 2_000_000
 UNITS = ("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml gal s sec secs second seconds min mins minute minutes "
          "h hr hrs hour hours day days week weeks month months year years mph kph kmh w kw mw kwh v a hz khz mhz ghz kb mb gb tb "
          "usd eur gbp dollar dollars cent cents euro euros pound pounds percent degree degrees c f k").split()
-WORD, NAME, NUMBER, UNIT = range(4)
+#: A capitalised word that opens a sentence may be a word or a name: OPENER until a reading decides.
+WORD, NAME, NUMBER, UNIT, OPENER = range(5)
+#: Openers of a window that are read each by itself; of more they are read all alike.
+OPENERS = 4
 SCHEMA = "doc_id long, item_id long, start long, end long, coverage double, reworded boolean"
 
 
@@ -65,6 +69,7 @@ def template(texts: list[str]):
         kind[digit[first]] = NUMBER
         after = np.append(False, kind[:-1] == NUMBER)
         kind[(kind == UNIT) & ~after] = WORD  # a unit is one only after a number
+        kind[(kind == WORD) & upper[first] & opens] = OPENER
         parts.append((start + at, end + at, value, kind))
     start, end, value, kind = (np.concatenate([x[k] for x in parts]) for k in range(4))
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -87,40 +92,65 @@ def window_hashes(value: np.ndarray, kind: np.ndarray, width: int) -> np.ndarray
     return codes.mix((total[width:] - total[:-width]) * np.multiply.accumulate(back)[:n - width + 1] + np.uint64(width))
 
 
+def readings(kind: np.ndarray) -> list[np.ndarray]:
+    """Kinds of tokens as they are looked up: all by value, openers as words, openers as names."""
+    opener = kind == OPENER
+    return [np.full_like(kind, WORD), np.where(opener, WORD, kind).astype(np.uint8), np.where(opener, NAME, kind).astype(np.uint8)]
+
+
+def _mixed(value: np.ndarray, kind: np.ndarray, width: int):
+    """(value, kind, first token) of windows with several openers, some of which are words and some names."""
+    view = np.lib.stride_tricks.sliding_window_view(kind, width)
+    openers = (view == OPENER).sum(axis=1)
+    for at in np.flatnonzero((openers > 1) & (openers <= OPENERS)).tolist():
+        where = np.flatnonzero(view[at] == OPENER)
+        for names in product((WORD, NAME), repeat=len(where)):
+            if WORD in names and NAME in names:
+                one = view[at].copy()
+                one[where] = names
+                yield value[at:at + width], one, at
+
+
 class Benchmark:
-    """The template windows of some items, sorted by hash."""
+    """The template windows of some items, sorted by hash. Every window is looked up by its values; those of
+    which half are words also as templates."""
 
     def __init__(self, item_ids: list[int], texts: list[str], window: int):
         self.items = []
-        found = []
+        found = defaultdict(list)
         for k, (item, text) in enumerate(zip(item_ids, texts)):
             _, _, value, kind, _, _ = template([text])
             width = min(window, len(value))
             self.items.append((item, value, kind))
             if width:
-                words = np.convolve(kind == WORD, np.ones(width, int), "valid")
-                exact = window_hashes(value, np.full_like(kind, WORD), width)
-                # the template of a window of placeholders says nothing, its values do
-                for at, h in enumerate(np.where(2 * words >= width, window_hashes(value, kind, width), exact).tolist()):
-                    found.append((width, h, k, at))
-        self.widths = sorted({w for w, *_ in found})
+                at = np.arange(len(value) - width + 1)
+                windows = [(value, one, at) for one in readings(kind)] + [(v, one, np.array([p])) for v, one, p in _mixed(value, kind, width)]
+                for v, one, places in windows:
+                    # the template of a window of placeholders says nothing
+                    told = 2 * np.convolve(one == WORD, np.ones(width, int), "valid") >= width
+                    found[width].append((window_hashes(v, one, width)[told], np.full(told.sum(), k), places[told]))
         self.tables = {}
-        for width in self.widths:
-            rows = sorted((h, k, at) for w, h, k, at in found if w == width)
-            hashes = np.array([h for h, _, _ in rows], dtype=np.uint64)
+        for width, parts in sorted(found.items()):
+            hashes, item, at = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            order = np.lexsort((at, item, hashes))
+            hashes, item, at = hashes[order], item[order], at[order]
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1]))
             filled = np.zeros(1 << 20, dtype=bool)
             filled[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[width] = (filled, hashes, np.array([(k, at) for _, k, at in rows], dtype=np.int64))
+            self.tables[width] = (filled, hashes[new], np.stack([item[new], at[new]], axis=1))
 
     def hits(self, value, kind):
         """(width, place, item, place in the item) of all windows that the tokens share with an item."""
+        looks = readings(kind)
         for width, (filled, hashes, where) in self.tables.items():
-            seen = None
-            for reading in (kind, np.full_like(kind, WORD)):
+            seen = []
+            for reading in looks:
                 own = window_hashes(value, reading, width)
                 look = filled[(own & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                near = np.flatnonzero(look if seen is None else look & (own != seen))
-                seen = own if seen is None else seen
+                for before in seen:
+                    look &= own != before
+                seen.append(own)
+                near = np.flatnonzero(look)
                 a, b = np.searchsorted(hashes, own[near], "left"), np.searchsorted(hashes, own[near], "right")
                 for place, i, j in zip(near[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist()):
                     for k, at in where[i:j].tolist():

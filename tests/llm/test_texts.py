@@ -174,6 +174,23 @@ def test_items_of_numbers_are_found_word_for_word(item):
     assert got == [(0, 1.0, False)]
 
 
+NAMES = "Tom has 3 apples. Sarah has 4 pears. Tom gives 2 away. How many are left?"
+
+
+@pytest.mark.parametrize("item,text,cover,changed", [
+    (NAMES, "Anna has 7 apples. Peter has 9 pears. Anna gives 5 away. How many are left?", 1.0, True),
+    (NAMES, "Anna has 7 apples. Peter has 9 pears. Eve gives 5 away. How many are left?", 15 / 16, True),
+    (NAMES, "so tom has 3 apples. Sarah has 4 pears. Tom gives 2 away. How many are left?", 1.0, False),
+    (NAMES, NAMES.upper(), 1.0, False),
+    ("Name the largest planet", "asked to Name the largest planet, they wait", 1.0, False),
+    ("Paris is where they live", "we know that Paris is where they live", 1.0, False),
+    ("The train left. Tom went home early", "so the train left. Anna went home early", 1.0, True)])
+def test_words_that_open_sentences(item, text, cover, changed):
+    b = decontamination.Benchmark([1], [item], 8)
+    got = [(round(x[4], 9), x[5]) for x in decontamination.matches(b, [text], 0.5)]
+    assert got == [(round(cover, 9), changed)]
+
+
 PAGES = [
     ("", ""), (None, ""), ("<!-- x --><script>var t='</p>';</script>", ""),
     ("<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class=\"ad\">Buy this now, it is the best of all.</div>"
