@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import codes
 from ledgerlens.llm.tables import in_batches, small, stage
 
-#: Template tokens in a window, part of an item that must be found, and characters of items looked up in one pass.
-WINDOW, COVERAGE, PASS = 8, 0.5, 2_000_000
+#: Template tokens in a window, part of an item that must be found, tokens in a row that count whatever part of
+#: the item they are, and characters of items looked up in one pass.
+WINDOW, COVERAGE, RUN, PASS = 8, 0.5, 13, 2_000_000
 UNITS = ("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml gal s sec secs second seconds min mins minute minutes "
          "h hr hrs hour hours day days week weeks month months year years mph kph kmh w kw mw kwh v a hz khz mhz ghz kb mb gb tb "
          "usd eur gbp dollar dollars cent cents euro euros pound pounds percent degree degrees c f k").split()
@@ -171,8 +172,22 @@ def _consistent(value, shift, own, own_kind, places):
     return good, changed
 
 
-def matches(benchmark: Benchmark, texts: list[str], coverage: float):
-    """(text, item, start, end, part of the item found, slots changed) for each item found in a text."""
+def _long_run(good: set[int], told: set[int], run: int) -> tuple[int, int] | None:
+    """First and last place of the longest run of `run` places or more, half of them told."""
+    best, first, places = None, None, sorted(good)
+    for k, p in enumerate(places):
+        first = p if first is None else first
+        if k + 1 == len(places) or places[k + 1] != p + 1:
+            size = p + 1 - first
+            if size >= run and 2 * sum(x in told for x in range(first, p + 1)) >= size and (best is None or size > best[1] + 1 - best[0]):
+                best = first, p
+            first = None
+    return best
+
+
+def matches(benchmark: Benchmark, texts: list[str], coverage: float, run: int = RUN):
+    """(text, item, start, end, part of the item found, slots changed) for each item found in a text: `coverage`
+    of its tokens, or `run` neighbouring ones in a row, half of them real: words, or values as in the item."""
     start, end, value, kind, first, begin = template(texts)
     texts_of = np.searchsorted(first, np.arange(len(value)), side="right") - 1
     diagonals = defaultdict(set)
@@ -180,7 +195,7 @@ def matches(benchmark: Benchmark, texts: list[str], coverage: float):
         text = int(texts_of[place])
         if place + width <= first[text + 1]:
             diagonals[text, k, place - at].update(range(at, at + width))
-    found = defaultdict(lambda: [set(), False, [], []])
+    found = defaultdict(lambda: [set(), False, [], [], []])
     for (text, k, shift), places in diagonals.items():
         _, own, own_kind = benchmark.items[k]
         good, changed = _consistent(value, shift, own, own_kind, places)
@@ -190,29 +205,35 @@ def matches(benchmark: Benchmark, texts: list[str], coverage: float):
             slot[1] |= changed
             slot[2].append(int(start[min(good) + shift]))
             slot[3].append(int(end[max(good) + shift]))
-    for (text, k), (good, changed, a, b) in found.items():
+            long = _long_run(good, {p for p in good if own[p] == value[p + shift]}, run)
+            if long:
+                slot[4].append((int(start[long[0] + shift]), int(end[long[1] + shift])))
+    for (text, k), (good, changed, a, b, long) in found.items():
         item, own, _ = benchmark.items[k]
-        if len(good) >= coverage * len(own):
+        if len(good) < coverage * len(own):
+            a, b = [x for x, _ in long], [x for _, x in long]
+        if a:
             yield text, item, min(a) - int(begin[text]), max(b) - int(begin[text]), len(good) / len(own), changed
 
 
-def _scanned(sent, coverage):
-    def run(batches):
+def _scanned(sent, coverage, run):
+    def scan(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = sorted(matches(sent.value, texts, coverage))
+            rows = sorted(matches(sent.value, texts, coverage, run))
             column = batch.column(0)
             yield pa.RecordBatch.from_arrays([
                 column.take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in (
                     (1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64()), (5, pa.bool_())))],
                 names=[c.split()[0] for c in SCHEMA.split(", ")])
-    return run
+    return scan
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, per_pass: int = PASS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, per_pass: int = PASS, run: int = RUN) -> DataFrame:
     """docs (doc_id, text, more) against benchmark (item_id, text, more): a row for each row of docs and item of
-    which at least `coverage` of the template tokens is found: doc_id, item_id, start and end (code points),
-    coverage, reworded (some slot has another value).
+    which at least `coverage` of the template tokens is found, or a run of `run` neighbouring ones, half of them
+    with their own values: doc_id, item_id, start and end (code points), coverage, reworded (some slot has
+    another value).
 
     An item shorter than a window is one window. Null or empty texts and items have no tokens and no rows.
     Items that repeat an item_id, and rows that repeat a doc_id, are matched each. Whole texts are read.
@@ -228,7 +249,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
             size += len(row.text)
         if block and (row is None or size >= per_pass):
             sent = spark.sparkContext.broadcast(Benchmark([r.item_id for r in block], [r.text for r in block], window))
-            passes.append(source.mapInArrow(_scanned(sent, coverage), SCHEMA))
+            passes.append(source.mapInArrow(_scanned(sent, coverage, run), SCHEMA))
             block, size = [], 0
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], SCHEMA)
 

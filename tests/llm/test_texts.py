@@ -191,6 +191,19 @@ def test_words_that_open_sentences(item, text, cover, changed):
     assert got == [(round(cover, 9), changed)]
 
 
+def test_long_runs_count_whatever_part_of_the_item_they_are():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    b = decontamination.Benchmark([1, 2], [" ".join(words), "Ann has 1 cat, Ben has 2 dogs. " * 10], 8)
+    runs = [" ".join(words[k:k + n]) for k, n in ((20, 140), (100, 13), (100, 12))]
+    texts = [f"zz yy {r} xx ww" for r in runs] + [" ".join(words[50:62]) + " uu " + " ".join(words[90:102])]
+    got = {(t, i): (texts[t][x:y], c) for t, i, x, y, c, _ in decontamination.matches(b, texts, 0.5)}
+    assert got == {(0, 1): (runs[0], 140 / 300), (1, 1): (runs[1], 13 / 300)}
+    other = decontamination.Benchmark([1], ["Add 1 to 2 and 3 and 4 and 5 and 6 and 7 and 8 and 9. " + " ".join(words)], 8)
+    changed = "Add 3 to 5 and 6 and 8 and 11 and 12 and 13 and 14 and 15. It is so."
+    assert [x[5] for x in decontamination.matches(other, [changed], 0.5)] == [True]
+
+
 PAGES = [
     ("", ""), (None, ""), ("<!-- x --><script>var t='</p>';</script>", ""),
     ("<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class=\"ad\">Buy this now, it is the best of all.</div>"
