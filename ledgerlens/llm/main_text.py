@@ -22,6 +22,9 @@ from ledgerlens.llm.tables import in_batches, sampled
 #: Pages the classifier is fitted on, about; log-odds of a block for its container, most log-odds for the
 #: shape of its text; weights of the edges to the next block and to the next one under the same parent.
 SAMPLE, CONTAINER, SHAPE, NEXT, SIBLING = 2000, 5.0, 3.0, 1.0, 1.0
+#: Log-odds against a block whose container is boilerplate by class or id only, on pages with content by
+#: container, and on pages without, where such a word may well name the layout of the whole page.
+NAMED, NAMED_ALONE = 3.5, 2.0
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
@@ -39,6 +42,9 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 BOILER_WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus "
                          "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination paywall popup promo "
                          "recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+#: Of these, what holds articles that are not the page's own; and words after which others only say what is there or not.
+LIST_WORDS = frozenset("comment comments disqus promo recommended related respond sponsor sponsored".split())
+QUALIFIERS = frozenset("has have no not with without".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post posting story".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[/a-zA-Z][^>]*\Z""", re.S)
@@ -46,8 +52,24 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: What a container makes of its blocks: content, boilerplate by tag or role, boilerplate by class or id, and
+#: by one that names articles other than the page's own.
+CONTENT, BOILER, BY_CLASS, BY_LIST = 1, -1, -2, -3
+
+
+def _words(named: dict[str, str]) -> set[str]:
+    """Words of class and id without those that a has-, no- or with- goes before."""
+    found = set()
+    for name in f"{named.get('class', '')} {named.get('id', '')}".split():
+        for word in _WORD.findall(name):
+            if word.lower() in QUALIFIERS:
+                break
+            found.add(word.lower())
+    return found
+
+
 def _container(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
-    """What an element makes of the blocks in it: 1 content, -1 boilerplate, else as around it; and whether it is hidden."""
+    """What an element makes of the blocks in it, else as around it; and whether it is hidden."""
     named = {}
     hidden = False
     if attributes.strip():
@@ -57,18 +79,21 @@ def _container(tag: str, attributes: str, inside: int) -> tuple[int, bool]:
             else:
                 hidden = True
     hidden |= named.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", "")))
-    if inside < 0:
+    if inside == BOILER:
         return inside, hidden  # nothing in boilerplate is content again
-    words = {w.lower() for w in _WORD.findall(f"{named.get('class', '')} {named.get('id', '')}")}
+    words = set() if tag in ("html", "body") else _words(named)
+    role = named.get("role", "").lower()
+    by_class = BY_LIST if words & LIST_WORDS else BY_CLASS if words & BOILER_WORDS else 0
     if tag == "header" and inside > 0:
-        return (-1 if words & (BOILER_WORDS - {"header"}) else inside), hidden
-    if tag in BOILER_TAGS or named.get("role", "").lower() in BOILER_ROLES:
-        return -1, hidden
-    if tag in CONTENT_TAGS or named.get("role", "").lower() in ("main", "article"):
-        return 1, hidden
-    if words & BOILER_WORDS and not words & CONTENT_WORDS:
-        return -1, hidden
-    return (1 if words & CONTENT_WORDS else inside), hidden
+        return (BY_CLASS if words & (BOILER_WORDS - {"header"}) else inside), hidden
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
+        return BOILER, hidden
+    if tag in CONTENT_TAGS or role in ("main", "article"):
+        own = tag == "main" or role == "main" or inside >= 0 or inside == BY_CLASS and not by_class
+        return (CONTENT if own else inside), hidden
+    if by_class and not words & CONTENT_WORDS:
+        return min(inside, by_class), hidden
+    return (CONTENT if words & CONTENT_WORDS and inside >= 0 else inside), hidden
 
 
 class Block:
@@ -276,7 +301,11 @@ def main_text(page: str, weight: np.ndarray) -> str:
     if not found:
         return ""
     score = np.clip(np.stack([shape(b) for b in found]) @ weight, -SHAPE, SHAPE)
-    gain = [float(s) + CONTAINER * b.container for s, b in zip(score, found)]
+    named = NAMED if any(b.container == CONTENT for b in found) else NAMED_ALONE
+    worth = {CONTENT: CONTAINER, 0: 0.0, BOILER: -CONTAINER, BY_CLASS: -named}
+    # comments and the like can be taken for the page only if there is nothing else
+    worth[BY_LIST] = -NAMED if any(s + worth[b.container] > 0 for s, b in zip(score, found) if b.container != BY_LIST) else -NAMED_ALONE
+    gain = [float(s) + worth[b.container] for s, b in zip(score, found)]
     edges = [(k - 1, k, NEXT * 2.0 ** (-b.step / 2)) for k, b in enumerate(found) if k]
     last: dict[int, int] = {}
     for k, b in enumerate(found):

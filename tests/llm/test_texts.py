@@ -222,6 +222,22 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+LONG = "".join(f"<p>Some words of a long text that is here for number {k}, and so it ends.</p>" for k in range(5))
+LINKS = "<div class=sidebar><ul>" + "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(5)) + "</ul></div>"
+NOTES = "<div id=comments>" + "".join(f"<p>I think that this is a good text for number {k}.</p>" for k in range(3)) + "</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="single has-sidebar"><nav><a href=/>Home</a></nav><div>{LONG}</div>{LINKS}{NOTES}', f'<div class="page with-header"><div>{LONG}</div>{LINKS}</div>',
+    f"<div id=wrap class=no-sidebar>{LONG}{LINKS}</div>", f"<div id=wrap class=sidebar-right>{LONG}{LINKS}</div>",
+    f"<div class=menu-layout><article>{LONG}</article>{LINKS}</div>", f"<div id=header><main><div class=share-layout><article>{LONG}</article></div></main></div>",
+    f"<article>{LONG}</article>{NOTES}{LINKS}", f"<main><article>{LONG}</article><section class=comments><article>{LONG}</article></section></main>"])
+def test_words_of_class_do_not_decide_alone(page):
+    weight = np.zeros(main_text.FEATURES)
+    weight[11:13], weight[13], weight[15], weight[10] = (-1, 1), 2, -1, -2  # sentences and paragraphs against items and links
+    assert main_text.main_text(page, weight) == LONG.replace("<p>", "").replace("</p>", "\n").strip()
+
+
 def test_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(200):
