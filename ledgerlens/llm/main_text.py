@@ -34,7 +34,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIP = frozenset("script style template noscript iframe noembed noframes object svg math canvas audio video select textarea button head title".split())
 RAW = frozenset("script style iframe noembed noframes textarea title noscript".split())
 #: A start tag on the left ends an open element on the right.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+          **dict.fromkeys(("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot"))}
+#: Elements whose end tag may be left out, and those that leave the head open.
+OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot caption colgroup option optgroup head body html".split())
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 #: Containers by tag, role, and words of class and id.
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -55,6 +59,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What a container makes of its blocks: content, boilerplate by tag or role, boilerplate by class or id, and
 #: by one that names articles other than the page's own.
 CONTENT, BOILER, BY_CLASS, BY_LIST = 1, -1, -2, -3
+#: In the place of a container: the element is left out with all it holds.
+OUT = -9
 
 
 def _words(named: dict[str, str]) -> set[str]:
@@ -112,6 +118,8 @@ def blocks(page: str) -> list[Block]:
     words: list[str] = []
     linked = 0
     at, end = 0, len(page)
+    out, loose = 0, False  # place in the stack of an element that is left out; whether it has no end tag
+    ended: dict[str, set[int]] = {}
 
     def flush():
         nonlocal words, linked, depth_seen, depth_low
@@ -125,15 +133,27 @@ def blocks(page: str) -> list[Block]:
         words, linked = [], 0
 
     def pop_to(k):
-        nonlocal depth_low, links
+        nonlocal depth_low, links, out
+        out = out if k > out else 0
         links -= sum(t[0] == "a" for t in stack[k:])
         del stack[k:]
         depth_low = min(depth_low, len(stack) - 1)
 
+    def close(k, block):
+        """End the k-th open element, if k is not 0; visible words so far are a block if `block`."""
+        if 0 < k <= out:
+            pop_to(out)
+        if block and not out:
+            flush()
+        if 0 < k < len(stack):
+            pop_to(k)
+
     while at < end:
         m = _TAG.search(page, at)
         text = page[at:m.start() if m else end]
-        if text:
+        if out and stack[-1][0] == "head" and text.strip():
+            pop_to(out)  # text ends the head
+        if text and not out:
             words.append(html.unescape(text))
             linked += len(text) if links else 0
         if not m:
@@ -144,60 +164,77 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if tag in BLOCK:
-                flush()
-            elif tag in ("td", "th"):
+            if k < out and stack[out][0] in SKIP and tag not in BLOCK and tag not in ("td", "th"):
+                continue  # a stray end tag of text
+            close(k, tag in BLOCK)
+            if tag in ("td", "th") and not out:
                 words.append(" ")
-            if k:
-                pop_to(k)
             continue
-        container, hidden = _container(tag, m[3], stack[-1][1])
-        if tag == "br":
+        if out:
+            top = stack[out][0]
+            if (top == "head" and tag not in HEAD or top == tag and tag in ("button", "select") or top == "select" and tag == "input"
+                    or loose and tag in BLOCK and tag not in ("option", "optgroup")):
+                pop_to(out)
+        if tag == "br" and not out:
             words.append(" ")
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not out:
                 flush()
             continue
-        if tag in SKIP or hidden:
-            closed = m[3].endswith("/") and tag not in RAW
-            if not closed:
+        if tag in RAW:
+            if not (out and m[3].endswith("/") and any(t[0] in ("svg", "math") for t in stack[out:])):
                 at = _after(page, at, tag)
-            if tag in BLOCK:
+            if tag in BLOCK and not out:
                 flush()
             continue
         if tag in BLOCK:
-            flush()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-            if k:
-                pop_to(k)
-        if tag in ("td", "th"):
-            words.append(" ")
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in SKIP), 0)
+            close(k if stack[k][0] == "p" else 0, True)
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in CLOSES.get(tag, ()):
-                pop_to(k)
-                break
-            if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select"):
+            name = stack[k][0]
+            if name in CLOSES.get(tag, ()):
+                close(k, tag in BLOCK)
+                if tag != "tr" or name == "tr":
+                    break
+            elif name in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot") or name in SKIP:
                 break
+        if tag in ("td", "th") and not out:
+            words.append(" ")
         if not m[3].endswith("/"):
             # the container around counts anew after an element was closed
-            stack.append((tag, _container(tag, m[3], stack[-1][1])[0], count))
+            container = OUT
+            if not out:
+                container, hidden = _container(tag, m[3], stack[-1][1])
+                if hidden or tag in SKIP:
+                    container, out = OUT, len(stack)
+                    if tag not in OPTIONAL and tag not in ended:
+                        ended[tag] = _ended(page, tag)
+                    loose = tag not in OPTIONAL and m.start() not in ended[tag]
+            stack.append((tag, container, count))
             links += tag == "a"
             count += 1
+    if out:
+        pop_to(out)
     flush()
     return found
 
 
 def _after(page: str, at: int, tag: str) -> int:
-    """Where an element that is left out ends: at its end tag, or the page's end. Elements of its name nest unless raw."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).finditer(page, at):
-        if m[1]:
-            depth -= 1
-        elif tag not in RAW:
-            depth += 1
-        if not depth:
-            return m.end()
-    return len(page)
+    """Where a raw element ends: at its end tag, or the page's end."""
+    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+    return m.end() if m else len(page)
+
+
+def _ended(page: str, tag: str) -> set[int]:
+    """Where the start tags of elements stand that have an end tag; elements of one name nest."""
+    found, still = set(), []
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).finditer(page):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                still.append(m.start())
+        elif still:
+            found.add(still.pop())
+    return found
 
 
 FEATURES = 8 + 3 + 2 + 4

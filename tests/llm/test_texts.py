@@ -238,6 +238,19 @@ def test_words_of_class_do_not_decide_alone(page):
     assert main_text.main_text(page, weight) == LONG.replace("<p>", "").replace("</p>", "\n").strip()
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p hidden>x<p>A</p><p>B</p>", "A|B"), ("<div><p hidden>x<b>y</b></div><p>A", "A"), ("<p hidden>x<div>A</div>B", "A|B"),
+    ("<ul><li hidden>x<li>A<li>B</ul>C", "A|B|C"), ("<ul><li hidden>x<ul><li>y</ul>z<li>A</ul>", "A"),
+    ("<dl><dt hidden>x<dd>A<dt>B</dl>", "A|B"), ("<table><tr><td hidden>x<td>A<tr hidden><td>y<td>z<tr><td>B</table>C", "A|B|C"),
+    ("<table><tbody hidden><tr><td>x<tbody><tr><td>A</table>", "A"), ("<div><span hidden>x</div><p>A <span>B</span>", "A B|"),
+    ("<button>x<p>A</p><p>B</p>", "A|B"), ("<div><button>x</div>A<div><button>y</button>B</div>", "A|B"), ("<button>x<button>y</button>A", "A"),
+    ("<select><option>x<p>A</p><p>B</p>", "A|B"), ("<object data=x><param name=a><p>A</p>", "A"), ("<div hidden>x<p>A</p><p>B</p>", "A|B"),
+    ("<head><title>T</title><body><p>A", "A"), ("<p>A<span hidden>x<br>y</span>B</p>", "AB"), ("<p>A<span hidden>x</p>B", "A|B"),
+    ("A<svg><title/><path d=x><g></svg>B", "AB"), ("<div hidden><div>x</div><p>y</div>A", "A"), ("<button><p>x</p><div>y</div></button>A", "A")])
+def test_left_out_elements_end(page, want):
+    assert "|".join(b.text for b in main_text.blocks(page)) == want.strip("|")
+
+
 def test_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(200):
