@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.decontamination import leaks
 from ledgerlens.llm.id_files import round_trip
-from ledgerlens.llm import fingerprints, language, main_text, secrets, toxicity
+from ledgerlens.llm import fingerprints, language, main_text, quality, resampling, secrets, toxicity, whitening
 from ledgerlens.llm.near_dedup import near_duplicates
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.repeats import repeated
@@ -82,3 +82,25 @@ def op4_subsequence_toxicity(spark, sf_dir):
     machine = toxicity.fit(docs.where("not held_out"), labels.where(~language.held_out(F.col("doc_id"), 3, 1)))
     scored = toxicity.toxicity(docs.select("doc_id", "text", "held_out"), machine)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op11_log_likelihood_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels"))))
+
+
+S_["op11_log_likelihood_quality"] = quality.SQL
+
+
+@query
+def op12_distinct_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+S_["op13_importance_resampling"] = resampling.SQL
