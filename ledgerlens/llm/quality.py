@@ -44,7 +44,7 @@ def grams(words: Column, longest: int, buckets: int, then) -> Column:
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """The number of words that lie in a window of so many words found twice or more.
-    Windows are compared by 64-bit hashes of their words, within one text only."""
+    Windows are compared by 64-bit hashes, within one text only; a window's is made of those of its two halves."""
     def counted(hashes):
         seated = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
 
@@ -55,9 +55,14 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
                                                      F.lit(0).cast("long"), lambda acc, x: acc + x))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(seated, covered))
 
-    n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(window))))
-    return F.when(n <= window, F.lit(0).cast("long")).otherwise(let(hashes, counted))
+    def wider(hashes, size):
+        if size == window:
+            return counted(hashes)
+        step = min(size, window - size)
+        n = F.greatest(F.size(hashes) - step, F.lit(0))
+        both = F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+        return let(both, lambda x: wider(x, size + step))
+    return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), lambda x: wider(x, 1)))
 
 
 def duplicate_lines(text: Column) -> Column:
