@@ -2,13 +2,15 @@
 
 Paragraphs of equal words are one class. Classes are banded by MinHash; colliding ones are confirmed by
 the exact Jaccard similarity of their word shingles, and components of links make one passage of many
-wordings. Runs of repeated paragraphs are removed but for their first place in the corpus.
+wordings. Chains of repeated paragraphs are removed but for their first place in the corpus. Passages that
+stand inside lines are no paragraphs; `runs` finds them word by word, and they go the same way.
 """
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -18,11 +20,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import codes
 from ledgerlens.llm.links import resolve
 from ledgerlens.llm.near_dedup import band_hashes, slices
+from ledgerlens.llm.runs import repeated_runs
 from ledgerlens.llm.tables import in_batches, stage
 
 #: Words in a shingle, percent of the union that a link shares, words of a run that counts as a passage,
 #: rows of a band, and the part of pairs at the threshold that the bands may miss.
-WIDTH, PERCENT, LEAST, ROWS, MISS = 5, 80, 50, 3, 1e-4
+WIDTH, PERCENT, LEAST, ROWS, MISS = 5, 80, 50, 3, 1e-3
 #: Below so many words two different paragraphs never share 80 percent of their shingles.
 ALONE = 8
 
@@ -117,16 +120,19 @@ def _lines(batches):
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least: int = LEAST, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """docs (doc_id, text, more): a row for each paragraph of a passage that several documents share.
+    """docs (doc_id, text, more): the passages that several documents share, by paragraphs and by words.
 
-    Paragraphs are lines with a word; their words lie between white space, A-Z as a-z. Paragraphs of the
-    same words are one class (a 64-bit hash of the sequence names it: among 10^9 classes two are mistaken
+    A row of kind "paragraph": a line with a word; its words lie between white space, A-Z as a-z. Paragraphs of
+    the same words are one class (a 64-bit hash of the sequence names it: among 10^9 classes two are mistaken
     for one with a chance of 3 percent), and classes whose shingle sets share `percent` of their union are
     linked. A paragraph under 8 words is linked to equal ones only, as no other can share so much. A
-    component that lies in two documents or more is repeated; a run of neighbouring repeated paragraphs of
-    `least` words together is a passage. Returns doc_id, start, end (code points), n_words, component,
-    n_places, n_docs, passage_start, passage_words, and removed: False at the component's first place by
-    (doc_id, start), True elsewhere.
+    component that lies in two documents or more is repeated. Neighbouring repeated paragraphs are one chain
+    where their two components are neighbours in another document too; a chain of `least` words together is a
+    passage. Gives component, n_places, n_docs, passage_start, passage_words, and removed: False at the
+    component's first place by (doc_id, start), True elsewhere.
+    A row of kind "run": `least` words or more that stand word by word in another document, across lines or
+    inside them (see `runs`); its component, n_places and n_docs are null.
+    All rows have doc_id, start, end (code points) and n_words; rows of both kinds may overlap.
 
     Null and empty texts have no paragraphs, a null doc_id no place among the documents. Rows that repeat a
     doc_id are one document. Whole texts are read, of any length; other columns are ignored."""
@@ -147,22 +153,44 @@ def repeated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, least:
     lead = (by_doc.join(firsts, "component").where("doc_id = first_doc").select("component", "n_places", "n_docs", "first_doc", F.col("start").alias("first_start")))
     shared = named.join(lead, "component")
     order = W.partitionBy("row").orderBy("no")
-    runs = shared.withColumn("run", F.col("no") - F.row_number().over(order))
+    follower = F.when(F.lead("no").over(order) == F.col("no") + 1, F.lead("component").over(order))
+    shared = stage(shared.withColumn("follower", follower), "shared")
+    chained = (shared.where("follower is not null").groupBy("component", "follower").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+               .where("lo < hi").select("component", "follower", F.lit(1).alias("goes_on")))
+    runs = shared.join(chained, ["component", "follower"], "left")
+    opens = F.when((F.lag("goes_on").over(order) == 1) & (F.lag("no").over(order) == F.col("no") - 1), 0).otherwise(1)
+    runs = runs.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
     run = W.partitionBy("row", "run")
-    out = runs.withColumns({"passage_start": F.min("start").over(run), "passage_words": F.sum("n_words").over(run)}).where(F.col("passage_words") >= least)
-    return out.select("doc_id", "start", "end", "n_words", "component", "n_places", "n_docs", "passage_start", "passage_words",
-                      ((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))).alias("removed"))
+    chains = runs.withColumns({"passage_start": F.min("start").over(run), "passage_words": F.sum("n_words").over(run)}).where(F.col("passage_words") >= least)
+    lines = chains.select(F.lit("paragraph").alias("kind"), "doc_id", "start", "end", "n_words", "component", "n_places", "n_docs", "passage_start", "passage_words",
+                          ((F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))).alias("removed"))
+    inside = repeated_runs(source.where("text is not null"), least)
+    null = F.lit(None).cast("long")
+    return lines.unionByName(inside.select(
+        F.lit("run").alias("kind"), "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"),
+        null.alias("component"), null.alias("n_places"), null.alias("n_docs"), F.col("start").cast("long").alias("passage_start"),
+        F.col("n_words").cast("long").alias("passage_words"), "removed"))
+
+
+def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts without the characters from each start to its end; starts ascend, spans may overlap."""
+    out = []
+    for text, first, last in zip(texts, starts, ends):
+        if text is not None and first is not None:
+            at, parts = 0, []
+            for a, b in zip(first.tolist(), last.tolist()):
+                parts.append(text[at:max(at, a)])
+                at = max(at, b)
+            text = "".join([*parts, text[at:]])
+        out.append(text)
+    return pd.Series(out, dtype=object)
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without their removed paragraphs. found: the rows of repeated.
-    Rows that repeat a doc_id must repeat its text."""
-    cuts = found.where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("repeat_cuts"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("text")
-    kept = F.aggregate(
-        "repeat_cuts", zero,
-        lambda acc, c: F.struct((c["end"] + 1).alias("at"), F.concat(acc["parts"], F.array(text.substr((acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int")))).alias("parts")),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    joined = docs.join(cuts, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("repeat_cuts").isNull(), text).otherwise(kept)).select(docs.columns)
+    """The documents, with all their columns, without their removed paragraphs (with their line ends) and runs.
+    found: the rows of repeated. Rows that repeat a doc_id must repeat its text; rows without one stay as they are."""
+    end = F.col("end") + F.when(F.col("kind") == "paragraph", 1).otherwise(0)
+    cuts = found.where("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", end.alias("end")))).alias("repeat_cuts"))
+    joined = in_batches(docs).join(cuts, "doc_id", "left")
+    without = F.pandas_udf(_without, "string")
+    return joined.withColumn("text", without("text", "repeat_cuts.start", "repeat_cuts.end")).select(docs.columns)

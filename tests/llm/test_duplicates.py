@@ -1,4 +1,5 @@
 """Near-duplicate operators against all pairs compared one by one."""
+import random
 import re
 from collections import defaultdict
 
@@ -122,12 +123,20 @@ def brute_repeats(rows, least=50):
         if len(docs) > 1:
             first = min((p[0], p[2]) for p in ps)
             rep.update({p[:2]: (p, len(ps), len(docs), (p[0], p[2]) != first) for p in ps})
+    name = {p[:2]: comp[kinds[tuple(re.findall(r"[^\x20\x09-\x0D]+", p[4].translate(LOW)))]] for p in paras}
+    follow = defaultdict(set)
+    for i, no in rep:
+        if (i, no + 1) in rep:
+            follow[name[i, no], name[i, no + 1]].add(i)
+
+    def goes_on(i, no):
+        return (i, no) in rep and (i, no + 1) in rep and len(follow[name[i, no], name[i, no + 1]]) > 1
     out = set()
     for (i, no), (p, places, docs, removed) in rep.items():
         a = b = no
-        while (i, a - 1) in rep:
+        while goes_on(i, a - 1):
             a -= 1
-        while (i, b + 1) in rep:
+        while goes_on(i, b):
             b += 1
         total = sum(rep[i, k][0][4] for k in range(a, b + 1))
         if total >= least:
@@ -138,17 +147,88 @@ def brute_repeats(rows, least=50):
 def test_repeated_paragraphs_equal_all_pairs(prose):
     rows, df = prose
     found = repeats.repeated(df)
-    got = {(r.doc_id, r.start, r.end, r.n_words, r.n_places, r.n_docs, r.passage_start, r.passage_words, r.removed) for r in found.collect()}
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.n_places, r.n_docs, r.passage_start, r.passage_words, r.removed) for r in found.where("kind = 'paragraph'").collect()}
     assert got == brute_repeats(rows) and len(got) > 50
     text, cut = dict(rows), defaultdict(set)
-    for r in got:
-        if r[-1]:
-            cut[r[0]].add((r[1], r[2]))
+    for r in found.where("removed").collect():
+        cut[r.doc_id].update(range(r.start, r.end + (r.kind == "paragraph")))
     for r in repeats.without_repeats(df, found).collect():
-        want, at = "", 0
-        for a, b in sorted(cut[r.doc_id]):
-            want, at = want + text[r.doc_id][at:a], b + 1
-        assert r.text == want + text[r.doc_id][at:]
+        assert r.text == "".join(c for k, c in enumerate(text[r.doc_id]) if k not in cut[r.doc_id])
+
+
+def word_spans(text):
+    return [(m.group().translate(LOW), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def brute_runs(rows, least):
+    """Characters of each document in windows of `least` words that another document has, and in those of them that it has first."""
+    where = defaultdict(set)
+    spans = {i: word_spans(t) for i, t in rows}
+    for i, w in spans.items():
+        for k in range(len(w) - least + 1):
+            where[tuple(x[0] for x in w[k:k + least])].add((i, k))
+    every, first = defaultdict(set), defaultdict(set)
+    for places in where.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                seen = range(spans[i][k][1], spans[i][k + least - 1][2])
+                every[i].update(seen)
+                if i == min(places)[0]:
+                    first[i].update(seen)
+    return every, first
+
+
+@pytest.mark.parametrize("least", [12, 51])
+def test_runs_equal_all_windows(spark, least):
+    rng = random.Random(least)
+    words = ["".join(rng.choice("abcdeABÉ") for _ in range(rng.randint(1, 5))) for _ in range(60 if least == 12 else 300)]
+
+    def prose(n):
+        return [rng.choice(words) for _ in range(n)]
+    stock = [prose(n) for n in (least - 1, least, least + 4, 2 * least, 30, 200)]
+    rows = []
+    for k in range(120):
+        text = prose(rng.randint(0, 80))
+        for _ in range(rng.randint(0, 3)):
+            s = rng.choice(stock)
+            a = rng.randint(0, len(s) // 3)
+            text += s[a:] + prose(rng.randint(0, 20))
+        if k % 10 == 9:
+            text = rows[-4][1].split()  # a copy with white space of its own
+        if k % 10 == 8 and len(text) > 3:
+            text = rows[-3][1].split()
+            text[len(text) // 2:len(text) // 2 + 1] = prose(2)
+        rows.append((1000 - k, "".join(w + rng.choice(" \n\t ") for w in text)))
+    rows += [(2000, rows[5][1]), (2001, rows[5][1]), (3, "same " * 300), (4, "x " + "same " * 200), (5, "a b " * 100), (6, "q " + "a b " * 70), (7, "")]
+    got = repeats.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), least).collect()
+    every, first = brute_runs(rows, least)
+    seen, kept = defaultdict(set), defaultdict(set)
+    for r in got:
+        assert r.n_words >= least and r.n_words == len(word_spans(dict(rows)[r.doc_id][r.start:r.end]))
+        seen[r.doc_id].update(range(r.start, r.end))
+        if not r.removed:
+            kept[r.doc_id].update(range(r.start, r.end))
+    text = dict(rows)
+    for i, t in rows:  # white space between two windows that touch goes with them
+        assert {k for k in seen[i] if not t[k].isspace()} == {k for k in every[i] if not t[k].isspace()}, i
+    # what a document has first is not all removed: each repeated window stays in one place
+    gone = defaultdict(set)
+    for r in got:
+        if r.removed:
+            gone[r.doc_id].update(range(r.start, r.end))
+    assert all(kept[i] for i in first if i == min(every)) and sum(map(len, gone.values())) < sum(map(len, seen.values()))
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(8)
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    passage, lines = prose(60), [prose(11) for _ in range(5)]
+    rows = [(1, f"{prose(40)} {passage} {prose(30)}"), (2, f"{prose(7)} {passage} {prose(90)}"), (3, "\n".join(lines))]
+    rows += [(10 + k, prose(20) + "\n" + x) for k, x in enumerate(lines)]  # each line elsewhere, never two of them
+    got = repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.kind, r.doc_id, r.n_words, r.removed) for r in got} == {("run", 1, 60, False), ("run", 2, 60, True)}
+    assert all(dict(rows)[r.doc_id][r.start:r.end] == passage for r in got)
 
 
 def test_odd_paragraphs(odd, none):
