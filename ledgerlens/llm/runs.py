@@ -16,12 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import codes
-from ledgerlens.llm.tables import small, stage
+from ledgerlens.llm.tables import stage
 
 #: Words of the shingle whose hash makes a place the least one.
 SHINGLE = 5
-#: Rows, and whole numbers in arrays, that may be sent to every executor (some 15 MB).
-BROADCAST_ROWS, BROADCAST_PLACES = 250_000, 2_000_000
+#: Whole numbers in arrays that may be sent to every executor (some 30 MB).
+BROADCAST_PLACES = 8_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -112,10 +112,6 @@ def _windows(unit, least):
     return run
 
 
-def _light(df: DataFrame) -> DataFrame:
-    return small(df, BROADCAST_ROWS)
-
-
 def _merged(intervals: DataFrame) -> DataFrame:
     """Unions (doc_id, start, end, n_words, removed) of overlapping or touching intervals of a text's words."""
     by = W.partitionBy("tkey", "removed")
@@ -139,7 +135,7 @@ def repeated_runs(source: DataFrame, least: int) -> DataFrame:
     keyed = source.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     found = stage(keyed.mapInArrow(_units(unit, reach), UNITS), "run-found")
     spread = found.groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    ids = _light(stage(spread.where("least < most").select("id"), "run-ids"))
+    ids = stage(spread.where("least < most").select("id"), "run-ids")
     shared = stage(found.join(ids, "id"), "run-units")
     texts = stage(shared.groupBy("tkey").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *(F.max(c).alias(c) for c in ("n", "first", "last"))), "run-texts")
 
@@ -147,7 +143,7 @@ def repeated_runs(source: DataFrame, least: int) -> DataFrame:
     lead = stage(shared.groupBy("id").agg(F.min(F.struct("doc_id", "tkey", "at", "start", "end")).alias("r")).select(
         "id", F.col("r.doc_id").alias("rd"), F.col("r.tkey").alias("rt"), F.col("r.at").alias("rp"), F.col("r.start").alias("rs"), F.col("r.end").alias("re")), "run-leads")
     units = stage(units, "run-places")
-    met = units.join(_light(lead), "id").where("tkey != rt or at != rp")
+    met = units.join(lead, "id").where("tkey != rt or at != rp")
     line = W.partitionBy("tkey", "rt", "line").orderBy("at")
     gap = F.coalesce((F.col("at") - F.lag("at").over(line) > unit).cast("int"), F.lit(1))
     in_runs = met.withColumn("line", F.col("at") - F.col("rp")).withColumn("gap", gap).withColumn("run", F.sum("gap").over(line))
@@ -160,24 +156,22 @@ def repeated_runs(source: DataFrame, least: int) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.min("rp").alias("r0"), F.min("rs").alias("rs"), F.max("re").alias("re"))
     known = texts.select("tkey", "lo", "hi")
     # a document with two texts has no second document by that alone
-    runs = stage(runs.join(_light(known), "tkey").join(_light(known.toDF("rt", "rlo", "rhi")), "rt").where("least(lo, rlo) < greatest(hi, rhi)"), "run-pairs")
+    runs = stage(runs.join(known, "tkey").join(known.toDF("rt", "rlo", "rhi"), "rt").where("least(lo, rlo) < greatest(hi, rhi)"), "run-pairs")
     theirs = runs.select("tkey", F.col("lo").alias("doc_id"), "a0", "a1", "start", "end", F.lit(True).alias("removed"))
     leads = runs.select(F.col("rt").alias("tkey"), F.col("rlo").alias("doc_id"), F.col("r0").alias("a0"), (F.col("r0") + F.col("a1") - F.col("a0")).alias("a1"),
                         F.col("rs").alias("start"), F.col("re").alias("end"), F.lit(False).alias("removed"))
 
     open_ids = in_runs.where(~(full & apart) | (F.col("at") == F.col("a0")) | (F.col("at") + unit == F.col("a1"))).select("id").distinct()
-    asked = units.join(_light(stage(open_ids, "run-open")), "id").groupBy("tkey").agg(F.collect_set("at").alias("asked"))
+    asked = units.join(stage(open_ids, "run-open"), "id").groupBy("tkey").agg(F.collect_set("at").alias("asked"))
     asked = stage(asked.join(texts.where(F.col("n") >= least), "tkey").select("tkey", F.col("lo").alias("doc_id"), "hi", "asked"), "run-asked")
     size = asked.agg(F.coalesce(F.sum(F.size("asked") + 8), F.lit(0))).first()[0]
     wanted = F.broadcast(asked) if size <= BROADCAST_PLACES else asked
     windows = stage(keyed.join(wanted, ["tkey", "doc_id"]).select("doc_id", "tkey", "hi", "text", "asked")
                     .mapInArrow(_windows(unit, least), WINDOWS), "run-windows")
-    same = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("hi").alias("most")).where("lo < most").select("h", "lo")
-    twice = windows.join(_light(stage(same, "run-same")), "h")
-    first = twice.where("doc_id = lo").groupBy("h").agg(F.min(F.struct("tkey", "at")).alias("lead"))
-    twice = twice.join(_light(stage(first, "run-first")), "h")
+    same = windows.groupBy("h").agg(F.min(F.struct("doc_id", "tkey", "at")).alias("lead"), F.max("hi").alias("most")).where("lead.doc_id < most").select("h", "lead")
+    twice = windows.join(same, "h")
     parts = twice.select("tkey", "doc_id", F.col("at").alias("a0"), (F.col("at") + least).alias("a1"), "start", "end",
-                         ((F.col("doc_id") != F.col("lo")) | (F.struct("tkey", "at") != F.col("lead"))).alias("removed"))
+                         (F.struct("doc_id", "tkey", "at") != F.col("lead")).alias("removed"))
 
     merged = _merged(theirs.unionByName(leads).unionByName(parts)).select("doc_id", "start", "end", "n_words", "removed")
     copies = shared.select("tkey", "doc_id").distinct().join(texts.where((F.col("lo") < F.col("hi")) & (F.col("n") >= least)), "tkey")
