@@ -149,38 +149,49 @@ def is_garbage(headline, summary):
             | F.coalesce((F.lower(h) == F.lower(F.trim(summary))) & (F.length(h) < 20), F.lit(False)))
 
 
-_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|[A-Za-z]{2,6}(?![A-Za-z0-9;=]))"
-_AMPERSANDS = ("&amp;", "&amp", "&AMP;", "&AMP", "&#38;", "&#38", "&#x26;", "&#X26;", "&#x26")
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 @cache
-def _names():
-    """Named references, and the numbers that stand for the upper half of the Windows code page, as one JSON map."""
-    old = bytes(range(128, 160)).decode("cp1252", "replace")
-    return json.dumps({**{f"&{k}": v for k, v in html.entities.html5.items()}, **{f"&#{128 + k}": c for k, c in enumerate(old)}})
+def _names(semicolon: bool):
+    """Named references with their semicolon, or those that need none, as one JSON map; the most frequent come first,
+    as a map is searched from its start."""
+    usual = ("amp", "nbsp", "lt", "gt", "quot", "rsquo", "lsquo", "rdquo", "ldquo", "mdash", "ndash", "bull")
+    names = {k: v for k, v in html.entities.html5.items() if k.endswith(";") == semicolon}
+    first = [k + ";" * semicolon for k in usual if k + ";" * semicolon in names]
+    return json.dumps({k: names[k] for k in dict.fromkeys([*first, *names])})
+
+
+@cache
+def _page():
+    """What the numbers 128 to 159 stand for: the Windows code page, or the control character itself."""
+    return "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160))
 
 
 def unescape_entities(x):
-    """Named and numeric character references decoded in the JVM; what is none stays. An ampersand is a mark of the
-    private use area until all are done, so that what it uncovers is not decoded again."""
-    names = F.from_json(F.lit(_names()), "map<string,string>")
-
-    def decoded(r):
-        bare = F.rtrim(r, F.lit(";"))
-        number = F.when(F.lower(F.substring(r, 1, 3)) == "&#x", F.conv(F.substring(bare, 4, 6), 16, 10)).otherwise(F.substring(bare, 3, 7)).try_cast("int")
-        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
-        by_number = F.when(number.between(128, 159), F.try_element_at(names, F.concat(F.lit("&#"), number.cast("string")))).otherwise(char)
-        return F.when(F.substring(r, 1, 2) == "&#", by_number).otherwise(F.coalesce(F.try_element_at(names, r), r))
-
-    found = F.array_distinct(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)))
-    is_and = lambda r: r.isin(*_AMPERSANDS)
-    ordered = F.concat(F.filter(found, lambda r: ~is_and(r)), F.filter(found, is_and))
-    # a reference without its semicolon may be part of a longer one: longest first
-    ordered = F.transform(F.array_sort(F.transform(ordered, lambda r, i: F.struct(is_and(r).alias("last"), (-F.length(r)).alias("size"), i.alias("i"), r.alias("r")))), lambda s: s["r"])
-    mark = "\ue0ff"
-    text = F.aggregate(ordered, x, lambda acc, r: F.replace(acc, r, F.when(is_and(r), F.lit(mark)).otherwise(decoded(r))))
-    return F.when(F.contains(x, F.lit("&")), F.replace(text, F.lit(mark), F.lit("&"))).otherwise(x)
+    """Named and numeric character references decoded in the JVM, from left to right, each once: the text is split at
+    its references, and the decoded ones are put between the parts. What is no reference stays."""
+    full, short = (F.from_json(F.lit(_names(k)), "map<string,string>") for k in (True, False))
+
+    def by_number(r):
+        hexed = F.lower(F.substring(r, 1, 3)) == "&#x"
+        digits = F.ltrim(F.rtrim(F.when(hexed, F.substring(r, 4, 1 << 20)).otherwise(F.substring(r, 3, 1 << 20)), F.lit(";")), F.lit("0"))
+        digits = F.when(digits == "", "0").otherwise(digits)
+        n = F.when(F.length(digits) > 7, 0x110000).when(hexed, F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
+        char = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+        nothing = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE))
+        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�").when(n.between(128, 159), F.substring(F.lit(_page()), n - 127, F.lit(1)))
+                .when(nothing, "").otherwise(char))
+
+    def by_name(r):
+        name = F.substring(r, 2, 1 << 20)
+        # a name that needs no semicolon may be followed by anything: the longest one counts
+        parts = [F.concat(F.try_element_at(short, F.substring(name, 1, k)), F.substring(name, k + 1, 1 << 20)) for k in range(6, 1, -1)]
+        return F.coalesce(F.when(F.endswith(name, F.lit(";")), F.try_element_at(full, name)), *parts, r)
+
+    found = F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)), lambda r: F.when(F.startswith(r, F.lit("&#")), by_number(r)).otherwise(by_name(r)))
+    pieces = F.zip_with(F.split(x, _REFERENCE, -1), found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(x, F.lit("&")), F.array_join(pieces, "")).otherwise(x)
 
 
 def strip_tags(x):

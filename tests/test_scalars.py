@@ -75,3 +75,17 @@ def test_json(spark):
     r = one(spark, J.number_at(v, "$.a"), J.number_at(v, "$.b"), J.number_at(v, "$.c"), J.raw_total(v), J.signal_status(v, F.lit("LOW")),
             J.detail_shape(F.lit("[1]")), J.detail_shape(F.lit('"x"')))
     assert r[0] == 0.5 and r[1] is None and r[2] == 1.0 and abs(r[3] - 0.3) < 1e-12 and r[4] == "ok" and r[5] == '{"items":[1]}' and r[6] == "{}"
+
+
+def test_character_references_equal_the_standard(spark):
+    import html
+    import random
+    rng = random.Random(11)
+    bits = ["&", "&#", "&#x", "&#X", ";", "amp", "amp;", "lt;", "lt", "038", "38;", "160", "65", "0000000065;", "x41;", "0", "1114112;", "55296;", "128", "150;", "129;", "11;", "xFFFF;", "xfdd0;",
+            "nbsp;", "notit;", "copy", "eacute;", "Eacute", "CounterClockwiseContourIntegral;", "unknown;", " ", "<", "=", "é", "😀", "\ue0ff", "12345678901234567890;", "frac12", "\n", "&#13;", "&#x80;", "&NotEqualTilde;"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    texts += ["&#038;lt; and &lt;", "\ue0ff &amp;", "&#0000000065;", "&amp;amp;lt;", "", "no reference", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.u for r in df.select("k", T.unescape_entities(F.col("t")).alias("u")).collect()}
+    assert all(got[k] == (None if t is None else html.unescape(t)) for k, t in enumerate(texts)), [
+        (t, got[k], html.unescape(t)) for k, t in enumerate(texts) if t is not None and got[k] != html.unescape(t)][:5]
