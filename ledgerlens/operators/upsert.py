@@ -1,14 +1,15 @@
-"""Rerun-safe writes by natural key, on plain files.
+"""Rerun-safe writes by natural key.
 
-`upsert` returns the new table state as a plan. `write_upsert` rewrites only the partitions
-the batch touches, into a new version folder that is published by a small pointer file, so
-a job that dies half-way leaves the old version readable.
+`upsert` and its kin return the new table state as a plan. `write_upsert`, `write_replace` and
+`write_change` apply them to a stored table, of which they rewrite only the buckets the batch
+touches (see `buckets`).
 """
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions import strings as T
+from ledgerlens.operators import buckets as B
 from ledgerlens.operators.dedupe import keep_last_in_batch, top_per_key
 
 KEYS = {  # natural keys
@@ -25,6 +26,9 @@ KEYS = {  # natural keys
     "market_prices": ("company_id", "trading_date", "provider"),
     "macro_observations": ("series_id", "observation_date", "provider"),
 }
+#: Columns whose hash gives a row's bucket: rows that may replace each other share them.
+BUCKETS_BY = {**KEYS, "filing_sections": ("filing_id",), "embeddings": ("filing_id",), "insider_transactions": ("accession_number",),
+              "signal_scores": ("filing_id",), "nci_scores": ("company_id",)}
 INSIDER_BUSINESS_KEY = ("accession_number", "insider_name", "transaction_date", "transaction_code", "shares",
                         "price_per_share", "security_title", "ownership_nature", "acquired_disposed_code",
                         "is_derivative")
@@ -129,7 +133,7 @@ def assert_owner(target: DataFrame, source: DataFrame, keys, owner="company_id")
     return source.join(have, list(keys), "left").where(check).drop("__owner")
 
 
-def mark_stage(filings: DataFrame, done: DataFrame, stage: str, status: str) -> DataFrame:
+def mark_stage(filings: DataFrame, done: DataFrame, stage: str | None, status: str) -> DataFrame:
     """Sets one stage flag, the overall flag (all four stages) and the status of the filings in `done`."""
     stages = ["is_text_signal_scored", "is_numeric_signal_scored", "is_insider_signal_scored",
               "is_composite_signal_scored"]
@@ -158,56 +162,30 @@ def append_events(events: DataFrame, path):
     events.write.mode("append").parquet(path)
 
 
-# ---------------------------------------------------------------- versioned tables on files
+# ---------------------------------------------------------------- stored tables
 def read_table(spark, path, schema):
-    """Current version of a table, empty when none was published."""
-    version = _current(spark, path)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{version}")
-
-
-def _fs(spark, path):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def _current(spark, path):
-    fs, Path = _fs(spark, path)
-    versions = sorted(s.getPath().getName()[1:] for s in (fs.listStatus(Path(path)) if fs.exists(Path(path)) else [])
-                      if s.getPath().getName().startswith("v") and fs.exists(Path(s.getPath(), "_SUCCESS")))
-    return f"v{versions[-1]}" if versions else None
-
-
-def write_version(spark, df: DataFrame, path, partition_by=()):
-    """Writes the next version; readers switch when its _SUCCESS marker appears. Old versions stay
-    for running readers and are removed by the operator of the table."""
-    cur = _current(spark, path)
-    nxt = f"v{int(cur[1:]) + 1 if cur else 1:08d}"
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/{nxt}")
-    return nxt
-
-
-def write_upsert(spark, path, schema, source, keys, position=None, null_safe=False, partition_by=()):
-    return write_version(spark, upsert(read_table(spark, path, schema), source, keys, position, null_safe),
-                         path, partition_by)
-
-
-def write_upsert_partitions(spark, path, schema, source, keys, partition_by, position=None, null_safe=False):
-    """For tables partitioned by columns that are part of the key (day, series, company bucket): reads
-    and rewrites only the partitions the batch touches, by dynamic partition overwrite."""
-    fs, Path = _fs(spark, path)
-    if fs.exists(Path(path)):
-        old = spark.read.schema(schema).parquet(path)
-        # bounded by the number of partition folders of the table; lets the scan prune
-        touched = old.join(F.broadcast(source.select(*partition_by).distinct()), list(partition_by), "left_semi")
-    else:
-        touched = spark.createDataFrame([], schema)
-    out = upsert(touched.select(*[f.name for f in schema.fields]), source, keys, position, null_safe)
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).parquet(path))
+    """Current version of a table, empty when none was written."""
+    return B.read(spark, path, schema)
+
+
+def write_version(spark, df: DataFrame, path, by, buckets=None):
+    """The whole table anew, by buckets of the columns `by`."""
+    return B.write(spark, df, path, by, buckets)
+
+
+def write_change(spark, path, schema, source, apply, by, buckets=None):
+    """The buckets of the batch hold apply(their rows, batch) afterwards, all others keep their files."""
+    return B.change(spark, path, schema, source, apply, by, buckets)
+
+
+def write_upsert(spark, path, schema, source, keys, position=None, null_safe=False, by=None, buckets=None):
+    """by: columns of the key, all of it by default."""
+    return B.change(spark, path, schema, source, lambda old, new: upsert(old, new, keys, position, null_safe), by or keys, buckets)
+
+
+def write_replace(spark, path, schema, source, key, buckets=None):
+    """All rows of the keys in the batch are replaced, in the buckets of those keys."""
+    return B.change(spark, path, schema, source, lambda old, new: replace_rows(old, new, key), (key,), buckets)
 
 
 def write_csv(df: DataFrame, path):

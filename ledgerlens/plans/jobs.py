@@ -30,11 +30,19 @@ class Store:
         return U.read_table(self.spark, self.path(table), TABLES[table])
 
     def replace(self, table, df):
-        return U.write_version(self.spark, conform(df, TABLES[table]), self.path(table))
+        """The whole table anew."""
+        return U.write_version(self.spark, conform(df, TABLES[table]), self.path(table), U.BUCKETS_BY[table])
+
+    def change(self, table, source, apply):
+        """The buckets that source touches hold apply(their rows, source) afterwards."""
+        return U.write_change(self.spark, self.path(table), TABLES[table], source, apply, U.BUCKETS_BY[table])
 
     def upsert(self, table, source, position=None, null_safe=False, keys=None):
-        return U.write_upsert(self.spark, self.path(table), TABLES[table], source, keys or U.KEYS[table], position,
-                              null_safe)
+        return self.change(table, source, lambda old, new: U.upsert(old, new, keys or U.KEYS[table], position, null_safe))
+
+    def replace_rows(self, table, source, key):
+        """All rows of the keys in source are replaced."""
+        return self.change(table, conform(source, TABLES[table]), lambda old, new: U.replace_rows(old, new, key))
 
     def event(self, event_type, layer, detail, at):
         row = self.spark.range(1).select(F.lit(None).cast("bigint").alias("filing_id"))
@@ -117,20 +125,37 @@ STAGES = (  # order matters: insiders read tone, the fusion reads everything
 )
 
 
+#: Stages whose rows for a filing follow from its own company alone; the others compare companies.
+OWN_COMPANY = ("text_signals", "numeric_signals", "insider_signals", "sentiment_signals", "composite_engine")
+
+
 def run_signals(store: Store, computed_at, company_ids=None, stages=STAGES, **inputs) -> DataFrame:
-    """All stages over all eligible filings (or those of some companies): the layers are whole-table
-    plans, written one after another. Returns the per-stage summary."""
-    for name, stage, flag, status in stages:
-        filings = store.read("filings")
-        scope = filings.where(F.col("form_type").isin(*P.SIGNAL_JOB_FORMS))
-        if company_ids is not None:
-            scope = scope.where(F.col("company_id").isin(*company_ids))
-        rows = stage(store, filings, computed_at, **inputs).join(scope.select("filing_id"), "filing_id", "left_semi")
-        rows = U.assert_owner(store.read("signal_scores"), conform(rows, TABLES["signal_scores"]), U.KEYS["signal_scores"])
-        store.upsert("signal_scores", rows)
-        store.replace("filings", U.mark_stage(filings, scope, flag, status))
-        store.event("composite_scored" if name == "composite_engine" else "signal_scored", "processing",
-                    F.to_json(F.struct(F.lit(name).alias("step"))), computed_at)
+    """All stages over all eligible filings, or those of some companies, which then are all that most layers read.
+    Each stage writes the scores of its filings; the filings' flags are written once, with the stages that are done,
+    also when a stage fails: its event then says so, and the error goes on. Returns the per-stage summary."""
+    filings = store.read("filings")
+    mine = filings if company_ids is None else filings.where(F.col("company_id").isin(*company_ids))
+    scope = mine.where(F.col("form_type").isin(*P.SIGNAL_JOB_FORMS))
+    done = []
+    try:
+        for name, stage, flag, status in stages:
+            try:
+                given = mine if name in OWN_COMPANY else filings
+                rows = stage(store, given, computed_at, **inputs).join(scope.select("filing_id"), "filing_id", "left_semi")
+                rows = U.assert_owner(store.read("signal_scores"), conform(rows, TABLES["signal_scores"]), U.KEYS["signal_scores"])
+                store.upsert("signal_scores", rows)
+            except Exception as error:
+                store.event("signal_failed", "processing", F.lit(json.dumps({"step": name, "error": str(error)[:2000]})), computed_at)
+                raise
+            done.append((flag, status))
+            store.event("composite_scored" if name == "composite_engine" else "signal_scored", "processing",
+                        F.to_json(F.struct(F.lit(name).alias("step"))), computed_at)
+    finally:
+        if done:
+            marked = scope
+            for flag, status in done:
+                marked = U.mark_stage(marked, scope, flag, status)
+            store.upsert("filings", marked)
     from ledgerlens.plans.rows import with_catalogue
     return A.run_summary(with_catalogue(store.read("signal_scores")))
 
@@ -152,17 +177,16 @@ def run_sections(store: Store, raw_root, at, force=False):
     split = X.split_sections(todo.join(docs, "accession_number"))
     rows = X.section_rows(split)
     rows = rows.withColumn("section_id", F.xxhash64("filing_id", "section", "sequence_idx"))
-    U.write_version(store.spark, conform(U.replace_rows(store.read("filing_sections"), conform(
-        rows, TABLES["filing_sections"]), "filing_id"), TABLES["filing_sections"]), store.path("filing_sections"))
+    store.replace_rows("filing_sections", rows, "filing_id")
     found = store.read("filing_sections").select("filing_id").distinct().withColumn("__ok", F.lit(True))
     tried = todo.join(docs.select("accession_number"), "accession_number", "left_semi").select(
         "filing_id", F.lit(True).alias("__tried"))
-    j = filings.join(found, "filing_id", "left").join(tried, "filing_id", "left")
+    j = filings.join(found, "filing_id", "left").join(tried, "filing_id")
     ok, t = F.col("__ok").isNotNull(), F.col("__tried").isNotNull()
     j = (j.withColumn("is_extracted", F.when(t, ok).otherwise(F.col("is_extracted")))
          .withColumn("processing_status", F.when(t & ok, "extracted").when(t, "failed").otherwise(F.col("processing_status")))
          .withColumn("last_error_message", F.when(t & ~ok, "no_sections_found").when(~t, F.col("last_error_message"))))
-    store.replace("filings", j)
+    store.upsert("filings", conform(j, TABLES["filings"]))
     store.event("extracted", "processing", F.lit('{"step":"filing_splitter"}'), at)
 
 
@@ -175,10 +199,10 @@ def run_embeddings(store: Store, embedder, dimension, provider, model, at, force
     rows = N.apply_embedder(chunks, embedder, dimension).select(
         F.col("section_id").alias("filing_section_id"), "company_id", "filing_id", "chunk_idx", "text", "embedding",
         F.lit(provider).alias("provider"), F.lit(model).alias("embedding_model"))
-    store.replace("embeddings", U.replace_rows(store.read("embeddings"), conform(rows, TABLES["embeddings"]), "filing_id"))
+    store.replace_rows("embeddings", rows, "filing_id")
     done = store.read("embeddings").select("filing_id").distinct()
-    j = filings.join(done.withColumn("__ok", F.lit(True)), "filing_id", "left")
-    store.replace("filings", j.withColumn("is_embedded", F.coalesce("__ok", "is_embedded")))
+    new = todo.join(done, "filing_id", "left_semi").withColumn("is_embedded", F.lit(True))
+    store.upsert("filings", conform(new, TABLES["filings"]))
     store.event("embedded", "processing", F.lit('{"step":"embeddings"}'), at)
 
 
@@ -187,9 +211,9 @@ def run_facts(store: Store, payloads: DataFrame, at):
     facts = json_payloads.company_facts(payloads, store.read("filings"))
     facts = facts.withColumn("fact_id", F.xxhash64(*U.KEYS["xbrl_facts"])).withColumn("created_at", at)
     store.upsert("xbrl_facts", conform(facts, TABLES["xbrl_facts"]), null_safe=True)
-    hit = facts.where(F.col("filing_id").isNotNull()).select("filing_id").distinct().withColumn("__ok", F.lit(True))
-    j = store.read("filings").join(hit, "filing_id", "left")
-    store.replace("filings", j.withColumn("is_xbrl_parsed", F.coalesce("__ok", "is_xbrl_parsed")))
+    hit = facts.where(F.col("filing_id").isNotNull()).select("filing_id")
+    new = store.read("filings").where(~F.coalesce("is_xbrl_parsed", F.lit(False))).join(hit, "filing_id", "left_semi")
+    store.upsert("filings", conform(new.withColumn("is_xbrl_parsed", F.lit(True)), TABLES["filings"]))
     store.event("xbrl_parsed", "processing", F.lit('{"step":"facts"}'), at)
 
 
@@ -202,12 +226,9 @@ def run_insiders(store: Store, documents: DataFrame, at):
     rows = xml_payloads.insider_transactions(docs)
     rows = rows.withColumn("transaction_id", F.xxhash64("transaction_uid")).join(docs.select("filing_id", "landed"), "filing_id")
     src = _batch(rows.withColumn("position", F.struct("landed", "transaction_uid")), "insider_transactions")
-    store.replace("insider_transactions", U.upsert_insider(store.read("insider_transactions"), src, "position"))
-    done = store.read("insider_transactions").select("filing_id").distinct().withColumn("__ok", F.lit(True))
-    j = store.read("filings").join(done, "filing_id", "left")
-    hit = F.col("__ok").isNotNull()
-    store.replace("filings", j.withColumn("is_form4_parsed", F.coalesce("__ok", "is_form4_parsed")).withColumn(
-        "processing_status", F.when(hit, "form4_parsed").otherwise(F.col("processing_status"))))
+    store.change("insider_transactions", src, lambda old, new: U.upsert_insider(old, new, "position"))
+    new = f.join(store.read("insider_transactions").select("filing_id"), "filing_id", "left_semi")
+    store.upsert("filings", conform(new.withColumns({"is_form4_parsed": F.lit(True), "processing_status": F.lit("form4_parsed")}), TABLES["filings"]))
     store.event("form4_parsed", "processing", F.lit('{"step":"form4_parser"}'), at)
 
 
@@ -285,7 +306,7 @@ def run_filing_job(store: Store, index: DataFrame, raw_root, facts, at, embedder
                  "is_composite_signal_scored"):
         f = f.withColumn(flag, F.lit(False))
     src = conform(f, TABLES["filings"]).withColumn("position", F.col("accession_number"))
-    store.replace("filings", U.insert_filings_if_absent(store.read("filings"), src, "position"))
+    store.change("filings", src, lambda old, new: U.insert_filings_if_absent(old, new, "position"))
     run_sections(store, raw_root, at)
     run_facts(store, facts, at)
     run_embeddings(store, embedder, dimension, "local", "model", at)

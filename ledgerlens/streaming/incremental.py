@@ -2,8 +2,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators import upsert as U
-from ledgerlens.session import checkpoint_dir
-
 
 def deduplicated(stream: DataFrame, keys, event_time, delay="2 days") -> DataFrame:
     """Drops repeats of a natural key that arrive within the delay; state is bounded by it."""
@@ -16,16 +14,17 @@ def upsert_sink(path, schema, keys, position=None):
     def write(batch: DataFrame, _):
         if not batch.isEmpty():
             spark = batch.sparkSession
+            # only the buckets of the batch's keys are rewritten
             U.write_upsert(spark, path, schema, batch.select(*[f.name for f in schema.fields],
                                                              *([position] if position else [])), keys, position)
     return write
 
 
 def start_upsert(stream, path, schema, keys, name, event_time=None, position=None, delay="2 days", **trigger):
-    spark = stream.sparkSession
+    """The checkpoint lies beside the table, where a restart finds it."""
     s = deduplicated(stream, keys, event_time, delay) if event_time else stream
     return (s.writeStream.foreachBatch(upsert_sink(path, schema, keys, position))
-            .option("checkpointLocation", f"{checkpoint_dir(spark)}/stream-{name}")
+            .option("checkpointLocation", f"{path}.checkpoints/{name}")
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
@@ -38,7 +37,7 @@ def news_volume(stream: DataFrame, event_time="published_at", key="company_id",
 
 
 def append_log(stream: DataFrame, path, name, **trigger):
-    """Event rows appended to the log."""
+    """Event rows appended to the log; the checkpoint lies beside it."""
     return (stream.writeStream.format("parquet").option("path", path)
-            .option("checkpointLocation", f"{checkpoint_dir(stream.sparkSession)}/log-{name}")
+            .option("checkpointLocation", f"{path}.checkpoints/{name}")
             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())

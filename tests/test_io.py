@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from ledgerlens.operators import upsert as U
+from ledgerlens.operators import buckets as BK, upsert as U
 from ledgerlens.plans import jobs as J, queries as R
 from ledgerlens.schemas import TABLES, conform
 from ledgerlens.sources import files, json_payloads as JP, xml_payloads as XP
@@ -133,16 +133,50 @@ def test_upserts_are_rerun_safe(spark, tmp_path):
     assert (s2.selected - s2.deduped_in_batch, s2.inserted, s2.updated) == (2, 0, 2)
 
 
-def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
+def files_of(path):
+    import glob
+    return {f for f in glob.glob(f"{path}/data/**/*.parquet", recursive=True)}
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
     path, schema = str(tmp_path / "p"), TABLES["market_prices"]
     mk = lambda rows: conform(spark.createDataFrame(rows, "company_id long, trading_date date, provider string, close double"), schema)
-    write = lambda rows: U.write_upsert_partitions(spark, path, schema, mk(rows), U.KEYS["market_prices"], ["trading_date"])
-    write([(1, date(2024, 1, 1), "y", 1.0), (1, date(2024, 1, 2), "y", 2.0)])
-    import glob
-    before = set(glob.glob(f"{path}/trading_date=2024-01-01/*.parquet"))
-    write([(1, date(2024, 1, 2), "y", 5.0), (2, date(2024, 1, 2), "y", 6.0)])
-    got = {(r.company_id, r.trading_date.day): float(r.close) for r in spark.read.schema(schema).parquet(path).collect()}
-    assert got == {(1, 1): 1.0, (1, 2): 5.0, (2, 2): 6.0} and set(glob.glob(f"{path}/trading_date=2024-01-01/*.parquet")) == before
+    write = lambda rows: U.write_upsert(spark, path, schema, mk(rows), U.KEYS["market_prices"], buckets=16)
+    write([(k, date(2024, 1, 1), "y", float(k)) for k in range(200)])
+    first, before = BK.manifest(spark, path), files_of(path)
+    assert first["version"] == 1 and len(first["folders"]) == 16
+    batch = [(3, date(2024, 1, 1), "y", 50.0), (900, date(2024, 1, 2), "y", 6.0)]
+    second = write(batch)
+    changed = {k for k in second["folders"] if second["folders"][k] != first["folders"].get(k)}
+    want = {str(r[0]) for r in mk(batch).select(BK._bucket(U.KEYS["market_prices"], 16)).collect()}
+    assert changed == want and len(files_of(path) - before) == len(want) <= 2 and before <= files_of(path)
+    got = {r.company_id: float(r.close) for r in U.read_table(spark, path, schema).collect()}
+    assert got == {**{k: float(k) for k in range(200)}, 3: 50.0, 900: 6.0}
+    assert {float(r.close) for r in BK.read(spark, path, schema, 1).where("company_id = 3").collect()} == {3.0}
+    assert write([])["version"] == 2  # nothing to do
+
+
+def test_dead_writers_and_old_versions(spark, tmp_path):
+    path, schema = str(tmp_path / "p"), TABLES["macro_observations"]
+    mk = lambda v, n=20: conform(spark.createDataFrame([(f"S{k}", date(2024, 1, 1), float(v), "p") for k in range(n)], "series_id string, observation_date date, value double, provider string"), schema)
+    keys = U.KEYS["macro_observations"]
+    U.write_upsert(spark, path, schema, mk(1), keys, buckets=4)
+    with pytest.raises(Exception, match="no luck"):  # dies while it writes
+        U.write_change(spark, path, schema, mk(2), lambda old, new: new.where(F.raise_error(F.lit("no luck")).isNull()), keys)
+    assert {float(r.value) for r in U.read_table(spark, path, schema).collect()} == {1.0}
+    stale = BK.manifest(spark, path)
+    U.write_upsert(spark, path, schema, mk(3), keys)
+    with pytest.raises(RuntimeError, match="another job"):  # began from the version before
+        BK._commit(spark, path, {**stale, "version": 2})
+    for v in range(4, 9):
+        U.write_upsert(spark, path, schema, mk(v, 1), keys)
+    assert BK.versions(spark, path) == [5, 6, 7] and U.read_table(spark, path, schema).count() == 20
+    BK.expire(spark, path, keep=1, orphan_hours=-1)
+    named = set(BK.manifest(spark, path)["folders"].values())
+    assert {"/".join(f.split("/data/")[1].split("/")[:2]) for f in files_of(path)} == {f.removeprefix("data/") for f in named}
+    assert {float(r.value) for r in U.read_table(spark, path, schema).where("series_id = 'S0'").collect()} == {8.0}
+    U.write_version(spark, U.read_table(spark, path, schema), path, keys, buckets=2)
+    assert BK.manifest(spark, path)["buckets"] == 2 and U.read_table(spark, path, schema).count() == 20
 
 
 def test_insider_upsert_by_uid_then_business_key(spark):
