@@ -27,6 +27,8 @@ WINDOW, COVERAGE, RUN, PASS = 8, 0.5, 13, 2_000_000
 UNITS = ("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches yd l ml gal s sec secs second seconds min mins minute minutes "
          "h hr hrs hour hours day days week weeks month months year years mph kph kmh w kw mw kwh v a hz khz mhz ghz kb mb gb tb "
          "usd eur gbp dollar dollars cent cents euro euros pound pounds percent degree degrees c f k").split()
+#: Distinct tokens that an item must have to be told from ordinary words, and the part of a short item that must be found.
+DISTINCT, SHORT = 3, 0.8
 #: A capitalised word that opens a sentence may be a word or a name: OPENER until a reading decides.
 WORD, NAME, NUMBER, UNIT, OPENER = range(5)
 #: Openers of a window that are read each by itself; of more they are read all alike.
@@ -123,7 +125,7 @@ class Benchmark:
             _, _, value, kind, _, _ = template([text])
             width = min(window, len(value))
             self.items.append((item, value, kind))
-            if width:
+            if len(np.unique(value)) >= DISTINCT:
                 at = np.arange(len(value) - width + 1)
                 windows = [(value, one, at) for one in readings(kind)] + [(v, one, np.array([p])) for v, one, p in _mixed(value, kind, width)]
                 for v, one, places in windows:
@@ -187,7 +189,8 @@ def _long_run(good: set[int], told: set[int], run: int) -> tuple[int, int] | Non
 
 def matches(benchmark: Benchmark, texts: list[str], coverage: float, run: int = RUN):
     """(text, item, start, end, part of the item found, slots changed) for each item found in a text: `coverage`
-    of its tokens, or `run` neighbouring ones in a row, half of them real: words, or values as in the item."""
+    of its tokens, and `run` of them or four fifths if it has fewer, so that a stock phrase of a short item is not the
+    item; or `run` neighbouring ones in a row, half of them real: words, or values as in the item."""
     start, end, value, kind, first, begin = template(texts)
     texts_of = np.searchsorted(first, np.arange(len(value)), side="right") - 1
     diagonals = defaultdict(set)
@@ -210,7 +213,7 @@ def matches(benchmark: Benchmark, texts: list[str], coverage: float, run: int =
                 slot[4].append((int(start[long[0] + shift]), int(end[long[1] + shift])))
     for (text, k), (good, changed, a, b, long) in found.items():
         item, own, _ = benchmark.items[k]
-        if len(good) < coverage * len(own):
+        if len(good) < max(coverage * len(own), min(run, SHORT * len(own))):
             a, b = [x for x, _ in long], [x for _, x in long]
         if a:
             yield text, item, min(a) - int(begin[text]), max(b) - int(begin[text]), len(good) / len(own), changed
@@ -231,11 +234,12 @@ def _scanned(sent, coverage, run):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, per_pass: int = PASS, run: int = RUN) -> DataFrame:
     """docs (doc_id, text, more) against benchmark (item_id, text, more): a row for each row of docs and item of
-    which at least `coverage` of the template tokens is found, or a run of `run` neighbouring ones, half of them
-    with their own values: doc_id, item_id, start and end (code points), coverage, reworded (some slot has
-    another value).
+    which at least `coverage` of the template tokens is found (and `run` tokens, or four fifths of a shorter item),
+    or a run of `run` neighbouring ones, half of them with their own values: doc_id, item_id, start and end (code
+    points), coverage, reworded (some slot has another value).
 
-    An item shorter than a window is one window. Null or empty texts and items have no tokens and no rows.
+    An item shorter than a window is one window; one of fewer than three distinct tokens ("What is?") cannot be told
+    from ordinary words and is found nowhere. Null or empty texts and items have no tokens and no rows.
     Items that repeat an item_id, and rows that repeat a doc_id, are matched each. Whole texts are read.
     The items go to every task, `per_pass` of their characters at a time: a benchmark of any size takes
     one more scan of the documents for each such block. Other columns are ignored."""
@@ -255,6 +259,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents without those in which an item is found; rows that share a doc_id go together, null ids stay."""
-    gone = stage(leaks(docs, benchmark, **settings).select("doc_id").distinct(), "leaks")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, with all their columns, in which no item is found. Each row is judged by its own text,
+    whether its doc_id is null, repeated or neither."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = leaks(docs.select(key.alias("doc_id"), "text"), benchmark, **settings)
+    gone = stage(found.select(F.col("doc_id").alias("leak_key")).distinct(), "leaks")
+    return docs.withColumn("leak_key", key).join(small(gone), "leak_key", "left_anti").select(docs.columns)

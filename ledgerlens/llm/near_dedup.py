@@ -62,6 +62,7 @@ def set_keys(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(width, bands, rows):
+    """Column 2 is passed on as it is."""
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
@@ -73,22 +74,31 @@ def _signed(width, bands, rows):
             keys = np.array([set_keys(s) if len(s) else (0, 0) for s in sets], dtype=np.int64).reshape(-1, 2)
             ends = np.cumsum([0] + [bands if len(s) else 0 for s in sets]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel()))],
-                                             names=["doc_id", "n_shingles", "k1", "k2", "bands"])
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.ravel())), batch.column(2)],
+                                             names=["doc_id", "n_shingles", "k1", "k2", "bands", "tkey"])
     return run
 
 
+def _text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text, more): one row per row with doc_id, n_shingles, component_id, kept.
 
     A text's set holds its distinct shingles of `width` words (A-Z as a-z, words between white space);
     a shorter text is one shingle; a null or empty text, or one without words, has none and is linked
-    with nothing. Documents are linked from `percent` of the union on; component_id is the smallest
-    doc_id reachable; kept marks it. Equal sets are collapsed before anything is compared. doc_id is the
-    key: rows that repeat one are one document, whose texts are linked. A null doc_id stays alone,
-    with a null component_id, kept. Other columns are ignored."""
+    with nothing. Texts are linked from `percent` of the union on; component_id is the smallest
+    doc_id reachable; kept marks it. Equal sets are collapsed before anything is compared. Rows that
+    repeat a doc_id are judged each by its own text. A null doc_id stays alone, with a null
+    component_id, kept. Other columns are ignored."""
+    return _judged(docs, width, percent, bands, rows).drop("tkey")
+
+
+def _judged(docs, width, percent, bands, rows) -> DataFrame:
     source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(source.mapInArrow(_signed(width, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signatures")
+    signed = stage(source.withColumn("tkey", _text_key()).mapInArrow(
+        _signed(width, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, tkey long"), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
     lead = full.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", "bands")
@@ -98,11 +108,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     named = classes.join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id"))
     out = signed.drop("bands").join(named, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "tkey").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns."""
-    gone = stage(near_duplicates(docs, **settings).where("not kept").select("doc_id").distinct(), "removed")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns. A row goes by its doc_id and its text, so
+    another text under the same doc_id stays; of rows that repeat both one stays. Rows without a doc_id stay."""
+    judged = stage(_judged(docs, width, percent, bands, rows), "judged")
+    gone = stage(judged.where("not kept").select("doc_id", F.col("tkey").alias("near_key")).distinct(), "removed")
+    left = docs.withColumn("near_key", _text_key()).join(small(gone), ["doc_id", "near_key"], "left_anti")
+    again = stage(judged.where("kept and doc_id is not null").groupBy("doc_id", F.col("tkey").alias("near_key")).agg(F.count("*").alias("n")).where("n > 1")
+                  .select("doc_id", "near_key"), "repeated")
+    if again.limit(1).count() == 0:
+        return left.select(docs.columns)
+    once = left.join(small(again), ["doc_id", "near_key"], "left_semi").dropDuplicates(["doc_id", "near_key"])
+    return left.join(small(again), ["doc_id", "near_key"], "left_anti").unionByName(once).select(docs.columns)

@@ -241,3 +241,12 @@ def test_odd_paragraphs(odd, none):
 def test_bands_reach_their_recall(percent, rows, miss):
     bands = repeats.bands_for(percent, rows, miss)
     assert (1 - (percent / 100) ** rows) ** bands <= miss < (1 - (percent / 100) ** rows) ** (bands - 1)
+
+
+def test_no_text_is_lost_with_a_repeated_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (7, b, "u"), (7, b, "u"), (9, "alone here", "v"), (9, "alone here", "w"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_key string")
+    got = sorted((r.doc_id or 0, r.text) for r in near_dedup.deduplicated(docs).collect())
+    assert got == [(0, a), (0, a), (3, a), (5, b), (9, "alone here")]
+    assert near_dedup.deduplicated(docs).columns == docs.columns

@@ -269,3 +269,14 @@ def test_long_page_with_many_blocks():
     page = "<body>" + "<div><p>word word</p><p>more, of it.</p></div>" * 5000 + '<a title="un'
     assert len(main_text.blocks(page)) == 10_000
     assert isinstance(main_text.main_text(page, np.zeros(main_text.FEATURES)), str)
+
+
+def test_leaks_need_more_than_a_stock_phrase(spark):
+    items = [(1, "Yes."), (2, "What is?"), (3, "Which of the following is not true about the red kangaroo of the northern plains?"), (4, "Name the river that runs past Basel.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "yes and yes, what is that"), (2, "Now which of the following is not true about our new plan for the town?"), (3, f"Some words. {items[2][1]} More."),
+            (None, f"Here: {items[2][1]}"), (None, "nothing"), (4, f"and {items[3][1]}"), (4, "another text of that id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(3, 3), (None, 3), (4, 4)}
+    kept = {(r.doc_id, r.text) for r in decontamination.decontaminated(docs, bench).collect()}
+    assert kept == {rows[0], rows[1], rows[4], rows[6]}
