@@ -124,11 +124,46 @@ def change(spark: SparkSession, path: str, schema, source: DataFrame, apply: Cal
     return state
 
 
+def difference(spark: SparkSession, path: str, schema, since: int, columns) -> DataFrame | None:
+    """The rows (columns, n) that the last version has more often (n > 0) or less often (n < 0) than version `since`,
+    or None if that version is gone. Only buckets whose folder is another one are read; columns may leave out what
+    does not count as a change."""
+    if since not in versions(spark, path):
+        return None
+    old, new = manifest(spark, path, since), manifest(spark, path)
+    if old["version"] == new["version"]:
+        return spark.createDataFrame([], schema).select(*columns, F.lit(0).cast("long").alias("n"))
+    same_split = old["buckets"] == new["buckets"]
+    sides = []
+    for mine, theirs, sign in ((old["folders"], new["folders"], -1), (new["folders"], old["folders"], 1)):
+        other = [f for k, f in sorted(mine.items()) if not same_split or theirs.get(k) != f]
+        sides.append(_folders(spark, path, schema, other).select(*columns, F.lit(sign).cast("long").alias("n")))
+    return sides[0].unionByName(sides[1]).groupBy(*columns).agg(F.sum("n").alias("n")).where("n != 0")
+
+
+def pin(spark: SparkSession, path: str, name: str, version: int | None) -> None:
+    """Keeps a version for a reader of that name, instead of the one it kept before; None keeps no more."""
+    fs, Path = _fs(spark, path)
+    before = [n for n in _names(fs, Path(f"{path}/pins")) if n.rsplit("-", 1)[0] == name]
+    if version is not None and f"{name}-{version}" not in before:
+        fs.create(Path(f"{path}/pins/{name}-{version}"), True).close()
+    for n in before:
+        if n != f"{name}-{version}":
+            fs.delete(Path(f"{path}/pins/{n}"), False)
+
+
+def pinned(spark: SparkSession, path: str) -> dict[str, int]:
+    fs, Path = _fs(spark, path)
+    return {n.rsplit("-", 1)[0]: int(n.rsplit("-", 1)[1]) for n in _names(fs, Path(f"{path}/pins"))}
+
+
 def expire(spark: SparkSession, path: str, keep: int = KEEP, orphan_hours: float = ORPHAN_HOURS) -> None:
-    """Drops all versions but the last `keep` with the folders only they name, and what dead jobs left behind."""
+    """Drops all versions but the last `keep` and pinned ones, with the folders only they name, and what dead jobs left behind."""
     fs, Path = _fs(spark, path)
     known = versions(spark, path)
-    gone, stay = known[:-keep], known[-keep:]
+    held = set(pinned(spark, path).values())
+    gone = [v for v in known[:-keep] if v not in held]
+    stay = [v for v in known if v not in gone]
     used = {f for v in stay for f in manifest(spark, path, v)["folders"].values()}
     old = {f for v in gone for f in manifest(spark, path, v)["folders"].values()} - used
     for v in gone:

@@ -11,9 +11,10 @@ from pyspark.sql.types import StructField, StructType
 
 from ledgerlens import policies as P
 from ledgerlens.operators import aggregates as A, news as N, text as X, upsert as U
-from ledgerlens.plans import (behavior_signals as B, composite as C, market_signals as M, numeric_signals as Q,
+from ledgerlens.plans import (behavior_signals as B, changes as G, composite as C, market_signals as M, numeric_signals as Q,
                               queries as R, sentiment_signals as E, text_signals as T)
 from ledgerlens.schemas import TABLES, conform
+from ledgerlens.session import cut
 from ledgerlens.sources import files, json_payloads, xml_payloads
 
 
@@ -129,12 +130,18 @@ STAGES = (  # order matters: insiders read tone, the fusion reads everything
 OWN_COMPANY = ("text_signals", "numeric_signals", "insider_signals", "sentiment_signals", "composite_engine")
 
 
-def run_signals(store: Store, computed_at, company_ids=None, stages=STAGES, **inputs) -> DataFrame:
-    """All stages over all eligible filings, or those of some companies, which then are all that most layers read.
-    Each stage writes the scores of its filings; the filings' flags are written once, with the stages that are done,
+def run_signals(store: Store, computed_at, company_ids=None, stages=STAGES, changed_only=False, **inputs) -> DataFrame:
+    """All stages over all eligible filings, or those of some companies, which then are all that most layers read:
+    the companies named, or with `changed_only` those whose inputs changed since the last such run. Each stage writes the scores of its filings; the filings' flags are written once, with the stages that are done,
     also when a stage fails: its event then says so, and the error goes on. Returns the per-stage summary."""
     filings = store.read("filings")
     mine = filings if company_ids is None else filings.where(F.col("company_id").isin(*company_ids))
+    read = G.seen(store) if changed_only else {}
+    dirty = G.dirty_companies(store) if changed_only else None
+    if dirty is not None:
+        mine = cut(mine.join(dirty, "company_id", "left_semi"))
+        if mine.isEmpty():
+            stages = ()
     scope = mine.where(F.col("form_type").isin(*P.SIGNAL_JOB_FORMS))
     done = []
     try:
@@ -156,6 +163,7 @@ def run_signals(store: Store, computed_at, company_ids=None, stages=STAGES, **in
             for flag, status in done:
                 marked = U.mark_stage(marked, scope, flag, status)
             store.upsert("filings", marked)
+    G.settle(store, read)
     from ledgerlens.plans.rows import with_catalogue
     return A.run_summary(with_catalogue(store.read("signal_scores")))
 

@@ -251,6 +251,48 @@ def test_filing_job_end_to_end(spark, tmp_path):
     assert flags.count() in (0, 9)
 
 
+def test_only_changed_companies_are_scored_again(spark, tmp_path):
+    def trades(rows):
+        return conform(spark.createDataFrame(rows, "company_id long, transaction_uid string, accession_number string, transaction_date date, filed_at date, insider_name string, "
+                                                   "transaction_code string, transaction_value double, shares double, is_officer boolean"), TABLES["insider_transactions"])
+    stages = [s for s in J.STAGES if s[0] in ("insider_signals", "sentiment_signals")]
+
+    def filled(name):
+        store = J.Store(spark, str(tmp_path / name))
+        store.replace("companies", spark.createDataFrame([(1, "tech"), (2, "tech"), (3, "food")], "company_id long, sector string"))
+        store.replace("filings", spark.createDataFrame([(10 * c + y, c, f"a-{c}-{y}", "10-K", date(2020 + y, 3, 1)) for c in (1, 2, 3) for y in (1, 2, 3)],
+                                                       "filing_id long, company_id long, accession_number string, form_type string, filed_at date"))
+        store.replace("insider_transactions", trades([(c, f"u{c}{k}", f"t-{c}-{k}", date(2023, 1, 1 + k), date(2023, 1, 3 + k), f"p{k}", "S", 1000.0 * k, 10.0, True) for c in (1, 2, 3) for k in range(1, 6)]))
+        return store
+    late = trades([(2, "late", "t-late", date(2023, 2, 20), date(2023, 2, 22), "p9", "S", 9e6, 10.0, True)])
+    store, clock = filled("db"), [F.lit(datetime(2026, 1, d)) for d in (1, 2, 3, 4)]
+
+    def stamped(day):
+        return {r.company_id for r in store.read("signal_scores").where(F.col("computed_at") == clock[day]).collect()}
+    J.run_signals(store, clock[0], stages=stages, changed_only=True)
+    assert stamped(0) == {1, 2, 3}
+    for _ in range(2):  # the flags that a run writes are no change
+        J.run_signals(store, clock[1], stages=stages, changed_only=True)
+    assert stamped(1) == set() and store.events().count() == len(stages)
+    store.upsert("insider_transactions", late)
+    for _ in range(3):  # versions that the comparison needs outlive others
+        store.upsert("insider_transactions", late)
+    J.run_signals(store, clock[2], stages=stages, changed_only=True)
+    assert stamped(2) == {2} and stamped(0) == {1, 3}
+    whole = filled("db2")
+    whole.upsert("insider_transactions", late)
+    J.run_signals(whole, clock[3], stages=stages)
+    rows = lambda st: sorted(map(str, st.read("signal_scores").drop("computed_at").collect()))
+    assert rows(store) == rows(whole)
+    store.replace("companies", spark.createDataFrame([(1, "tech"), (2, "tech"), (3, "energy")], "company_id long, sector string"))
+    store.upsert("market_prices", conform(spark.createDataFrame([(1, date(2023, 1, 1), "p", 4.0)], "company_id long, trading_date date, provider string, close double"), TABLES["market_prices"]))
+    from ledgerlens.plans import changes
+    assert changes.dirty_companies(store) is None  # a table that no run has read yet
+    J.run_signals(store, clock[3], stages=stages, changed_only=True)
+    store.upsert("market_prices", conform(spark.createDataFrame([(1, date(2023, 1, 2), "p", 5.0)], "company_id long, trading_date date, provider string, close double"), TABLES["market_prices"]))
+    assert {r.company_id for r in changes.dirty_companies(store).collect()} == {1, 2}  # the sector
+
+
 def test_source_jobs(spark, tmp_path):
     store = J.Store(spark, str(tmp_path / "db"))
     store.replace("companies", spark.createDataFrame([(1, "0000000001", "NVK", "Norvik")], "company_id long, cik string, ticker string, name string"))
