@@ -173,23 +173,26 @@ def unescape_entities(x):
     its references, and the decoded ones are put between the parts. What is no reference stays."""
     full, short = (F.from_json(F.lit(_names(k)), "map<string,string>") for k in (True, False))
 
+    def let(value, then):  # named once, so that the plan holds its expression once
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def char(n):
+        by_page = F.substring(F.lit(_page()), n - 127, F.lit(1))
+        nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�").when(n.between(128, 159), by_page).when(nothing, "")
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")))
+
     def by_number(r):
         hexed = F.lower(F.substring(r, 1, 3)) == "&#x"
-        digits = F.ltrim(F.rtrim(F.when(hexed, F.substring(r, 4, 1 << 20)).otherwise(F.substring(r, 3, 1 << 20)), F.lit(";")), F.lit("0"))
-        digits = F.when(digits == "", "0").otherwise(digits)
-        n = F.when(F.length(digits) > 7, 0x110000).when(hexed, F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
-        char = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
-        nothing = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE))
-        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�").when(n.between(128, 159), F.substring(F.lit(_page()), n - 127, F.lit(1)))
-                .when(nothing, "").otherwise(char))
-
-    def by_name(r):
-        name = F.substring(r, 2, 1 << 20)
+        body = F.ltrim(F.rtrim(F.substring(r, F.when(hexed, 4).otherwise(3), F.length(r)), F.lit(";")), F.lit("0"))
+        return let(body, lambda d: let(F.when(F.length(d) > 7, 0x110000).when(d == "", 0).when(hexed, F.conv(d, 16, 10).cast("int")).otherwise(d.try_cast("int")), char))
+
+    def by_name(name):
         # a name that needs no semicolon may be followed by anything: the longest one counts
-        parts = [F.concat(F.try_element_at(short, F.substring(name, 1, k)), F.substring(name, k + 1, 1 << 20)) for k in range(6, 1, -1)]
-        return F.coalesce(F.when(F.endswith(name, F.lit(";")), F.try_element_at(full, name)), *parts, r)
+        parts = F.transform(F.sequence(F.lit(6), F.lit(2)), lambda k: F.concat(F.try_element_at(short, F.substring(name, F.lit(1), k)), F.substring(name, k + 1, F.length(name))))
+        return F.coalesce(F.when(F.endswith(name, F.lit(";")), F.try_element_at(full, name)), F.get(F.filter(parts, lambda p: p.isNotNull()), F.lit(0)), F.concat(F.lit("&"), name))
 
-    found = F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)), lambda r: F.when(F.startswith(r, F.lit("&#")), by_number(r)).otherwise(by_name(r)))
+    found = F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)), lambda r: F.when(F.startswith(r, F.lit("&#")), by_number(r)).otherwise(let(F.substring(r, F.lit(2), F.length(r)), by_name)))
     pieces = F.zip_with(F.split(x, _REFERENCE, -1), found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit(""))))
     return F.when(F.contains(x, F.lit("&")), F.array_join(pieces, "")).otherwise(x)
 
