@@ -34,6 +34,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
+def _written() -> np.ndarray:
+    """The character a byte is written as, in UTF-16."""
+    return np.array([_BYTES.get(b, b) for b in range(256)], dtype="<u2")
+
+
 @cache
 def _classes() -> np.ndarray:
     out = np.full(0x2070, SIGN, dtype=np.uint8)
@@ -96,19 +102,24 @@ class Encoder:
     def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all parts in a row and how many each has, from the library's model."""
         merge = self.tokenizer.model.tokenize
-        ids = [[t.id for t in merge(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTES))] for p in parts]
+        raw = [p.encode("utf-8", "surrogatepass") for p in parts]
+        written = _written()[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-16-le")  # all parts at once
+        ids, at = [], 0
+        for x in raw:
+            ids.append([t.id for t in merge(written[at:at + len(x)])])
+            at += len(x)
         return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
 
     def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+        """Remember parts; their hashes ascend and are new."""
         if len(self.hashes) > REMEMBERED:
             self._forget()
             return
         ids, size = self._encoded(parts)
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, ids])
-        order = np.argsort(merged := np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes = merged[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = np.insert(self.hashes, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def _place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.hashes, hashes)
