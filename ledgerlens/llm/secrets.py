@@ -23,6 +23,49 @@ BASE = 3
 #: From so many distinct owners on a value counts as a copied example.
 WIDE = 3
 PLACE = "[secret]"
+#: Steps of a fold that grows an array, and how often groups of so many are put together.
+GROUP, LEVELS = 64, 2
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _blocks(values: Column, size: int) -> Column:
+    return F.when(F.size(values) > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, F.lit(size))))
+
+
+def running(values: Column, step, zero: int, levels: int = LEVELS) -> Column:
+    """For every int of an array, the fold of all ints before it. A fold that grows an array copies it at each
+    step, so folds cover GROUP ints each, and start from the folds of whole groups: linear in the array's length."""
+    def fold(part, start):
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(part, state, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    def grouped(parts):
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(zero), lambda a, x: step(a, x)))
+        return F.flatten(F.zip_with(parts, running(sums, step, zero, levels - 1), fold))
+
+    if not levels:
+        return fold(values, F.lit(zero))
+    return _let(values, lambda v: F.when(F.size(v) <= GROUP, fold(v, F.lit(zero))).otherwise(_let(_blocks(v, GROUP), grouped)))
+
+
+def pieces(text: Column, ranges: Column, at: Column | int = 0, levels: int = LEVELS) -> Column:
+    """The texts of ascending ranges (start, end); text begins at `at`. A substring is found by walking from the text's
+    beginning, so the text is first cut into the stretches of many ranges: linear in its length."""
+    if not levels:
+        return F.transform(ranges, lambda r: F.substring(text, r["start"] - at + 1, r["end"] - r["start"]))
+
+    def stretch(part):
+        first, last = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]
+        return _let(F.struct(F.substring(text, first - at + 1, last - first).alias("text"), first.alias("at")),
+                    lambda cut: pieces(cut["text"], part, cut["at"], levels - 1))
+
+    return _let(ranges, lambda r: F.when(F.size(r) <= GROUP, pieces(text, r, at, 0)).otherwise(
+        F.flatten(F.transform(_blocks(r, GROUP ** levels), stretch))))
 
 
 def _found(text: Column, kind: int) -> Column:
@@ -31,15 +74,14 @@ def _found(text: Column, kind: int) -> Column:
     _, pattern, group, least = KINDS[kind]
     p = F.lit(pattern)
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)),
-                       lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    places = F.aggregate(parts, zero, lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("end")))).alias("spans")),
-        lambda acc: acc["spans"])
+                       lambda gap, match: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("size")))
+    places = _let(parts, lambda each: F.zip_with(
+        each, running(F.transform(each, lambda x: x["gap"] + x["size"]), lambda a, x: a + x, 0),
+        lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"))))
     values = F.regexp_extract_all(text, p, F.lit(group))
-    spans = F.zip_with(F.slice(places, 1, F.size(values)), values, lambda s, v: F.struct(
-        s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), v.alias("value")))
+    # one part more than values: what follows the last match
+    spans = F.filter(F.zip_with(places, values, lambda s, v: F.struct(
+        s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), v.alias("value"))), lambda s: s["value"].isNotNull())
     good = F.filter(spans, lambda s: F.length(s["value"]) >= least)
     if kind == BASE:
         good = F.filter(good, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
@@ -47,6 +89,22 @@ def _found(text: Column, kind: int) -> Column:
     return F.when(text.rlike(pattern), hidden).otherwise(F.array().cast(SPANS))
 
 
+def _free(spans: Column) -> Column:
+    """Sorted spans without mixed tokens that touch one of another kind: those before end, and those after begin, outside."""
+    none = 2 ** 31 - 1
+    base = lambda s: s["kind"] < BASE
+
+    def apart(all_):
+        before = running(F.transform(all_, lambda s: F.when(base(s), s["end"]).otherwise(0)), F.greatest, 0)
+        after = F.reverse(running(F.transform(F.reverse(all_), lambda s: F.when(base(s), s["start"]).otherwise(none)), F.least, none))
+        edges = F.zip_with(before, after, lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+        kept = F.zip_with(all_, edges, lambda s, e: F.when(base(s) | (e["before"] <= s["start"]) & (e["after"] >= s["end"]), s))
+        return F.filter(kept, lambda s: s.isNotNull())
+
+    mixed = F.exists(spans, lambda s: ~base(s)) & F.exists(spans, base)
+    return F.when(mixed, _let(spans, apart)).otherwise(spans)
+
+
 SPANS = "array<struct<start:int,kind:int,end:int,hash:string>>"
 
 
@@ -58,10 +116,9 @@ def candidates(docs: DataFrame, repository: Column | None = None, owner: Column
     read = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"))
     digest = F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256)
-    split = read.select("doc_id", digest.alias("digest"), "repository", "owner",
-                        F.concat(*[_found(F.col("text"), k) for k in range(BASE)]).alias("base"), _found(F.col("text"), BASE).alias("mixed"))
-    free = F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return split.select("doc_id", "digest", "repository", "owner", F.array_sort(F.concat("base", free)).alias("spans"))
+    spans = F.array_sort(F.concat(*[_found(F.col("text"), k) for k in range(BASE + 1)]))
+    split = read.select("doc_id", digest.alias("digest"), "repository", "owner", spans.alias("spans"))
+    return split.withColumn("spans", _free(F.col("spans")))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -121,15 +178,12 @@ def redacted(docs: DataFrame, repository: Column | None = None, owner: Column |
                  .join(found.select("digest", "doc_id").distinct(), "digest"), "live")
     marked = docs.withColumn("secret_row", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
     hit = marked.join(small(live.select(F.col("digest").alias("secret_row"), F.col("live").alias("secret_spans"))), "secret_row", "left")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("text")
-    clean = F.aggregate(
-        "secret_spans", zero,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(PLACE))))
-            .otherwise(acc["parts"]).alias("parts")),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    text, spans = F.col("text"), F.col("secret_spans")
+    # what lies between the spans, those that overlap as one, and after the last
+    before = F.zip_with(spans, running(F.transform(spans, lambda s: s["end"]), F.greatest, 0),
+                        lambda s, end: F.struct(end.alias("start"), s["start"].alias("end")))
+    rest = F.array(F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length(text).alias("end")))
+    clean = F.array_join(pieces(text, F.concat(F.filter(before, lambda r: r["start"] <= r["end"]), rest)), PLACE)
     out = hit.withColumn("text", F.when(F.col("secret_spans").isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("secret_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
