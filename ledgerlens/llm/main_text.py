@@ -51,6 +51,9 @@ LIST_WORDS = frozenset("comment comments disqus promo recommended related respon
 QUALIFIERS = frozenset("has have no not with without".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main maincontent post posting story".split())
 
+#: A start tag closes an open element within the nearest of these only.
+SCOPE = frozenset("ul ol dl table tbody thead tfoot".split()) | SKIP
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+|[^>]*+)>|<[/a-zA-Z][^>]*\Z""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\bhidden\b""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -109,23 +112,55 @@ class Block:
         self.text, self.tag, self.container, self.parent, self.step, self.linked = text, tag, container, parent, step, linked
 
 
+class Open:
+    """The stack of open elements (tag, container, number), with the places of each tag, of blocks, of elements
+    without text and of scopes, so that the innermost open one is known without a walk."""
+
+    def __init__(self):
+        self.stack = [("", 0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.skips, self.scopes = [0], [0], [0]
+
+    def _lists(self, tag):
+        yield self.places.setdefault(tag, [])
+        for tags, places in ((BLOCK, self.blocks), (SKIP, self.skips), (SCOPE, self.scopes)):
+            if tag in tags:
+                yield places
+
+    def push(self, tag, container, number):
+        for places in self._lists(tag):
+            places.append(len(self.stack))
+        self.stack.append((tag, container, number))
+
+    def pop(self):
+        tag = self.stack.pop()[0]
+        for places in self._lists(tag):
+            places.pop()
+        return tag
+
+    def last(self, *tags):
+        """Place of the innermost open element with one of the tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. step: edges of the tree between a block and the one before it;
-    linked: characters inside links. Unclosed and stray tags are mended as browsers do."""
+    linked: characters inside links. Unclosed and stray tags are mended as browsers do. The time is linear in the page."""
     found: list[Block] = []
-    stack = [("", 0, 0)]  # tag, container, number of the element
+    tree = Open()
+    stack = tree.stack
     count, depth_seen, depth_low, links = 1, 0, 0, 0
     words: list[str] = []
     linked = 0
     at, end = 0, len(page)
     out, loose = 0, False  # place in the stack of an element that is left out; whether it has no end tag
-    ended: dict[str, set[int]] = {}
+    ended: set[int] | None = None
 
     def flush():
         nonlocal words, linked, depth_seen, depth_low
         text = " ".join("".join(words).split())
         if text:
-            place = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK or k == 0)
+            place = tree.blocks[-1]
             tag, container, number = stack[place]
             found.append(Block(text, tag, stack[-1][1] if stack[-1][1] < 0 else container, stack[place - 1][2] if place else 0,
                                place + depth_seen - 2 * min(depth_low, place), linked))
@@ -135,8 +170,8 @@ def blocks(page: str) -> list[Block]:
     def pop_to(k):
         nonlocal depth_low, links, out
         out = out if k > out else 0
-        links -= sum(t[0] == "a" for t in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            links -= tree.pop() == "a"
         depth_low = min(depth_low, len(stack) - 1)
 
     def close(k, block):
@@ -163,7 +198,7 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            k = tree.last(tag)
             if k < out and stack[out][0] in SKIP and tag not in BLOCK and tag not in ("td", "th"):
                 continue  # a stray end tag of text
             close(k, tag in BLOCK)
@@ -182,21 +217,21 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            if not (out and m[3].endswith("/") and any(t[0] in ("svg", "math") for t in stack[out:])):
+            if not (out and m[3].endswith("/") and tree.last("svg", "math") >= out):
                 at = _after(page, at, tag)
             if tag in BLOCK and not out:
                 flush()
             continue
         if tag in BLOCK:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in SKIP), 0)
-            close(k if stack[k][0] == "p" else 0, True)
-        for k in range(len(stack) - 1, 0, -1):
+            k = tree.last("p")
+            close(k if k > tree.skips[-1] else 0, True)
+        while tag in CLOSES:
+            k = tree.last(*CLOSES[tag])
+            if not k or k < tree.scopes[-1]:
+                break
             name = stack[k][0]
-            if name in CLOSES.get(tag, ()):
-                close(k, tag in BLOCK)
-                if tag != "tr" or name == "tr":
-                    break
-            elif name in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot") or name in SKIP:
+            close(k, tag in BLOCK)
+            if tag != "tr" or name == "tr":
                 break
         if tag in ("td", "th") and not out:
             words.append(" ")
@@ -207,10 +242,10 @@ def blocks(page: str) -> list[Block]:
                 container, hidden = _container(tag, m[3], stack[-1][1])
                 if hidden or tag in SKIP:
                     container, out = OUT, len(stack)
-                    if tag not in OPTIONAL and tag not in ended:
-                        ended[tag] = _ended(page, tag)
-                    loose = tag not in OPTIONAL and m.start() not in ended[tag]
-            stack.append((tag, container, count))
+                    if tag not in OPTIONAL and ended is None:
+                        ended = _ended(page)
+                    loose = tag not in OPTIONAL and m.start() not in ended
+            tree.push(tag, container, count)
             links += tag == "a"
             count += 1
     if out:
@@ -225,15 +260,16 @@ def _after(page: str, at: int, tag: str) -> int:
     return m.end() if m else len(page)
 
 
-def _ended(page: str, tag: str) -> set[int]:
+def _ended(page: str) -> set[int]:
     """Where the start tags of elements stand that have an end tag; elements of one name nest."""
-    found, still = set(), []
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).finditer(page):
-        if not m[1]:
-            if not m[0].endswith("/>"):
-                still.append(m.start())
-        elif still:
-            found.add(still.pop())
+    found, still = set(), {}
+    for m in _TAG.finditer(page):
+        tag = (m[2] or "").lower()
+        if tag and not m[1]:
+            if not m[3].endswith("/"):
+                still.setdefault(tag, []).append(m.start())
+        elif still.get(tag):
+            found.add(still[tag].pop())
     return found
 
 
@@ -309,26 +345,41 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
             room[a][b] = room[a].get(b, 0) + abs(left[k])
             room[b].setdefault(a, 0.0)
         while True:
-            back = {source: source}
-            queue = deque([source])
-            while queue and sink not in back:
+            # shortest paths only, all of one length before the next search
+            depth, queue = {source: 0}, deque([source])
+            while queue:
                 k = queue.popleft()
                 for j, w in room[k].items():
-                    if w > 1e-12 and j not in back:
-                        back[j] = k
+                    if w > 1e-12 and j not in depth:
+                        depth[j] = depth[k] + 1
                         queue.append(j)
-            if sink not in back:
+            if sink not in depth:
                 break
-            path, k = [], sink
-            while k != source:
-                path.append((back[k], k))
-                k = back[k]
-            push = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= push
-                room[b][a] += push
+            ahead = {k: [j for j in room[k] if depth.get(j) == d + 1] for k, d in depth.items()}
+            path = [source]
+            while path:
+                k = path[-1]
+                if k == sink:
+                    push = min(room[a][b] for a, b in zip(path, path[1:]))
+                    full = len(path)
+                    for at in range(len(path) - 1, 0, -1):
+                        a, b = path[at - 1], path[at]
+                        room[a][b] -= push
+                        room[b][a] += push
+                        if room[a][b] <= 1e-12:
+                            full = at
+                    del path[full:]
+                    continue
+                while ahead[k] and room[k][ahead[k][-1]] <= 1e-12:
+                    ahead[k].pop()
+                if ahead[k]:
+                    path.append(ahead[k][-1])
+                else:
+                    path.pop()
+                    if path:
+                        ahead[path[-1]].pop()
         for k in rest:
-            side[k] = k in back
+            side[k] = k in depth
     return side
 
 

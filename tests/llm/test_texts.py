@@ -1,6 +1,7 @@
 """Language, toxicity, decontamination and main text: held-out accuracy, fixtures and odd inputs."""
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -280,3 +281,23 @@ def test_leaks_need_more_than_a_stock_phrase(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(3, 3), (None, 3), (4, 4)}
     kept = {(r.doc_id, r.text) for r in decontamination.decontaminated(docs, bench).collect()}
     assert kept == {rows[0], rows[1], rows[4], rows[6]}
+
+
+def test_ill_formed_pages_take_linear_time():
+    """Deep, unclosed and hidden elements and long networks: eight times the input, at most some twenty times the time."""
+    weight, rng = np.zeros(main_text.FEATURES), random.Random(3)
+
+    def network(n):
+        gain = [rng.uniform(-1.2, 1.2) for _ in range(n)]
+        return gain, [(k - 1, k, rng.choice([0.25, 0.5, 1.0])) for k in range(1, n)] + [(k - 3, k, 1.0) for k in range(3, n) if rng.random() < 0.6]
+
+    runs = [lambda n, page=page: main_text.main_text(page(n), weight) for page in (
+        lambda n: "<div>" * n + "x", lambda n: "<b><i>x" * n, lambda n: "<p><b>word</p>" * n, lambda n: "<table>" + "<tr><td>x" * n,
+        lambda n: "".join(f"<t{k} hidden>a" for k in range(n)))] + [lambda n: main_text.minimum_cut(*network(n))]
+    for run in runs:
+        times = []
+        for n in (2_000, 16_000):
+            start = time.perf_counter()
+            run(n)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 20 * times[0] + 1
