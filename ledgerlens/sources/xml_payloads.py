@@ -1,4 +1,8 @@
-"""XML payloads -> rows with Spark's own XML reader."""
+"""XML payloads -> rows with Spark's own XML reader; tagged facts, whose names are scoped, with the standard library's."""
+import json
+import re
+from xml.parsers import expat
+
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens import policies as P
@@ -124,15 +128,82 @@ def _elements(x, tag, schema):
     return F.transform(F.regexp_extract_all(x, F.lit(rf"(?s)<{tag}\b(?:[^>]*/>|.*?</{tag}\s*>)"), F.lit(0)), lambda e: F.from_xml(e, schema))
 
 
+#: What a document holds of them.
+_TAGGED = f"facts array<struct<{_FACT}>>, contexts array<struct<{_CONTEXT}>>, units array<struct<{_UNIT}>>"
+
+
+def tagged(text: str) -> str | None:
+    """Facts, contexts and units of a well-formed document as JSON, None for any other. Element names are resolved in
+    the scope they stand in: default namespaces, prefixes bound anew further in. A fact inside a fact counts by itself
+    and as text of the outer one."""
+    found = {"facts": [], "contexts": [], "units": []}
+    path, facts, holder = [], [], None  # open elements; open facts with their text; the open context or unit
+
+    def plain(name):
+        uri, _, local = name.rpartition(" ")
+        return next((f"{p}_{local}" for p, known in _NAMESPACES.items() if re.fullmatch(known, uri)), local)
+
+    def start(name, attributes):
+        nonlocal holder
+        tag = plain(name)
+        path.append(tag)
+        if tag == "ix_nonFraction":
+            fact = {"_" + k: v for k, v in attributes.items()}
+            found["facts"].append(fact)
+            facts.append((fact, []))
+        elif tag in ("xbrli_context", "xbrli_unit"):
+            holder = {"_id": attributes.get("id")}
+            found["contexts" if tag == "xbrli_context" else "units"].append(holder)
+        elif holder is not None and ("xbrli_segment" in path[:-1] or "xbrli_scenario" in path[:-1]):
+            holder["xbrli_scenario"] = tag  # any dimension will do
+
+    def data(text):
+        for _, parts in facts:
+            parts.append(text)
+        if holder is None or not text.strip():
+            return
+        into, keys = holder, path[max(k for k, t in enumerate(path) if t in ("xbrli_context", "xbrli_unit")) + 1:]
+        if not keys:
+            return
+        for key in keys[:-1]:
+            into = into.setdefault(key, {})
+            if not isinstance(into, dict):
+                return
+        if not isinstance(into.get(keys[-1]), dict):
+            into[keys[-1]] = into.get(keys[-1], "") + text
+
+    def end(name):
+        nonlocal holder
+        tag = path.pop()
+        if tag == "ix_nonFraction":
+            fact, parts = facts.pop()
+            fact["_VALUE"] = "".join(parts)
+        elif tag in ("xbrli_context", "xbrli_unit"):
+            holder = None
+
+    reader = expat.ParserCreate("utf-8", " ")
+    reader.buffer_text = True
+    reader.StartElementHandler, reader.CharacterDataHandler, reader.EndElementHandler = start, data, end
+    try:
+        reader.Parse((text or "").encode("utf-8", "replace"), True)
+    except expat.ExpatError:
+        return None
+    return json.dumps(found)
+
+
 def inline_facts(spark, path, filings: DataFrame, taxonomies=P.DEFAULT_TAXONOMIES, concepts=None) -> DataFrame:
     """filings: path (as stored), filing_id, company_id, form_type, fiscal_year, fiscal_quarter.
     Facts whose context has a segment, scenario or member are dropped; best fact per key.
 
     A document is read once and stays one row until its facts have met their contexts and units, by
-    look-up in maps of the same row. Names are matched by namespace, not by prefix."""
-    docs = (spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), _plain_prefixes(F.col("value")).alias("x"))
-            .select("path", _elements(F.col("x"), "ix_nonFraction", _FACT).alias("facts"), _elements(F.col("x"), "xbrli_context", _CONTEXT).alias("contexts"),
-                    _elements(F.col("x"), "xbrli_unit", _UNIT).alias("units")))
+    look-up in maps of the same row. Names are matched by namespace, not by prefix: in well-formed documents
+    in the scope they stand in, in others by the prefixes declared anywhere, nested facts as far as they end."""
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.udf(tagged, "string", useArrow=False)("value").alias("found"))
+    x, well = _plain_prefixes(F.col("value")), F.col("found").isNotNull()
+    parsed = read.select("path", well.alias("well"), F.from_json("found", _TAGGED).alias("found"), F.when(~well, x).alias("x"))
+    docs = parsed.select("path", *[
+        F.when(F.col("well"), F.col(f"found.{name}")).otherwise(_elements(F.col("x"), tag, schema)).alias(name)
+        for name, tag, schema in (("facts", "ix_nonFraction", _FACT), ("contexts", "xbrli_context", _CONTEXT), ("units", "xbrli_unit", _UNIT))])
 
     def last_day(p):
         return D.iso_date(F.trim(F.coalesce(p["xbrli_instant"], p["xbrli_endDate"])))

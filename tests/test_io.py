@@ -47,6 +47,19 @@ def test_inline_facts(spark, tmp_path):
     assert "<i:context" in other and "<fact-2:nonFraction" in other
     (tmp_path / "a.xml").write_text(other)  # the same facts under other prefixes
     assert {r.concept: r for r in XP.inline_facts(spark, str(tmp_path), f).collect()} == rows
+    # a default namespace, a prefix bound anew where it is used, and a prefix that means something else elsewhere
+    scoped = INLINE.replace("<xbrli:context", '<context xmlns="http://www.xbrl.org/2003/instance"').replace("<xbrli:unit ", '<unit xmlns="http://www.xbrl.org/2003/instance" ').replace(
+        "</xbrli:unit>", "</unit>").replace("xbrli:context>", "context>").replace("</xbrli:", "</").replace("<xbrli:", "<").replace(
+        "<body>", '<body><a xmlns:ix="urn:other"><ix:nonFraction name="us-gaap:Goodwill" contextRef="d1">5</ix:nonFraction></a>')
+    (tmp_path / "a.xml").write_text(scoped)
+    assert "<unitNumerator>" in scoped and {r.concept: r for r in XP.inline_facts(spark, str(tmp_path), f).collect()} == rows
+    inner = INLINE.replace(">7,318.4<", '><ix:nonFraction name="us-gaap:SalesRevenueNet" contextRef="d1" unitRef="u1" scale="6">7,318.4</ix:nonFraction><')
+    (tmp_path / "a.xml").write_text(inner)  # one figure under two names
+    both = {r.concept: r for r in XP.inline_facts(spark, str(tmp_path), f).collect()}
+    assert {c: r.value for c, r in both.items()} == {"SalesRevenueNet": 7318.4e6, **{c: r.value for c, r in rows.items()}}
+    (tmp_path / "a.xml").write_text(INLINE.replace("<body>", "<body><br>&nbsp;"))  # not well-formed
+    assert {r.concept: r for r in XP.inline_facts(spark, str(tmp_path), f).collect()} == rows
+    (tmp_path / "a.xml").write_text(INLINE)
     none = XP.filings_without_inline_facts(f, XP.inline_facts(spark, str(tmp_path), f, taxonomies=("none",)))
     assert none.first().warning == "inline_xbrl_no_numeric_facts_found"
 
