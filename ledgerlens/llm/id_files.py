@@ -17,36 +17,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.tables import fresh, in_batches
-from ledgerlens.llm.token_ids import binary, default_vocabulary, encoded, encoder
+from ledgerlens.llm.token_ids import binary, default_vocabulary, encoded, encoder, flat, groups
 
 FILE = "doc_id long, ordinal long, n_tokens long, control binary, data binary"
 #: Lengths of the four ranks of a control byte.
 LENGTHS = np.stack([(np.arange(256) >> 2 * k & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
 
 
-def rank_bytes(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of ranks (unsigned 32-bit)."""
-    n = len(ranks)
+def _slots(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ranks of rows of n ranks each, when every row begins a control byte of its own; where the rows' control bytes begin."""
+    control = np.append(0, np.cumsum(-(-n // 4)))
+    return np.arange(n.sum()) + np.repeat(4 * control[:-1] - (np.cumsum(n) - n), n), control
+
+
+def rows_bytes(ranks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes, where each row's begin, data bytes, where each row's begin; `at`: where each row's ranks (unsigned 32-bit) begin."""
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    code = np.zeros(-(-n // 4) * 4, dtype=np.uint8)
-    code[:n] = size - 1
+    slot, control_at = _slots(np.diff(at))
+    code = np.zeros(4 * control_at[-1], dtype=np.uint8)
+    code[slot] = size - 1
     control = code[0::4] | code[1::4] << 2 | code[2::4] << 4 | code[3::4] << 6
-    four = ranks.astype("<u4").view(np.uint8).reshape(n, 4)
-    return control.tobytes(), four[np.arange(4) < size[:, None]].tobytes()
+    four = ranks.astype("<u4").view(np.uint8).reshape(len(ranks), 4)
+    return control, control_at, four[np.arange(4) < size[:, None]], np.append(0, np.cumsum(size, dtype=np.int64))[at]
 
 
-def byte_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks of control and data bytes."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+def rows_ranks(control: np.ndarray, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranks of rows of n ranks each, from the control bytes and the data bytes of all rows in a row."""
+    slot, _ = _slots(n)
+    size = LENGTHS[control].ravel()[slot]
     place = np.cumsum(size, dtype=np.int64) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = raw[place].astype(np.uint32)
+    out = data[place].astype(np.uint32)
     for k in range(1, 4):
         longer = np.flatnonzero(size > k)
-        out[longer] |= raw[place[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+        out[longer] |= data[place[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def rank_bytes(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of one row's ranks."""
+    control, _, data, _ = rows_bytes(ranks, np.array([0, len(ranks)]))
+    return control.tobytes(), data.tobytes()
+
+
+def byte_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The n ranks of one row's control and data bytes."""
+    return rows_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.array([n]))
+
+
 def _encoded(vocabulary, end_id, kind):
     def run(batches):
         for batch in batches:
@@ -60,13 +77,12 @@ def _counted(kind):
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(n) > len(total):
-                    n[:len(total)] += total
-                    total = n
-                else:
-                    total[:len(n)] += n
+            n = np.bincount(flat(batch.column(0), kind)[0])
+            if len(n) > len(total):
+                n[:len(total)] += total
+                total = n
+            else:
+                total[:len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
     return run
@@ -79,22 +95,26 @@ def _written(ids_by_rank, kind):
     def run(batches):
         ordinal = 0
         for batch in batches:
-            pairs = [rank_bytes(rank[np.frombuffer(x.as_buffer(), kind)]) for x in batch.column(2)]
-            n = len(pairs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(ordinal, ordinal + n)), batch.column(1),
-                                              pa.array([c for c, _ in pairs], pa.binary()), pa.array([d for _, d in pairs], pa.binary())],
-                                             names=["doc_id", "ordinal", "n_tokens", "control", "data"])
-            ordinal += n
+            ids, at = flat(batch.column(2), kind)
+            for i, j in groups(np.diff(at)):
+                control, control_at, data, data_at = rows_bytes(rank[ids[at[i]:at[j]]], at[i:j + 1] - at[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.arange(ordinal, ordinal + j - i)), batch.column(1).slice(i, j - i),
+                                                  binary(control, control_at), binary(data, data_at)],
+                                                 names=["doc_id", "ordinal", "n_tokens", "control", "data"])
+                ordinal += j - i
     return run
 
 
 def _read(ids_by_rank, digest):
     def run(batches):
         for batch in batches:
-            out = [ids_by_rank[byte_ranks(c.as_py(), d.as_py(), n.as_py())].astype("<u4").tobytes()
-                   for n, c, d in zip(batch.column(3), batch.column(4), batch.column(5))]
-            last = pa.array([zlib.crc32(x) for x in out], pa.int64()) if digest else pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), last], names=["file", "doc_id", "ordinal", "n_tokens", "ids"])
+            n = batch.column(3).to_numpy()
+            (control, control_at), (data, data_at) = (flat(batch.column(k), np.uint8) for k in (4, 5))
+            for i, j in groups(n):
+                ids = ids_by_rank[rows_ranks(control[control_at[i]:control_at[j]], data[data_at[i]:data_at[j]], n[i:j])].astype("<u4")
+                at = np.append(0, np.cumsum(n[i:j]))
+                last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64()) if digest else binary(ids, at)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(4)), last], names=["file", "doc_id", "ordinal", "n_tokens", "ids"])
     return run
 
 

@@ -134,13 +134,12 @@ class Encoder:
         sizes = np.diff(starts, append=len(points))
         hashes = codes.hash_pieces(points, starts, sizes)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        _, found = self._place(distinct)
+        at, found = self._place(distinct)
         while not found.all():
             new = np.flatnonzero(~found)
             a = starts[first[new]]
             self._learn(distinct[new], [joined[i:j] for i, j in zip(a.tolist(), (a + sizes[first[new]]).tolist())])
-            _, found = self._place(distinct)
-        at, _ = self._place(distinct)
+            at, found = self._place(distinct)
         length = self.size[at][which]
         closing = np.searchsorted(starts, ends)
         length[closing] = 0
@@ -169,22 +168,22 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def groups(texts: list[str], block: int = 1 << 18):
-    """(first, last) of runs of texts of about so many characters."""
-    first = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= block:
+def groups(sizes, block: int = 1 << 20):
+    """(first, last) of runs of rows whose sizes add up to about so much."""
+    first = total = 0
+    for k, size in enumerate(sizes):
+        total += size
+        if total >= block:
             yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = k + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def encoded(texts: list[str | None], vocabulary: str, end_id: int):
     """For groups of texts: (first, last, ids in a row, where each text's begin), an end id after each text's."""
     texts = [t or "" for t in texts]
-    for i, j in groups(texts):
+    for i, j in groups([len(t) for t in texts]):
         ids, at = encoder(vocabulary)(texts[i:j])
         yield i, j, np.insert(ids, at[1:], end_id), at + np.arange(len(at))
 
@@ -194,3 +193,12 @@ def binary(values: np.ndarray, at: np.ndarray):
     import pyarrow as pa
     width = values.dtype.itemsize
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a binary Arrow column without nulls in a row, and where each row's begin."""
+    width = np.dtype(kind).itemsize
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return values.view(kind), (at - at[0]) // width
