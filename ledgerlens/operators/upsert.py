@@ -25,6 +25,7 @@ KEYS = {  # natural keys
     "news_items": ("company_id", "dedupe_hash"),
     "market_prices": ("company_id", "trading_date", "provider"),
     "macro_observations": ("series_id", "observation_date", "provider"),
+    "quarantine": ("step", "subject"),
 }
 #: Columns whose hash gives a row's bucket: rows that may replace each other share them.
 BUCKETS_BY = {**KEYS, "filing_sections": ("filing_id",), "embeddings": ("filing_id",), "insider_transactions": ("accession_number",),

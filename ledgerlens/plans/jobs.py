@@ -4,6 +4,7 @@ A job keeps its tables under one `root` folder. Stages hand over through written
 through long lineage, so a lost executor or a failed stage repeats one stage only.
 """
 import json
+import time
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from ledgerlens import policies as P
 from ledgerlens.operators import aggregates as A, news as N, text as X, upsert as U
 from ledgerlens.plans import (behavior_signals as B, changes as G, composite as C, market_signals as M, numeric_signals as Q,
-                              queries as R, sentiment_signals as E, text_signals as T)
+                              quarantine as H, queries as R, sentiment_signals as E, text_signals as T)
 from ledgerlens.schemas import TABLES, conform
 from ledgerlens.session import cut
 from ledgerlens.sources import files, json_payloads, xml_payloads
@@ -45,14 +46,20 @@ class Store:
         """All rows of the keys in source are replaced."""
         return self.change(table, conform(source, TABLES[table]), lambda old, new: U.replace_rows(old, new, key))
 
-    def event(self, event_type, layer, detail, at):
+    def event(self, event_type, layer, detail, at, since=None):
+        """since: `time.monotonic()` at the start of what the event tells of."""
         row = self.spark.range(1).select(F.lit(None).cast("bigint").alias("filing_id"))
-        U.append_events(U.event_rows(row, event_type, layer, detail, at=at), self.path("pipeline_events"))
+        U.append_events(U.event_rows(row, event_type, layer, detail, duration_ms=elapsed(since), at=at), self.path("pipeline_events"))
 
     def events(self):
         return self.spark.read.schema(TABLES["pipeline_events"]).parquet(self.path("pipeline_events"))
 
 
+def elapsed(since):
+    """Milliseconds since a `time.monotonic()`."""
+    return None if since is None else int(1000 * (time.monotonic() - since))
+
+
 def _landed(df):
     """Batch rows with the number they landed with: the caller's `landed`, else the order in which they are read."""
     return df if "landed" in df.columns else df.withColumn("landed", F.monotonically_increasing_id())
@@ -76,7 +83,7 @@ def _take(store, table, rows, event, layer, step, at, failed=None):
 
 # ---------------------------------------------------------------- signals
 def text_stage(store, filings, computed_at, tone_scores=None, scorer=None):
-    sections = store.read("filing_sections")
+    sections = store.read("filing_sections").join(filings.select("filing_id"), "filing_id", "left_semi")  # before a scorer sees them
     emb = store.read("embeddings").join(sections.select(F.col("section_id").alias("filing_section_id"), "section",
                                                         "sequence_idx"), "filing_section_id")
     if tone_scores is None:
@@ -133,41 +140,63 @@ OWN_COMPANY = ("text_signals", "numeric_signals", "insider_signals", "sentiment_
 def run_signals(store: Store, computed_at, company_ids=None, stages=STAGES, changed_only=False, **inputs) -> DataFrame:
     """All stages over all eligible filings, or those of some companies, which then are all that most layers read:
     the companies named, or with `changed_only` those whose inputs changed since the last such run. Each stage writes the scores of its filings; the filings' flags are written once, with the stages that are done,
-    also when a stage fails: its event then says so, and the error goes on. Returns the per-stage summary."""
+    also when a stage fails: its event then says so, and the error goes on. In stages that look at one company at a time,
+    a company that makes the stage fail is set apart (`quarantine`), with its filings, and left out of the later ones;
+    with `changed_only` it is tried again by the next run. Returns the per-stage summary."""
     filings = store.read("filings")
     mine = filings if company_ids is None else filings.where(F.col("company_id").isin(*company_ids))
     read = G.seen(store) if changed_only else {}
     dirty = G.dirty_companies(store) if changed_only else None
     if dirty is not None:
+        dirty = dirty.unionByName(H.waiting(store, [name for name, *_ in stages])).distinct()
         mine = cut(mine.join(dirty, "company_id", "left_semi"))
         if mine.isEmpty():
             stages = ()
     scope = mine.where(F.col("form_type").isin(*P.SIGNAL_JOB_FORMS))
-    done = []
+    done, bad = [], {}
     try:
         for name, stage, flag, status in stages:
-            try:
-                given = mine if name in OWN_COMPANY else filings
-                rows = stage(store, given, computed_at, **inputs).join(scope.select("filing_id"), "filing_id", "left_semi")
+            since = time.monotonic()
+
+            def score(part):
+                rows = stage(store, part, computed_at, **inputs).join(_without(scope, bad).select("filing_id"), "filing_id", "left_semi")
                 rows = U.assert_owner(store.read("signal_scores"), conform(rows, TABLES["signal_scores"]), U.KEYS["signal_scores"])
                 store.upsert("signal_scores", rows)
+            try:
+                taken = _without(scope, bad)
+                failed = H.isolated(score, _without(mine, bad)) if name in OWN_COMPANY else score(filings) or []
             except Exception as error:
-                store.event("signal_failed", "processing", F.lit(json.dumps({"step": name, "error": str(error)[:2000]})), computed_at)
+                store.event("signal_failed", "processing", F.lit(json.dumps({"step": name, "error": str(error)[:2000]})), computed_at, since)
                 raise
-            done.append((flag, status))
+            bad.update(failed)
+            if failed or not store.read(H.TABLE).where(F.col("step") == name).isEmpty():
+                reasons = store.spark.createDataFrame(failed, "company_id long, reason string")  # a few companies, see `isolated`
+                tried = taken.join(F.broadcast(reasons), taken["company_id"].eqNullSafe(reasons["company_id"]), "left").select(
+                    F.col("filing_id").alias("subject"), "filing_id", taken["company_id"], F.lit(None).cast("string").alias("input_hash"), "reason")
+                H.record(store, name, tried, "signal_failed", "processing", computed_at, elapsed(since))
+            done.append((flag, status, dict(bad)))
             store.event("composite_scored" if name == "composite_engine" else "signal_scored", "processing",
-                        F.to_json(F.struct(F.lit(name).alias("step"))), computed_at)
+                        F.to_json(F.struct(F.lit(name).alias("step"))), computed_at, since)
     finally:
         if done:
             marked = scope
-            for flag, status in done:
-                marked = U.mark_stage(marked, scope, flag, status)
+            for flag, status, lost in done:
+                marked = U.mark_stage(marked, _without(scope, lost), flag, status)
+            for company, reason in bad.items():
+                marked = marked.withColumn("last_error_message", F.when(F.col("company_id").eqNullSafe(F.lit(company)), F.lit(reason)).otherwise(F.col("last_error_message")))
             store.upsert("filings", marked)
     G.settle(store, read)
     from ledgerlens.plans.rows import with_catalogue
     return A.run_summary(with_catalogue(store.read("signal_scores")))
 
 
+def _without(filings, companies):
+    """filings but those of some few companies."""
+    for c in companies:
+        filings = filings.where(~F.col("company_id").eqNullSafe(F.lit(c)))
+    return filings
+
+
 def rejected_filings(filings: DataFrame, ids: DataFrame) -> DataFrame:
     """Requested filings the signal job does not take, with the reason."""
     j = ids.join(filings.select("filing_id", "form_type"), "filing_id", "left")
@@ -178,10 +207,13 @@ def rejected_filings(filings: DataFrame, ids: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ingestion
 def run_sections(store: Store, raw_root, at, force=False):
-    """Splits filings not extracted yet (all when `force`); failures become a status, not an abort."""
-    filings = store.read("filings")
+    """Splits filings not extracted yet (all when `force`); failures become a status and a quarantine row, not an
+    abort. A text that failed `quarantine.ATTEMPTS` times is left alone unless `force`."""
+    since, filings = time.monotonic(), store.read("filings")
     todo = filings if force else filings.where(~F.coalesce("is_extracted", F.lit(False)))
     docs = files.raw_filings(store.spark, raw_root).select("accession_number", "raw_text")
+    if not force:
+        docs = H.due(store, "filing_splitter", docs.join(todo.select("accession_number", "filing_id"), "accession_number"), "filing_id", "raw_text").drop("filing_id")
     split = X.split_sections(todo.join(docs, "accession_number"))
     rows = X.section_rows(split)
     rows = rows.withColumn("section_id", F.xxhash64("filing_id", "section", "sequence_idx"))
@@ -194,8 +226,12 @@ def run_sections(store: Store, raw_root, at, force=False):
     j = (j.withColumn("is_extracted", F.when(t, ok).otherwise(F.col("is_extracted")))
          .withColumn("processing_status", F.when(t & ok, "extracted").when(t, "failed").otherwise(F.col("processing_status")))
          .withColumn("last_error_message", F.when(t & ~ok, "no_sections_found").when(~t, F.col("last_error_message"))))
+    held = docs.select("accession_number", H.input_hash(F.col("raw_text")).alias("input_hash"))
+    H.record(store, "filing_splitter", todo.join(held, "accession_number").join(found, "filing_id", "left").select(
+        F.col("filing_id").alias("subject"), "filing_id", "company_id", "input_hash",
+        F.when(F.col("__ok").isNull(), "no_sections_found").alias("reason")), "extraction_failed", "processing", at, elapsed(since))
     store.upsert("filings", conform(j, TABLES["filings"]))
-    store.event("extracted", "processing", F.lit('{"step":"filing_splitter"}'), at)
+    store.event("extracted", "processing", F.lit('{"step":"filing_splitter"}'), at, since)
 
 
 def run_embeddings(store: Store, embedder, dimension, provider, model, at, force=False):
@@ -215,29 +251,44 @@ def run_embeddings(store: Store, embedder, dimension, provider, model, at, force
 
 
 def run_facts(store: Store, payloads: DataFrame, at):
-    """payloads: company_id, payload."""
+    """payloads: company_id, payload. A payload that cannot be read costs its company only."""
+    since = time.monotonic()
+    payloads = H.due(store, "facts", payloads, "company_id", "payload")
     facts = json_payloads.company_facts(payloads, store.read("filings"))
     facts = facts.withColumn("fact_id", F.xxhash64(*U.KEYS["xbrl_facts"])).withColumn("created_at", at)
     store.upsert("xbrl_facts", conform(facts, TABLES["xbrl_facts"]), null_safe=True)
     hit = facts.where(F.col("filing_id").isNotNull()).select("filing_id")
     new = store.read("filings").where(~F.coalesce("is_xbrl_parsed", F.lit(False))).join(hit, "filing_id", "left_semi")
     store.upsert("filings", conform(new.withColumn("is_xbrl_parsed", F.lit(True)), TABLES["filings"]))
-    store.event("xbrl_parsed", "processing", F.lit('{"step":"facts"}'), at)
+    H.record(store, "facts", payloads.select(
+        F.col("company_id").alias("subject"), F.lit(None).cast("bigint").alias("filing_id"), "company_id",
+        H.input_hash(F.col("payload")).alias("input_hash"), json_payloads.facts_fault(F.col("payload")).alias("reason")), "xbrl_failed", "processing", at, elapsed(since))
+    store.event("xbrl_parsed", "processing", F.lit('{"step":"facts"}'), at, since)
 
 
 def run_insiders(store: Store, documents: DataFrame, at):
-    """documents: filing_id, xml. Parses reports not parsed yet; ones that give no row are left pending."""
+    """documents: filing_id, xml. Parses reports not parsed yet. One that gives no row is left pending, with the reason
+    in its filing, an event and the quarantine, and tried again until it has failed `quarantine.ATTEMPTS` times."""
+    since = time.monotonic()
     f = store.read("filings").where(F.col("form_type").isin(*P.INSIDER_FORMS)
                                     & ~F.coalesce("is_form4_parsed", F.lit(False)))
     c = store.read("companies").select("company_id", "cik", "ticker", F.col("name").alias("issuer_name"))
-    docs = (f.join(_landed(documents), "filing_id").join(c, "company_id").withColumn("source_url", F.lit(None).cast("string")))
+    docs = (f.join(H.due(store, "form4_parser", _landed(documents), "filing_id", "xml"), "filing_id").join(c, "company_id").withColumn("source_url", F.lit(None).cast("string")))
     rows = xml_payloads.insider_transactions(docs)
     rows = rows.withColumn("transaction_id", F.xxhash64("transaction_uid")).join(docs.select("filing_id", "landed"), "filing_id")
     src = _batch(rows.withColumn("position", F.struct("landed", "transaction_uid")), "insider_transactions")
     store.change("insider_transactions", src, lambda old, new: U.upsert_insider(old, new, "position"))
-    new = f.join(store.read("insider_transactions").select("filing_id"), "filing_id", "left_semi")
-    store.upsert("filings", conform(new.withColumns({"is_form4_parsed": F.lit(True), "processing_status": F.lit("form4_parsed")}), TABLES["filings"]))
-    store.event("form4_parsed", "processing", F.lit('{"step":"form4_parser"}'), at)
+    given = store.read("insider_transactions").select("filing_id").distinct().withColumn("__ok", F.lit(True))
+    ok = F.col("__ok").isNotNull()
+    H.record(store, "form4_parser", docs.join(given, "filing_id", "left").select(
+        F.col("filing_id").alias("subject"), "filing_id", "company_id", H.input_hash(F.col("xml")).alias("input_hash"),
+        F.when(~ok, xml_payloads.report_fault(F.col("xml"))).alias("reason")), "form4_failed", "processing", at, elapsed(since))
+    why = store.read(H.TABLE).where(F.col("step") == "form4_parser").select("filing_id", F.col("reason").alias("__why"))
+    new = f.join(given, "filing_id", "left").join(why, "filing_id", "left").where(ok | F.col("__why").isNotNull())
+    new = new.withColumns({"is_form4_parsed": ok, "processing_status": F.when(ok, "form4_parsed").otherwise("failed"),
+                           "last_error_message": F.when(~ok, F.col("__why"))})
+    store.upsert("filings", conform(new, TABLES["filings"]))
+    store.event("form4_parsed", "processing", F.lit('{"step":"form4_parser"}'), at, since)
 
 
 def run_news(store: Store, raw: DataFrame, at, scorer=None):

@@ -46,13 +46,15 @@ MARKET_PRICES = ("company_id BIGINT, ticker STRING, trading_date DATE, open DECI
                    "provider STRING, retrieved_at TIMESTAMP")
 MACRO_OBSERVATIONS = ("series_id STRING, observation_date DATE, value DECIMAL(18,6), provider STRING, "
                         "retrieved_at TIMESTAMP, frequency STRING, units STRING, title STRING")
+QUARANTINE = ("step STRING, subject STRING, filing_id BIGINT, company_id BIGINT, input_hash STRING, reason STRING, attempts INT, "
+              "first_at TIMESTAMP, last_at TIMESTAMP")
 
 _DDL = {
     "companies": COMPANIES, "filings": FILINGS, "filing_sections": FILING_SECTIONS, "xbrl_facts": XBRL_FACTS,
     "guidance_statements": GUIDANCE_STATEMENTS, "embeddings": EMBEDDINGS,
     "insider_transactions": INSIDER_TRANSACTIONS, "signal_scores": SIGNAL_SCORES, "pipeline_events": PIPELINE_EVENTS,
     "nci_scores": NCI_SCORES, "news_items": NEWS_ITEMS, "market_prices": MARKET_PRICES,
-    "macro_observations": MACRO_OBSERVATIONS,
+    "macro_observations": MACRO_OBSERVATIONS, "quarantine": QUARANTINE,
 }
 
 

@@ -86,6 +86,13 @@ def filing_lookups(filings: DataFrame):
                                     F.col("filing_id").alias("id_period"))
 
 
+def facts_fault(payload):
+    """Why a facts payload can give no rows; NULL when it may."""
+    return (F.when(F.trim(F.coalesce(payload, F.lit(""))) == "", "missing payload")
+            .when(F.try_parse_json(payload).isNull(), "malformed JSON")
+            .when(F.from_json(payload, "facts map<string,string>")["facts"].isNull(), "no facts"))
+
+
 def company_facts(df: DataFrame, filings: DataFrame, payload="payload", company="company_id",
                   taxonomies=P.DEFAULT_TAXONOMIES, forms=P.ANCHOR_FORMS, concepts=None) -> DataFrame:
     """Taxonomy -> concept -> unit -> entries flattened to facts, attached to filings, best per key."""

@@ -33,6 +33,14 @@ def _t(c):
     return T.blank_to_null(F.trim(c))
 
 
+def report_fault(xml):
+    """Why an insider report gave no rows."""
+    clean = F.regexp_replace(xml, r"<(/?)[A-Za-z_][\w.\-]*:(?=[A-Za-z])", "<$1")
+    doc = F.from_xml(clean, f"{FORM4_SCHEMA}, _corrupt_record string", {"ignoreNamespace": "true"})
+    return (F.when(F.trim(F.coalesce(xml, F.lit(""))) == "", "missing payload")
+            .when(doc.isNull() | doc["_corrupt_record"].isNotNull(), "malformed XML").otherwise("no transactions"))
+
+
 def insider_transactions(df: DataFrame, xml="xml") -> DataFrame:
     """One row per (transaction, reporting owner). `df` also carries filing_id, company_id,
     accession_number, cik, ticker, issuer_name, filed_at, form_type, source_url.

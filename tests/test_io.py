@@ -369,3 +369,66 @@ def test_streams(spark, tmp_path):
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("vol").collect())) == sorted(map(tuple, ST.news_volume(ev).collect()))
+
+
+# ---------------------------------------------------------------- faults
+def quarantined(store):
+    return sorted((r.step, r.subject, r.company_id, r.reason, r.attempts) for r in store.read("quarantine").collect())
+
+
+def test_bad_payloads_are_set_apart(spark, tmp_path):
+    store = J.Store(spark, str(tmp_path / "db"))
+    store.replace("companies", spark.createDataFrame([(c, f"{c:010d}", f"T{c}", "n") for c in (1, 2, 3)], "company_id long, cik string, ticker string, name string"))
+    store.replace("filings", spark.createDataFrame([(k, 1, f"a{k}", "4", date(2022, 6, 9), False) for k in (7, 8, 9, 10)],
+                                                   "filing_id long, company_id long, accession_number string, form_type string, filed_at date, is_form4_parsed boolean"))
+    documents = lambda *rows: spark.createDataFrame(rows, "filing_id long, xml string")
+    empty = FORM4[:FORM4.index("<nonDerivativeTable>")] + "</ownershipDocument>" if "<nonDerivativeTable>" in FORM4 else "<ownershipDocument></ownershipDocument>"
+    batch = documents((7, "<ownershipDocument><issuer>"), (8, None), (9, FORM4), (10, empty))
+    for n in (1, 2, 3, 4):  # after three failures the same input is left alone
+        J.run_insiders(store, batch, at())
+        k = min(n, 3)
+        assert quarantined(store) == [("form4_parser", "10", 1, "no transactions", k), ("form4_parser", "7", 1, "malformed XML", k), ("form4_parser", "8", 1, "missing payload", n)]
+    assert {r.filing_id: r.last_error_message for r in store.read("filings").collect()} == {7: "malformed XML", 8: "missing payload", 9: None, 10: "no transactions"}
+    failed = store.events().where("event_type = 'form4_failed'").collect()
+    assert len(failed) == 10 and all(r.filing_id and r.company_id == 1 and r.duration_ms > 0 and json.loads(r.detail)["attempt"] for r in failed)
+    J.run_insiders(store, documents((7, "<ownershipDocument>")), at())  # another payload starts anew
+    assert ("form4_parser", "7", 1, "malformed XML", 1) in quarantined(store)
+    J.run_insiders(store, documents((7, FORM4), (8, FORM4)), at())
+    assert [x[1] for x in quarantined(store)] == ["10"]
+    assert {r.filing_id for r in store.read("filings").where("is_form4_parsed").collect()} == {7, 8, 9}
+    entry = {"val": 5.0, "end": "2024-12-31", "form": "10-K", "accn": "x", "fp": "FY", "fy": 2024}
+    good = json.dumps({"facts": {"us-gaap": {"Assets": {"label": "a", "units": {"USD": [entry]}}}}})
+    J.run_facts(store, spark.createDataFrame([(1, good), (2, '{"facts": {'), (3, "{}")], "company_id long, payload string"), at())
+    assert store.read("xbrl_facts").count() == 1 and quarantined(store)[:2] == [("facts", "2", 2, "malformed JSON", 1), ("facts", "3", 3, "no facts", 1)]
+    (tmp_path / "raw" / "0000000001" / "4").mkdir(parents=True)
+    (tmp_path / "raw" / "0000000001" / "4" / "a9.txt").write_text("nothing to split")
+    J.run_sections(store, str(tmp_path / "raw"), at())
+    assert quarantined(store)[2] == ("filing_splitter", "9", 1, "no_sections_found", 1)
+
+
+def test_a_company_that_fails_a_stage_is_set_apart(spark, tmp_path):
+    def stage(bad):
+        @pandas_udf("double")
+        def value(company: pd.Series) -> pd.Series:
+            if company.isin(bad).any():
+                raise ValueError("cannot score this company")
+            return company / 10.0
+        return (("sentiment_signals", lambda store, filings, at, **_: filings.select(
+            "filing_id", "company_id", F.lit("sentiment_signal").alias("signal_name"), value("company_id").alias("signal_value"), at.alias("computed_at")),
+            "is_text_signal_scored", "sentiment_signal_scored"),)
+
+    store = J.Store(spark, str(tmp_path / "db"))
+    store.replace("companies", spark.createDataFrame([(c, "tech") for c in range(1, 6)], "company_id long, sector string"))
+    store.replace("filings", spark.createDataFrame([(10 * c + y, c, f"a-{c}-{y}", "10-K", date(2020 + y, 3, 1)) for c in range(1, 6) for y in (1, 2)],
+                                                   "filing_id long, company_id long, accession_number string, form_type string, filed_at date"))
+    scored = lambda: {r.company_id for r in store.read("signal_scores").collect()}
+    with pytest.raises(Exception, match="cannot score this company"):  # all companies: the stage's fault
+        J.run_signals(store, at(), stages=stage([1, 2, 3, 4, 5]))
+    assert not quarantined(store) and not scored()
+    J.run_signals(store, at(), stages=stage([2, 4]), changed_only=True)
+    assert [x[:3] + x[4:] for x in quarantined(store)] == [("sentiment_signals", str(10 * c + y), c, 1) for c in (2, 4) for y in (1, 2)]
+    assert all("cannot score this company" in x[3] for x in quarantined(store)) and scored() == {1, 3, 5}
+    assert {r.company_id for r in store.read("filings").where("last_error_message like '%cannot score%'").collect()} == {2, 4}
+    assert {r.filing_id for r in store.events().where("event_type = 'signal_failed' and filing_id is not null").collect()} == {21, 22, 41, 42}
+    J.run_signals(store, at(), stages=stage([]), changed_only=True)  # no input changed, but two companies wait
+    assert not quarantined(store) and scored() == {1, 2, 3, 4, 5}
