@@ -53,12 +53,16 @@ def pending(df: DataFrame, flag, limit=None) -> DataFrame:
 
 
 def signal_row(signals: DataFrame, filings: DataFrame) -> DataFrame:
-    """Signals with their filing, status and normalised detail."""
+    """Signals with their filing, status and normalised detail.
+
+    Status and detail are made before the join, so that a raw detail nobody reads is not shuffled. Files say little of
+    how many filings they hold, so these are never broadcast: each task hashes its share of them, and signals are not sorted."""
     v = J.variant(F.col("detail"))
     f = filings.select("filing_id", "form_type", "filed_at", "accession_number", "period_of_report")
-    return signals.join(f, "filing_id").withColumn("signal_name", F.coalesce("signal_name", F.lit("unknown"))).withColumn(
-        "status", J.signal_status(v, S.risk_label(F.col("signal_value")))).withColumn(
-        "detail", J.detail_shape(F.col("detail")))
+    s = signals.withColumns({"signal_name": F.coalesce("signal_name", F.lit("unknown")),
+                             "status": J.signal_status(v, S.risk_label(F.col("signal_value"))), "detail": J.detail_shape(F.col("detail"))})
+    rest = [c for c in signals.columns if c != "filing_id"]
+    return s.join(f.hint("shuffle_hash"), "filing_id").select("filing_id", *rest, *f.columns[1:], "status")
 
 
 def signals(signals_df, filings_df, company_id=None, signal_name=None, form_type=None, limit=None) -> DataFrame:
