@@ -110,7 +110,7 @@ _FJ = """SELECT l_orderkey AS company_id, l_returnflag AS concept, CASE WHEN l_l
  FROM x LEFT JOIN f a ON a.filing_id=x.company_id AND a.accession_number=x.accn LEFT JOIN f p ON p.filing_id=x.company_id AND p.form_type=x.form_type AND p.period_of_report=x.period_end) WHERE rn=1""",
                            x=_FJ, f="SELECT o_orderkey AS filing_id, 'A'||lpad(o_orderkey::VARCHAR,10,'0') AS accession_number, CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN '10-K' ELSE '10-Q' END AS form_type, date_trunc('month', o_orderdate)::DATE AS period_of_report FROM orders"))
 def src_facts_json(spark, d):
-    li = t(spark, d, "lineitem")
+    li = t(spark, d, "lineitem").repartition("l_orderkey")  # an order's lines once together serve all three groupings
     n = F.col("l_linenumber")
     end = F.trunc("l_shipdate", "month")
     txt = lambda c: F.date_format(c, "yyyy-MM-dd")

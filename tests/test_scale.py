@@ -25,3 +25,37 @@ def test_signal_row_never_broadcasts_filings(spark):
     assert sorted((r.filing_id, r.signal_name, r.status, r.detail, r.form_type) for r in d.collect()) == [
         (1, "unknown", "watch", '{"label": "watch"}', "10-K"), (2, "b", "critical", '{"items":[1]}', "10-Q"), (2, "c", "unknown", "{}", "10-Q")]
     assert R.signals(s, f, form_type="10-k").count() == 1
+
+
+def tables(spark, tmp_path, n=12):
+    """orders, lineitem and customer of the driver's columns, with a repeated order and a null key."""
+    k = F.col("id")
+    day = F.timestamp_seconds(F.lit(800_000_000) + k * 9_000_000)
+    o = spark.range(n).select(k.alias("o_orderkey"), (k % 5).alias("o_custkey"), F.element_at(F.array(*map(F.lit, "FOP")), (k % 3 + 1).cast("int")).alias("o_orderstatus"),
+                              (k * 1000.5 + 900).alias("o_totalprice"), day.alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    o = o.unionByName(o.where("o_orderkey = 3")).unionByName(o.where("o_orderkey = 4").withColumn("o_orderkey", F.lit(None).cast("long")))
+    o.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(5).select(k.alias("c_custkey"), F.concat(F.lit("Customer#00000000"), k).alias("c_name"), F.lit("BUILDING").alias("c_mktsegment"),
+                          F.lit(1.0).alias("c_acctbal")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(4 * n).select((k % n).alias("l_orderkey"), (k % 7).cast("int").alias("l_linenumber"), F.lit(8.0).alias("l_quantity"), (k * 10.25).alias("l_extendedprice"),
+                              F.lit(0.1).alias("l_discount"), F.lit(0.02).alias("l_tax"), F.element_at(F.array(F.lit("N"), F.lit("R")), (k % 2 + 1).cast("int")).alias("l_returnflag"),
+                              F.lit("O").alias("l_linestatus"), day.alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_yearly_points_are_not_shuffled_one_row_a_signal(spark, tmp_path):
+    from checks import scores
+    d = tables(spark, tmp_path)
+    y = scores.Q_["yearly_signals"](spark, d)
+    above = re.split(r"Generate explode", plan_of(y))[0]
+    assert "Exchange" not in above
+    assert y.agg(F.sum("point_count")).first()[0] == 11 * 15  # order 3 twice: each copy meets both of its filings
+    flags = scores.Q_["yearly_flags"](spark, d)
+    assert re.split(r"Generate explode", plan_of(flags))[0].count("Exchange") == 1 and flags.count() == 55
+
+
+def test_facts_payloads_are_built_in_one_shuffle(spark, tmp_path):
+    from checks import records
+    f = records.Q_["src_facts_json"](spark, tables(spark, tmp_path))
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan_of(f))) == 1
+    assert f.count() == f.distinct().count() > 0
