@@ -161,9 +161,11 @@ _YEARLY = dict(
 
 
 def _records(spark, d):
-    s = signal(spark, d).join(filing(spark, d).select("filing_id", "filed_at"), "filing_id").join(
+    # filings meet company and year as one row each and lie where the yearly groups are made before they become eleven
+    s = signal(spark, d, lambda o: o.join(filing(spark, d).select("filing_id", "filed_at"), "filing_id").join(
         company(spark, d).select("company_id", "ticker"), "company_id")
-    return s.select("ticker", F.year("filed_at").alias("year"), F.col("signal_name").alias("signal_key"),
+        .withColumn("year", F.year("filed_at")).repartition("ticker", "year"))
+    return s.select("ticker", "year", F.col("signal_name").alias("signal_key"),
                     F.col("signal_name").alias("signal_label"), "filed_at", F.col("filing_id").alias("seq"),
                     (F.col("signal_value") / 4.0 + (F.col("company_id") % 4) * 0.2).alias("signal_value"))
 

@@ -130,11 +130,12 @@ def event_filing(spark, d):
     return f.withColumn("filed_at", F.expr("date_add(DATE'2024-01-03', cast(filing_id % 30 as int))"))
 
 
-def signal(spark, d):
-    """Eleven signals per filing, a fifth of them missing."""
+def signal(spark, d, keep=None):
+    """Eleven signals per filing, a fifth of them missing. `keep` may join columns to the filings: one row each, not eleven."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").alias("company_id"))
+    o = keep(o) if keep else o
     names = F.array(*[F.struct(F.lit(n).alias("signal_name"), F.lit(i + 1).alias("k")) for i, n in enumerate(SIGNALS)])
-    s = o.select("filing_id", "company_id", F.explode(names).alias("s")).select("filing_id", "company_id", "s.*")
+    s = o.select("*", F.explode(names).alias("s")).select(*o.columns, "s.*")
     k = F.col("k")
     return s.withColumn("signal_value", F.when((F.col("filing_id") + k) % 5 != 0, (F.col("filing_id") * k) % 97 / 96.7)
                         ).withColumn("confidence", ((F.col("filing_id") + k) % 10) / 10.0)

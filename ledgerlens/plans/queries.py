@@ -253,7 +253,8 @@ def validation_records(snapshots: DataFrame, companies_df: DataFrame, filings_df
     cols = [s[0] for s in P.VALIDATION_SIGNALS]
     d = d.withColumn("seq", F.struct("computed_at", "filing_id"))
     ids = ["ticker", "filing_id", "filed_at", "year", "fiscal_quarter", "event_type", "confidence", "coverage_ratio", "seq"]
-    long = d.unpivot(ids, cols, "column_name", "signal_value")
+    # wide rows go where the yearly groups are made: those need no shuffle of the rows per signal
+    long = d.repartition("ticker", "year").unpivot(ids, cols, "column_name", "signal_value")
     names = F.create_map(*[x for col, key, _ in P.VALIDATION_SIGNALS for x in (F.lit(col), F.lit(key))])
     labels = F.create_map(*[x for col, _, lab in P.VALIDATION_SIGNALS for x in (F.lit(col), F.lit(lab))])
     return long.withColumn("signal_key", names[F.col("column_name")]).withColumn(
