@@ -133,7 +133,7 @@ def src_facts_json(spark, d):
  CASE WHEN o_orderkey%3<>0 THEN 12.5::DOUBLE END AS price_per_share, CASE WHEN o_orderkey%2=0 THEN 'direct' ELSE 'indirect' END AS ownership_nature,
  lpad(o_custkey::VARCHAR,10,'0') AS cik FROM orders, (VALUES (1),(2)) w(n), (VALUES (false),(true)) d(f)""")
 def src_form4_xml(spark, d):
-    o, k = spread(t(spark, d, "orders"), "o_orderkey"), F.col("o_orderkey")
+    o, k = spread(t(spark, d, "orders"), "o_orderkey", rows=25_000), F.col("o_orderkey")
     code = F.when(F.col("o_orderstatus") == "F", "S").when(F.col("o_orderstatus") == "O", "p").otherwise("X")
     owner = lambda n: (f"<reportingOwner><reportingOwnerId><rptOwnerCik>{n}</rptOwnerCik><rptOwnerName>Owner {n}</rptOwnerName></reportingOwnerId>"
                        f"<reportingOwnerRelationship><isDirector>{'1' if n == 1 else '0'}</isDirector></reportingOwnerRelationship></reportingOwner>")

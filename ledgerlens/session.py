@@ -52,9 +52,11 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, key):
+def spread(df, key, rows=None):
     """Rows over all cores when a scan has fewer splits than cores (a few small files), for plans
     that spend much CPU per row. A large input has more splits than cores and is left alone,
-    so no shuffle of document texts is added at scale."""
+    so no shuffle of document texts is added at scale. With `rows`, no task gets many more of them:
+    for narrow rows of which a split holds millions (counted without reading a column)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    parts = max(cores, -(-df.count() // rows)) if rows else cores
+    return df.repartition(parts, key) if df.rdd.getNumPartitions() < parts else df

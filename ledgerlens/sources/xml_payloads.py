@@ -45,7 +45,8 @@ def insider_transactions(df: DataFrame, xml="xml") -> DataFrame:
     """One row per (transaction, reporting owner). `df` also carries filing_id, company_id,
     accession_number, cik, ticker, issuer_name, filed_at, form_type, source_url.
     Rows without date, shares or code are dropped; a report without a named owner gets "unknown"."""
-    clean = F.regexp_replace(F.col(xml), r"<(/?)[A-Za-z_][\w.\-]*:(?=[A-Za-z])", "<$1")
+    text = F.col(xml)
+    clean = F.when(text.contains(":"), F.regexp_replace(text, r"<(/?)[A-Za-z_][\w.\-]*:(?=[A-Za-z])", "<$1")).otherwise(text)
     doc = F.from_xml(clean, FORM4_SCHEMA, {"ignoreNamespace": "true"})
     base = ["filing_id", "company_id", "accession_number", "cik", "ticker", "issuer_name", "filed_at", "form_type",
             "source_url"]
@@ -63,11 +64,11 @@ def insider_transactions(df: DataFrame, xml="xml") -> DataFrame:
         .alias("insider_cik"), *[F.lit(False).alias(b) for b in ("is_director", "is_officer", "is_ten_percent_owner",
                                                                  "is_other")],
         F.lit(None).cast("string").alias("officer_title")))
-    d = d.select(*[c for c in base if c not in ("cik", "ticker", "issuer_name")],
+    d = d.withColumn("__named", named).select(*[c for c in base if c not in ("cik", "ticker", "issuer_name")],
                  F.coalesce(_t(F.col("x.issuer.issuerCik")), "cik").alias("cik"),
                  F.coalesce(_t(F.col("x.issuer.issuerTradingSymbol")), "ticker").alias("ticker"),
                  F.coalesce(_t(F.col("x.issuer.issuerName")), "issuer_name").alias("issuer_name"),
-                 F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(unknown).alias("owners"),
+                 F.when(F.coalesce(F.size("__named"), F.lit(0)) > 0, F.col("__named")).otherwise(unknown).alias("owners"),
                  # both tables in one array, so that a document is parsed once
                  F.concat(*[F.coalesce(F.transform(F.col(f"x.{tag}Table.{tag}Transaction"), lambda t: F.struct(
                      F.lit(flag).alias("is_derivative"), t.alias("t"))), F.expr(f"cast(array() as array<struct<"

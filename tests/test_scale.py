@@ -59,3 +59,12 @@ def test_facts_payloads_are_built_in_one_shuffle(spark, tmp_path):
     f = records.Q_["src_facts_json"](spark, tables(spark, tmp_path))
     assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan_of(f))) == 1
     assert f.count() == f.distinct().count() > 0
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
+    from ledgerlens.session import spread
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "x"))
+    x = spark.read.parquet(str(tmp_path / "x"))
+    assert spread(x, "id").rdd.getNumPartitions() == 4
+    assert spread(x, "id", rows=50).rdd.getNumPartitions() == 20 and spread(x, "id", rows=50).count() == 1000
+    assert spread(spark.range(0, 1000, 1, 30), "id", rows=50).rdd.getNumPartitions() == 30
