@@ -134,21 +134,29 @@ def _grams(text, n):
                                          lambda i: F.substring(text, i + 1, F.lit(n))))
 
 
-def containing(identifiers: DataFrame, names: DataFrame, size=3) -> DataFrame:
+GRAM_SIZES = (1, 2, 3, 5, 8, 13)
+
+
+def containing(identifiers: DataFrame, names: DataFrame, sizes=GRAM_SIZES) -> DataFrame:
     """(identifier, name) pairs where the name contains the identifier, ignoring case; `%` and `_`
-    act as wildcards. identifiers: given, ident. A name is met only through its character n-grams:
-    for each identifier the n-gram with the fewest names is looked up and the hits are verified."""
+    act as wildcards. identifiers: given, ident. A name is met only through its character n-grams: those
+    of an identifier have the largest of `sizes` that its longest run without wildcards holds, the one with
+    the fewest names is looked up and the hits are verified. Long n-grams keep the hits near the true ones
+    as names grow in number. Grams are many times the names they come from, more than files tell a
+    planner: they are shuffled, never broadcast, and no more of them than identifiers ask for travel on."""
     none = F.expr("cast(array() as array<string>)")
-    all_sizes = lambda t: F.concat(*[F.coalesce(_grams(t, n), none) for n in range(1, size + 1)])
-    idx = names.select("*", F.explode(F.array_distinct(all_sizes(F.lower("name")))).alias("gram"))
-    freq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     runs = F.filter(F.split(F.lower("ident"), "[%_]"), lambda r: r != "")
-    want = F.least(F.lit(size), F.array_max(F.transform(runs, F.length)))
-    grams = F.flatten(F.transform(runs, lambda r: F.filter(all_sizes(r), lambda g: F.length(g) == want)))
-    pick = (identifiers.select("given", "ident", F.explode(F.array_distinct(grams)).alias("gram"))
-            .join(freq, "gram", "left").groupBy("given", "ident")
+    longest = F.array_max(F.transform(runs, F.length))
+    want = F.greatest(*[F.when(longest >= n, F.lit(n)) for n in sizes])
+    grams = F.flatten(F.transform(runs, lambda r: F.concat(*[F.when(want == n, F.coalesce(_grams(r, n), none)).otherwise(none) for n in sizes])))
+    asked = identifiers.select("given", "ident", F.explode(F.array_distinct(grams)).alias("gram"))
+    wanted = asked.select("gram").distinct()
+    idx = (names.repartition("name").select("*", F.explode(F.array_distinct(F.concat(*[F.coalesce(_grams(F.lower("name"), n), none) for n in sizes]))).alias("gram"))
+           .join(wanted.hint("shuffle_hash"), "gram", "left_semi"))
+    freq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    pick = (asked.join(freq.hint("merge"), "gram", "left").groupBy("given", "ident")
             .agg(F.min_by("gram", F.struct(F.coalesce("freq", F.lit(0)), "gram")).alias("gram")))
-    return pick.join(idx, "gram").where(F.expr("name ILIKE concat('%', ident, '%')")).drop("gram")
+    return pick.join(idx.hint("merge"), "gram").where(F.expr("name ILIKE concat('%', ident, '%')")).drop("gram")
 
 
 def resolve(identifiers: DataFrame, companies_df: DataFrame, max_candidates=2) -> DataFrame:

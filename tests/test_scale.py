@@ -68,3 +68,19 @@ def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
     assert spread(x, "id").rdd.getNumPartitions() == 4
     assert spread(x, "id", rows=50).rdd.getNumPartitions() == 20 and spread(x, "id", rows=50).count() == 1000
     assert spread(spark.range(0, 1000, 1, 30), "id", rows=50).rdd.getNumPartitions() == 30
+
+
+def test_containing_meets_names_by_long_grams_without_broadcast(spark):
+    names = ["Alpha Holdings Group", "alpha holding", "Beta-Holdings Group plc", "AB", "", None, "x%y_z holdings group", "Omega 0000001234 Ltd", "Omega 0000001235 Ltd"]
+    c = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "company_id long, name string")
+    asked = ["holdings group", "a", "ab", "HOLDING", "0000001234", "000000123", "h%group", "_lpha", "zz0000001234", "group plc", "%", "Beta-Holdings Group plc"]
+    got = R.containing(spark.createDataFrame([(a, a) for a in asked], "given string, ident string"), c)
+
+    def like(name, a):
+        pattern = "".join({"%": ".*", "_": "."}.get(ch, re.escape(ch)) for ch in a.lower())
+        return re.search(pattern, name.lower(), re.S)
+    want = {(a, i) for a in asked if a.strip("%_") for i, n in enumerate(names) if n is not None and like(n, a)}
+    assert {(r.given, r.company_id) for r in got.collect()} == want and got.count() == len(want)
+    assert not {"gram"} & set(got.columns)
+    joins = [line for line in plan_of(got).splitlines() if "Join" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
