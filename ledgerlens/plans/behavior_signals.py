@@ -49,15 +49,16 @@ def historical_medians(needed: DataFrame, trades: DataFrame) -> DataFrame:
 
 def classified_trades(anchors: DataFrame, trades: DataFrame) -> DataFrame:
     """Trades of the window around each anchor day with their class."""
-    pairs = interval_join(anchors, trades, ["company_id"], "filed_at", "transaction_date",
+    # links hang on the trade alone: they join the trades, not the many more pairs
+    linked_trades = trades.join(compensation_links(trades), ["company_id", "insider_key", "transaction_date"], "left")
+    pairs = interval_join(anchors, linked_trades, ["company_id"], "filed_at", "transaction_date",
                           P.BEHAVIOR_DAYS_BEFORE, P.BEHAVIOR_DAYS_AFTER)
     open_market = (F.col("transaction_code").isin("S", "P") & (F.col("shares") >= P.OPPORTUNISTIC_MIN_SHARES)
                    & F.col("role_name").isin(*P.OPPORTUNISTIC_ROLES))
     pairs = pairs.withColumn("__open", open_market)
     needed = pairs.where("__open").select("company_id", "filed_at", "insider_key").distinct()
     med = historical_medians(needed, trades)
-    j = (pairs.join(med, ["company_id", "filed_at", "insider_key"], "left")
-         .join(compensation_links(trades), ["company_id", "insider_key", "transaction_date"], "left"))
+    j = pairs.join(med, ["company_id", "filed_at", "insider_key"], "left")
     bigger = F.col("__open") & (F.col("shares") > F.col("median_shares"))
     linked = F.coalesce(F.col("comp_date") >= F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE), F.lit(False))
     cls = (F.when(bigger & (F.col("transaction_code") == "S") & ~linked, "opportunistic_sell")
