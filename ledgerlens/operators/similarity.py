@@ -7,7 +7,7 @@ is therefore spread over many cells, and no task holds more than two blocks at a
 """
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -103,9 +103,13 @@ def top_k_mean(scored: DataFrame, keys, score, idx, evidence=5, hot_rows=O.AUTO)
     The rank is a running count in segments, so a hot group is spread over tasks.
     """
     by_score = O.Order(-F.floor(F.col(score) * 1e15).cast("bigint"), F.col(idx).cast("bigint"))
-    sizes = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    r = (O.running(scored.select(*keys, score, idx), keys, by_score, {"__before": F.lit(1)}, hot_rows=hot_rows)
-         .join(sizes, list(keys)).withColumn("__k", S.top_k_count(F.col("__n"))))
+    if hot_rows is None:  # groups are small: counted where they are ranked, so that the scores are made once
+        r = O.running(scored.select(*keys, score, idx), keys, by_score, {"__before": F.lit(1)}, hot_rows=None)
+        r = r.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    else:
+        sizes = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        r = O.running(scored.select(*keys, score, idx), keys, by_score, {"__before": F.lit(1)}, hot_rows=hot_rows).join(sizes, list(keys))
+    r = r.withColumn("__k", S.top_k_count(F.col("__n")))
     first = F.when(F.col("__before") < evidence, F.struct("__before", idx))
     return r.groupBy(*keys).agg(
         F.avg(F.when(F.col("__before") < F.col("__k"), F.col(score))).alias("top_k_mean"),
@@ -117,21 +121,19 @@ def tfidf_similarity(pairs, counts, cur, prev, key, keep=()) -> DataFrame:
     """Whole-text similarity of each pair from term counts (key, token, term_count).
 
     Only shared terms join, on (document, token), so long documents spread over tasks; the
-    unshared part follows from per-document totals.
+    unshared part follows from per-document totals, which each term carries (a document is one text).
     """
     c2 = (F.log(F.lit(1.5)) + 1.0) * (F.log(F.lit(1.5)) + 1.0)
-    totals = counts.groupBy(key).agg(F.sum("term_count").alias("__tot"))
-    tf = (counts.join(totals, key).select(key, "token", (F.col("term_count") / F.col("__tot")).alias("__tf")))
-    sq = tf.groupBy(key).agg(F.sum(F.col("__tf") * F.col("__tf")).alias("__sq"))
+    doc = Window.partitionBy(key)
+    tf = counts.select(key, "token", (F.col("term_count") / F.sum("term_count").over(doc)).alias("__tf"))
+    tf = tf.withColumn("__q", F.sum(F.col("__tf") * F.col("__tf")).over(doc))
     p = pairs.select(cur, prev)
-    a = tf.select(F.col(key).alias(cur), "token", F.col("__tf").alias("__a"))
-    b = tf.select(F.col(key).alias(prev), "token", F.col("__tf").alias("__b"))
+    a = tf.select(F.col(key).alias(cur), "token", F.col("__tf").alias("__a"), F.col("__q").alias("__qa"))
+    b = tf.select(F.col(key).alias(prev), "token", F.col("__tf").alias("__b"), F.col("__q").alias("__qb"))
     shared = (p.join(a, cur).join(b, [prev, "token"]).groupBy(cur, prev).agg(
         F.sum(F.col("__a") * F.col("__b")).alias("__dot"), F.sum(F.col("__a") * F.col("__a")).alias("__sa"),
-        F.sum(F.col("__b") * F.col("__b")).alias("__sb")))
-    j = (p.join(shared, [cur, prev], "left")
-         .join(sq.select(F.col(key).alias(cur), F.col("__sq").alias("__qa")), cur, "left")
-         .join(sq.select(F.col(key).alias(prev), F.col("__sq").alias("__qb")), prev, "left"))
+        F.sum(F.col("__b") * F.col("__b")).alias("__sb"), F.max("__qa").alias("__qa"), F.max("__qb").alias("__qb")))
+    j = p.join(shared, [cur, prev], "left")  # without a shared term the similarity is 0 whatever the totals
     na = c2 * F.col("__qa") - (c2 - 1.0) * F.col("__sa")
     nb = c2 * F.col("__qb") - (c2 - 1.0) * F.col("__sb")
     sim = F.coalesce(S.clip01(F.try_divide(F.col("__dot"), F.sqrt(na * nb))), F.lit(0.0))

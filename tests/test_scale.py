@@ -84,3 +84,30 @@ def test_containing_meets_names_by_long_grams_without_broadcast(spark):
     assert not {"gram"} & set(got.columns)
     joins = [line for line in plan_of(got).splitlines() if "Join" in line]
     assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_tfidf_drift_scores_and_counts_once(spark):
+    from ledgerlens.plans import text_signals as TS
+    line = "The {} of the company may change when the {} of the market changes a lot this year. "
+    texts = spark.createDataFrame([(1, "".join(line.format(w, w) for w in ("price", "risk", "cost"))), (2, "".join(line.format(w, w) for w in ("price", "debt", "cost"))),
+                                   (3, "short text"), (4, "entirely different")], "filing_id long, text string")
+    pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (1, 1)], "filing_id long, previous_filing_id long")
+    d = TS.tfidf_drift(pairs, texts)
+    plan = plan_of(d)
+    assert len(re.findall(r"ArrowEvalPython \[_best_tfidf", plan)) == 1
+    got = {r.filing_id: r for r in d.collect()}
+    assert got[2].tfidf_unit_count == 3 and got[2].tfidf_top_k_count == 3 and 0 < got[2].tfidf_drift < 1
+    assert got[1].global_drift < 1e-9 and got[4].global_drift == 1.0 and got[4].tfidf_aggregation == "global_fallback"
+
+
+def test_links_join_trades_before_they_meet_filings(spark, tmp_path):
+    from checks import scores
+    d, was = tables(spark, tmp_path, 40), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(scores.Q_["insider_activity"](spark, d))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    above, join = re.match(r"(.*?)SortMergeJoin (\[.*?\])", plan, re.S).groups()
+    assert "filed_at" in join and "transaction_date" not in join  # the last join of the pairs is the one they are grouped by
+    assert "Exchange" not in above
