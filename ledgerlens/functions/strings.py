@@ -42,8 +42,21 @@ def fold_quotes(x):
     return F.translate(x, "’‘“”", "''\"\"")
 
 
+# a run of blanks (all that `printable` or `collapse` take for one) that is not already a single space: most blanks
+# are, and a test of the ASCII range in front of the categories settles nearly every other character
+_BLANKS = r"[[^!-~]&&[\p{C}\p{Z}]](?:[[^!-~]&&[\p{C}\p{Z}]]++|(?<! ))"
+_BLANKS_IN_LINE = r"[[^!-~\n]&&[\p{C}\p{Z}]](?:[[^!-~\n]&&[\p{C}\p{Z}]]++|(?<! ))"
+
+
 def normalise_block(x):
-    return collapse(printable(x))
+    """collapse(printable(x)) in one pass."""
+    return F.trim(F.regexp_replace(x, _BLANKS, " "))
+
+
+def normalise_lines(x):
+    """The lines of a text, each as `normalise_block` gives it, in one pass over the whole text; empty ones stay."""
+    whole = F.regexp_replace(F.replace(x, F.lit("\r"), F.lit("\n")), _BLANKS_IN_LINE, " ")
+    return F.transform(F.split(whole, "\n"), lambda line: F.trim(line))
 
 
 def heading_text(x):
@@ -71,13 +84,18 @@ def is_forward_section(x):
     return x.rlike("(?i)" + "|".join(P.FORWARD_SECTION_PHRASES))
 
 
+def may_mark_section(x):
+    """Whether any of the three patterns above is in the text: one search, as most lines hold none."""
+    return x.rlike("|".join((_ITEM_PATTERN, *P.STOP_PHRASES, *P.FORWARD_SECTION_PHRASES)))
+
+
 def is_forward_looking(x, keywords=P.FORWARD_LOOKING_KEYWORDS):
     return F.lower(x).rlike("|".join(re.escape(k) for k in keywords))
 
 
 def looks_like_html(x):
     """One of the tags html, body, div or table, wherever it stands."""
-    return x.rlike(r"(?i)<(?:html|body|div|table)\b")
+    return x.contains("<") & x.rlike(r"(?i)<(?:html|body|div|table)\b")
 
 
 def looks_like_ownership_xml(x):

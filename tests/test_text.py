@@ -2,11 +2,13 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens import policies as P
 from ledgerlens.functions import strings as T
 from ledgerlens.operators import aggregates as A, similarity as M, text as X
 from ledgerlens.plans import text_signals as TS
@@ -220,3 +222,47 @@ def test_long_sections_are_whole(spark):
     row = X.section_rows(X.split_sections(df)).first()
     assert row.char_count == len(body) > 300_000
     assert X.section_rows(X.split_sections(df, cap=500)).first().char_count == len(body)  # the block that crosses the cap is the last one
+
+
+def brute_sections(raw, cap=None):
+    """Annual report as plain text: every line looked at by itself, every body walked block by block."""
+    blank = lambda c: c != " " and unicodedata.category(c)[0] in "CZ"
+    blocks = [re.sub(" +", " ", "".join(" " if blank(c) else c for c in line)).strip(" ") for line in re.split(r"\r\n|\r|\n", raw)]
+    blocks = [b for b in blocks if b]
+    code, stop, forward = [], [], []
+    for b in blocks:
+        short = len(b) <= P.HEADING_MAX_CHARS
+        m = re.match(r"\s*item\s*(" + "|".join(sorted(P.ITEM_CODES, key=len, reverse=True)) + r")\b", b, re.I | re.A) if short else None
+        code.append(m and m[1].upper())
+        stop.append(bool(m or short and re.search("|".join(P.STOP_PHRASES), b, re.I | re.A)))
+        forward.append(bool(short and re.search("|".join(P.FORWARD_SECTION_PHRASES), b, re.I | re.A)))
+
+    def body(i):
+        out = []
+        while i < len(blocks) and not stop[i] and not (cap and sum(map(len, out)) >= cap):
+            out.append(blocks[i])
+            i += 1
+        return " ".join(out)
+    found = [(P.ANNUAL_ITEMS[c], body(i + 1)) for i, c in enumerate(code) if c in P.ANNUAL_ITEMS]
+    found = [f for f in found if len(f[1]) >= P.SECTION_MIN_CHARS]
+    rows = [(s, sum(f[0] == s for f in found[:i]), text) for i, (s, text) in enumerate(found)]
+    extra = body(forward.index(True) + 1) if True in forward else ""
+    return rows + [("forward_looking", 0, extra)] * (len(extra) >= P.SECTION_MIN_CHARS)
+
+
+@pytest.mark.parametrize("cap", [None, 300])
+def test_sections_equal_brute_force(spark, cap):
+    r = random.Random(5)
+    marks = ["Item 1. Business", "ITEM 1A. Risk", " item 7 Discussion", "Item 7A. Rates", "Item 71", "“Cautionary statement”", "Forward-looking statements, signatures",
+             "The signatures below", "exhibit \t index", "designatures", "Item 2. " + "x" * 230, "Item 9A. " + "é" * 200]
+    words = ["tools", "é ü", "a  b", "​x", "\x85", "’s", "\U0001f600", "item 3", "\x7f", "growth of the company", " " * 5, "\t", "sales and costs " * 4]
+    line = lambda: r.choice(marks) if r.random() < .3 else " ".join(r.choice(words) for _ in range(r.randint(0, 12)))
+    texts = ["".join(line() + r.choice(["\n", "\n\n", "\r\n", "\r", " \n "]) for _ in range(r.randint(0, 60))) for _ in range(150)] + ["Item 1.", "\n", ""]
+    df = spark.createDataFrame([(i, i, "10-K", t) for i, t in enumerate(texts)], "filing_id long, company_id long, form_type string, raw_text string")
+    got = {x.filing_id: [tuple(s) for s in x.sections] for x in X.split_sections(df, cap=cap).collect()}
+    assert got == {i: brute_sections(t, cap) for i, t in enumerate(texts)} and sum(map(len, got.values())) > 100
+
+
+def test_lines_are_normalised_in_one_pass_over_the_text(spark):
+    plan = spark.range(1).select(X.text_blocks(F.col("id").cast("string")).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1 and plan.index("regexp_replace") < plan.index("lambda")  # not line by line
