@@ -9,6 +9,7 @@ from ledgerlens.operators.intervals import interval_join
 from ledgerlens.plans.rows import signal_rows
 
 VERSION = "behavior_v3"
+BUCKET = "filed_at_bucket"  # where the pairs of trades and anchors lie
 
 
 def prepared_trades(trades: DataFrame) -> DataFrame:
@@ -33,43 +34,55 @@ def compensation_links(trades: DataFrame) -> DataFrame:
             .groupBy("company_id", "insider_key", "transaction_date").agg(F.max("comp_date").alias("comp_date")))
 
 
-def historical_medians(needed: DataFrame, trades: DataFrame) -> DataFrame:
-    """Median size of the insider's S and P trades before the window of each anchor day in
-    `needed` (company_id, filed_at, insider_key). Sizes are counted per day before the join, and
-    per size before the ranks."""
-    sizes = (trades.where(F.col("transaction_code").isin("S", "P"))
-             .groupBy("company_id", "insider_key", "transaction_date", "shares").agg(F.count(F.lit(1)).alias("n")))
-    keys = ["company_id", "filed_at", "insider_key"]
-    counts = (needed.join(sizes, ["company_id", "insider_key"])
-              .where(F.col("transaction_date") < F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE))
-              .groupBy(*keys, "shares").agg(F.sum("n").alias("__n")))
-    m = A.middle_values(counts, keys, "shares")
-    return m.select(*keys, A.median_of(F.col("size"), F.col("m0"), F.col("m1")).alias("median_shares"))
+def with_history(trades: DataFrame) -> DataFrame:
+    """Trades with `comp_date`, the latest compensation-type day 0 to 7 days earlier, and `__sizes`: the
+    median size of the insider's S and P trades so far, by day, as far back as a window around the trade
+    asks for it. One shuffle by insider serves both; a size that is missing ranks below all others."""
+    day = F.unix_date("transaction_date")
+    w = Window.partitionBy("company_id", "insider_key").orderBy("__day")
+    size = F.when(F.col("transaction_code").isin("S", "P") & F.col("transaction_date").isNotNull(),
+                  F.coalesce(F.col("shares"), F.lit(float("-inf"))))
+    comp = F.when(F.col("transaction_code").isin(*P.COMP_LINK_CODES), F.col("transaction_date"))
+    reach = P.BEHAVIOR_DAYS_BEFORE + P.BEHAVIOR_DAYS_AFTER
+    t = (trades.withColumns({"__day": day, "__size": size, "__comp": comp}).withColumns({
+        "__median": F.percentile("__size", F.lit(0.5)).over(w.rangeBetween(Window.unboundedPreceding, 0)),
+        "comp_date": F.max("__comp").over(w.rangeBetween(-P.COMP_LINK_DAYS, 0)),
+        "__first": F.lag("__day").over(w)}))
+    step = F.struct("__day", F.when(F.col("__median") != float("-inf"), F.col("__median")).alias("median"))
+    t = t.withColumns({  # one entry a day, and the last one before them
+        "__near": F.collect_list(F.when(F.col("__first").isNull() | (F.col("__first") != F.col("__day")), step))
+        .over(w.rangeBetween(-reach, -1)),
+        "__far": F.last(step).over(w.rangeBetween(Window.unboundedPreceding, -reach - 1))})
+    sizes = F.when(F.col("__open"), F.array_compact(F.concat(F.array("__far"), "__near")))
+    return t.withColumn("__sizes", sizes).drop("__day", "__size", "__comp", "__median", "__first", "__near", "__far")
 
 
 def classified_trades(anchors: DataFrame, trades: DataFrame) -> DataFrame:
-    """Trades of the window around each anchor day with their class."""
-    # links hang on the trade alone: they join the trades, not the many more pairs
-    linked_trades = trades.join(compensation_links(trades), ["company_id", "insider_key", "transaction_date"], "left")
-    pairs = interval_join(anchors, linked_trades, ["company_id"], "filed_at", "transaction_date",
-                          P.BEHAVIOR_DAYS_BEFORE, P.BEHAVIOR_DAYS_AFTER)
+    """Trades of the window around each anchor day with their class. What a pair needs of the insider's
+    history hangs on the trade, so the pairs are never shuffled; `filed_at_bucket` says where they lie."""
     open_market = (F.col("transaction_code").isin("S", "P") & (F.col("shares") >= P.OPPORTUNISTIC_MIN_SHARES)
                    & F.col("role_name").isin(*P.OPPORTUNISTIC_ROLES))
-    pairs = pairs.withColumn("__open", open_market)
-    needed = pairs.where("__open").select("company_id", "filed_at", "insider_key").distinct()
-    med = historical_medians(needed, trades)
-    j = pairs.join(med, ["company_id", "filed_at", "insider_key"], "left")
+    pairs = interval_join(anchors, with_history(trades.withColumn("__open", open_market)), ["company_id"], "filed_at",
+                          "transaction_date", P.BEHAVIOR_DAYS_BEFORE, P.BEHAVIOR_DAYS_AFTER, bucket=BUCKET)
+    start = F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE)
+    known = F.filter("__sizes", lambda x: x["__day"] < F.unix_date(start))
+    pairs = pairs.withColumn("median_shares", F.get(known, F.size(known) - 1)["median"])
     bigger = F.col("__open") & (F.col("shares") > F.col("median_shares"))
-    linked = F.coalesce(F.col("comp_date") >= F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE), F.lit(False))
+    linked = F.coalesce(F.col("comp_date") >= start, F.lit(False))
     cls = (F.when(bigger & (F.col("transaction_code") == "S") & ~linked, "opportunistic_sell")
            .when(bigger & (F.col("transaction_code") == "P"), "opportunistic_buy").otherwise("routine"))
-    return j.withColumn("classification", cls).drop("__open", "comp_date")
+    return pairs.withColumn("classification", cls).drop("__open", "comp_date", "__sizes")
+
+
+def _in_place(df, keys):
+    """The keys, behind the bucket of their day if the rows still lie by it: groups need no shuffle."""
+    return [*[c for c in df.columns if c == BUCKET and c not in keys], *keys]
 
 
 def insider_activity(classified: DataFrame, keys=("company_id", "filed_at")) -> DataFrame:
     sell, buy = F.col("classification") == "opportunistic_sell", F.col("classification") == "opportunistic_buy"
     first = F.struct("transaction_date", "transaction_id")
-    return classified.groupBy(*keys, "insider_key").agg(
+    return classified.groupBy(*_in_place(classified, keys), "insider_key").agg(
         F.min_by("insider_name", first).alias("insider_name"), F.min_by("role_name", first).alias("role_name"),
         F.min_by("role_weight", first).alias("role_weight"),
         F.coalesce(F.sum(F.when(sell, F.col("value"))), F.lit(0.0)).alias("opportunistic_sell_value"),
@@ -81,24 +94,25 @@ def insider_activity(classified: DataFrame, keys=("company_id", "filed_at")) ->
 def anchor_activity(activity: DataFrame, keys=("company_id", "filed_at")) -> DataFrame:
     s, b = F.col("opportunistic_sell_value"), F.col("opportunistic_buy_value")
     share = F.coalesce(F.try_divide(s, s + b), F.lit(0.0))
-    return activity.groupBy(*keys).agg(
+    return activity.groupBy(*_in_place(activity, keys)).agg(
         F.coalesce(F.try_divide(F.sum(share * F.col("role_weight")), F.sum("role_weight")), F.lit(0.0))
         .alias("weighted_ita"),
         F.count_if(F.col("opportunistic_sell_count") > 0).alias("unique_sellers_in_window"),
         F.count(F.lit(1)).alias("active_insider_count"), F.sum("transaction_count").alias("window_transaction_count"),
         F.sum("opportunistic_sell_count").alias("opportunistic_sell_count"),
         F.sum("opportunistic_buy_count").alias("opportunistic_buy_count"),
-        F.sum(s).alias("opportunistic_sell_value"), F.sum(b).alias("opportunistic_buy_value"))
+        F.sum(s).alias("opportunistic_sell_value"), F.sum(b).alias("opportunistic_buy_value")).drop(BUCKET)
 
 
 def late_ratio(anchors: DataFrame, trades: DataFrame) -> DataFrame:
     days = trades.groupBy("company_id", "accession_number", "transaction_date").agg(
         F.min_by("trade_filed_at", F.when(F.col("trade_filed_at").isNotNull(), F.col("transaction_id")))
         .alias("trade_filed_at"))
-    rows = interval_join(anchors, days, ["company_id"], "filed_at", "transaction_date", P.GOVERNANCE_DAYS, 0)
-    rows = rows.select("company_id", F.col("filed_at").alias("anchor"), "accession_number", "transaction_date",
+    rows = interval_join(anchors, days, ["company_id"], "filed_at", "transaction_date", P.GOVERNANCE_DAYS, 0, bucket=BUCKET)
+    rows = rows.select("company_id", BUCKET, F.col("filed_at").alias("anchor"), "accession_number", "transaction_date",
                        F.col("trade_filed_at").alias("filed_at"))
-    return A.late_filing_ratio(rows, ["company_id", "anchor"]).withColumnRenamed("anchor", "filed_at")
+    late = A.late_filing_ratio(rows, ["company_id", BUCKET, "anchor"])
+    return late.drop(BUCKET).withColumnRenamed("anchor", "filed_at")
 
 
 def _count_before(anchors, rows, day, limit_day, name, hot_rows):

@@ -111,3 +111,46 @@ def test_links_join_trades_before_they_meet_filings(spark, tmp_path):
     above, join = re.match(r"(.*?)SortMergeJoin (\[.*?\])", plan, re.S).groups()
     assert "filed_at" in join and "transaction_date" not in join  # the last join of the pairs is the one they are grouped by
     assert "Exchange" not in above
+
+
+def test_pairs_of_trades_and_anchors_are_joined_once_and_never_shuffled(spark):
+    from datetime import timedelta
+    from random import Random
+    from ledgerlens.plans import behavior_signals as B
+    r, day0 = Random(5), date(2020, 1, 1)
+    rows = [(i, r.choice([1, 1, 2]), f"A{i}", r.choice(["Ann", "ann ", "Bob", None]), None, r.choice(["CEO", "SVP"]), True, day0 + timedelta(r.randrange(500)) if i % 19 else None,
+             r.choice("SSPPA"), r.choice([None, 900.0, 1000.0, 1500.0, 2000.0, 2500.0]), 2.0, None, "direct", "D", False, day0) for i in range(160)]
+    trades = spark.createDataFrame(rows, """transaction_id long, company_id long, accession_number string, insider_name string, insider_cik string, officer_title string, is_director boolean,
+        transaction_date date, transaction_code string, shares double, price_per_share double, transaction_value double, ownership_nature string, acquired_disposed_code string,
+        is_derivative boolean, filed_at date""")
+    anchors = spark.createDataFrame([(c, day0 + timedelta(d)) for c in (1, 2, 3) for d in (0, 91, 200, 300, 301, 450, 700)], "company_id long, filed_at date")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = B.classified_trades(anchors, B.prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at"))
+        plan = plan_of(B.anchor_activity(B.insider_activity(p)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    above = plan[:plan.index("SortMergeJoin")]
+    assert plan.count("SortMergeJoin") == 1 and "Exchange" not in above
+
+    def median(sizes):  # a missing size ranks lowest
+        s = sorted(sizes, key=lambda x: (x is not None, x))
+        mid = s[(len(s) - 1) // 2:len(s) // 2 + 1]
+        return None if not mid or None in mid else sum(mid) / len(mid)
+    who = lambda t: "|" + t[3].strip().lower() if t[3] else ""
+    want = {}
+    for c, a in [tuple(x) for x in anchors.collect()]:
+        for t in rows:
+            if t[1] != c or t[7] is None or not -90 <= (t[7] - a).days <= 90:
+                continue
+            mine = [h for h in rows if h[1] == c and who(h) == who(t) and h[7]]
+            open_ = t[8] in "SP" and (t[9] or 0) >= 1000 and t[5] == "CEO" or t[8] in "SP" and (t[9] or 0) >= 1000 and t[6]
+            m = median([h[9] for h in mine if h[8] in "SP" and (a - h[7]).days > 90]) if open_ else None
+            linked = any(h[8] == "A" and 0 <= (t[7] - h[7]).days <= 7 and (a - h[7]).days <= 90 for h in mine)
+            big = m is not None and t[9] > m
+            want[c, a, t[0]] = (m, "opportunistic_buy" if big and t[8] == "P" else "opportunistic_sell" if big and t[8] == "S" and not linked else "routine")
+    got = {(x.company_id, x.filed_at, x.transaction_id): (x.median_shares, x.classification) for x in p.collect()}
+    assert got == want and {v[1] for v in got.values()} == {"routine", "opportunistic_sell", "opportunistic_buy"}
+    act = B.anchor_activity(B.insider_activity(p))
+    assert act.columns[:2] == ["company_id", "filed_at"] and act.count() == len({k[:2] for k in want})
