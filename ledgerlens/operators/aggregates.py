@@ -187,8 +187,11 @@ def signal_flags(yearly: DataFrame) -> DataFrame:
 
 
 def term_counts(df, keys, text):
+    """Counts per (keys, token). The text is what is shuffled, by the keys alone; its terms become rows where
+    they are counted, and what groups or joins by the same keys next finds them in place."""
     from ledgerlens.functions.strings import tokens
-    return (df.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).where(F.col("token").isNotNull())
+    return (df.select(*keys, text).repartition(*keys)
+            .select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).where(F.col("token").isNotNull())
             .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("term_count")))
 
 

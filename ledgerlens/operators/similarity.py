@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ledgerlens.functions import scoring as S
 from ledgerlens.operators import ordered as O
+from ledgerlens.session import in_batches
 
 VECTOR_BLOCK = 512
 TEXT_BLOCK = 128
@@ -117,24 +118,38 @@ def top_k_mean(scored: DataFrame, keys, score, idx, evidence=5, hot_rows=O.AUTO)
         F.transform(F.array_sort(F.collect_list(first)), lambda x: x[idx]).alias("top_units"))
 
 
+_TERM_SUMS = ["dot", "sa", "sb", "qa", "qb"]
+
+
+@pandas_udf(StructType([StructField(c, DoubleType()) for c in _TERM_SUMS]))
+def _shared_terms(ta: pd.Series, na: pd.Series, tb: pd.Series, nb: pd.Series) -> pd.DataFrame:
+    """Products and squares of the frequencies of two texts over their shared terms, squares over all of each."""
+    out = np.zeros((len(ta), 5))
+    for i, (a, m, b, n) in enumerate(zip(ta, na, tb, nb)):
+        fa, fb = m / m.sum(), n / n.sum()
+        at = {t: j for j, t in enumerate(b)}
+        both = [j for j, t in enumerate(a) if t in at]
+        x, y = fa[both], fb[[at[a[j]] for j in both]]
+        out[i] = x @ y, x @ x, y @ y, fa @ fa, fb @ fb
+    return pd.DataFrame(out, columns=_TERM_SUMS)
+
+
 def tfidf_similarity(pairs, counts, cur, prev, key, keep=()) -> DataFrame:
     """Whole-text similarity of each pair from term counts (key, token, term_count).
 
-    Only shared terms join, on (document, token), so long documents spread over tasks; the
-    unshared part follows from per-document totals, which each term carries (a document is one text).
+    A document is one text, so its terms are one row of two arrays. Counts that lie by their key are
+    shuffled once, with the pairs; shared terms are looked up inside the row, and the unshared part
+    follows from totals. A pair given n times counts its shared terms n times.
     """
     c2 = (F.log(F.lit(1.5)) + 1.0) * (F.log(F.lit(1.5)) + 1.0)
-    doc = Window.partitionBy(key)
-    tf = counts.select(key, "token", (F.col("term_count") / F.sum("term_count").over(doc)).alias("__tf"))
-    tf = tf.withColumn("__q", F.sum(F.col("__tf") * F.col("__tf")).over(doc))
+    docs = counts.groupBy(key).agg(F.collect_list("token").alias("__t"), F.collect_list("term_count").alias("__n"))
     p = pairs.select(cur, prev)
-    a = tf.select(F.col(key).alias(cur), "token", F.col("__tf").alias("__a"), F.col("__q").alias("__qa"))
-    b = tf.select(F.col(key).alias(prev), "token", F.col("__tf").alias("__b"), F.col("__q").alias("__qb"))
-    shared = (p.join(a, cur).join(b, [prev, "token"]).groupBy(cur, prev).agg(
-        F.sum(F.col("__a") * F.col("__b")).alias("__dot"), F.sum(F.col("__a") * F.col("__a")).alias("__sa"),
-        F.sum(F.col("__b") * F.col("__b")).alias("__sb"), F.max("__qa").alias("__qa"), F.max("__qb").alias("__qb")))
-    j = p.join(shared, [cur, prev], "left")  # without a shared term the similarity is 0 whatever the totals
-    na = c2 * F.col("__qa") - (c2 - 1.0) * F.col("__sa")
-    nb = c2 * F.col("__qb") - (c2 - 1.0) * F.col("__sb")
-    sim = F.coalesce(S.clip01(F.try_divide(F.col("__dot"), F.sqrt(na * nb))), F.lit(0.0))
+    a = docs.select(F.col(key).alias(cur), F.col("__t").alias("__ta"), F.col("__n").alias("__na"))
+    b = docs.select(F.col(key).alias(prev), F.col("__t").alias("__tb"), F.col("__n").alias("__nb"))
+    met = in_batches(p.groupBy(cur, prev).agg(F.count(F.lit(1)).alias("__times")).join(a, cur).join(b, prev))
+    shared = met.select(cur, prev, "__times", _shared_terms("__ta", "__na", "__tb", "__nb").alias("s"))
+    j = p.join(shared, [cur, prev], "left")  # a text without terms meets nothing: 0
+    na = c2 * F.col("s.qa") - (c2 - 1.0) * F.col("__times") * F.col("s.sa")
+    nb = c2 * F.col("s.qb") - (c2 - 1.0) * F.col("__times") * F.col("s.sb")
+    sim = F.coalesce(S.clip01(F.try_divide(F.col("__times") * F.col("s.dot"), F.sqrt(na * nb))), F.lit(0.0))
     return j.select(cur, prev, sim.alias("similarity"))

@@ -52,6 +52,12 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def in_batches(df, rows=256):
+    """df, of which Python gets so many rows at a time from now on: for rows that hold a text or a block."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def spread(df, key, rows=None):
     """Rows over all cores when a scan has fewer splits than cores (a few small files), for plans
     that spend much CPU per row. A large input has more splits than cores and is left alone,

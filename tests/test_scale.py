@@ -154,3 +154,34 @@ def test_pairs_of_trades_and_anchors_are_joined_once_and_never_shuffled(spark):
     assert got == want and {v[1] for v in got.values()} == {"routine", "opportunistic_sell", "opportunistic_buy"}
     act = B.anchor_activity(B.insider_activity(p))
     assert act.columns[:2] == ["company_id", "filed_at"] and act.count() == len({k[:2] for k in want})
+
+
+def test_terms_are_counted_where_their_text_lies_and_pairs_shuffle_documents(spark):
+    import math
+    from collections import Counter
+    from ledgerlens.operators import aggregates as A, similarity as M
+    texts = {1: "Risk of the market, risk of debt", 2: "the market of debt and the sale", 3: "", 4: None, 5: "nothing shared here", 6: "the the the"}
+    df = spark.createDataFrame([*texts.items(), (6, "Market 12 x"), (None, "the market")], "filing_id long, text string")
+    pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 2), (6, 2), (6, 1), (9, 1), (None, 1)], "filing_id long, previous_filing_id long")
+    counts = A.term_counts(df, ["filing_id"], "text")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = M.tfidf_similarity(pairs, counts, "filing_id", "previous_filing_id", "filing_id")
+        plan = plan_of(s)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "token" in x]
+    below = plan[plan.index("_shared_terms"):]  # the pairs by both keys and by one, their texts twice, the pairs with a text
+    assert below.count("Exchange") <= 5
+    texts[6] += " market"
+    tf = {i: Counter(re.findall(r"[a-z][a-z0-9']+", (t or "").lower())) for i, t in texts.items()}
+    assert {(r.filing_id, r.token): r.term_count for r in counts.collect()} == {**{(i, w): n for i, c in tf.items() for w, n in c.items()}, (None, "the"): 1, (None, "market"): 1}
+
+    def want(a, b):
+        a, b = tf.get(a, {}), tf.get(b, {})
+        va, vb = ({t: n / sum(x.values()) * (math.log(3 / (1 + (t in a) + (t in b))) + 1) for t, n in x.items()} for x in (a, b))
+        dot = sum(v * vb.get(t, 0) for t, v in va.items())
+        return dot / math.sqrt(sum(v * v for v in va.values()) * sum(v * v for v in vb.values())) if dot else 0.0
+    got = {(r.filing_id, r.previous_filing_id): r.similarity for r in s.collect()}
+    assert len(got) == 8 and all(abs(v - want(*k)) < 1e-12 for k, v in got.items()) and got[2, 1] > 0.3
