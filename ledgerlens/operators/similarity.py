@@ -17,6 +17,7 @@ from ledgerlens.session import in_batches
 
 VECTOR_BLOCK = 512
 TEXT_BLOCK = 128
+GAP = "\x1f"  # between the tokens of a unit that is shuffled as one string
 
 
 def _blocks(df, keys, idx, value, block):
@@ -51,8 +52,9 @@ def _best_tfidf(cur: pd.Series, prev: pd.Series) -> pd.Series:
     c2 = (np.log(1.5) + 1.0) ** 2
     out = []
     for a, b in zip(cur, prev):
+        a, b = ([u.split(GAP) if u else [] for u in side] for side in (a, b))
         vocab = {}
-        for toks in list(a) + list(b):
+        for toks in a + b:
             for t in toks:
                 vocab.setdefault(t, len(vocab))
 
@@ -81,7 +83,7 @@ def _best_match(pairs, units, cur, prev, unit_keys, idx, value, block, score) ->
     right = b.select(*[F.col(k).alias(c) for k, c in zip(unit_keys, prev)], F.col("__val").alias("__b"))
     cells = pairs.select(*cur, *[c for c in prev if c not in cur]).join(left, list(cur)).join(right, list(prev))
     keys = list(dict.fromkeys([*cur, *prev]))
-    return (cells.select(*keys, idx, score("__a", "__b").alias("__s"))
+    return (in_batches(cells).select(*keys, idx, score("__a", "__b").alias("__s"))
             .select(*keys, F.explode(F.arrays_zip(idx, "__s")).alias("x"))
             .groupBy(*keys, F.col(f"x.{idx}").alias(idx)).agg(F.max("x.__s").alias("best")))
 
@@ -94,6 +96,8 @@ def best_cosine(pairs, vectors, cur, prev, unit_keys, idx="chunk_idx", value="em
 
 
 def best_tfidf(pairs, units, cur, prev, unit_keys, idx="unit_idx", value="tokens", block=TEXT_BLOCK) -> DataFrame:
+    """Units that lie by their keys already are shuffled once, with the pairs, a string each."""
+    units = units.withColumn(value, F.array_join(value, GAP))
     return _best_match(pairs, units, cur, prev, unit_keys, idx, value, block, _best_tfidf)
 
 

@@ -17,8 +17,10 @@ def tfidf_drift(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs: filing_id, previous_filing_id; texts: filing_id, text (one document per filing).
     Mean drift of the most changed units; whole-text drift when either side has no units. The units
     of a filing come out of one text value, which bounds the rank window (`hot_rows=None`)."""
+    # split where a filing's text lies after the shuffle that its term counts need too
+    placed = texts.select("filing_id", "text").repartition("filing_id")
     # outer: a plain explode would repeat the splitting in a pushed-down not-empty test
-    units = (X.with_drift_units(texts).select("filing_id", F.posexplode_outer("units").alias("unit_idx", "unit"))
+    units = (X.with_drift_units(placed).select("filing_id", F.posexplode_outer("units").alias("unit_idx", "unit"))
              .where(F.col("unit").isNotNull()).select("filing_id", "unit_idx", T.tokens(F.col("unit")).alias("tokens")))
     keys = ["filing_id", "previous_filing_id"]
     best = M.best_tfidf(pairs, units, ["filing_id"], ["previous_filing_id"], ["filing_id"])

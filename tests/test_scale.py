@@ -185,3 +185,25 @@ def test_terms_are_counted_where_their_text_lies_and_pairs_shuffle_documents(spa
         return dot / math.sqrt(sum(v * v for v in va.values()) * sum(v * v for v in vb.values())) if dot else 0.0
     got = {(r.filing_id, r.previous_filing_id): r.similarity for r in s.collect()}
     assert len(got) == 8 and all(abs(v - want(*k)) < 1e-12 for k, v in got.items()) and got[2, 1] > 0.3
+
+
+def test_units_are_shuffled_as_a_text_and_once_with_their_pairs(spark):
+    from ledgerlens.operators import similarity as M
+    from ledgerlens.plans import text_signals as TS
+    line = "The {} of the company may change when the {} of the market changes a lot this year. "
+    texts = spark.createDataFrame([(i, "".join(line.format(w, w) for w in ("price", "risk", f"cost{i % 3}"))) for i in range(7)], "filing_id long, text string")
+    pairs = spark.createDataFrame([(i, i - 1) for i in range(1, 7)], "filing_id long, previous_filing_id long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = TS.tfidf_drift(pairs, texts)
+        plan = plan_of(d)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    cells = plan[plan.index("_best_tfidf"):].split("_shared_terms")[0]
+    assert not [x for x in cells.splitlines() if "Exchange" in x and "__block" in x]
+    assert {r.tfidf_unit_count for r in d.collect()} == {3}
+    units = spark.createDataFrame([(1, 0, ["risk", "debt"]), (1, 1, []), (2, 0, []), (2, 1, ["risk"]), (2, 2, ["debt", "risk"])], "filing_id long, unit_idx long, tokens array<string>")
+    best = M.best_tfidf(pairs.where("filing_id = 2"), units, ["filing_id"], ["previous_filing_id"], ["filing_id"])
+    got = {r.unit_idx: r.best for r in best.collect()}
+    assert got[0] == 0.0 and 0 < got[1] < 1 and abs(got[2] - 1) < 1e-12
