@@ -10,6 +10,7 @@ from ledgerlens.plans.rows import signal_rows
 
 VERSION = "behavior_v3"
 BUCKET = "filed_at_bucket"  # where the pairs of trades and anchors lie
+TASK_FILINGS = 50_000  # whose pairs one task holds
 
 
 def prepared_trades(trades: DataFrame) -> DataFrame:
@@ -57,13 +58,13 @@ def with_history(trades: DataFrame) -> DataFrame:
     return t.withColumn("__sizes", sizes).drop("__day", "__size", "__comp", "__median", "__first", "__near", "__far")
 
 
-def classified_trades(anchors: DataFrame, trades: DataFrame) -> DataFrame:
+def classified_trades(anchors: DataFrame, trades: DataFrame, tasks=None) -> DataFrame:
     """Trades of the window around each anchor day with their class. What a pair needs of the insider's
     history hangs on the trade, so the pairs are never shuffled; `filed_at_bucket` says where they lie."""
     open_market = (F.col("transaction_code").isin("S", "P") & (F.col("shares") >= P.OPPORTUNISTIC_MIN_SHARES)
                    & F.col("role_name").isin(*P.OPPORTUNISTIC_ROLES))
     pairs = interval_join(anchors, with_history(trades.withColumn("__open", open_market)), ["company_id"], "filed_at",
-                          "transaction_date", P.BEHAVIOR_DAYS_BEFORE, P.BEHAVIOR_DAYS_AFTER, bucket=BUCKET)
+                          "transaction_date", P.BEHAVIOR_DAYS_BEFORE, P.BEHAVIOR_DAYS_AFTER, bucket=BUCKET, tasks=tasks)
     start = F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE)
     known = F.filter("__sizes", lambda x: x["__day"] < F.unix_date(start))
     pairs = pairs.withColumn("median_shares", F.get(known, F.size(known) - 1)["median"])
@@ -104,11 +105,12 @@ def anchor_activity(activity: DataFrame, keys=("company_id", "filed_at")) -> Dat
         F.sum(s).alias("opportunistic_sell_value"), F.sum(b).alias("opportunistic_buy_value")).drop(BUCKET)
 
 
-def late_ratio(anchors: DataFrame, trades: DataFrame) -> DataFrame:
+def late_ratio(anchors: DataFrame, trades: DataFrame, tasks=None) -> DataFrame:
     days = trades.groupBy("company_id", "accession_number", "transaction_date").agg(
         F.min_by("trade_filed_at", F.when(F.col("trade_filed_at").isNotNull(), F.col("transaction_id")))
         .alias("trade_filed_at"))
-    rows = interval_join(anchors, days, ["company_id"], "filed_at", "transaction_date", P.GOVERNANCE_DAYS, 0, bucket=BUCKET)
+    rows = interval_join(anchors, days, ["company_id"], "filed_at", "transaction_date", P.GOVERNANCE_DAYS, 0,
+                         bucket=BUCKET, tasks=tasks)
     rows = rows.select("company_id", BUCKET, F.col("filed_at").alias("anchor"), "accession_number", "transaction_date",
                        F.col("trade_filed_at").alias("filed_at"))
     late = A.late_filing_ratio(rows, ["company_id", BUCKET, "anchor"])
@@ -132,8 +134,9 @@ def behavior_features(filings: DataFrame, trades: DataFrame, hot_rows=O.AUTO, hi
     # several branches below read it; its shuffle is planned once and reused
     e = prepared_trades(trades).withColumnRenamed("filed_at", "trade_filed_at")
     anchors = filings.select("company_id", "filed_at").distinct()
-    act = anchor_activity(insider_activity(classified_trades(anchors, e)))
-    late = late_ratio(anchors, e)
+    tasks = max(filings.sparkSession.sparkContext.defaultParallelism, -(-filings.count() // TASK_FILINGS))
+    act = anchor_activity(insider_activity(classified_trades(anchors, e, tasks)))
+    late = late_ratio(anchors, e, tasks)
     before = _count_before(anchors, e, "transaction_date", F.date_sub("filed_at", P.BEHAVIOR_DAYS_BEFORE),
                            "historical_transaction_count", hot_rows)
     depth = _count_before(anchors, filings.where(F.col("form_type").isin(*P.BEHAVIOR_HISTORY_FORMS)), "filed_at",

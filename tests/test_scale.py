@@ -207,3 +207,17 @@ def test_units_are_shuffled_as_a_text_and_once_with_their_pairs(spark):
     best = M.best_tfidf(pairs.where("filing_id = 2"), units, ["filing_id"], ["previous_filing_id"], ["filing_id"])
     got = {r.unit_idx: r.best for r in best.collect()}
     assert got[0] == 0.0 and 0 < got[1] < 1 and abs(got[2] - 1) < 1e-12
+
+
+def test_interval_pairs_by_bucket_are_the_same_and_spread_over_tasks(spark):
+    from datetime import timedelta
+    from ledgerlens.operators.intervals import interval_join
+    day = lambda d: date(1969, 12, 1) + timedelta(d)
+    a = spark.createDataFrame([(k, day(7 * i)) for k in (1, 2) for i in range(20)] + [(1, None), (None, day(3))], "k long, filed_at date")
+    e = spark.createDataFrame([(i, 1 + i % 3, day(i)) for i in range(120)] + [(500, 1, None), (501, None, day(3))], "i long, k long, day date")
+    for before, after in ((5, 9), (20, 0), (0, 0)):
+        plain = interval_join(a, e, ["k"], "filed_at", "day", before, after)
+        placed = interval_join(a, e, ["k"], "filed_at", "day", before, after, bucket="filed_at_bucket", tasks=7)
+        assert placed.rdd.getNumPartitions() == 7 and "filed_at_bucket" in placed.columns
+        rows = lambda df: sorted(tuple(x) for x in df.select("k", "filed_at", "i", "day").collect())
+        assert rows(placed) == rows(plain) and len(rows(plain)) == len(set(rows(plain))) > 0
